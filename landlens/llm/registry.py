@@ -1,18 +1,36 @@
-"""Queries of the corpus operators over the driver tables, and their SQL."""
+"""Queries of the corpus operators over the driver tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from .bpe import bpe_encode
 from .common import table
+from .embeddings import near_vectors
+from .html_extract import extract_text
+from .knn_quality import quality_report
+from .lines import line_report
 from .packing import harmonic_pack
+from .pii import find_pii
 from .quality_rules import host_quality
 from .simhash import simhash_groups
+from .url_filter import judge_urls
 
 
 def op1_quality_rules(spark, sf_dir):
     return host_quality(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_knn_quality(spark, sf_dir):
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_pair_index(spark, sf_dir):
     return bpe_encode(table(spark, sf_dir, "documents"), digest=True)
 
@@ -21,11 +39,23 @@ def op6_harmonic_packing(spark, sf_dir):
     return harmonic_pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_nn_descent(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_fuzzy_lines(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_rules, op5_bpe_pair_index, op6_harmonic_packing, op9_simhash]
+def op10_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = [op1_quality_rules, op2_url_filter, op3_knn_quality, op4_pii, op5_bpe_pair_index, op6_harmonic_packing, op7_nn_descent, op8_fuzzy_lines, op9_simhash, op10_html_extraction]
 
 
 def queries():
@@ -33,4 +63,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from .oracles import ORACLE
+
+    return dict(ORACLE)
