@@ -98,6 +98,25 @@ def vocabulary(pages: DataFrame) -> dict[str, int]:
     return {r.w: r.n for r in top.collect()}  # the model's stated size bounds it
 
 
+def without_compounds(counts: Counter, least: int = 3) -> Counter:
+    """The counts without names that are whole words of at least ``least`` letters joined together.
+
+    Such a name would else stand as a word of its own and never be split; its count goes to its parts."""
+    fixed, out = {*BLOCK_WORDS, *COMMON_WORDS}, Counter()
+    for w in sorted(counts, key=lambda w: (len(w), w)):
+        cut: list[tuple[str, ...] | None] = [()] + [None] * len(w)
+        for end in range(least, len(w) + 1):
+            for start in range(0, end - least + 1):
+                if cut[start] is not None and w[start:end] in out and (cut[end] is None or len(cut[start]) + 1 < len(cut[end])):
+                    cut[end] = (*cut[start], w[start:end])
+        if w in fixed or cut[-1] is None:
+            out[w] += counts[w]
+        else:
+            for part in cut[-1]:
+                out[part] += counts[w]
+    return out
+
+
 def fit(pages: DataFrame) -> UrlModel:
     """Model of all hosts and paths in ``pages(host, path)``.
 
@@ -106,6 +125,7 @@ def fit(pages: DataFrame) -> UrlModel:
     counts = Counter(vocabulary(pages))
     for w in (*BLOCK_WORDS, *COMMON_WORDS):
         counts[w] += 1
+    counts = without_compounds(counts)
     total = sum(counts.values()) or 1
     # A longer word must not pay for its parts: probabilities are per letter run, with one count of smoothing.
     model = UrlModel({w: log((n + 1) / (total + len(counts))) for w, n in counts.items()})
