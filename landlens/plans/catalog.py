@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = []
+from . import ledger, monitor, text
+
+MODULES = [text, monitor, ledger]
 
 
 def queries():
