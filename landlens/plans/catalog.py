@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ledger, monitor, text
+from . import ledger, monitor, spatial, text
 
-MODULES = [text, monitor, ledger]
+MODULES = [text, monitor, ledger, spatial]
 
 
 def queries():
