@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ledger, monitor, spatial, text
+from . import incremental, ledger, monitor, spatial, text
 
-MODULES = [text, monitor, ledger, spatial]
+MODULES = [text, monitor, ledger, spatial, incremental]
 
 
 def queries():
