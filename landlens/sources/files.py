@@ -22,7 +22,12 @@ def read_nested_store(spark: SparkSession, path: str, item: str, kinds: tuple[st
         return spark.read.option("multiLine", True).schema(f"posts array<struct<{item}>>").json(path).select(F.inline("posts"))
     kinds_ddl = ",".join(f"{k}:array<struct<{item}>>" for k in kinds)
     store = spark.read.option("multiLine", True).schema(f"items struct<{kinds_ddl}>").json(path)
-    parts = F.flatten(F.array(*[F.transform(F.coalesce(F.col(f"items.{k}"), F.array().cast(f"array<struct<{item}>>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("r"))) for k in kinds]))
+
+    def marked(kind: str):
+        rows = F.coalesce(F.col(f"items.{kind}"), F.array().cast(f"array<struct<{item}>>"))
+        return F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("r")))
+
+    parts = F.flatten(F.array(*[marked(k) for k in kinds]))
     return store.select(F.explode(parts).alias("p")).select("p.kind", "p.r.*")
 
 
