@@ -1,3 +1,19 @@
-"""SQL of the corpus queries."""
+"""SQL of the corpus queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from . import quality_rules as Q
+
+_QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ win AS (SELECT rid, i, array_to_string(w[i:i + {Q.WINDOW - 1}], ' ') AS s FROM (SELECT rid, w, unnest(generate_series(1, len(w) - {Q.WINDOW - 1})) AS i FROM w WHERE len(w) >= {Q.WINDOW})),
+ rep AS (SELECT rid, i FROM win WHERE (rid, s) IN (SELECT (rid, s) FROM win GROUP BY rid, s HAVING count(*) > 1)),
+ cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest(generate_series(0, {Q.WINDOW - 1})) AS j) GROUP BY rid),
+ c AS (SELECT w.rid, doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
+ b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PCT} * n_words AS base_failed FROM c),
+ r AS (SELECT *, base_failed OR 100 * n_symbols > {Q.MAX_SYMBOLS_PER_100_WORDS} * n_words OR 100 * n_dup_lines > {Q.MAX_DUP_LINE_PCT} * n_lines OR word_chars < {Q.MIN_MEAN_WORD} * n_words OR word_chars > {Q.MAX_MEAN_WORD} * n_words AS failed FROM b),
+ h AS (SELECT coalesce(host, '') AS k, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM r GROUP BY 1), mv AS (SELECT greatest(0.001, least(0.999, avg(f / n))) AS m, var_pop(f / n) AS v FROM h),
+ p AS (SELECT m, m * (1 - m) / greatest(1e-6, least(v, m * (1 - m) * 0.5)) - 1 AS s FROM mv), hv AS (SELECT k, (f + m * s) / (n + m * s + (1 - m) * s) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate <= {Q.MAX_HOST_FAIL_RATE} AS kept, host, round(rate, 6) AS host_fail_rate FROM r JOIN hv ON coalesce(host, '') = k"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": _QUALITY}
