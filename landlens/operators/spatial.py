@@ -180,3 +180,139 @@ def contour_segments(cells: DataFrame, levels) -> DataFrame:
     ends = F.when(c.isin(1, 14), F.array(seg(left, bottom))).when(c.isin(2, 13), F.array(seg(bottom, right))).when(c.isin(3, 12), F.array(seg(left, right))).when(c.isin(4, 11), F.array(seg(top, right))).when(c.isin(6, 9), F.array(seg(top, bottom))).when(c.isin(7, 8), F.array(seg(left, top)))
     ends = F.when(c == 5, F.array(seg(left, top), seg(bottom, right))).when(c == 10, F.array(seg(left, bottom), seg(top, right))).otherwise(ends)
     return q.select("raster_id", "level", "row", "col", F.explode(ends).alias("s")).select("raster_id", "level", "row", "col", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
+# -- buildings, georeferencing ---------------------------------------------------------------------------------------------
+def building_mask(buildings: DataFrame, margin: float = 1.5, cell: float = 1.0) -> DataFrame:
+    """Cells ``(building, cx, cy)`` whose centre lies in a building's ring or within ``margin`` of it."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    span = lambda v: F.sequence(F.floor((F.array_min(v) - margin) / cell), F.floor((F.array_max(v) + margin) / cell))
+    c = buildings.select("building", "ring", F.explode(span(xs)).alias("cx")).select("*", F.explode(span(F.transform("ring", lambda p: p["y"]))).alias("cy"))
+    x, y = (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell
+    return c.where(G.in_ring(x, y, F.col("ring")) | (G.distance_to_ring(x, y, F.col("ring")) <= margin)).select("building", "cx", "cy")
+
+
+def building_components(cells: DataFrame, checkpoint, max_rounds: int = 64) -> DataFrame:
+    """8-connected components of building cells ``(raster_id, row, col, v)``: every cell with the smallest cell number it reaches.
+
+    Each round a cell takes the least label of its neighbourhood and then the label of that label's cell (pointer
+    jumping), so the rounds grow with the logarithm of a component's width. ``checkpoint`` cuts the lineage."""
+    number = F.col("row") * 1_000_000 + F.col("col")
+    cur = checkpoint(cells.select("raster_id", "row", "col", "v", number.alias("n"), number.alias("label")))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    for _ in range(max_rounds):
+        sent = cur.select("raster_id", "label", F.explode(around).alias("d"), "row", "col").select("raster_id", (F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col"), "label")
+        low = sent.groupBy("raster_id", "row", "col").agg(F.min("label").alias("low"))
+        near = cur.join(low, ["raster_id", "row", "col"])
+        jump = near.select("raster_id", F.col("n").alias("label"), F.col("low").alias("next")).groupBy("raster_id", "label").agg(F.min("next").alias("next"))
+        step = near.join(jump.withColumnRenamed("label", "low"), ["raster_id", "low"], "left")
+        new = checkpoint(step.select("raster_id", "row", "col", "v", "n", F.least("low", F.coalesce("next", "low")).alias("label"), F.col("label").alias("was")))
+        moved = new.where("label <> was").limit(1).count()
+        cur = new.drop("was")
+        if not moved:
+            return cur
+    raise RuntimeError("building components did not converge")
+
+
+def building_shapes(labelled: DataFrame, cell_area: float) -> DataFrame:
+    """Per component: area, eave (20th percentile), ridge (95th), mean height, volume and size of its box."""
+    v = F.sort_array(F.collect_list("v"))
+    rank = lambda q: F.element_at(v, (F.floor((F.count("v") - 1) * q + 0.5) + 1).cast("int"))
+    area = F.count("*") * cell_area
+    return labelled.groupBy("raster_id", "label").agg(F.count("*").alias("cells"), area.alias("area"), rank(0.2).alias("eave"), rank(0.95).alias("ridge"), F.avg("v").alias("mean"), (F.avg("v") * area).alias("volume"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"))
+
+
+def affine_ransac(pairs: DataFrame, trials: int = 2000, seed: int = 17, wide: float = 15.0, narrow: float = 10.0) -> DataFrame:
+    """Affine map from drawing to ground by the best of ``trials`` fits of three random pairs, refitted on its inliers.
+
+    ``pairs(px, py, gx, gy)`` are control points: a few hundred at most by their kind, so they are broadcast; the
+    trials run in parallel, the first best wins."""
+    import numpy as np
+
+    spark = pairs.sparkSession
+    limit = 100_000
+    pts = np.array([tuple(r) for r in pairs.select("px", "py", "gx", "gy").limit(limit + 1).collect()], dtype=float)
+    if len(pts) > limit:
+        raise ValueError("more control points than the method is made for")
+    held = spark.sparkContext.broadcast(pts)
+
+    def run(batches):
+        import pandas as pd
+
+        p = held.value
+        full = np.column_stack((p[:, 0], p[:, 1], np.ones(len(p))))
+        for b in batches:
+            rows = []
+            for t in b["id"]:
+                pick = np.random.default_rng((seed, int(t))).choice(len(p), 3, replace=False)
+                try:
+                    m = np.linalg.solve(full[pick], p[pick, 2:])
+                except np.linalg.LinAlgError:
+                    continue
+                rows.append((int(t), int((np.hypot(*(full @ m - p[:, 2:]).T) < wide).sum()), m.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["trial", "inliers", "m"])
+
+    tried = spark.range(trials).mapInPandas(run, "trial long, inliers long, m array<double>")
+    best = tried.agg(F.max_by(F.struct("m", "inliers"), F.struct("inliers", -F.col("trial"))).alias("b")).first().b
+    full = np.column_stack((pts[:, 0], pts[:, 1], np.ones(len(pts))))
+    m = np.array(best.m).reshape(3, 2)
+    for _ in range(5):
+        near = np.hypot(*(full @ m - pts[:, 2:]).T) < narrow
+        if near.sum() < 3:
+            break
+        m = np.linalg.lstsq(full[near], pts[near, 2:], rcond=None)[0]
+    err = np.hypot(*(full @ m - pts[:, 2:]).T)
+    err = err[err < narrow]
+    scale, turn = float(np.hypot(m[0, 0], m[0, 1])), float(np.degrees(np.arctan2(m[0, 1], m[0, 0])))
+    row = (len(err), float(np.median(err)), float(np.sqrt((err**2).mean())), float(err.max()), scale, turn)
+    return spark.createDataFrame([row], "kept long, median double, rms double, worst double, scale double, rotation double")
+
+
+def chain_segments(segments: DataFrame) -> DataFrame:
+    """Segments of one (raster, level, component) that share ends, as lines of three points or more, in a helper per group."""
+
+    def run(g):
+        import pandas as pd
+
+        ends: dict = {}
+        for k, (ax, ay, bx, by) in enumerate(zip(g.ax, g.ay, g.bx, g.by)):
+            for p in ((round(ax, 6), round(ay, 6)), (round(bx, 6), round(by, 6))):
+                ends.setdefault(p, []).append(k)
+        seg = [((round(a, 6), round(b, 6)), (round(c, 6), round(d, 6))) for a, b, c, d in zip(g.ax, g.ay, g.bx, g.by)]
+        used, out = set(), []
+        for start in sorted(ends, key=lambda p: (len(ends[p]) % 2 == 0, p)):
+            for first in ends[start]:
+                if first in used:
+                    continue
+                line, at, k = [start], start, first
+                while k is not None:
+                    used.add(k)
+                    at = seg[k][1] if seg[k][0] == at else seg[k][0]
+                    line.append(at)
+                    k = next((j for j in ends[at] if j not in used), None)
+                if len(line) >= 3:
+                    out.append((int(g.raster_id.iloc[0]), float(g.level.iloc[0]), int(g.part.iloc[0]), len(out), len(line), line[0] == line[-1]))
+        return pd.DataFrame(out, columns=["raster_id", "level", "part", "line", "n", "closed"])
+
+    return segments.groupBy("raster_id", "level", "part").applyInPandas(run, "raster_id long, level double, part long, line long, n long, closed boolean")
+
+
+def resample(cells: DataFrame, rows: int, cols: int, factor: float) -> DataFrame:
+    """The raster on another grid, ``factor`` cells apart, bilinear, void cells filled with the raster's median first, as decimetres."""
+    mid = cells.groupBy("raster_id").agg(F.median("v").alias("mid"))
+    filled = cells.join(mid, "raster_id").select("raster_id", "row", "col", F.coalesce("v", "mid").alias("v"))
+    grid = mid.select("raster_id", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
+    at = grid.select(F.concat_ws("/", "raster_id", "r", "c").alias("id"), "raster_id", "r", "c", (F.col("r") * factor).alias("row"), (F.col("c") * factor).alias("col"))
+    got = sample(at, filled)
+    return got.select("raster_id", F.col("r").alias("row"), F.col("c").alias("col"), G.to_decimetres(F.col("value")).alias("dm"))
+
+
+def sample_viewer(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """As ``sample``, but with fewer than four valid neighbours the first valid one counts; outside: null."""
+    r0, c0 = F.floor("row"), F.floor("col")
+    fr, fc = F.col("row") - r0, F.col("col") - c0
+    corner = lambda k, i, j: F.struct(F.lit(k).alias("k"), (r0 + i).alias("row"), (c0 + j).alias("col"), ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("w"))
+    spread = points.select("id", "raster_id", F.explode(F.array(corner(0, 0, 0), corner(1, 0, 1), corner(2, 1, 0), corner(3, 1, 1))).alias("c")).select("id", "raster_id", "c.*")
+    j = spread.join(cells.where("v is not null"), ["raster_id", "row", "col"])
+    got = j.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.min_by("v", "k").alias("first"))
+    return points.join(got.select("id", F.when(F.col("n") == 4, F.col("s")).otherwise(F.col("first")).alias("value")), "id", "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import incremental, ledger, monitor, spatial, text
+from . import incremental, layout, ledger, monitor, spatial, text
 
-MODULES = [text, monitor, ledger, spatial, incremental]
+MODULES = [text, monitor, ledger, spatial, layout, incremental]
 
 
 def queries():
