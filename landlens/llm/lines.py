@@ -110,49 +110,34 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("text").mapInArrow(run, "key long, h long")
 
 
-def candidate_buckets(bands: DataFrame) -> DataFrame:
-    """``members``: distinct lines of each band with two or more, split into pairs of parts when many."""
+def candidate_pairs(bands: DataFrame) -> DataFrame:
+    """``key, a, b``: in each band bucket, its smallest line ``a`` with every other one."""
 
     def run(batches):
         import pyarrow as pa
 
-        def parts(h):
-            if len(h) <= 2 * PART:
-                return [h.tolist()]
-            cut = [h[i : i + PART] for i in range(0, len(h), PART)]
-            return [np.concatenate((p, q)).tolist() for i, p in enumerate(cut) for q in cut[i + 1 :]]
+        def rows(k, members):
+            members = np.unique(members)
+            n = len(members) - 1
+            return np.full(n, k, np.int64), np.full(n, members[0], np.int64), members[1:]
 
-        key, held = None, []
+        key, held = None, np.empty(0, np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             k, h = np.array(b.column(0)), np.array(b.column(1))
+            if key is not None:  # the open bucket of the batch before comes first
+                k, h = np.concatenate((np.full(len(held), key, np.int64), k)), np.concatenate((held, h))
             edges = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
-            out = []
-            if key is not None and k[0] != key and len(held) > 1:
-                out += parts(np.unique(np.array(held, np.int64)))
-            if key is None or k[0] != key:
-                held = []
             sizes = np.diff(edges)
-            for n in np.flatnonzero(sizes > 1) if len(sizes) > 2 else []:
-                if 0 < n < len(sizes) - 1:
-                    m = np.unique(h[edges[n] : edges[n + 1]])
-                    if len(m) > 1:
-                        out += parts(m)
-            if len(sizes) == 1:
-                held = np.unique(np.concatenate((np.array(held, np.int64), h)))
-            else:
-                first = np.unique(np.concatenate((np.array(held, np.int64), h[: edges[1]])))
-                if len(first) > 1:
-                    out += parts(first)
-                held = np.unique(h[edges[-2] :])
-            key = k[-1]
+            out = [rows(k[edges[n]], h[edges[n] : edges[n + 1]]) for n in np.flatnonzero(sizes[:-1] > 1)]
+            key, held = k[-1], np.unique(h[edges[-2] :])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["members"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "a", "b"])
         if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(parts(np.unique(np.array(held, np.int64))), pa.list_(pa.int64()))], names=["members"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows(key, held)], names=["key", "a", "b"])
 
-    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "members array<long>").distinct()
+    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -161,8 +146,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def verified_pairs(pairs: DataFrame) -> DataFrame:
+    """``a, b`` of the rows of ``pairs(a, b, line_a, line_b)`` whose exact Jaccard similarity is high enough."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep, last, own = [], None, None
+            for la, lb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if la != last:
+                    last, own = la, np.unique(shingles(la.encode("utf-8")))
+                other = np.unique(shingles(lb.encode("utf-8")))
+                small, large = sorted((len(own), len(other)))
+                keep.append(small >= SIMILARITY * large and jaccard(own, other) >= SIMILARITY)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
+
+
 def verified_links(blocks: DataFrame) -> DataFrame:
-    """``a, b``: a spanning forest of the pairs of each block whose exact Jaccard similarity is high enough."""
+    """``a, b``: components of each block of ``items(comp, line)`` that a pair of similar lines joins, by a spanning forest."""
 
     def run(batches):
         import pyarrow as pa
@@ -171,14 +175,16 @@ def verified_links(blocks: DataFrame) -> DataFrame:
             a, b = [], []
             for items in batch.column(0).to_pylist():
                 sets = [np.unique(shingles(x["line"].encode("utf-8"))) for x in items]
-                forest = Forest(len(items))
+                places = {c: i for i, c in enumerate(dict.fromkeys(x["comp"] for x in items))}
+                names, own = list(places), [places[x["comp"]] for x in items]
+                forest = Forest(len(names))
                 for i in range(len(items)):
                     for j in range(i + 1, len(items)):
                         small, large = sorted((len(sets[i]), len(sets[j])))
-                        if small >= SIMILARITY * large and forest.root(i) != forest.root(j) and jaccard(sets[i], sets[j]) >= SIMILARITY:
-                            forest.join(i, j)
-                            a.append(items[i]["h"])
-                            b.append(items[j]["h"])
+                        if small >= SIMILARITY * large and forest.root(own[i]) != forest.root(own[j]) and jaccard(sets[i], sets[j]) >= SIMILARITY:
+                            forest.join(own[i], own[j])
+                            a.append(names[own[i]])
+                            b.append(names[own[j]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
@@ -189,22 +195,49 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def fuzzy_links(docs: DataFrame, occ: DataFrame) -> DataFrame:
-    """Verified links between different lines, as hashes of the lines."""
-    buckets = checkpoint(candidate_buckets(band_rows(docs)))
-    members = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("h"))
-    wanted = occ.join(members.select("h").distinct(), "h").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    per_doc = checkpoint(wanted.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line_no").alias("line_nos")))
+def line_texts(docs: DataFrame, occ: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h, line`` of the wanted lines, each read from the first document that holds it."""
+    first = occ.join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    per_doc = checkpoint(first.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line_no").alias("line_nos")))
     found = docs.where("text is not null").join(_small(per_doc), "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("line_nos").alias("n"))
-    texts = found.select(F.element_at("lines", F.col("n") + 1).alias("line")).select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.min("line").alias("line"))
-    blocks = members.join(texts, "h").groupBy("bucket").agg(F.collect_list(F.struct("h", "line")).alias("items")).where(F.size("items") > 1)
-    return verified_links(blocks.select("items"))
+    return found.select(F.element_at("lines", F.col("n") + 1).alias("line")).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"])
+
+
+def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
+    """``node, component`` of all lines (as hashes) with a verified link to another.
+
+    First every bucket's smallest line is compared with the others, each pair once however many bands it shares.
+    In buckets where that leaves more than one component, all lines of different components are then compared in
+    blocks of two parts, so no link between lines of a bucket is lost, and a group of many near copies costs
+    one comparison a line and not all its pairs.
+    """
+    near = checkpoint(candidate_pairs(band_rows(docs)))
+    pairs = near.select("a", "b").distinct()
+    texts = checkpoint(line_texts(docs, occ, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()))
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
+    first = components(verified_pairs(pairs.join(side("a"), "a").join(side("b"), "b")))
+
+    name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    named = near.join(name("a"), "a", "left").join(name("b"), "b", "left").select("key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    split = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("ca") != F.col("cb")).alias("apart")).where("n > 1 and apart > 0").select("key", "n")
+    left = named.join(split, "key").select("key", "n", F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("h"), F.col("cb").alias("comp")))).alias("m")).select("key", "n", "m.h", "m.comp").distinct()
+    left = left.withColumn("parts", F.ceil((F.col("n") + 1) / (2 * PART)).cast("int")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    left = left.select("key", "h", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    items = F.collect_list(F.struct("comp", "line")).alias("items")
+    blocks = left.join(texts, "h").groupBy("key", F.least("own", "other"), F.greatest("own", "other")).agg(items, F.countDistinct("comp").alias("n")).where("n > 1")
+    more = checkpoint(verified_links(blocks.select("items")))
+    if more.isEmpty():
+        return first
+    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+    moved = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return moved.unionByName(alone)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, dropped`` (line numbers from 0) of ``docs(doc_id, text)``, for documents that lose a line."""
     occ = checkpoint(occurrences(docs))
-    comp = components(fuzzy_links(docs, occ))
+    comp = checkpoint(line_components(docs, occ))
     tagged = occ.join(comp, occ.h == comp.node, "left").select("doc_id", "line_no", F.coalesce("component", "h").alias("grp"))
     firsts = tagged.groupBy("grp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = tagged.join(firsts, "grp").where(F.struct("doc_id", "line_no") != F.col("first"))
