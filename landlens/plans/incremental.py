@@ -41,6 +41,54 @@ def src_news_rss(spark, sf_dir):
     return files.parse_news_feeds(o.select(F.col("o_orderkey").alias("seq"), raw.alias("raw"))).select("seq", "title", "source", "date", "desc")
 
 
+@C.add("SELECT o_orderkey AS seq, CASE WHEN k = 1 THEN 'infolist' ELSE 'orginl' END AS kind, CASE WHEN k = 1 THEN 'N' || o_custkey ELSE 'P' || o_orderkey END AS id FROM orders, (VALUES (1), (2)) v(k)")
+def src_nested_store(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    one = lambda p, c: F.array(F.struct(F.concat(F.lit(p), F.col(c).cast("string")).alias("id")))
+    raw = F.to_json(F.struct(F.lit("x").alias("updated"), F.struct(one("N", "o_custkey").alias("infolist"), one("P", "o_orderkey").alias("orginl")).alias("items")))
+    return files.parse_nested_store(o.select(F.col("o_orderkey").alias("seq"), raw.alias("raw")), "raw", "id string", ("infolist", "orginl"))
+
+
+@C.add("SELECT s_suppkey AS id, s_name AS use, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n_polys, (s_suppkey % 100)::DOUBLE AS x0 FROM supplier")
+def src_geojson(spark, sf_dir):
+    k = F.col("s_suppkey")
+    ring = F.concat(F.lit("[[["), (k % 100).cast("string"), F.lit(",0],[200,0],[200,9]]]"))
+    geometry = F.when(k % 2 == 0, F.concat(F.lit('{"type":"Polygon","coordinates":'), ring, F.lit("}"))).otherwise(F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), ring, F.lit(","), ring, F.lit("]}")))
+    raw = F.concat(F.lit('{"type":"FeatureCollection","features":[{"properties":{"use":"'), "s_name", F.lit('"},"geometry":'), geometry, F.lit("}]}"))
+    g = files.parse_geojson(table(spark, sf_dir, "supplier").select(k.alias("id"), raw.alias("raw")), "raw", "use string")
+    return g.select("id", "use", F.size("polys").cast("long").alias("n_polys"), F.col("polys")[0][0][0][0].alias("x0"))
+
+
+@C.add("SELECT c_custkey AS id, c_name AS label, 37.0 + (c_custkey % 8) / 8.0 AS lat, 127.0 + (c_custkey % 4) / 4.0 AS lng, CASE WHEN c_custkey % 3 = 0 THEN 'a, \"b\"' ELSE c_mktsegment END AS note FROM customer")
+def src_csv_points(spark, sf_dir):
+    k = F.col("c_custkey")
+    note = F.when(k % 3 == 0, 'a, "b"').otherwise(F.col("c_mktsegment"))
+    line = files.csv_line([F.col("c_name"), (37.0 + (k % 8) / 8.0).alias("lat"), (127.0 + (k % 4) / 4.0).alias("lng"), note.alias("note")], {})
+    return files.parse_points_csv(table(spark, sf_dir, "customer").select(k.alias("id"), line.alias("raw")), "raw")
+
+
+@C.add("SELECT c_custkey AS id, '\"' || c_name || '\",\"' || CASE WHEN c_custkey % 2 = 0 THEN 'say \"\"hi\"\"' ELSE c_mktsegment END || '\"' AS line FROM customer")
+def sink_csv_quoted(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 2 == 0, 'say "hi"').otherwise(F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), files.csv_line([F.col("c_name"), text.alias("text")], files.QUOTED).alias("line"))
+
+
+@C.add("SELECT c_custkey AS id, c_name || ',' || CASE WHEN c_custkey % 2 = 0 THEN '\"a' || chr(10) || c_mktsegment || '\"' ELSE c_mktsegment END AS line FROM customer")
+def sink_csv_minimal(spark, sf_dir):
+    lists = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a"), "c_mktsegment")).otherwise(F.array("c_mktsegment"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", lists.alias("lines"))
+    _, name, lines = files.joined_lists(c)
+    return c.select(F.col("c_custkey").alias("id"), files.csv_line([name, lines], files.MINIMAL).alias("line"))
+
+
+@C.add(f"WITH {NEWS_SQL} SELECT query, count(*) AS total, count(*) FILTER (WHERE source <> '') AS with_source FROM news GROUP BY query")
+def sink_json_snapshot(spark, sf_dir):
+    """Rows of a snapshot as JSON lines, read back and counted as its meta file does."""
+    lines = news_items(spark, sf_dir).select(F.to_json(F.struct("query", "source", "seq")).alias("line"))
+    back = lines.select(F.from_json("line", "query string, source string, seq long").alias("r")).select("r.*")
+    return back.groupBy("query").agg(F.count("*").alias("total"), F.count_if(F.col("source") != "").alias("with_source"))
+
+
 @C.add(f"WITH {ROWS_SQL} SELECT sheet, count(*) AS n FROM (SELECT 'ledger' AS sheet FROM recs UNION ALL SELECT 'open' FROM recs WHERE status IN ('미반영', '미기재', '미회신') OR again = 'Y' UNION ALL SELECT 'by_dept' FROM (SELECT DISTINCT grp, org, dept FROM recs)) GROUP BY sheet")
 def sink_ledger_sheets(spark, sf_dir):
     r = rows(spark, sf_dir)

@@ -164,6 +164,11 @@ def ring_area(spark, sf_dir):
     return obstacles(spark, sf_dir).select("obstacle", R(G.ring_area(F.col("ring"))).alias("area"), R(G.ring_perimeter(F.col("ring"))).alias("perimeter"))
 
 
+@C.add(f"WITH {OBST_SQL} SELECT obstacle, round(8 * r, 6) AS perimeter FROM obs")
+def ring_perimeter(spark, sf_dir):
+    return obstacles(spark, sf_dir).select("obstacle", R(G.ring_perimeter(F.col("ring"))).alias("perimeter"))
+
+
 @C.add("SELECT c_custkey AS id, round((4 - 1) * 1e-6 * 111132.95 * 111320.0 * cos(radians(37.0 + (c_custkey % 10) / 10.0)), 1) AS area FROM customer")
 def geom_area_holes(spark, sf_dir):
     lat = 37.0 + (F.col("c_custkey") % 10) / 10.0

@@ -8,27 +8,38 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import feed_when, split_title, strip_html, strip_html_spaced
 
-ENTRY = "array<struct<text:string,iso:string,href:string>>"
-
-
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON arrays of objects, absent fields null."""
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
+def _kinds_of(items, item: str, kinds: tuple[str, ...]):
+    """The rows of all kinds of a store's ``items``, each with its kind."""
+
+    def marked(kind: str):
+        rows = F.coalesce(items[kind], F.array().cast(f"array<struct<{item}>>"))
+        return F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("r")))
+
+    return F.flatten(F.array(*[marked(k) for k in kinds]))
+
+
+def _items_ddl(item: str, kinds: tuple[str, ...]) -> str:
+    return ",".join(f"{k}:array<struct<{item}>>" for k in kinds)
+
+
 def read_nested_store(spark: SparkSession, path: str, item: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """``{"posts": [...]}`` stores, or ``{"items": {kind: [...]}}`` stores with a ``kind`` column; ``item`` is the DDL of a row."""
     if kinds is None:
         return spark.read.option("multiLine", True).schema(f"posts array<struct<{item}>>").json(path).select(F.inline("posts"))
-    kinds_ddl = ",".join(f"{k}:array<struct<{item}>>" for k in kinds)
-    store = spark.read.option("multiLine", True).schema(f"items struct<{kinds_ddl}>").json(path)
+    store = spark.read.option("multiLine", True).schema(f"items struct<{_items_ddl(item, kinds)}>").json(path)
+    return store.select(F.explode(_kinds_of(F.col("items"), item, kinds)).alias("p")).select("p.kind", "p.r.*")
 
-    def marked(kind: str):
-        rows = F.coalesce(F.col(f"items.{kind}"), F.array().cast(f"array<struct<{item}>>"))
-        return F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("r")))
 
-    parts = F.flatten(F.array(*[marked(k) for k in kinds]))
-    return store.select(F.explode(parts).alias("p")).select("p.kind", "p.r.*")
+def parse_nested_store(stores: DataFrame, raw: str, item: str, kinds: tuple[str, ...]) -> DataFrame:
+    """The same from a column of captured stores, other columns kept."""
+    rest = [c for c in stores.columns if c != raw]
+    parsed = F.from_json(F.col(raw), f"items struct<{_items_ddl(item, kinds)}>")["items"]
+    return stores.select(*rest, parsed.alias("items")).select(*rest, F.explode(_kinds_of(F.col("items"), item, kinds)).alias("p")).select(*rest, "p.kind", "p.r.*")
 
 
 def parse_feeds(payloads: DataFrame, raw: str = "raw") -> DataFrame:
@@ -54,18 +65,48 @@ def parse_news_feeds(payloads: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.select(*rest, "pos", title.alias("title"), F.col("i.link").alias("link"), source.alias("source"), rfc822_date(F.col("i.pubDate")).alias("date"), strip_html(F.col("i.description")).alias("desc"))
 
 
+def _features(properties: str) -> str:
+    return f"features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
+
+
+def _polygons(geometry):
+    ring = "array<array<array<double>>>"
+    return F.when(geometry["type"] == "MultiPolygon", F.from_json(geometry["coordinates"], f"array<{ring}>")).when(geometry["type"] == "Polygon", F.array(F.from_json(geometry["coordinates"], ring)))
+
+
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """One row a feature: its properties and its polygons as poly -> ring -> [x, y]; a Polygon counts as one polygon."""
-    schema = f"features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.posexplode("features").alias("feature_id", "f"))
-    ring = "array<array<array<double>>>"
-    g = F.col("f.geometry")
-    polys = F.when(g["type"] == "MultiPolygon", F.from_json(g["coordinates"], f"array<{ring}>")).when(g["type"] == "Polygon", F.array(F.from_json(g["coordinates"], ring)))
-    return rows.select("feature_id", "f.properties.*", polys.alias("polys"))
+    rows = spark.read.option("multiLine", True).schema(_features(properties)).json(path).select(F.posexplode("features").alias("feature_id", "f"))
+    return rows.select("feature_id", "f.properties.*", _polygons(F.col("f.geometry")).alias("polys"))
+
+
+def parse_geojson(collections: DataFrame, raw: str, properties: str) -> DataFrame:
+    """The same from a column of captured collections, other columns kept."""
+    rest = [c for c in collections.columns if c != raw]
+    rows = collections.select(*rest, F.posexplode(F.from_json(F.col(raw), _features(properties))["features"]).alias("feature_id", "f"))
+    return rows.select(*rest, "feature_id", "f.properties.*", _polygons(F.col("f.geometry")).alias("polys"))
+
+
+POINTS = "label string, lat double, lng double, note string"
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema("label string, lat double, lng double, note string").csv(path)
+    return spark.read.option("header", True).schema(POINTS).csv(path)
+
+
+def parse_points_csv(lines: DataFrame, raw: str) -> DataFrame:
+    rest = [c for c in lines.columns if c != raw]
+    return lines.select(*rest, F.from_csv(F.col(raw), POINTS).alias("p")).select(*rest, "p.*")
+
+
+#: Options of the two CSV forms.
+QUOTED = {"quoteAll": "true", "escape": '"'}
+MINIMAL = {"escape": '"'}
+
+
+def csv_line(columns, options: dict):
+    """One row as it stands in the file."""
+    return F.to_csv(F.struct(*columns), options)
 
 
 def write_snapshot(rows: DataFrame, path: str, updated: str) -> None:
@@ -82,13 +123,17 @@ def status(rows: DataFrame, key: str, title: str, updated: str, metrics: dict[st
 
 def write_csv_quoted(rows: DataFrame, path: str) -> None:
     """All fields quoted, quotes doubled, CRLF line ends."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+    rows.write.mode("overwrite").option("header", True).options(**QUOTED).option("lineSep", "\r\n").csv(path)
 
 
 def write_csv_minimal(rows: DataFrame, path: str) -> None:
     """Quotes only where needed; list cells become lines."""
-    cells = [F.array_join(c, "\n").alias(c) if t.startswith("array<string") else F.col(c) for c, t in rows.dtypes]
-    rows.select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.select(*joined_lists(rows)).write.mode("overwrite").option("header", True).options(**MINIMAL).csv(path)
+
+
+def joined_lists(rows: DataFrame) -> list:
+    """The columns of ``rows``, lists of strings as lines of one cell."""
+    return [F.array_join(c, "\n").alias(c) if t.startswith("array<string") else F.col(c) for c, t in rows.dtypes]
 
 
 def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
