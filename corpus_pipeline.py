@@ -26,8 +26,11 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour classifier does not reject."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    score, predicted = "_score", "_predicted"
+    while {score, predicted} & set(docs.columns):
+        score, predicted = f"_{score}", f"_{predicted}"
+    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_as=score, predicted_as=predicted)
+    return scored.where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,7 +103,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     train = labels.where("quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     pick = lambda q: train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("_id"), "quality")
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "quality")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -120,14 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(counts, np.array([r[1] for r in rows]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.3) appended to every row.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_as: str = "score", predicted_as: str = "predicted") -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 if score >= 0.3) appended to every row; input columns of those names give way.
 
     Labels, language, source and id never enter a score. Null and empty texts score 0; without labelled rows
     every score is 0; repeated rows score alike; an empty table gives an empty one.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
-
+    docs = docs.drop(score_as, predicted_as)
     names = docs.columns
     at = names.index(text_col)
 
@@ -141,15 +142,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 scores.append(model.value.score(counts))
             score = np.concatenate(scores) if scores else np.zeros(0)
             extra = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, score_as, predicted_as])
 
-    clash = [c for c in names if c in ("score", "predicted")]
-    if clash:
-        raise ValueError(f"columns that would clash with the result: {clash}")
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     fields = [StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return docs.mapInArrow(run, StructType([*fields, StructField(score_as, DoubleType()), StructField(predicted_as, IntegerType())]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -152,6 +152,20 @@ def test_deep_and_long_pages():
     assert len(main_text(f"<article><p>{'word, ' * 200000}</p></article>")) > 1_000_000
 
 
+def test_pipeline_keeps_odd_columns_and_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    extra = "doc_id long, text string, lang string, source string, n_chars long, quality int, score string, predicted int, spans string, fp long, line string, _score int, base string"
+    long = "a clean line of words about rivers and hills that nobody has written before this one"
+    rows = [(1, long, None, None, None), (1, long, None, None, None), (2, None, "en", "s", 3), (3, "", "en", "s", 0), (None, long + " again", "en", "s", 1), (4, "mail a.b@c.example.com " + long[::-1], "en", "s", 1), (5, "word " * 50_000, "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, 1, "x", 0, "y", 7, "z", 2, "b") for r in rows], extra)
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            frame = stage(spark, frame, sf_dir).cache()
+            assert name == "packing" or frame.columns == docs.columns
+            frame.count()
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
