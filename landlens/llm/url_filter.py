@@ -22,6 +22,7 @@ BLOCK_WORDS = ("ad", "ads", "adult", "bet", "bets", "betting", "bonus", "casino"
 COMMON_WORDS = ("archive", "art", "blog", "book", "books", "city", "data", "docs", "edu", "forum", "garden", "guide", "health", "help", "history", "home", "journal", "lab", "library", "mail", "map", "maps", "media", "museum", "music", "news", "open", "page", "pages", "park", "photo", "press", "school", "science", "shop", "sport", "store", "times", "town", "travel", "university", "weather", "wiki", "world")
 #: Words whose presence in a host labels a row as unwanted even when joined to others.
 SEEDS = ("adult", "ads", "bets", "casino", "gambling", "jackpot", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
+SEED_WEIGHT = 6.0
 IGNORED_LABELS = ("www", "m", "com", "net", "org", "example")
 
 MAX_VOCABULARY = 50_000
@@ -158,6 +159,8 @@ def fit(pages: DataFrame) -> UrlModel:
     model.weights = {t: log((b + 1) / (bad_all + v)) - log((g + 1) / (good_all + v)) for t, (b, g) in table.items()}
     for w in BLOCK_WORDS:  # a fixed word never seen keeps a mild vote
         model.weights.setdefault("h:" + w, 2.0)
+    for w in SEEDS:  # the labelling words weigh at least this much, also where few rows hold them
+        model.weights["h:" + w] = max(model.weights.get("h:" + w, 0.0), SEED_WEIGHT)
     model.prior = log((bad_docs + 1) / (good_docs + 1))
     return model
 
