@@ -38,6 +38,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most 8 MB from here on, so that a worker's memory does not follow the rows' width.
+
+    Set for the session, as Spark reads the setting when a plan runs; a user's own smaller value stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)):
+        now = str(conf.get(key)).lower().rstrip("b")
+        if not now.isdigit() or int(now) > most or int(now) == 0:
+            conf.set(key, str(most))
+    return df
+
+
 def words_column(text):
     """Array of the words of ``text`` (runs free of ASCII white space); null or blank: empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

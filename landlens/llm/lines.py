@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Forest, checkpoint, components
+from .common import Forest, SPACE, checkpoint, components, small_batches
 
 #: Parameters: wanted similarity, bands and rows a band, least characters of a line that takes part.
 SIMILARITY = 0.8
@@ -107,7 +107,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
                 keys = band_keys(lines)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h, BANDS))], names=["key", "h"])
 
-    return docs.where("doc_id is not null and text is not null").select("text").mapInArrow(run, "key long, h long")
+    return small_batches(docs).where("doc_id is not null and text is not null").select("text").mapInArrow(run, "key long, h long")
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
@@ -175,16 +175,22 @@ def verified_links(blocks: DataFrame) -> DataFrame:
             a, b = [], []
             for items in batch.column(0).to_pylist():
                 sets = [np.unique(shingles(x["line"].encode("utf-8"))) for x in items]
+                sizes = np.array([len(x) for x in sets])
+                # Shingles numbered within the block: a line's common shingles with all others are one gather and one sum.
+                names, numbered = np.unique(np.concatenate(sets), return_inverse=True)
+                starts, present = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int64)
                 places = {c: i for i, c in enumerate(dict.fromkeys(x["comp"] for x in items))}
-                names, own = list(places), [places[x["comp"]] for x in items]
-                forest = Forest(len(names))
-                for i in range(len(items)):
-                    for j in range(i + 1, len(items)):
-                        small, large = sorted((len(sets[i]), len(sets[j])))
-                        if small >= SIMILARITY * large and forest.root(own[i]) != forest.root(own[j]) and jaccard(sets[i], sets[j]) >= SIMILARITY:
-                            forest.join(own[i], own[j])
-                            a.append(names[own[i]])
-                            b.append(names[own[j]])
+                comps, own = list(places), [places[x["comp"]] for x in items]
+                forest = Forest(len(comps))
+                for i in range(len(items) - 1):
+                    mine = numbered[starts[i] : starts[i] + sizes[i]]
+                    present[mine] = 1
+                    both = np.add.reduceat(present[numbered[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+                    present[mine] = 0
+                    for j in (np.flatnonzero(both / (sizes[i] + sizes[i + 1 :] - both) >= SIMILARITY) + i + 1).tolist():
+                        if forest.join(own[i], own[j]):
+                            a.append(comps[own[i]])
+                            b.append(comps[own[j]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
@@ -215,7 +221,8 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
     pairs = near.select("a", "b").distinct()
     texts = checkpoint(line_texts(docs, occ, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()))
     side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
-    first = components(verified_pairs(pairs.join(side("a"), "a").join(side("b"), "b")))
+    # Joined on ``a`` last, so that rows of one bucket's smallest line come together and its shingles are made once.
+    first = components(verified_pairs(pairs.join(side("b"), "b").join(side("a"), "a")))
 
     name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     named = near.join(name("a"), "a", "left").join(name("b"), "b", "left").select("key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
