@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import small_batches, tokenizer_path
 
 
 def byte_alphabet() -> list[str]:
@@ -308,4 +308,4 @@ def bpe_encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: s
         if ids:
             yield done(ids, texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kind}")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kind}")

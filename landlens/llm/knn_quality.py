@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Parameters: labelled rows a class at most, hashed terms, latent dimensions, voters, decision threshold.
 SAMPLE_PER_CLASS = 1200
 TERMS = 1024
@@ -115,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [term_counts(t).astype(np.float32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "quality", "counts"])
 
-    sample = labelled_sample(docs, labels, id_col, text_col).mapInArrow(run, "doc_id long, quality int, counts binary")
+    sample = labelled_sample(small_batches(docs), labels, id_col, text_col).mapInArrow(run, "doc_id long, quality int, counts binary")
     rows = sorted((r.doc_id, r.quality, bytes(r.counts)) for r in sample.collect())  # bounded: 2 x SAMPLE_PER_CLASS rows of 4 KB
     counts = np.array([np.frombuffer(r[2], np.float32) for r in rows], dtype=np.float64).reshape(len(rows), TERMS)
     return fit(counts, np.array([r[1] for r in rows]))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import small_batches, tokenizer_path
 
 #: Smallest class that takes whole remainders: from here on a bin of k pieces wastes under 1/(k+1).
 FINE_CLASS = 16
@@ -151,4 +151,4 @@ def harmonic_pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capaci
         if last:
             yield rows(last)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields + (", ids array<int>" if with_ids else ""))
