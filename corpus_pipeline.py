@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlens.llm.knn_quality import score_quality
-from landlens.llm.lines import dedup_lines
+from landlens.llm.lines import EVERY_LINE, dedup_lines
 from landlens.llm.packing import harmonic_pack
 from landlens.llm.pii import redact
 from landlens.llm.simhash import simhash_keep_one
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat, exactly or nearly, stay in the first document only; documents left without a word go."""
-    return _measured(dedup_lines(docs))
+    return _measured(dedup_lines(docs, min_chars=EVERY_LINE))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import Forest, SPACE, checkpoint, components, small_batches
 
-#: Parameters: wanted similarity, bands and rows a band, least characters of a line that takes part.
+#: Parameters: wanted similarity, bands and rows a band, least characters of a line that takes part where the caller
+#: of ``dedup_lines`` names none (the queries name EVERY_LINE: all lines with a word).
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
 MIN_CHARS = 20
+EVERY_LINE = 1
 SHINGLE = 8
 #: Lines in one half of a block that is verified together.
 PART = 128
@@ -73,19 +75,21 @@ def _signature_bands(lines: list[bytes]) -> np.ndarray:
     return key.view(np.int64).T
 
 
-def taking_part(line):
-    """Lines with at least MIN_CHARS characters besides outer white space."""
-    return F.length(F.btrim(line, F.lit(SPACE))) >= MIN_CHARS
+def taking_part(line, min_chars: int = MIN_CHARS):
+    """Lines with at least ``min_chars`` characters besides outer white space."""
+    return F.length(F.btrim(line, F.lit(SPACE))) >= min_chars
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, line_no, h`` of all lines that take part, from ``docs(doc_id, text)``."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(taking_part(F.col("line"))).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
+    return lines.where(taking_part(F.col("line"), min_chars)).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """``key, h``: the bands of each line, once for each block of documents that holds it."""
+def band_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``key, h``: the bands of each line, once for each block of documents that holds it.
+
+    Lines under 8 bytes have no window to share and are like equal lines only, which ``h`` tells without bands."""
 
     def run(batches):
         import pyarrow as pa
@@ -98,11 +102,11 @@ def band_rows(docs: DataFrame) -> DataFrame:
                 seen = {}
                 for text in texts[i : i + 2000]:
                     for line in text.split("\n"):
-                        if len(line) >= MIN_CHARS and len(line.strip(strip)) >= MIN_CHARS and line not in seen:
+                        if len(line) >= min_chars and line not in seen and len(line.strip(strip)) >= min_chars:
                             seen[line] = None
-                if not seen:
+                lines = [x for x in (x.encode("utf-8") for x in seen) if len(x) >= SHINGLE]
+                if not lines:
                     continue
-                lines = [x.encode("utf-8") for x in seen]
                 h = np.array([xxhash.xxh64_intdigest(x, 42) for x in lines], np.uint64).view(np.int64)
                 keys = band_keys(lines)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h, BANDS))], names=["key", "h"])
@@ -209,7 +213,7 @@ def line_texts(docs: DataFrame, occ: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select(F.element_at("lines", F.col("n") + 1).alias("line")).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"])
 
 
-def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
+def line_components(docs: DataFrame, occ: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``node, component`` of all lines (as hashes) with a verified link to another.
 
     First every bucket's smallest line is compared with the others, each pair once however many bands it shares.
@@ -217,7 +221,7 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
     blocks of two parts, so no link between lines of a bucket is lost, and a group of many near copies costs
     one comparison a line and not all its pairs.
     """
-    near = checkpoint(candidate_pairs(band_rows(docs)))
+    near = checkpoint(candidate_pairs(band_rows(docs, min_chars)))
     pairs = near.select("a", "b").distinct()
     texts = checkpoint(line_texts(docs, occ, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()))
     side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
@@ -241,25 +245,25 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
     return moved.unionByName(alone)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, dropped`` (line numbers from 0) of ``docs(doc_id, text)``, for documents that lose a line."""
-    occ = checkpoint(occurrences(docs))
-    comp = checkpoint(line_components(docs, occ))
+    occ = checkpoint(occurrences(docs, min_chars))
+    comp = checkpoint(line_components(docs, occ, min_chars))
     tagged = occ.join(comp, occ.h == comp.node, "left").select("doc_id", "line_no", F.coalesce("component", "h").alias("grp"))
     firsts = tagged.groupBy("grp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = tagged.join(firsts, "grp").where(F.struct("doc_id", "line_no") != F.col("first"))
     return checkpoint(later.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("dropped")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``, other columns as they were.
 
-    Lines of fewer than 20 characters never count as repeats. A document that loses lines and has none with a word
+    Lines of fewer than ``min_chars`` characters never count as repeats; with EVERY_LINE only blank ones do not. A document that loses lines and has none with a word
     left goes (or stays with what is left, without ``drop_emptied``). Null texts stay null and empty ones empty; rows
     with a null id are kept unchanged; repeated rows of one id lose the same lines, as if one document.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lost = dropped_lines(known).select(F.col("doc_id").alias("_lost_id"), F.col("dropped").alias("_lost"))
+    lost = dropped_lines(known, min_chars).select(F.col("doc_id").alias("_lost_id"), F.col("dropped").alias("_lost"))
     rows = docs.join(_small(lost), F.col(id_col) == F.col("_lost_id"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
     rows = rows.withColumn(text_col, F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept))
@@ -269,7 +273,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_lines, n_kept, kept_sha256`` (of the text that stays)."""
+    """Per row ``doc_id, n_lines, n_kept, kept_sha256`` (of the text that stays); every line with a word takes part."""
     before = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    after = dedup_lines(before.withColumn("n_lines", F.size(F.split("text", "\n"))), "doc_id", "text", drop_emptied=False)
+    after = dedup_lines(before.withColumn("n_lines", F.size(F.split("text", "\n"))), "doc_id", "text", drop_emptied=False, min_chars=EVERY_LINE)
     return after.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(F.split("text", "\n")).cast("long").alias("n_kept"), F.sha2("text", 256).alias("kept_sha256"))

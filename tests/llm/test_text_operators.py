@@ -270,6 +270,36 @@ def test_fuzzy_lines_edges(spark):
     assert [r.doc_id for r in dedup_lines(many).collect()] == [0]
 
 
+def test_fuzzy_lines_of_any_length(spark, sf_dir, table):
+    import corpus_pipeline
+    from landlens.llm import lines as L
+
+    docs = table.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = sorted((d, n, x) for d, t in texts.items() for n, x in enumerate((t or "").split("\n")) if x.strip(L.SPACE))
+    distinct = sorted({x for _, _, x in rows})
+    sets = [np.unique(L.shingles(x.encode())) for x in distinct]
+
+    def linked(i, j):
+        small, large = sorted((len(sets[i]), len(sets[j])))
+        return small >= L.SIMILARITY * large and L.jaccard(sets[i], sets[j]) >= L.SIMILARITY
+
+    comp = dict(zip(distinct, groups(list(range(len(distinct))), linked)))
+    seen, gone = set(), set()
+    for d, n, x in rows:
+        (gone.add((d, n)) if comp[x] in seen else seen.add(comp[x]))
+    want = {d: hashlib.sha256("\n".join(x for n, x in enumerate((t or "").split("\n")) if (d, n) not in gone).encode()).hexdigest() for d, t in texts.items()}
+    got = {r.doc_id: r.kept_sha256 for r in L.line_report(docs).collect()}
+    assert got.keys() == want.keys() and sum(got[d] != want[d] for d in want) <= 0.002 * len(want)
+
+    # A full copy is emptied also where it holds short lines; blank lines are no repeats.
+    line = "a line of text that is long enough to count as one"
+    rows = [(1, f"{line}\nshort\n\nab"), (2, f"{line}\nshort\n\nab"), (3, "ab\nan own line\n\n \nabc"), (4, "abababababab"), (5, "ababababababab"), (6, "ab\n{}"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, sf_dir).collect()} == {1: rows[0][1], 3: "an own line\n\n \nabc", 4: rows[3][1], 6: "{}", 7: ""}
+    assert {r.doc_id: (r.n_lines, r.n_kept) for r in L.line_report(df).collect()}[3] == (5, 4)
+
+
 def test_signature_is_the_minimum_over_shingles():
     from landlens.llm import lines as L
 
