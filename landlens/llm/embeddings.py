@@ -2,8 +2,9 @@
 
 Vectors of one label are compared. Exact copies are folded first, so the graph has one node for each different
 unit vector. A neighbour graph starts from the leaves of random-projection trees and is refined by joins with the
-neighbours of neighbours; where all neighbours of a node are over the threshold its list is enlarged. Recall is
-audited against brute force, and the edges over the threshold are kept.
+neighbours of neighbours until few lists change; where all neighbours of a node are over the threshold its list is
+enlarged. Recall is audited against brute force, and the edges over the threshold are kept; where the audit finds
+links missing, or no link to judge by, all pairs of each label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ from pyspark.sql import functions as F
 
 from .common import Forest, checkpoint, components
 
-#: Parameters. Neighbours in a list, cosine from which a pair may enter a list, trees, planes a tree at most,
-#: vectors in a leaf, neighbours of one centre compared together, refining rounds, audited queries, wanted recall.
+#: Parameters. Neighbours in a list and in the list of a node with all of them over the threshold, trees, planes a
+#: tree at most, vectors in a leaf, neighbours of one centre and vectors of a label compared together, refining rounds
+#: at most and share of changed list entries that ends them, one vec_id in how many is audited, wanted recall.
 THRESHOLD = 0.98
-RADIUS = 0.9
-NEIGHBOURS = 8
+NEIGHBOURS, ENLARGED = 8, 32
 TREES = 8
 PLANES = 24
 LEAF = 128
 CENTRE_PART = 64
-ROUNDS = 2
-AUDIT_QUERIES = 128
+LABEL_PART = 1024
+MAX_ROUNDS = 6
+FEW_CHANGES = 0.01
+AUDIT_EVERY = 50
+AUDIT_SLICE = 5000
 WANTED_RECALL = 0.999
-MAX_EXTRA_ROUNDS = 3
+MAX_EXTRA_ROUNDS = 1
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -50,6 +54,14 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _blocks(rows: DataFrame, keys: list[str], parts) -> DataFrame:
+    """Blocks of ``items(node, raw)`` in which all pairs of ``rows(*keys, node, raw)`` of one key meet: the rows of a key
+    are dealt into ``parts``, and every two parts make a block."""
+    dealt = rows.withColumn("_parts", parts.cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    dealt = dealt.select(*keys, "node", "raw", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+    return dealt.groupBy(*keys, F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q")).agg(F.collect_list(F.struct("node", "raw")).alias("items"))
+
+
 def _tree_codes(nodes: DataFrame, seed: int) -> DataFrame:
     """Signs of each vector against the planes of each tree, packed, first plane highest."""
 
@@ -77,9 +89,9 @@ def _planes(dims: int, seed: int) -> np.ndarray:
     return _made[dims, seed]
 
 
-def _compare(blocks: DataFrame) -> DataFrame:
-    """``a, b, cos`` (a < b) from blocks of ``items(node, raw)``: each node's nearest within the radius, and a
-    spanning forest of the pairs over the threshold."""
+def _compare(blocks: DataFrame, lists: bool = True) -> DataFrame:
+    """``a, b, cos`` (a < b) from blocks of ``items(node, raw)``: each node's nearest (with ``lists``), whatever
+    their cosine, and a spanning forest of the pairs over the threshold."""
 
     def run(batches):
         import pyarrow as pa
@@ -91,9 +103,11 @@ def _compare(blocks: DataFrame) -> DataFrame:
                 x = _unit(items.values.field("raw").to_pylist())
                 cos = x @ x.T
                 np.fill_diagonal(cos, -2)
-                k = min(NEIGHBOURS, len(ids) - 1)
-                near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-                pairs = {(min(i, j), max(i, j)) for i, row in enumerate(near.tolist()) for j in row if cos[i, j] >= RADIUS}
+                pairs = set()
+                if lists:
+                    k = min(NEIGHBOURS, len(ids) - 1)
+                    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+                    pairs = {(min(i, j), max(i, j)) for i, row in enumerate(near.tolist()) for j in row}
                 forest = Forest(len(ids))
                 for i, j in zip(*np.nonzero(np.triu(cos >= THRESHOLD))):
                     if forest.join(int(i), int(j)):
@@ -109,32 +123,52 @@ def _compare(blocks: DataFrame) -> DataFrame:
 
 
 def tree_leaves(nodes: DataFrame, seed: int) -> DataFrame:
-    """Pairs found inside the leaves. A label of n vectors uses log2(n/LEAF) planes; a leaf over twice that size is dealt into parts."""
+    """Pairs found inside the leaves. A label of n vectors uses log2(n/LEAF) planes; of a leaf over twice that size every two parts meet."""
     depth = F.least(F.lit(PLANES), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LEAF))))).cast("int")
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("n")).select("grp", depth.alias("depth"))
     placed = _tree_codes(nodes, seed).join(sizes, "grp")
     placed = placed.select("node", "grp", "raw", F.posexplode(F.transform("codes", lambda x: F.expr("0L") + F.floor(x / F.pow(F.lit(2.0), F.lit(PLANES) - F.col("depth"))))).alias("tree", "leaf"))
     counts = placed.groupBy("grp", "tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF)
     placed = placed.join(counts, ["grp", "tree", "leaf"], "left")
-    part = F.pmod(F.xxhash64("node", "tree"), F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))).alias("part")
-    return _compare(placed.groupBy("grp", "tree", "leaf", part).agg(F.collect_list(F.struct("node", "raw")).alias("items")))
+    return _compare(_blocks(placed, ["grp", "tree", "leaf"], F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))))
 
 
 def neighbour_lists(pairs: DataFrame) -> DataFrame:
-    """The NEIGHBOURS nearest of each node."""
+    """``node, nbr, cos``: the NEIGHBOURS nearest of each node, and up to ENLARGED where all those are over the threshold."""
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "cos").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("nbr"), "cos"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cos"), "nbr"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).select("node", "nbr")
+    most = F.when(F.col("cos") >= THRESHOLD, ENLARGED).otherwise(NEIGHBOURS)
+    return both.withColumn("rank", rank).where(F.col("rank") <= ENLARGED).where(F.col("rank") <= most).select("node", "nbr", "cos")
 
 
-def refine(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Neighbours of neighbours: what stands in the lists around one centre, both ways, is compared with each other."""
-    lists = neighbour_lists(pairs)
-    around = lists.unionByName(lists.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
+def refine(pairs: DataFrame, lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Neighbours of neighbours: all that stands in the lists around one centre, both ways, is compared with each other."""
+    around = lists.select("node", "nbr").unionByName(lists.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
     sizes = around.groupBy("node").agg(F.count("*").alias("n"))
-    around = around.join(sizes, "node").select(F.col("node").alias("centre"), F.col("nbr").alias("node"), F.pmod(F.xxhash64("nbr"), F.ceil(F.col("n") / CENTRE_PART)).alias("part"))
-    blocks = around.join(nodes.select("node", "raw"), "node").groupBy("centre", "part").agg(F.collect_list(F.struct("node", "raw")).alias("items"))
-    return pairs.unionByName(_compare(blocks)).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    around = around.join(sizes, "node").select(F.col("node").alias("centre"), F.col("nbr").alias("node"), "n")
+    blocks = _blocks(around.join(nodes.select("node", "raw"), "node"), ["centre"], F.ceil(F.col("n") / CENTRE_PART))
+    listed = lists.select(F.least("node", "nbr").alias("a"), F.greatest("node", "nbr").alias("b"), "cos")
+    return pairs.where(F.col("cos") >= THRESHOLD).unionByName(listed).unionByName(_compare(blocks)).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+
+
+def descend(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` refined until few list entries change."""
+    lists = checkpoint(neighbour_lists(pairs))
+    for _ in range(MAX_ROUNDS):
+        pairs = checkpoint(refine(pairs, lists, nodes))
+        now = checkpoint(neighbour_lists(pairs))
+        changed = now.join(lists, ["node", "nbr"], "left_anti").count()
+        lists = now
+        if changed <= FEW_CHANGES * now.count():
+            break
+    return pairs
+
+
+def exact_links(nodes: DataFrame) -> DataFrame:
+    """``a, b, cos``: all pairs of each label compared in blocks; a spanning forest of each block's links."""
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / F.least(F.lit(LABEL_PART), F.ceil(4 * F.sqrt("n") + 16)))
+    return _compare(_blocks(nodes.join(sizes, "grp"), ["grp"], parts), lists=False)
 
 
 def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -168,14 +202,24 @@ def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return blocks.select((F.col("p") == F.col("q")).alias("same"), "items").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audit(nodes: DataFrame, comp: DataFrame) -> float:
-    """Recall of the links of AUDIT_QUERIES nodes (chosen by hash) against brute force over all nodes of their label."""
-    asked = nodes.join(comp, "node", "left").select("node", "grp", "raw", F.coalesce("component", "node").alias("component"))
-    queries = asked.orderBy(F.xxhash64("node"), "node").limit(AUDIT_QUERIES).collect()  # a fixed number of rows
-    if not queries:
-        return 1.0
-    held = nodes.sparkSession.sparkContext.broadcast([(q.node, q.grp, list(q.raw), q.component) for q in queries])
-
+def audit(nodes: DataFrame, comp: DataFrame) -> float | None:
+    """Mean recall of the links of each node with vec_id % AUDIT_EVERY = 0 against brute force over all nodes of its
+    label; None if none of them has a link."""
+    asked = checkpoint(nodes.join(comp, "node", "left").select("node", "grp", "raw", F.coalesce("component", "node").alias("component")))
+    queries = asked.where(F.pmod("node", F.lit(AUDIT_EVERY)) == 0)
+    slices = -(-queries.count() // AUDIT_SLICE)
+    total, linked = 0.0, 0
+    for i in range(slices):
+        rows = queries.where(F.pmod(F.xxhash64("node"), F.lit(slices)) == i).collect()  # about AUDIT_SLICE rows
+        held = nodes.sparkSession.sparkContext.broadcast([(q.node, q.grp, list(q.raw), q.component) for q in rows])
+        got = asked.mapInArrow(_asked_links(held), "node long, true long, found long").groupBy("node").agg(F.sum("true").alias("t"), F.sum("found").alias("f"))
+        got = got.agg(F.sum(F.col("f") / F.col("t")).alias("r"), F.count("*").alias("n")).first()
+        total, linked = total + (got.r or 0.0), linked + got.n
+        held.destroy()
+    return total / linked if linked else None
+
+
+def _asked_links(held):
     def run(batches):
         import pyarrow as pa
 
@@ -183,21 +227,21 @@ def audit(nodes: DataFrame, comp: DataFrame) -> float:
         for node, grp, raw, c in held.value:
             by.setdefault(grp, []).append((node, raw, c))
         for b in batches:
-            true = found = 0
             groups = np.array(b.column(1).to_pylist(), dtype=object)
             for grp, asked in by.items():
                 rows = np.flatnonzero(groups == grp)
                 if not len(rows):
                     continue
-                hit = _unit(b.column(2).take(pa.array(rows)).to_pylist()) @ _unit([a[1] for a in asked]).T >= THRESHOLD
+                x = _unit(b.column(2).take(pa.array(rows)).to_pylist())
                 ids, comps = np.array(b.column(0))[rows], np.array(b.column(3))[rows]
-                hit &= ids[:, None] != np.array([a[0] for a in asked])[None, :]
-                true += int(hit.sum())
-                found += int((hit & (comps[:, None] == np.array([a[2] for a in asked])[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([true], pa.int64()), pa.array([found], pa.int64())], names=["true", "found"])
+                for at in range(0, len(asked), 500):
+                    q, raws, c = zip(*asked[at : at + 500])
+                    hit = (x @ _unit(raws).T >= THRESHOLD) & (ids[:, None] != np.array(q)[None, :])
+                    true, found = hit.sum(axis=0), (hit & (comps[:, None] == np.array(c)[None, :])).sum(axis=0)
+                    some = true > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(q)[some]), pa.array(true[some]), pa.array(found[some])], names=["node", "true", "found"])
 
-    got = asked.mapInArrow(run, "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
-    return got.f / got.t if got.t else 1.0
+    return run
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -209,20 +253,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     (of differing vectors of one id the greatest counts); an empty table gives none.
 
     Lists, leaves, centres and component blocks are all of bounded size, so hot labels and groups of copies spread over
-    many tasks; copies are folded before the first comparison. If the audited recall is too low, more trees and rounds follow.
+    many tasks; copies are folded before the first comparison. If the audited recall is too low, more trees and rounds follow, then
+    the comparison of all pairs of each label, which also follows where no audited vector has a link.
     """
     rows = checkpoint(usable(vectors, id_col, vector_col, label_col))
     nodes = checkpoint(distinct_vectors(rows))
-    pairs, recall = None, 0.0
+    pairs = None
     for extra in range(1 + MAX_EXTRA_ROUNDS):
         found = tree_leaves(nodes, seed=11 + extra)
         pairs = checkpoint(found if pairs is None else pairs.unionByName(found).groupBy("a", "b").agg(F.max("cos").alias("cos")))
-        for _ in range(ROUNDS):
-            pairs = checkpoint(refine(pairs, nodes))
+        pairs = descend(pairs, nodes)
         comp = checkpoint(components(pairs.where(F.col("cos") >= THRESHOLD).select("a", "b")))
         recall = audit(nodes, comp)
-        if recall >= WANTED_RECALL:
+        if recall is None or recall >= WANTED_RECALL:
             break
+    if recall is None or recall < WANTED_RECALL:
+        comp = checkpoint(components(exact_links(nodes).select("a", "b")))
     counts = count_links(nodes, comp)
     graph = nodes.join(comp, "node", "left").join(counts, "node", "left")
     graph = graph.select("grp", "raw", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -113,6 +113,30 @@ def test_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_one_direction(spark):
+    from landlens.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(8)
+    x = 8 + 3 * rng.standard_normal((2400, 16))  # every vector lies on one side of most planes
+    x[1200:] = np.where(np.arange(1200)[:, None] < 150, x[:1200] + 0.4 * rng.standard_normal((1200, 16)), x[1200:])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.98
+    np.fill_diagonal(hit, False)
+    want = {i + 1: int(n) for i, n in enumerate(hit.sum(axis=1))}
+    got = near_vectors(spark.createDataFrame([(i + 1, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: r.n_links for r in got.collect()} == want and max(want.values()) > 0
+
+
+def test_audit_counts_each_query_and_tells_when_it_saw_no_link(spark):
+    from landlens.llm.embeddings import audit
+
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    nodes = spark.createDataFrame([(0, near, "0/2"), (50, far, "0/2"), (51, [0.01, 1.0], "0/2")] + [(n, [1.0, 0.001 * n], "0/2") for n in range(1, 10)], "node long, raw array<double>, grp string")
+    comp = spark.createDataFrame([(n, 0) for n in range(10)], "node long, component long")
+    assert audit(nodes, comp) == 0.5
+    assert audit(nodes.where("node in (0, 50)"), comp.limit(0)) is None
+
+
 def test_pages(spark, sf_dir):
     from landlens.llm.html_extract import extract_text
 
