@@ -77,15 +77,84 @@ class Forest:
         return True
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, or with underscores before it until no column of ``taken`` bears it (letter case aside)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+#: Keys with over 1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, do not go to one task.
+HOT_KEYS = 2000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], rows_col: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` on ``keys``; ``side`` has each key once and in ``rows_col`` its number of rows.
+
+    Keys with over 1/HOT_KEYS of the ``total`` rows (fewer than HOT_KEYS by count) are broadcast, all others shuffled."""
+    hot = F.broadcast(side.where(F.col(rows_col) * HOT_KEYS > total))
+    cold = side.where(F.col(rows_col) * HOT_KEYS <= total)
+    both = rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+    return both.drop(rows_col)
+
+
+#: Size of a bit filter; with more keys than it holds well it lets more through, and nothing is lost.
+FILTER_BITS, FILTER_SLICES = 27, 64
+
+
+def _filter_positions(h: np.ndarray) -> np.ndarray:
+    u, mask = h.view(np.uint64), np.uint64((1 << FILTER_BITS) - 1)
+    return np.concatenate((u & mask, (u >> np.uint64(FILTER_BITS)) & mask)).astype(np.int64)
+
+
+def bit_filter(keys: DataFrame, hash_col: str):
+    """Broadcast of a Bloom filter with the 64-bit hashes in ``hash_col``: 2^FILTER_BITS bits (16 MB) at any input.
+
+    Each of FILTER_SLICES slices is put together in one task and sent to the driver once."""
+    width = (1 << FILTER_BITS) // FILTER_SLICES
+
+    def place(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = np.unique(_filter_positions(np.array(b.column(0), dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at % width)], names=["slice", "at"])
+
+    def gather(batches):
+        import pyarrow as pa
+
+        held = {}
+        for b in batches:
+            slices, at = np.array(b.column(0)), np.array(b.column(1))
+            for s in np.unique(slices).tolist():
+                held.setdefault(s, np.zeros(width, bool))[at[slices == s]] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["slice", "bits"])
+
+    placed = keys.select(F.col(hash_col).cast("long")).mapInArrow(place, "slice int, at long")
+    sc = keys.sparkSession.sparkContext
+    bits = np.zeros((FILTER_SLICES, width // 8), np.uint8)
+    for r in placed.repartition(FILTER_SLICES, "slice").mapInArrow(gather, "slice int, bits binary").collect():
+        bits[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return sc.broadcast(bits.ravel())
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the filter; a hash that was put in always passes."""
+    at = _filter_positions(np.ascontiguousarray(h, dtype=np.int64))
+    hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+    return (hit[: len(h)] & hit[len(h) :]).astype(bool)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long ids): ``node``, ``component`` = smallest reachable id.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set no longer
     changes; every round is a pair of keyed aggregations and joins, checkpointed, so no vertex list,
-    component or edge set ever meets in one task or on the driver. Nodes without an edge (and self
-    loops) give no row. Null ends are dropped.
+    component or edge set ever meets in one task or on the driver; nodes with very many edges are joined
+    by broadcast (``join_hot``). Nodes without an edge (and self loops) give no row. Null ends are dropped.
     """
-    spark = edges.sparkSession
     cur = checkpoint(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
@@ -96,14 +165,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = sig
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_rows"))
+        large = join_hot(both, low, ["u"], "_rows", 2 * sig.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_rows"))
+        small = join_hot(large, low2, ["u"], "_rows", sig.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         cur = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
     else:
         raise RuntimeError("components did not converge")
     tops = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
-
-

@@ -1,8 +1,8 @@
 """Fuzzy line dedup: MinHash bands over character shingles, exact Jaccard, distributed union-find.
 
-A line's shingles are the 8-byte windows of its UTF-8 text. Lines that share a band of their signature meet in a
-bucket and are verified by the exact Jaccard similarity of their shingle sets; of each component of verified
-links (and of each set of equal lines) the first line stays, in the order of doc_id and line number.
+A line's shingles are its windows of eight characters. Lines that share a band of their signature meet in a bucket
+and are verified by the exact Jaccard similarity of their shingle sets; of each component of verified links (and of
+each set of equal lines) the first line stays, in the order of doc_id and line number.
 """
 
 from __future__ import annotations
@@ -11,33 +11,52 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, SPACE, checkpoint, components, small_batches
+from .common import Forest, SPACE, bit_filter, checkpoint, components, fresh, join_hot, passes, small_batches
 
-#: Parameters: wanted similarity, bands and rows a band, least characters of a line that takes part where the caller
-#: of ``dedup_lines`` names none (the queries name EVERY_LINE: all lines with a word).
-SIMILARITY = 0.8
+#: Parameters: wanted similarity as a fraction, bands and rows a band, characters of a shingle.
+SIMILARITY = (4, 5)
 BANDS, ROWS = 14, 5
-MIN_CHARS = 20
-EVERY_LINE = 1
 SHINGLE = 8
-#: Lines in one half of a block that is verified together.
+#: Lines in one half of a block that is verified together, documents whose lines are signed together.
 PART = 128
-#: Rows up to which a side of a join is broadcast; beyond, both sides are shuffled on the key.
-BROADCAST_ROWS = 400_000
+BLOCK_DOCS = 2000
+#: Seed of the second hash: two lines count as equal if both 64-bit hashes are.
+SECOND = 20240917
 
 _rng = np.random.default_rng(20240917)
 _MUL = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(line: bytes) -> np.ndarray:
-    """The 8-byte windows as numbers; a shorter line is one shingle."""
-    if len(line) < SHINGLE:
-        line = line.ljust(SHINGLE, b"\0")
-    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(line, np.uint8), SHINGLE).copy().view(np.uint64).ravel()
+def _windows(raw: np.ndarray) -> np.ndarray:
+    """Every eight bytes running as one number."""
+    return np.lib.stride_tricks.sliding_window_view(raw, SHINGLE).copy().view(np.uint64).ravel()
+
 
+def shingles(line: str) -> np.ndarray:
+    """The windows of eight characters as numbers, in order; a shorter line is one shingle.
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
+    Characters up to U+00FF fill one byte each, so a window of them is its own number. A window with others is
+    numbered by a 64-bit hash of its code points."""
+    if len(line) < SHINGLE:
+        line = line.ljust(SHINGLE, "\0")
+    try:
+        return _windows(np.frombuffer(line.encode("latin-1"), np.uint8))
+    except UnicodeEncodeError:
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = _windows((points & 0xFF).astype(np.uint8))
+        wide = np.lib.stride_tricks.sliding_window_view(points, SHINGLE)
+        other = (wide > 0xFF).any(axis=1)
+        code = np.zeros(int(other.sum()), np.uint64)
+        for k in range(SHINGLE):
+            code = (code ^ wide[other, k].astype(np.uint64)) * _STEP
+            code ^= code >> np.uint64(29)
+        out[other] = code
+        return out
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
     """Signed 64-bit band keys, a row a line."""
     out = np.empty((len(lines), BANDS), np.int64)
     done = 0
@@ -51,16 +70,26 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def _signature_bands(lines: list[bytes]) -> np.ndarray:
-    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, b"\0") for x in lines]
-    raw = np.frombuffer(b"".join(lines) + bytes(SHINGLE), np.uint8)
-    wide = np.lib.stride_tricks.as_strided(raw, (len(raw) - SHINGLE, SHINGLE), (1, 1)).reshape(-1, SHINGLE).copy().view(np.uint64).ravel()
-    lens = np.array([len(x) for x in lines])
-    starts = np.cumsum(lens) - lens
-    # Windows that run into the next line are replaced by the line's first window.
-    x = ((wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    tail = (starts + lens)[:, None] - np.arange(1, SHINGLE)
-    x[tail] = x[starts][:, None]
+def _signature_bands(lines: list[str]) -> np.ndarray:
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    try:
+        raw = np.frombuffer("".join(lines).encode("latin-1") + bytes(SHINGLE), np.uint8)
+        lens = np.array([len(x) for x in lines])
+        wide = np.lib.stride_tricks.as_strided(raw, (len(raw) - SHINGLE, SHINGLE), (1, 1)).copy().view(np.uint64).ravel()
+        starts = np.cumsum(lens) - lens
+        x = ((wide * _STEP) >> np.uint64(32)).astype(np.uint32)
+        # Windows that run into the next line are replaced by the line's first window.
+        x[(starts + lens)[:, None] - np.arange(1, SHINGLE)] = x[starts][:, None]
+    except UnicodeEncodeError:
+        if len(lines) > 1:  # lines with other characters are signed on their own
+            latin = np.array([max(x) <= "\xff" for x in lines])
+            out = np.empty((len(lines), BANDS), np.int64)
+            if latin.any():
+                out[latin] = _signature_bands([x for x, own in zip(lines, latin) if own])
+            for i in np.flatnonzero(~latin):
+                out[i] = _signature_bands([lines[i]])[0]
+            return out
+        x, starts = ((shingles(lines[0]) * _STEP) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
     mins = np.empty((BANDS * ROWS, len(lines)), np.uint32)
     y = np.empty_like(x)
     for i in range(BANDS * ROWS):
@@ -75,83 +104,105 @@ def _signature_bands(lines: list[bytes]) -> np.ndarray:
     return key.view(np.int64).T
 
 
-def taking_part(line, min_chars: int = MIN_CHARS):
-    """Lines with at least ``min_chars`` characters besides outer white space."""
-    return F.length(F.btrim(line, F.lit(SPACE))) >= min_chars
+def _hashes(line):
+    return F.xxhash64(line).alias("h"), F.xxhash64(F.lit(SECOND), line).alias("h2")
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, line_no, h`` of all lines that take part, from ``docs(doc_id, text)``."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, h, h2`` of every line with a word, from ``docs(doc_id, text)``."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(taking_part(F.col("line"), min_chars)).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
+    return lines.where(F.btrim("line", F.lit(SPACE)) != "").select("doc_id", "line_no", *_hashes(F.col("line")))
+
+
+def _distinct_lines(batch, column: int):
+    """Lists of the different lines of BLOCK_DOCS texts, at least SHINGLE characters long and not blank."""
+    texts = batch.column(column).to_pylist()
+    for i in range(0, len(texts), BLOCK_DOCS):
+        seen = {line: None for text in texts[i : i + BLOCK_DOCS] for line in text.split("\n")}
+        yield [x for x in seen if len(x) >= SHINGLE and x.strip(SPACE)]
+
+
+def _line_hashes(lines: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8"), 42) for x in lines], np.uint64).view(np.int64)
+
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).where("doc_id is not null and text is not null").select("text")
 
-def band_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+
+def band_rows(docs: DataFrame) -> DataFrame:
     """``key, h``: the bands of each line, once for each block of documents that holds it.
 
-    Lines under 8 bytes have no window to share and are like equal lines only, which ``h`` tells without bands."""
+    Lines under eight characters have no window to share and are like equal lines only, which the hashes tell."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        strip = SPACE
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 2000):
-                seen = {}
-                for text in texts[i : i + 2000]:
-                    for line in text.split("\n"):
-                        if len(line) >= min_chars and line not in seen and len(line.strip(strip)) >= min_chars:
-                            seen[line] = None
-                lines = [x for x in (x.encode("utf-8") for x in seen) if len(x) >= SHINGLE]
-                if not lines:
-                    continue
-                h = np.array([xxhash.xxh64_intdigest(x, 42) for x in lines], np.uint64).view(np.int64)
-                keys = band_keys(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h, BANDS))], names=["key", "h"])
-
-    return small_batches(docs).where("doc_id is not null and text is not null").select("text").mapInArrow(run, "key long, h long")
+            for lines in _distinct_lines(batch, 0):
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(band_keys(lines).ravel()), pa.array(np.repeat(_line_hashes(lines), BANDS))], names=["key", "h"])
+
+    return _texts(docs).mapInArrow(run, "key long, h long")
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """``key, a, b``: in each band bucket, its smallest line ``a`` with every other one."""
+    """``key, a, b``: in each band bucket, its smallest line ``a`` with every other one, each once."""
 
     def run(batches):
         import pyarrow as pa
 
-        def rows(k, members):
-            members = np.unique(members)
-            n = len(members) - 1
-            return np.full(n, k, np.int64), np.full(n, members[0], np.int64), members[1:]
-
-        key, held = None, np.empty(0, np.int64)
-        for b in batches:
-            if not b.num_rows:
+        key = first = before = None  # of the row before: its bucket, the bucket's smallest line, its line
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            k, h = np.array(b.column(0)), np.array(b.column(1))
-            if key is not None:  # the open bucket of the batch before comes first
-                k, h = np.concatenate((np.full(len(held), key, np.int64), k)), np.concatenate((held, h))
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
-            sizes = np.diff(edges)
-            out = [rows(k[edges[n]], h[edges[n] : edges[n + 1]]) for n in np.flatnonzero(sizes[:-1] > 1)]
-            key, held = k[-1], np.unique(h[edges[-2] :])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "a", "b"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows(key, held)], names=["key", "a", "b"])
+            k, h = np.array(batch.column(0)), np.array(batch.column(1))
+            opens = np.ones(len(k), bool)
+            opens[1:] = k[1:] != k[:-1]
+            opens[0] = key is None or k[0] != key
+            heads = np.maximum.accumulate(np.where(opens, np.arange(len(k)), -1))
+            a = np.where(heads >= 0, h[np.maximum(heads, 0)], first if first is not None else 0)
+            new = ~opens
+            new[1:] &= h[1:] != h[:-1]
+            if not opens[0]:
+                new[0] &= h[0] != before
+            key, first, before = k[-1], a[-1], h[-1]
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (k, a, h)], names=["key", "a", "b"])
 
-    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    return bands.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, a long, b long")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def similar(both, one, other):
+    """Exact test of the Jaccard similarity from the sizes of the intersection and both sets."""
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (one + other - both)
+
+
+def candidate_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, h, h2, line`` of the lines in ``pairs(a, b)`` (hashes); two lines of one 64-bit hash get a row each.
+
+    Only lines that pass a bit filter of fixed size with the wanted hashes are shuffled; what it lets through beside
+    them is dropped by the join."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    held = bit_filter(wanted, "h")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lines in _distinct_lines(batch, 0):
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines).filter(pa.array(passes(held.value, _line_hashes(lines))))], names=["line"])
+
+    lines = _texts(docs).mapInArrow(run, "line string").select(*_hashes(F.col("line")), "line")
+    once = lines.groupBy("h", "h2").agg(F.first("line").alias("line"))
+    return checkpoint(once.join(wanted, "h", "left_semi").select(F.monotonically_increasing_id().alias("id"), "h", "h2", "line"))
 
 
 def verified_pairs(pairs: DataFrame) -> DataFrame:
-    """``a, b`` of the rows of ``pairs(a, b, line_a, line_b)`` whose exact Jaccard similarity is high enough."""
+    """``a, b`` of the rows of ``pairs(a, b, line_a, line_b)`` that are similar; rows of one ``a`` should come together."""
 
     def run(batches):
         import pyarrow as pa
@@ -160,120 +211,149 @@ def verified_pairs(pairs: DataFrame) -> DataFrame:
             keep, last, own = [], None, None
             for la, lb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if la != last:
-                    last, own = la, np.unique(shingles(la.encode("utf-8")))
-                other = np.unique(shingles(lb.encode("utf-8")))
-                small, large = sorted((len(own), len(other)))
-                keep.append(small >= SIMILARITY * large and jaccard(own, other) >= SIMILARITY)
+                    last, own = la, np.unique(shingles(la))
+                other = shingles(lb)
+                at = np.searchsorted(own, other)
+                at[at == len(own)] = 0
+                found = np.zeros(len(own), bool)
+                found[at[own[at] == other]] = True
+                both = int(found.sum())
+                # The union is at least as large as ``own``, so most others need not be counted.
+                keep.append(similar(both, len(own), both) and similar(both, len(own), len(np.unique(other))))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
+def joined_parts(comps: list[int], lines: list[str]) -> list[tuple[int, int]]:
+    """Pairs of components that a pair of similar lines joins, by a spanning forest.
+
+    Lines stand in order of their set's size: similar ones are close to each other there. Lines already in one
+    component need no comparison."""
+    sets = [np.unique(shingles(x)) for x in lines]
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets, sizes = [sets[i] for i in order], np.array([len(sets[i]) for i in order])
+    names, numbered = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, present, out = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int64), []
+    places = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    root = np.array([places[comps[i]] for i in order])
+    named = list(places)
+    last = np.searchsorted(sizes, SIMILARITY[1] * sizes // SIMILARITY[0], side="right")
+    for i in range(len(sets) - 1):
+        others = np.arange(i + 1, last[i])
+        others = others[root[others] != root[i]]
+        if not len(others):
+            continue
+        mine = numbered[starts[i] : starts[i] + sizes[i]]
+        present[mine] = 1
+        both = np.add.reduceat(present[np.concatenate([numbered[starts[j] : starts[j] + sizes[j]] for j in others])], np.cumsum(sizes[others]) - sizes[others])
+        present[mine] = 0
+        for j in others[similar(both, sizes[i], sizes[others])]:
+            if root[i] != root[j]:
+                out.append((named[root[i]], named[root[j]]))
+                root[root == root[j]] = root[i]
+    return out
+
+
 def verified_links(blocks: DataFrame) -> DataFrame:
-    """``a, b``: components of each block of ``items(comp, line)`` that a pair of similar lines joins, by a spanning forest."""
+    """``a, b``: components of each block of ``items(comp, line)`` that a pair of similar lines joins."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = [], []
-            for items in batch.column(0).to_pylist():
-                sets = [np.unique(shingles(x["line"].encode("utf-8"))) for x in items]
-                sizes = np.array([len(x) for x in sets])
-                # Shingles numbered within the block: a line's common shingles with all others are one gather and one sum.
-                names, numbered = np.unique(np.concatenate(sets), return_inverse=True)
-                starts, present = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int64)
-                places = {c: i for i, c in enumerate(dict.fromkeys(x["comp"] for x in items))}
-                comps, own = list(places), [places[x["comp"]] for x in items]
-                forest = Forest(len(comps))
-                for i in range(len(items) - 1):
-                    mine = numbered[starts[i] : starts[i] + sizes[i]]
-                    present[mine] = 1
-                    both = np.add.reduceat(present[numbered[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-                    present[mine] = 0
-                    for j in (np.flatnonzero(both / (sizes[i] + sizes[i + 1 :] - both) >= SIMILARITY) + i + 1).tolist():
-                        if forest.join(own[i], own[j]):
-                            a.append(comps[own[i]])
-                            b.append(comps[own[j]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            links = []
+            for items in batch.column(0):
+                v = items.values
+                links += joined_parts(v.field("comp").to_pylist(), v.field("line").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (checkpointed) marked for broadcast if it has few rows; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def line_texts(docs: DataFrame, occ: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, line`` of the wanted lines, each read from the first document that holds it."""
-    first = occ.join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    per_doc = checkpoint(first.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line_no").alias("line_nos")))
-    found = docs.where("text is not null").join(_small(per_doc), "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("line_nos").alias("n"))
-    return found.select(F.element_at("lines", F.col("n") + 1).alias("line")).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"])
-
-
-def line_components(docs: DataFrame, occ: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``node, component`` of all lines (as hashes) with a verified link to another.
+def line_components(docs: DataFrame) -> DataFrame:
+    """``h, h2, component`` of all lines with a verified link to another.
 
     First every bucket's smallest line is compared with the others, each pair once however many bands it shares.
     In buckets where that leaves more than one component, all lines of different components are then compared in
     blocks of two parts, so no link between lines of a bucket is lost, and a group of many near copies costs
     one comparison a line and not all its pairs.
     """
-    near = checkpoint(candidate_pairs(band_rows(docs, min_chars)))
+    near = checkpoint(candidate_pairs(band_rows(docs)))
     pairs = near.select("a", "b").distinct()
-    texts = checkpoint(line_texts(docs, occ, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()))
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
+    texts = candidate_lines(docs, pairs)
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"line_{c}"))
     # Joined on ``a`` last, so that rows of one bucket's smallest line come together and its shingles are made once.
-    first = components(verified_pairs(pairs.join(side("b"), "b").join(side("a"), "a")))
-
-    name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    named = near.join(name("a"), "a", "left").join(name("b"), "b", "left").select("key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    split = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("ca") != F.col("cb")).alias("apart")).where("n > 1 and apart > 0").select("key", "n")
-    left = named.join(split, "key").select("key", "n", F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("h"), F.col("cb").alias("comp")))).alias("m")).select("key", "n", "m.h", "m.comp").distinct()
-    left = left.withColumn("parts", F.ceil((F.col("n") + 1) / (2 * PART)).cast("int")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    left = left.select("key", "h", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    items = F.collect_list(F.struct("comp", "line")).alias("items")
-    blocks = left.join(texts, "h").groupBy("key", F.least("own", "other"), F.greatest("own", "other")).agg(items, F.countDistinct("comp").alias("n")).where("n > 1")
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    first = components(verified_pairs(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "line_a", "line_b")))
+    named = checkpoint(texts.select("h", "h2", "id").join(first, texts.id == first.node, "left").select("h", "h2", "id", F.coalesce("component", "id").alias("comp"), F.col("component").isNotNull().alias("linked")))
+
+    of = lambda c: named.select(F.col("h").alias(c), F.col("comp").alias(f"c{c}"))
+    both = near.join(of("a"), "a").join(of("b"), "b").select("key", "a", "b", "ca", "cb")
+    split = both.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("ca") != F.col("cb")).alias("apart")).where("n > 1 and apart > 0").select("key", "n")
+    left = near.join(split, "key").select("key", "n", F.explode(F.array("a", "b")).alias("h")).distinct().join(named.select("h", "id", "comp"), "h")
+    left = left.withColumn("parts", F.ceil((F.col("n") + 1) / (2 * PART)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = left.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    left = left.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "comp").join(texts.select("id", "line"), "id")
+    # The work of a block is more than its bytes tell, so its partitions are not merged.
+    dealt = left.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "p", "q")
+    blocks = dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("comp", "line")).alias("items"), F.countDistinct("comp").alias("n")).where("n > 1")
     more = checkpoint(verified_links(blocks.select("items")))
-    if more.isEmpty():
-        return first
-    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
-    moved = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-    return moved.unionByName(alone)
+    joined = components(more).select(F.col("node").alias("comp"), F.col("component").alias("joined"))
+    out = named.join(joined, "comp", "left").where("linked or joined is not null")
+    return out.select("h", "h2", F.coalesce("joined", "comp").alias("component"))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, dropped`` (line numbers from 0) of ``docs(doc_id, text)``, for documents that lose a line."""
-    occ = checkpoint(occurrences(docs, min_chars))
-    comp = checkpoint(line_components(docs, occ, min_chars))
-    tagged = occ.join(comp, occ.h == comp.node, "left").select("doc_id", "line_no", F.coalesce("component", "h").alias("grp"))
-    firsts = tagged.groupBy("grp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = tagged.join(firsts, "grp").where(F.struct("doc_id", "line_no") != F.col("first"))
+    occ = checkpoint(occurrences(docs))
+    comp = line_components(docs)
+    lines = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    lines = checkpoint(lines.join(comp, ["h", "h2"], "left").where("n > 1 or component is not null"))
+    alone = lines.where("component is null").select("h", "h2", "first", "n")
+    linked = lines.where("component is not null").withColumnRenamed("first", "own")
+    tops = linked.groupBy("component").agg(F.min("own").alias("first"), F.count("*").alias("_rows"))
+    known = join_hot(linked, tops, ["component"], "_rows", linked.count()).select("h", "h2", "first", "n")
+    marks = alone.unionByName(known).withColumnRenamed("n", "_rows")
+    later = join_hot(occ, marks, ["h", "h2"], "_rows", occ.count()).where(F.struct("doc_id", "line_no") != F.col("first"))
     return checkpoint(later.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("dropped")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text_col``, other columns as they were.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
+    """``docs`` with repeated lines removed from ``text_col``, other columns as they were, whatever their names.
 
-    Lines of fewer than ``min_chars`` characters never count as repeats; with EVERY_LINE only blank ones do not. A document that loses lines and has none with a word
-    left goes (or stays with what is left, without ``drop_emptied``). Null texts stay null and empty ones empty; rows
-    with a null id are kept unchanged; repeated rows of one id lose the same lines, as if one document.
+    Every line with a word takes part; blank lines never count as repeats. A document that loses lines and has none
+    with a word left goes (or stays with what is left, without ``drop_emptied``). Null texts stay null and empty ones
+    empty; rows with a null id are kept unchanged; repeated rows of one id lose the same lines, as if one document;
+    an empty table gives an empty one. Only documents that pass a bit filter of fixed size with the ids of those that
+    lose lines are shuffled.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lost = dropped_lines(known, min_chars).select(F.col("doc_id").alias("_lost_id"), F.col("dropped").alias("_lost"))
-    rows = docs.join(_small(lost), F.col(id_col) == F.col("_lost_id"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
-    rows = rows.withColumn(text_col, F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept))
+    gone, gone_id, maybe = (fresh(x, docs.columns) for x in ("_gone", "_gone_id", "_maybe"))
+    lost = dropped_lines(known).select(F.col("doc_id").alias(gone_id), F.col("dropped").alias(gone))
+    held = bit_filter(lost.select(F.xxhash64(gone_id).alias("h")), "h")
+
+    @F.pandas_udf("boolean")
+    def may_lose(h):
+        import pandas as pd
+
+        return pd.Series(passes(held.value, h.to_numpy()))
+
+    test = F.coalesce(may_lose(F.xxhash64(F.col(id_col).cast("long"))), F.lit(False)) & F.col(id_col).isNotNull()
+    rows = docs.withColumn(maybe, test)
+    met = rows.where(maybe).join(lost, F.col(id_col).cast("long") == F.col(gone_id), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    met = met.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept))
     if drop_emptied:
-        rows = rows.where(F.col("_lost").isNull() | (F.btrim(F.col(text_col), F.lit(SPACE)) != ""))
-    return rows.drop("_lost", "_lost_id")
+        met = met.where(F.col(gone).isNull() | (F.btrim(F.col(text_col), F.lit(SPACE)) != ""))
+    return rows.where(~F.col(maybe)).select(*docs.columns).unionByName(met.select(*docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_lines, n_kept, kept_sha256`` (of the text that stays); every line with a word takes part."""
+    """Per row ``doc_id, n_lines, n_kept, kept_sha256`` (of the text that stays); every line with a word takes part.
+
+    Null texts count as empty (one line); a row with a null id keeps all its lines; repeated rows give repeated
+    results; other columns are ignored; an empty table gives none."""
     before = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    after = dedup_lines(before.withColumn("n_lines", F.size(F.split("text", "\n"))), "doc_id", "text", drop_emptied=False, min_chars=EVERY_LINE)
+    after = dedup_lines(before.withColumn("n_lines", F.size(F.split("text", "\n"))), "doc_id", "text", drop_emptied=False)
     return after.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(F.split("text", "\n")).cast("long").alias("n_kept"), F.sha2("text", 256).alias("kept_sha256"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpoint, components, small_batches
+from .common import Forest, checkpoint, components, fresh, join_hot, small_batches
 
 #: Widths of the six blocks of a 64-bit fingerprint.
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -117,19 +117,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty one; further columns of ``docs`` are ignored.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col))
-    reps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")))
     comp = components(link_fingerprints(reps.where("rep is not null").select("rep", "fp"), max_distance))
-    known = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = reps.join(comp, reps.rep == comp.node, "left").select("fp", "_rows", F.coalesce("component", "rep").alias("component_id"))
+    return join_hot(prints, known, ["fp"], "_rows", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its group; of rows with the same id, one stays.
+    """Rows of ``docs`` whose id is the smallest of its group; of rows with the same id, that of the smallest text stays.
 
-    Rows with a null id are kept, as no group can name them."""
+    Rows with a null id are kept, as no group can name them. Null texts count as empty; further columns may bear any
+    name; an empty table gives an empty one."""
     groups = simhash_groups(docs, id_col, text_col, max_distance)
-    winners = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_win")).distinct()
+    win, copy = fresh("_win", docs.columns), fresh("_copy", docs.columns)
+    winners = groups.where("doc_id = component_id").select(F.col("doc_id").alias(win)).distinct()
     rows = docs.where(F.col(id_col).isNotNull())
-    kept = rows.join(winners, rows[id_col] == F.col("_win"), "left_semi")
-    once = kept.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("_copy = 1").drop("_copy")
+    kept = rows.join(winners, rows[id_col].cast("long") == F.col(win), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    once = kept.withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1).drop(copy)
     return once.unionByName(docs.where(F.col(id_col).isNull()))
