@@ -152,8 +152,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set no longer
     changes; every round is a pair of keyed aggregations and joins, checkpointed, so no vertex list,
-    component or edge set ever meets in one task or on the driver; nodes with very many edges are joined
-    by broadcast (``join_hot``). Nodes without an edge (and self loops) give no row. Null ends are dropped.
+    component or edge set ever meets in one task or on the driver. The minima are checkpointed before they
+    are joined, so that each join has shuffles of its own, which the adaptive plan splits at nodes with very
+    many edges. Nodes without an edge (and self loops) give no row. Null ends are dropped.
     """
     cur = checkpoint(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -165,10 +166,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = sig
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_rows"))
-        large = join_hot(both, low, ["u"], "_rows", 2 * sig.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_rows"))
-        small = join_hot(large, low2, ["u"], "_rows", sig.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpoint(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        low2 = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         cur = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
     else:
         raise RuntimeError("components did not converge")

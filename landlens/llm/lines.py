@@ -29,9 +29,18 @@ _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _windows(raw: np.ndarray) -> np.ndarray:
+def _windows(raw: bytes) -> np.ndarray:
     """Every eight bytes running as one number."""
-    return np.lib.stride_tricks.sliding_window_view(raw, SHINGLE).copy().view(np.uint64).ravel()
+    return np.ndarray((len(raw) - SHINGLE + 1,), np.uint64, raw, strides=(1,)).copy()
+
+
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    numbers = np.sort(numbers)
+    new = np.empty(len(numbers), bool)
+    new[0] = True
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    return numbers[new]
 
 
 def shingles(line: str) -> np.ndarray:
@@ -42,10 +51,10 @@ def shingles(line: str) -> np.ndarray:
     if len(line) < SHINGLE:
         line = line.ljust(SHINGLE, "\0")
     try:
-        return _windows(np.frombuffer(line.encode("latin-1"), np.uint8))
+        return _windows(line.encode("latin-1"))
     except UnicodeEncodeError:
         points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = _windows((points & 0xFF).astype(np.uint8))
+        out = _windows((points & 0xFF).astype(np.uint8).tobytes())
         wide = np.lib.stride_tricks.sliding_window_view(points, SHINGLE)
         other = (wide > 0xFF).any(axis=1)
         code = np.zeros(int(other.sum()), np.uint64)
@@ -73,9 +82,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def _signature_bands(lines: list[str]) -> np.ndarray:
     lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     try:
-        raw = np.frombuffer("".join(lines).encode("latin-1") + bytes(SHINGLE), np.uint8)
+        wide = _windows("".join(lines).encode("latin-1") + bytes(SHINGLE - 1))
         lens = np.array([len(x) for x in lines])
-        wide = np.lib.stride_tricks.as_strided(raw, (len(raw) - SHINGLE, SHINGLE), (1, 1)).copy().view(np.uint64).ravel()
         starts = np.cumsum(lens) - lens
         x = ((wide * _STEP) >> np.uint64(32)).astype(np.uint32)
         # Windows that run into the next line are replaced by the line's first window.
@@ -149,30 +157,35 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """``key, a, b``: in each band bucket, its smallest line ``a`` with every other one, each once."""
+    """``key, a, b``: in each band bucket, its smallest line ``a`` with every other one.
+
+    A bucket that goes on in the next batch of rows is carried on by its smallest line so far: a smaller one that
+    comes later is paired with it and takes its place, so that no bucket is held whole."""
 
     def run(batches):
         import pyarrow as pa
 
-        key = first = before = None  # of the row before: its bucket, the bucket's smallest line, its line
+        key = low = None  # the last bucket of the batch before and its smallest line so far
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, h = np.array(batch.column(0)), np.array(batch.column(1))
-            opens = np.ones(len(k), bool)
-            opens[1:] = k[1:] != k[:-1]
-            opens[0] = key is None or k[0] != key
-            heads = np.maximum.accumulate(np.where(opens, np.arange(len(k)), -1))
-            a = np.where(heads >= 0, h[np.maximum(heads, 0)], first if first is not None else 0)
-            new = ~opens
-            new[1:] &= h[1:] != h[:-1]
-            if not opens[0]:
-                new[0] &= h[0] != before
-            key, first, before = k[-1], a[-1], h[-1]
-            if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (k, a, h)], names=["key", "a", "b"])
-
-    return bands.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, a long, b long")
+            if key == k[0]:
+                k, h = np.concatenate(([key], k)), np.concatenate(([low], h))
+            opens = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            lows = np.minimum.reduceat(h, opens)
+            key, low = k[-1], lows[-1]
+            sizes = np.diff(np.append(opens, len(k)))
+            a = np.repeat(lows, sizes)
+            other = np.flatnonzero(a != h)
+            if not len(other):
+                continue
+            order = other[np.lexsort((h[other], k[other]))]
+            k, a, h = k[order], a[order], h[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (k, a, h)], names=["key", "a", "b"])
+
+    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def similar(both, one, other):
@@ -198,7 +211,9 @@ def candidate_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     lines = _texts(docs).mapInArrow(run, "line string").select(*_hashes(F.col("line")), "line")
     once = lines.groupBy("h", "h2").agg(F.first("line").alias("line"))
-    return checkpoint(once.join(wanted, "h", "left_semi").select(F.monotonically_increasing_id().alias("id"), "h", "h2", "line"))
+    out = checkpoint(once.join(wanted, "h", "left_semi").select(F.monotonically_increasing_id().alias("id"), "h", "h2", "line"))
+    held.destroy()
+    return out
 
 
 def verified_pairs(pairs: DataFrame) -> DataFrame:
@@ -211,7 +226,7 @@ def verified_pairs(pairs: DataFrame) -> DataFrame:
             keep, last, own = [], None, None
             for la, lb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if la != last:
-                    last, own = la, np.unique(shingles(la))
+                    last, own = la, distinct(shingles(la))
                 other = shingles(lb)
                 at = np.searchsorted(own, other)
                 at[at == len(own)] = 0
@@ -219,7 +234,7 @@ def verified_pairs(pairs: DataFrame) -> DataFrame:
                 found[at[own[at] == other]] = True
                 both = int(found.sum())
                 # The union is at least as large as ``own``, so most others need not be counted.
-                keep.append(similar(both, len(own), both) and similar(both, len(own), len(np.unique(other))))
+                keep.append(similar(both, len(own), both) and similar(both, len(own), len(distinct(other))))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
@@ -230,11 +245,10 @@ def joined_parts(comps: list[int], lines: list[str]) -> list[tuple[int, int]]:
 
     Lines stand in order of their set's size: similar ones are close to each other there. Lines already in one
     component need no comparison."""
-    sets = [np.unique(shingles(x)) for x in lines]
+    sets = [distinct(shingles(x)) for x in lines]
     order = np.argsort([len(x) for x in sets], kind="stable")
     sets, sizes = [sets[i] for i in order], np.array([len(sets[i]) for i in order])
-    names, numbered = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, present, out = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int64), []
+    out = []
     places = {c: i for i, c in enumerate(dict.fromkeys(comps))}
     root = np.array([places[comps[i]] for i in order])
     named = list(places)
@@ -244,10 +258,10 @@ def joined_parts(comps: list[int], lines: list[str]) -> list[tuple[int, int]]:
         others = others[root[others] != root[i]]
         if not len(others):
             continue
-        mine = numbered[starts[i] : starts[i] + sizes[i]]
-        present[mine] = 1
-        both = np.add.reduceat(present[np.concatenate([numbered[starts[j] : starts[j] + sizes[j]] for j in others])], np.cumsum(sizes[others]) - sizes[others])
-        present[mine] = 0
+        theirs = np.concatenate([sets[j] for j in others])
+        at = np.searchsorted(sets[i], theirs)
+        at[at == sizes[i]] = 0
+        both = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
         for j in others[similar(both, sizes[i], sizes[others])]:
             if root[i] != root[j]:
                 out.append((named[root[i]], named[root[j]]))
@@ -294,10 +308,13 @@ def line_components(docs: DataFrame) -> DataFrame:
     left = near.join(split, "key").select("key", "n", F.explode(F.array("a", "b")).alias("h")).distinct().join(named.select("h", "id", "comp"), "h")
     left = left.withColumn("parts", F.ceil((F.col("n") + 1) / (2 * PART)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     left = left.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    left = left.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "comp").join(texts.select("id", "line"), "id")
+    members = F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("members")
+    # The same lines often share several buckets: each set of lines is compared once.
+    blocks = left.groupBy("key", F.least("own", "other"), F.greatest("own", "other")).agg(members, F.countDistinct("comp").alias("n")).where("n > 1").select("members").distinct()
+    rows = blocks.select(F.xxhash64("members").alias("block"), F.explode("members").alias("m")).select("block", "m.id", "m.comp").distinct().join(texts.select("id", "line"), "id")
     # The work of a block is more than its bytes tell, so its partitions are not merged.
-    dealt = left.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "p", "q")
-    blocks = dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("comp", "line")).alias("items"), F.countDistinct("comp").alias("n")).where("n > 1")
+    dealt = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("comp", "line")).alias("items"))
     more = checkpoint(verified_links(blocks.select("items")))
     joined = components(more).select(F.col("node").alias("comp"), F.col("component").alias("joined"))
     out = named.join(joined, "comp", "left").where("linked or joined is not null")
