@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -38,6 +39,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished stages.
+
+    Spark removes them only once the driver has collected the garbage of their plans, which a driver with little to do
+    puts off; a job of many stages would hold the files of all of them on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches of at most 8 MB from here on, so that a worker's memory does not follow the rows' width.
 
@@ -100,7 +110,7 @@ def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], rows_col: str, t
 
 
 #: Size of a bit filter; with more keys than it holds well it lets more through, and nothing is lost.
-FILTER_BITS, FILTER_SLICES = 27, 64
+FILTER_BITS, FILTER_SLICES = 26, 64
 
 
 def _filter_positions(h: np.ndarray) -> np.ndarray:
@@ -109,7 +119,7 @@ def _filter_positions(h: np.ndarray) -> np.ndarray:
 
 
 def bit_filter(keys: DataFrame, hash_col: str):
-    """Broadcast of a Bloom filter with the 64-bit hashes in ``hash_col``: 2^FILTER_BITS bits (16 MB) at any input.
+    """Broadcast of a Bloom filter with the 64-bit hashes in ``hash_col``: 2^FILTER_BITS bits (8 MB) at any input.
 
     Each of FILTER_SLICES slices is put together in one task and sent to the driver once."""
     width = (1 << FILTER_BITS) // FILTER_SLICES

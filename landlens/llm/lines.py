@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, SPACE, bit_filter, checkpoint, components, fresh, join_hot, passes, small_batches
+from .common import Forest, SPACE, bit_filter, checkpoint, components, fresh, join_hot, passes, release, small_batches
 
 #: Parameters: wanted similarity as a fraction, bands and rows a band, characters of a shingle.
 SIMILARITY = (4, 5)
@@ -213,6 +213,7 @@ def candidate_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     once = lines.groupBy("h", "h2").agg(F.first("line").alias("line"))
     out = checkpoint(once.join(wanted, "h", "left_semi").select(F.monotonically_increasing_id().alias("id"), "h", "h2", "line"))
     held.destroy()
+    release(docs.sparkSession)
     return out
 
 
@@ -294,6 +295,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     one comparison a line and not all its pairs.
     """
     near = checkpoint(candidate_pairs(band_rows(docs)))
+    release(docs.sparkSession)
     pairs = near.select("a", "b").distinct()
     texts = candidate_lines(docs, pairs)
     side = lambda c: texts.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("line").alias(f"line_{c}"))
@@ -316,6 +318,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     dealt = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("comp", "line")).alias("items"))
     more = checkpoint(verified_links(blocks.select("items")))
+    release(docs.sparkSession)
     joined = components(more).select(F.col("node").alias("comp"), F.col("component").alias("joined"))
     out = named.join(joined, "comp", "left").where("linked or joined is not null")
     return out.select("h", "h2", F.coalesce("joined", "comp").alias("component"))
@@ -333,7 +336,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     known = join_hot(linked, tops, ["component"], "_rows", linked.count()).select("h", "h2", "first", "n")
     marks = alone.unionByName(known).withColumnRenamed("n", "_rows")
     later = join_hot(occ, marks, ["h", "h2"], "_rows", occ.count()).where(F.struct("doc_id", "line_no") != F.col("first"))
-    return checkpoint(later.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("dropped")))
+    out = checkpoint(later.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("dropped")))
+    release(docs.sparkSession)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
@@ -350,11 +355,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = dropped_lines(known).select(F.col("doc_id").alias(gone_id), F.col("dropped").alias(gone))
     held = bit_filter(lost.select(F.xxhash64(gone_id).alias("h")), "h")
 
-    @F.pandas_udf("boolean")
+    @F.arrow_udf("boolean")
     def may_lose(h):
-        import pandas as pd
+        import pyarrow as pa
 
-        return pd.Series(passes(held.value, h.to_numpy()))
+        return pa.array(passes(held.value, np.array(h)))
 
     test = F.coalesce(may_lose(F.xxhash64(F.col(id_col).cast("long"))), F.lit(False)) & F.col(id_col).isNotNull()
     rows = docs.withColumn(maybe, test)
