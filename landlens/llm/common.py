@@ -95,18 +95,13 @@ def fresh(name: str, taken) -> str:
     return name
 
 
-#: Keys with over 1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, do not go to one task.
-HOT_KEYS = 2000
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (each key once) on ``keys``, whatever the number of rows of one key.
 
-
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], rows_col: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``side`` on ``keys``; ``side`` has each key once and in ``rows_col`` its number of rows.
-
-    Keys with over 1/HOT_KEYS of the ``total`` rows (fewer than HOT_KEYS by count) are broadcast, all others shuffled."""
-    hot = F.broadcast(side.where(F.col(rows_col) * HOT_KEYS > total))
-    cold = side.where(F.col(rows_col) * HOT_KEYS <= total)
-    both = rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
-    return both.drop(rows_col)
+    ``side`` often comes from an aggregation on the keys. Joined as it is, both would share one shuffle, which leaves
+    all rows of a key in one task; checkpointed, it has a shuffle of its own, and the adaptive plan splits partitions
+    of ``rows`` that are far larger than others."""
+    return rows.join(checkpoint(side), keys)
 
 
 #: Size of a bit filter; with more keys than it holds well it lets more through, and nothing is lost.
@@ -176,10 +171,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = sig
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpoint(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
-        low2 = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = checkpoint(join_skewed(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        small = join_skewed(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         cur = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
     else:
         raise RuntimeError("components did not converge")

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, SPACE, bit_filter, checkpoint, components, fresh, join_hot, passes, release, small_batches
+from .common import Forest, SPACE, bit_filter, checkpoint, components, fresh, join_skewed, passes, release, small_batches
 
 #: Parameters: wanted similarity as a fraction, bands and rows a band, characters of a shingle.
 SIMILARITY = (4, 5)
@@ -330,12 +330,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     comp = line_components(docs)
     lines = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     lines = checkpoint(lines.join(comp, ["h", "h2"], "left").where("n > 1 or component is not null"))
-    alone = lines.where("component is null").select("h", "h2", "first", "n")
+    alone = lines.where("component is null").select("h", "h2", "first")
     linked = lines.where("component is not null").withColumnRenamed("first", "own")
-    tops = linked.groupBy("component").agg(F.min("own").alias("first"), F.count("*").alias("_rows"))
-    known = join_hot(linked, tops, ["component"], "_rows", linked.count()).select("h", "h2", "first", "n")
-    marks = alone.unionByName(known).withColumnRenamed("n", "_rows")
-    later = join_hot(occ, marks, ["h", "h2"], "_rows", occ.count()).where(F.struct("doc_id", "line_no") != F.col("first"))
+    tops = linked.groupBy("component").agg(F.min("own").alias("first"))
+    marks = alone.unionByName(join_skewed(linked, tops, ["component"]).select("h", "h2", "first"))
+    later = join_skewed(occ, marks, ["h", "h2"]).where(F.struct("doc_id", "line_no") != F.col("first"))
     out = checkpoint(later.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("dropped")))
     release(docs.sparkSession)
     return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, words_column
+from .common import SPACE, checkpoint, join_skewed, words_column
 
 WINDOW = 8
 
@@ -65,7 +65,9 @@ def judge(counts: DataFrame) -> DataFrame:
     """``counts`` with the document's own verdict and its host's, and ``kept``.
 
     A host's rate of failed documents f/n becomes (f + a)/(n + a + b), where a and b fit the mean and variance
-    of the rates of all hosts; a host above the limit is rejected. Documents without a host share one.
+    of the rates of all hosts; a host above the limit is rejected. Documents without a host share one. The variance
+    is that of the observed rates: where most hosts are small it includes their sampling noise, so the prior is
+    then weaker than the hosts' own spread would make it.
     """
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     soft_failed = (
@@ -85,7 +87,7 @@ def judge(counts: DataFrame) -> DataFrame:
     verdicts = hosts.crossJoin(F.broadcast(prior)).select(  # one row of prior
         "host_key", "n_docs", "n_failed", ((F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("alpha") + F.col("beta"))).alias("host_fail_rate")
     )
-    return rows.join(verdicts, "host_key").withColumn("kept", ~F.col("rule_failed") & (F.col("host_fail_rate") <= MAX_HOST_FAIL_RATE))
+    return join_skewed(rows, verdicts, ["host_key"]).withColumn("kept", ~F.col("rule_failed") & (F.col("host_fail_rate") <= MAX_HOST_FAIL_RATE))
 
 
 def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

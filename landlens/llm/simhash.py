@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpoint, components, fresh, join_hot, small_batches
+from .common import Forest, checkpoint, components, fresh, join_skewed, small_batches
 
 #: Widths of the six blocks of a 64-bit fingerprint.
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -117,10 +117,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty one; further columns of ``docs`` are ignored.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col))
-    reps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")))
+    reps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     comp = components(link_fingerprints(reps.where("rep is not null").select("rep", "fp"), max_distance))
-    known = reps.join(comp, reps.rep == comp.node, "left").select("fp", "_rows", F.coalesce("component", "rep").alias("component_id"))
-    return join_hot(prints, known, ["fp"], "_rows", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return join_skewed(prints, known, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4) -> DataFrame:

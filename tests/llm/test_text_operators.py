@@ -331,12 +331,3 @@ def test_filter_lets_every_key_through_and_few_others(spark):
     h = np.array([r.h for r in spark.range(10000).selectExpr("id", "xxhash64(id) h").orderBy("id").collect()])
     hit = passes(held.value, h)
     assert hit[:5000].all() and hit[5000:].sum() < 50
-
-
-def test_join_of_hot_keys(spark):
-    from landlens.llm import common
-
-    rows = spark.range(10000).selectExpr("id", "if(id < 5000, 0, id) k")
-    side = rows.groupBy("k").count().withColumnRenamed("count", "_rows")
-    got = common.join_hot(rows, side.selectExpr("k", "_rows", "k + 1 v"), ["k"], "_rows", 10000)
-    assert got.columns == ["k", "id", "v"] and got.count() == 10000 and got.where("v <> k + 1").count() == 0
