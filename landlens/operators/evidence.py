@@ -26,6 +26,73 @@ def coverage(opinions: DataFrame, documents: DataFrame) -> DataFrame:
     return totals.join(best, "opinion_id", "left").select("opinion_id", F.col("b.doc_id").alias("doc_id"), F.round(F.coalesce(F.col("b.n"), F.lit(0)) / F.col("total"), 6).alias("score"))
 
 
+#: Opinions whose 3-grams are held by a task at once, documents compared with them at once.
+OPINIONS, DOCUMENTS = 500, 128
+
+
+def _codes(text: str):
+    """Distinct 3-grams of a text as sorted numbers; a shorter text is its own."""
+    import numpy as np
+
+    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not len(p):
+        return p
+    p = np.concatenate((p, np.zeros(max(0, 3 - len(p)), np.int64)))
+    return np.unique((p[:-2] << 42) | (p[1:-1] << 21) | p[2:])
+
+
+def coverage_of_all(opinions: DataFrame, documents: DataFrame) -> DataFrame:
+    """As ``coverage``, but each opinion is compared with all documents, whatever their key.
+
+    The opinions are the stated queries: they are read in blocks of OPINIONS by the hash of their ids, each block's
+    grams are sent to all tasks, and one pass over the documents counts shared grams by products of incidence blocks. A task
+    returns the best document of each opinion, so a partition sends one row an opinion and no pairs arise."""
+    spark, out = documents.sparkSession, None
+    blocks = -(-opinions.count() // OPINIONS)
+    for i in range(blocks):
+        rows = opinions.where(F.pmod(F.xxhash64("opinion_id"), F.lit(blocks)) == i).select("opinion_id", "norm").collect()  # about OPINIONS rows
+        best = documents.select("doc_id", "norm").mapInArrow(_best_of(spark.sparkContext.broadcast([(r.opinion_id, r.norm) for r in rows])), "opinion_id long, doc_id long, n long")
+        out = best if out is None else out.unionByName(best)
+    totals = opinions.select("opinion_id", F.size(char_ngrams(F.col("norm"))).alias("total")).where("total > 0")
+    if out is None:
+        return totals.select("opinion_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
+    top = out.groupBy("opinion_id").agg(F.max_by(F.struct("doc_id", "n"), F.struct("n", -F.col("doc_id"))).alias("b"))
+    return totals.join(top, "opinion_id", "left").select("opinion_id", F.col("b.doc_id").alias("doc_id"), F.round(F.coalesce(F.col("b.n"), F.lit(0)) / F.col("total"), 6).alias("score"))
+
+
+def _best_of(held):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, sets = [o for o, _ in held.value], [_codes(t) for _, t in held.value]
+        names = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.int64)
+        asked = np.zeros((len(ids), len(names)), np.float32)
+        for row, codes in zip(asked, sets):
+            row[np.searchsorted(names, codes)] = 1
+        n, best = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(at, DOCUMENTS)
+                docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                there = np.zeros((len(docs), len(names)), np.float32)
+                for row, text in zip(there, texts):
+                    codes = _codes(text or "")
+                    at_names = np.minimum(np.searchsorted(names, codes), max(len(names) - 1, 0))
+                    if len(names) and len(codes):
+                        row[at_names[names[at_names] == codes]] = 1
+                shared = np.rint(asked @ there.T).astype(np.int64)
+                order = np.argsort(docs, kind="stable")
+                pick = order[shared[:, order].argmax(axis=1)]
+                count, doc = shared[np.arange(len(ids)), pick], np.array(docs)[pick]
+                better = (count > n) | ((count == n) & (count > 0) & (doc < best))
+                n[better], best[better] = count[better], doc[better]
+        some = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[some]), pa.array(best[some]), pa.array(n[some])], names=["opinion_id", "doc_id", "n"])
+
+    return run
+
+
 def verdict(score: Column, opinion: Column, status: Column, trivial: Column) -> Column:
     """Outcome of a match; what cannot be scored comes first."""
     return (

@@ -209,17 +209,24 @@ def summary_compare(summary: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 # -- strips ---------------------------------------------------------------------------------------------------------------
-MARKER = r"^\s*[○◦]"
+#: A department's name in square brackets, and the bullets, that start a record.
+MARK, BULLETS = r"^\s*\[\s*[^\]]{2,40}\s*\]", r"^\s*[○◦]"
+
+
+def has_mark(opinion: Column) -> Column:
+    """Whether an opinion starts with a department in brackets; an attachment's mark is none."""
+    return opinion.rlike(MARK) & ~F.ltrim(opinion).startswith("[붙임")
 
 
 def stitch(bands: DataFrame) -> DataFrame:
     """Strips of a document put together to records, in the order of ``band_no``.
 
-    A strip continues the record before it when opinion and status are empty, or when nothing in it starts a new one:
-    no marker (but an attachment mark), no status and no bullet. Texts join by line, statuses by space."""
+    A strip continues the record before it, within its group, when opinion and status are empty, or when nothing in it
+    starts a new one: no department's mark and no bullet at the opinion, no status, no bullet at the action. Texts join
+    by line, statuses by space; the other fields are those of the first strip."""
     w = Window.partitionBy("doc_id").orderBy("band_no")
-    blank = (F.col("op") == "") & (F.col("st") == "")
-    starts = (F.col("law").rlike(MARKER) & ~F.col("law").startswith("[붙임")) | (F.col("st") != "") | F.col("op").rlike(MARKER) | F.col("ac").rlike(MARKER)
+    blank = (F.col("op") == "") & (F.trim("st") == "")
+    starts = has_mark(F.col("op")) | (F.trim("st") != "") | F.col("op").rlike(BULLETS) | F.col("ac").rlike(BULLETS)
     before = F.lag("gun").over(w)
     new = before.isNull() | (before != F.col("gun")) | ~(blank | ~starts)
     rows = bands.withColumn("rec", F.sum(new.cast("int")).over(w))
@@ -230,15 +237,23 @@ def stitch(bands: DataFrame) -> DataFrame:
 
 
 def forward_hold(records: DataFrame) -> DataFrame:
-    """A record without action and status is held and put before the opinion of the next record of its group, unless that has a marker."""
+    """A record without action and status is held and put before the next record of its group, unless that has a mark.
+
+    A bare opinion (nothing, ○ or -) is not held for itself, but is once it has been joined to one that is: an island
+    ends where the group changes, a mark stands or the record before has an action or status, and within it all that
+    follows the first opinion which is not bare is joined."""
     w = Window.partitionBy("doc_id").orderBy("rec")
-    held = (F.col("ac") == "") & (F.col("st") == "") & ~F.trim(F.col("op")).isin("", "○", "◦")
-    prev_held = F.coalesce(F.lag(held).over(w), F.lit(False)) & (F.lag("gun").over(w) == F.col("gun"))
-    joins = prev_held & ~F.col("op").rlike(MARKER)
-    rows = records.withColumn("island", F.sum((~joins).cast("int")).over(w))
+    blank = (F.trim("ac") == "") & (F.trim("st") == "")
+    bare = F.regexp_replace("op", r"\s+", "").isin("", "○", "-")
+    cut = F.lag("gun").over(w).isNull() | (F.lag("gun").over(w) != F.col("gun")) | has_mark(F.col("op")) | ~F.lag(blank).over(w)
+    rows = records.withColumn("_island", F.sum(cut.cast("int")).over(w)).withColumn("_bare", bare)
+    within = Window.partitionBy("doc_id", "_island").orderBy("rec")
+    held_before = F.coalesce(F.max((~F.col("_bare")).cast("int")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    rows = rows.withColumn("_new", (~held_before).cast("int")).withColumn("_out", F.sum("_new").over(w))
     parts = F.array_sort(F.collect_list(F.struct("rec", "op")))
     last = lambda c: F.max_by(c, "rec").alias(c)
-    return rows.groupBy("doc_id", "island").agg(F.max("rec").alias("rec"), last("gun"), last("ac"), last("st"), parts.alias("p"), F.count("*").alias("n")).select("doc_id", "rec", "gun", "ac", "st", F.array_join(F.transform("p", lambda x: x["op"]), "\n").alias("op"), "n")
+    got = rows.groupBy("doc_id", "_out").agg(F.max("rec").alias("rec"), last("gun"), last("ac"), last("st"), parts.alias("p"), F.count("*").alias("n"))
+    return got.select("doc_id", "rec", "gun", "ac", "st", F.array_join(F.filter(F.transform("p", lambda x: x["op"]), lambda x: x != ""), "\n").alias("op"), "n")
 
 
 def fill_down(rows: DataFrame, columns: dict[str, str | None], part: str = "doc_id", order: str = "seq") -> DataFrame:
@@ -283,9 +298,13 @@ def ledger_search(rows: DataFrame, text: str, fields, **equal) -> DataFrame:
     return out
 
 
-def trivial(opinion: Column) -> Column:
-    """Opinions that only say that there is none."""
-    return flat(opinion).rlike("^[○◦\\-]*(?:해당(?:사항)?없음|의견없음|특이사항없음|저촉(?:사항)?없음)")
+#: Fixed phrases that say that there is no opinion; each space may stand or not.
+TRIVIAL = ("의견 없음", "검토의견 없음", "해당  없음", "해당 사항 없음", "저촉  없음", "저촉 사항 없음", "미회신", "이상 없음", "별도 의견 없음")
+
+
+def trivial(opinion: Column, phrases=TRIVIAL) -> Column:
+    """Opinions that start, bullets and dashes aside, by saying that there is none."""
+    return F.coalesce(opinion, F.lit("")).rlike(r"^[○\s\-·]*(?:" + "|".join(p.replace(" ", r"\s?") for p in phrases) + ")")
 
 
 def none_words(text: Column, words) -> Column:

@@ -34,7 +34,8 @@ def fix_source(source: Column, url: Column, names: dict[str, str], by_url, defau
 
 
 def news_tag(items: DataFrame, org_any, org_queries, place, with_any) -> DataFrame:
-    """Relevant items with ``tag`` both, org or site, judged on title and description without spaces."""
+    """Relevant items with ``tag`` both, org or site, judged on title and description without spaces; spaces in the rules' words do not count."""
+    org_any, place, with_any = ([w.replace(" ", "") for w in words] for words in (org_any, place, with_any))
     text = F.regexp_replace(F.concat_ws("", "title", "desc"), r"\s+", "")
     org = any_word(text, org_any) | F.col("query").isin(*org_queries)
     site = any_word(text, place) & any_word(text, with_any)

@@ -97,25 +97,60 @@ def halve(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     return inside.groupBy("raster_id", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.avg("v").alias("v"))
 
 
+def pyramid(cells: DataFrame, levels: int = 8, least: int = 4) -> DataFrame:
+    """All coarser levels: ``level`` from 1, each half the one before, as long as both sides keep ``least`` cells.
+
+    The size of a raster is that of its last row and column; each level is an aggregation over the one before."""
+    size = lambda rows: rows.groupBy("raster_id").agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"))
+    sizes, cur, out = size(cells), cells.select("raster_id", "row", "col", "v"), None
+    for level in range(1, levels + 1):
+        inside = cur.join(sizes, "raster_id").where(f"_rows div 2 >= {least} and _cols div 2 >= {least}").where("row < _rows - _rows % 2 and col < _cols - _cols % 2")
+        cur = inside.groupBy("raster_id", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.avg("v").alias("v"))
+        sizes = sizes.select("raster_id", F.expr("_rows div 2").alias("_rows"), F.expr("_cols div 2").alias("_cols"))
+        one = cur.withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def legend_use(rgb, legend, limit: float = 0.001) -> Column:
+    """Land use of a fill colour: ``white`` if all parts are within 0.01 of 1, else the nearest colour of ``legend``
+    (name, red, green, blue) if its squared distance is under ``limit``, else null; first of equals."""
+    far = [F.struct(sum((F.pow(c - v, 2) for c, v in zip(rgb, colour)), F.lit(0.0)).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("use")) for i, (name, *colour) in enumerate(legend)]
+    white = F.lit(True)
+    for c in rgb:
+        white = white & (F.abs(c - 1) < 0.01)
+    best = F.array_min(F.array(*far))
+    return F.when(white, "white").when(best["d"] < limit, best["use"])
+
+
+def classified_fills(fills: DataFrame, legend, legend_from: float = 760.0, least_area: float = 1.0) -> DataFrame:
+    """``fills(y, area, r, g, b)`` outside the legend's band (from ``legend_from`` down) and of enough area, with ``use``."""
+    kept = fills.where((F.col("y") <= legend_from) & (F.col("area") >= least_area))
+    return kept.withColumn("use", legend_use([F.col("r"), F.col("g"), F.col("b")], legend))
+
+
 def raster_stats(cells: DataFrame) -> DataFrame:
     return cells.groupBy("raster_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count_if(F.col("v").isNull()).alias("void"))
 
 
 def stretch(cells: DataFrame) -> DataFrame:
-    """Values mapped by their 2, 50 and 98 percentiles (of positive ones) to 20, 128 and 236; void cells 128."""
+    """Values mapped by their 2, 50 and 98 percentiles (of positive ones) to 20, 128 and 236, where a spread under 1 counts as 1; void cells and zeros 128."""
     v = F.col("v")
     q = cells.where("v > 0").groupBy("raster_id").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98))).alias("q"))
     low, mid, high = (F.col("q")[i] for i in range(3))
-    part = lambda a, b, lo, hi: lo + (hi - lo) * F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0))
-    level = F.when(v <= mid, part(low, mid, 20.0, 128.0)).otherwise(part(mid, high, 128.0, 236.0))
-    out = F.when(v.isNull(), 128.0).otherwise(F.greatest(F.least(level, F.lit(255.0)), F.lit(0.0)))
+    part = lambda a, b, lo, hi: lo + (hi - lo) * (v - a) / F.greatest(b - a, F.lit(1.0))
+    level = F.when(v < mid, part(low, mid, 20.0, 128.0)).otherwise(part(mid, high, 128.0, 236.0))
+    out = F.when(v.isNull() | (v == 0) | F.col("q").isNull(), 128.0).otherwise(F.greatest(F.least(level, F.lit(255.0)), F.lit(0.0)))
     return cells.join(q, "raster_id", "left").withColumn("level", out).drop("q")
 
 
 def hillshade(cells: DataFrame, resolution: float, z_factor: float = 1.0) -> DataFrame:
     """Mean light from four directions (225, 270, 315, 360 degrees, 45 high) as 1 to 255.
 
-    Gradients are central differences, one-sided on the edges; one window runs along rows, one along columns."""
+    Void cells count with the raster's median and come out 0. Gradients are central differences, one-sided on the edges;
+    one window runs along rows, one along columns. The mean of the four lights is held to 0 to 1."""
+    middle = cells.groupBy("raster_id").agg(F.median("v").alias("_mid"))
+    cells = cells.join(middle, "raster_id")
     across, down = Window.partitionBy("raster_id", "row").orderBy("col"), Window.partitionBy("raster_id", "col").orderBy("row")
 
     def gradient(w):
@@ -123,13 +158,13 @@ def hillshade(cells: DataFrame, resolution: float, z_factor: float = 1.0) -> Dat
         steps = before.isNotNull().cast("int") + after.isNotNull().cast("int")
         return F.coalesce(F.try_divide(F.coalesce(after, F.col("z")) - F.coalesce(before, F.col("z")), steps * resolution), F.lit(0.0))
 
-    g = cells.withColumn("z", F.col("v") * z_factor).withColumn("gx", gradient(across)).withColumn("gy", gradient(down))
+    g = cells.withColumn("z", F.coalesce("v", "_mid") * z_factor).withColumn("gx", gradient(across)).withColumn("gy", gradient(down))
     light = F.lit(0.0)
     for azimuth in (225.0, 270.0, 315.0, 360.0):
         a = F.radians(F.lit(azimuth))
         shade = (1 - F.col("gx") * F.sin(a) + F.col("gy") * F.cos(a)) / F.sqrt(2.0 * (1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
-        light = light + F.greatest(F.least(shade, F.lit(1.0)), F.lit(0.0)) / 4
-    return g.withColumn("shade", F.when(F.col("v").isNull(), 0.0).otherwise(light * 254 + 1)).drop("z", "gx", "gy")
+        light = light + shade / 4
+    return g.withColumn("shade", F.when(F.col("v").isNull(), 0.0).otherwise(F.greatest(F.least(light, F.lit(1.0)), F.lit(0.0)) * 254 + 1)).drop("z", "gx", "gy", "_mid")
 
 
 def sample(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -222,50 +257,90 @@ def building_shapes(labelled: DataFrame, cell_area: float) -> DataFrame:
     return labelled.groupBy("raster_id", "label").agg(F.count("*").alias("cells"), area.alias("area"), rank(0.2).alias("eave"), rank(0.95).alias("ridge"), F.avg("v").alias("mean"), (F.avg("v") * area).alias("volume"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"))
 
 
-def affine_ransac(pairs: DataFrame, trials: int = 2000, seed: int = 17, wide: float = 15.0, narrow: float = 10.0) -> DataFrame:
-    """Affine map from drawing to ground by the best of ``trials`` fits of three random pairs, refitted on its inliers.
+def _residual(m):
+    """Squared distance of a point from where the 2 x 3 matrix ``m`` puts it."""
+    at = lambda r: float(r[0]) * F.col("px") + float(r[1]) * F.col("py") + float(r[2])
+    return F.pow(at(m[0]) - F.col("gx"), 2) + F.pow(at(m[1]) - F.col("gy"), 2)
+
 
-    ``pairs(px, py, gx, gy)`` are control points: a few hundred at most by their kind, so they are broadcast; the
-    trials run in parallel, the first best wins."""
+def _least_squares(points: DataFrame):
+    """The 2 x 3 matrix of the least squares, from sums of products; None if they do not determine it."""
     import numpy as np
 
-    spark = pairs.sparkSession
-    limit = 100_000
-    pts = np.array([tuple(r) for r in pairs.select("px", "py", "gx", "gy").limit(limit + 1).collect()], dtype=float)
-    if len(pts) > limit:
-        raise ValueError("more control points than the method is made for")
-    held = spark.sparkContext.broadcast(pts)
+    terms = {"x": F.col("px"), "y": F.col("py"), "1": F.lit(1.0), "e": F.col("gx"), "n": F.col("gy")}
+    pairs = [(a, b) for a in "xy1" for b in "xy1en"]
+    r = points.agg(*[F.sum(terms[a] * terms[b]).alias(f"{a}_{b}") for a, b in pairs]).first()
+    if r["1_1"] is None or r["1_1"] < 3:
+        return None
+    left = np.array([[r[f"{a}_{b}"] for b in "xy1"] for a in "xy1"])
+    right = np.array([[r[f"{a}_{b}"] for b in "en"] for a in "xy1"])
+    return np.linalg.solve(left, right).T if np.linalg.matrix_rank(left) == 3 else None
 
-    def run(batches):
-        import pandas as pd
 
-        p = held.value
-        full = np.column_stack((p[:, 0], p[:, 1], np.ones(len(p))))
+def affine_ransac(points: DataFrame, trials: int = 2000, wide: float = 15.0, narrow: float = 10.0, refits: int = 5, seed: int = 7) -> DataFrame:
+    """Affine map (px, py) to (gx, gy): the trial with most points within ``wide`` (first best), refitted on its points within ``narrow``.
+
+    Trials draw triples from a bounded sample (three points a trial, chosen by a seeded hash); only the trials'
+    matrices go to the tasks, which count all points for all trials in one pass. Refits are sums of products. One row:
+    ``kept, median, rms, worst, scale, rotation``; none where no three points determine a map."""
+    import numpy as np
+
+    spark = points.sparkSession
+    points = points.select(*[F.col(c).cast("double").alias(c) for c in ("px", "py", "gx", "gy")]).dropna()
+    schema = "kept long, median double, rms double, worst double, scale double, rotation double"
+    drawn = points.orderBy(F.xxhash64("px", "py", "gx", "gy", F.lit(seed)), "px", "py", "gx", "gy").limit(3 * trials).collect()  # bounded by the trials
+    rng, rows, maps = np.random.default_rng(seed), np.array([tuple(r) for r in drawn]).reshape(-1, 4), []
+    for _ in range(trials if len(rows) >= 3 else 0):
+        pick = rows[rng.choice(len(rows), 3, replace=False)]
+        left = np.column_stack((pick[:, :2], np.ones(3)))
+        if abs(np.linalg.det(left)) > 1e-9:
+            maps.append(np.linalg.solve(left, pick[:, 2:]).T)
+    if not maps:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(np.array(maps))
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(len(held.value), np.int64)
         for b in batches:
-            rows = []
-            for t in b["id"]:
-                pick = np.random.default_rng((seed, int(t))).choice(len(p), 3, replace=False)
-                try:
-                    m = np.linalg.solve(full[pick], p[pick, 2:])
-                except np.linalg.LinAlgError:
-                    continue
-                rows.append((int(t), int((np.hypot(*(full @ m - p[:, 2:]).T) < wide).sum()), m.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["trial", "inliers", "m"])
-
-    tried = spark.range(trials).mapInPandas(run, "trial long, inliers long, m array<double>")
-    best = tried.agg(F.max_by(F.struct("m", "inliers"), F.struct("inliers", -F.col("trial"))).alias("b")).first().b
-    full = np.column_stack((pts[:, 0], pts[:, 1], np.ones(len(pts))))
-    m = np.array(best.m).reshape(3, 2)
-    for _ in range(5):
-        near = np.hypot(*(full @ m - pts[:, 2:]).T) < narrow
-        if near.sum() < 3:
-            break
-        m = np.linalg.lstsq(full[near], pts[near, 2:], rcond=None)[0]
-    err = np.hypot(*(full @ m - pts[:, 2:]).T)
-    err = err[err < narrow]
-    scale, turn = float(np.hypot(m[0, 0], m[0, 1])), float(np.degrees(np.arctan2(m[0, 1], m[0, 0])))
-    row = (len(err), float(np.median(err)), float(np.sqrt((err**2).mean())), float(err.max()), scale, turn)
-    return spark.createDataFrame([row], "kept long, median double, rms double, worst double, scale double, rotation double")
+            x = np.array([np.array(c) for c in b.columns])
+            for at in range(0, b.num_rows, 512):
+                own = x[:, at : at + 512]
+                off = np.einsum("tij,jn->tin", held.value, np.vstack((own[:2], np.ones(own.shape[1])))) - own[2:]
+                total += ((off**2).sum(axis=1) < wide * wide).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["trial", "n"])
+
+    won = points.mapInArrow(count, "trial long, n long").groupBy("trial").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "trial").first()
+    m = maps[won.trial]
+    for reach in [wide, *[narrow] * refits]:
+        better = _least_squares(points.where(_residual(m) < reach * reach))
+        m = m if better is None else better
+    err = F.sqrt(_residual(m))
+    stats = points.where(err < narrow).agg(F.count("*").alias("kept"), F.percentile_approx(err, 0.5, 10000).alias("median"), F.sqrt(F.avg(err * err)).alias("rms"), F.max(err).alias("worst"))
+    return stats.withColumns({"scale": F.lit(float(np.hypot(m[0, 0], m[0, 1]))), "rotation": F.lit(float(np.degrees(np.arctan2(m[0, 1], m[0, 0]))))})
+
+
+def segment_components(segments: DataFrame, checkpoint, max_rounds: int = 64) -> DataFrame:
+    """``segments`` with ``part``: alike for segments of one raster and level that share ends, directly or through others.
+
+    Each round every label takes the least label that its segments meet at an end, and then the one that that label takes,
+    so the rounds grow with the logarithm of the number of segments. ``checkpoint`` cuts the lineage."""
+    end = lambda x, y: F.concat_ws("/", F.bround(x, 6).cast("string"), F.bround(y, 6).cast("string"))
+    keys = ["raster_id", "level"]
+    ends = F.array(end("ax", "ay"), end("bx", "by"))
+    number = F.xxhash64("raster_id", "level", F.array_min(ends), F.array_max(ends))
+    cur = checkpoint(segments.withColumn("ends", ends).withColumn("part", number))
+    for _ in range(max_rounds):
+        at = cur.select(*keys, F.explode("ends").alias("end"), "part")
+        low = at.groupBy(*keys, "end").agg(F.min("part").alias("low"))
+        taken = checkpoint(at.join(low, [*keys, "end"]).groupBy("part").agg(F.min("low").alias("next")))
+        if taken.where("next <> part").isEmpty():
+            return cur.drop("ends")
+        onward = taken.select(F.col("part").alias("next"), F.col("next").alias("then"))
+        jump = taken.join(onward, "next").select("part", F.least("next", "then").alias("now"))
+        cur = checkpoint(cur.join(jump, "part").withColumn("part", F.col("now")).drop("now"))
+    raise RuntimeError("contour components did not converge")
 
 
 def chain_segments(segments: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     return d.select(
-        F.substring(F.substring_index(text, "\n", 1), 1, 120).alias("title"),
+        F.substring_index(text, "\n", 1).alias("title"),
         F.substring(text, 1, 300).alias("desc"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(400)).cast("int")), "yyyy-MM-dd").alias("date"),
         F.when(F.pmod("doc_id", F.lit(3)) == 0, "").otherwise(F.col("source")).alias("source"),
@@ -46,14 +46,14 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEWS_SQL = """news AS (
-  SELECT substr(split_part(coalesce(text, ''), chr(10), 1), 1, 120) AS title, substr(coalesce(text, ''), 1, 300) AS "desc",
+  SELECT split_part(coalesce(text, ''), chr(10), 1) AS title, substr(coalesce(text, ''), 1, 300) AS "desc",
          strftime(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER), '%Y-%m-%d') AS date,
          CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source, source AS query,
          'http://news.example/' || source || '/' || doc_id AS link, lang, doc_id AS seq
   FROM documents)"""
 
 #: Rules of the sample bindings: words of the tables' invented prose.
-ORG_ANY = ("thtion", "ungung", "tionré", "ciónra")
+ORG_ANY = ("th tion", "ungung", "tionré", "ciónra")
 ORG_QUERIES = ("src3", "src7")
 SITE_PLACE = ("andthe", "isthe", "derein", "dela")
 SITE_WITH = ("of", "und", "le", "os")

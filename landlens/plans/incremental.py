@@ -24,12 +24,12 @@ def sink_status(spark, sf_dir):
     return s.select("query", F.col("metrics")[0]["value"].alias("n"), F.col("updated").alias("last_date"))
 
 
-@C.add("SELECT o_orderkey AS seq, 'item ' || o_orderkey AS text, strftime(o_orderdate, '%Y-%m-%d') AS date, 'http://f/' || o_orderkey AS href FROM orders")
+@C.add("SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'x item ' || o_orderkey ELSE 'item ' || o_orderkey || ' more <b' END AS text, strftime(o_orderdate, '%Y-%m-%d') AS date, 'http://f/' || o_orderkey AS href FROM orders")
 def src_feed_xml(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
     day = F.col("o_orderdate").cast("timestamp_ntz")
     rss = F.concat(F.lit("<rss><channel><title>t</title><item><title>x</title><link>http://f/"), k, F.lit("</link><description>&lt;b&gt;item &lt;/b&gt; "), k, F.lit("</description><pubDate>"), F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 03:00:00 GMT</pubDate></item></channel></rss>"))
-    atom = F.concat(F.lit("<feed><entry><title>item "), k, F.lit('</title><link href="http://f/'), k, F.lit('"/><updated>'), F.date_format(day, "yyyy-MM-dd"), F.lit("T03:00:00Z</updated></entry></feed>"))
+    atom = F.concat(F.lit("<feed><entry><title>item "), k, F.lit('</title><media:group xmlns:media="m"><media:description>&lt;i&gt;more&lt;/i&gt; &lt;b</media:description></media:group><link href="http://f/'), k, F.lit('"/><updated>'), F.date_format(day, "yyyy-MM-dd"), F.lit("T03:00:00Z</updated></entry></feed>"))
     e = files.parse_feeds(o.select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 2 == 0, rss).otherwise(atom).alias("raw")))
     return e.select("seq", "text", F.col("when.date").alias("date"), "href")
 

@@ -119,7 +119,7 @@ def _materialised(df):
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="landlens-ckpt-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="landlens-ckpt-"))  # in tests only
     return df.checkpoint(eager=True)
 
 
@@ -135,14 +135,14 @@ def affine_fit_ransac(spark, sf_dir):
     k = F.col("c_custkey")
     x, y = (k % 300).cast("double"), (k * 7 % 200).cast("double")
     off = F.when(k % 10 == 0, 300.0).otherwise((k % 5 - 2) / 2.0)
-    p = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(x.alias("px"), y.alias("py"), (1000 + 5 * x - 0.03 * y + off).alias("gx"), (2000 + 0.03 * x + 5 * y - off).alias("gy"))
-    return S.affine_ransac(p, trials=500)
+    p = table(spark, sf_dir, "customer").select(x.alias("px"), y.alias("py"), (1000 + 5 * x - 0.03 * y + off).alias("gx"), (2000 + 0.03 * x + 5 * y - off).alias("gy"))
+    return S.affine_ransac(p)
 
 
 @C.add()
 def contour_chain(spark, sf_dir):
-    seg = S.contour_segments(cells(spark, sf_dir), (0.5, 1.5)).withColumn("part", F.floor(F.col("row") / 16))
-    return S.chain_segments(seg)
+    seg = S.contour_segments(cells(spark, sf_dir), (0.5, 1.5))
+    return S.chain_segments(S.segment_components(seg, _materialised))
 
 
 @C.add(f"""WITH {CELL_SQL}, m AS (SELECT raster_id, median(v) AS mid FROM ras GROUP BY raster_id), f AS (SELECT raster_id, row, col, coalesce(v, mid) AS v FROM ras JOIN m USING (raster_id)), q AS (SELECT raster_id, r, c, r * 2 AS row, c * 2 AS col FROM m, (SELECT unnest(generate_series(0, 9)) AS r), (SELECT unnest(generate_series(0, 19)) AS c))

@@ -104,9 +104,14 @@ def keyword_extract(spark, sf_dir):
     return L.keyword_extract(r, ("77", "action13"), "1$", pins).select("no", F.coalesce("grade", F.lit("")).alias("grade"))
 
 
-@C.add("SELECT c_custkey, c_custkey % 3 = 0 AS trivial FROM customer")
+_PHRASES = ("○ 해당 사항 없음.", "의견 있음, 해당없음", " · 이상없음", "- 검토의견 없음", "특이사항없음", "별도 의견 없음", "저촉없음", "미회신", "없음", "- 의견  없음")
+
+
+@C.add("SELECT c_custkey, c_custkey % 10 IN (0, 2, 3, 5, 6, 7) AND c_custkey % 4 <> 1 AS trivial FROM customer")
 def trivial_phrase(spark, sf_dir):
-    text = F.when(F.col("c_custkey") % 3 == 0, "○ 해당 사항 없음.").otherwise("의견 있음, 해당없음")
+    k = F.col("c_custkey")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (k % 10 + 1).cast("int"))
+    text = F.when(k % 4 == 1, F.concat("c_mktsegment", phrase)).otherwise(F.concat(phrase, "c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", L.trivial(text).alias("trivial"))
 
 
@@ -261,20 +266,20 @@ def org_row_rules(spark, sf_dir):
     return table(spark, sf_dir, "supplier").withColumn("r", r).select("s_suppkey", "r.dept", "r.note")
 
 
-BAND_SQL = """b0 AS (SELECT conv_id AS doc_id, turn AS band_no, conv_id * 1000 + turn AS k, substr(replace(text, chr(10), ' '), 1, 12) AS t FROM conversations),
- bands AS (SELECT doc_id, band_no, CASE WHEN band_no >= 3 THEN 'g2' ELSE 'g1' END AS gun, CASE WHEN k % 7 = 0 THEN 'law ' || k ELSE '' END AS law, CASE WHEN k % 3 = 0 THEN '○' || t WHEN k % 5 = 0 THEN '' ELSE t END AS op, CASE WHEN k % 4 = 0 THEN 'ac' || k ELSE '' END AS ac, CASE WHEN k % 4 = 1 THEN '반영' WHEN k % 11 = 0 THEN '미 반영' ELSE '' END AS st FROM b0)"""
+BAND_SQL = """b0 AS (SELECT conv_id AS doc_id, turn AS band_no, conv_id * 1000 + turn AS k, replace(text, chr(10), ' ') AS t FROM conversations),
+ bands AS (SELECT doc_id, band_no, CASE WHEN band_no >= 3 THEN 'g2' ELSE 'g1' END AS gun, CASE WHEN k % 7 = 0 THEN 'law ' || k ELSE '' END AS law, CASE WHEN k % 13 = 0 THEN '[환경과] ' || t WHEN k % 17 = 0 THEN '[붙임 1] ' || t WHEN k % 3 = 0 THEN '○' || t WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN '-' WHEN k % 7 = 1 THEN ' ○ ' ELSE t END AS op, CASE WHEN k % 4 = 0 THEN 'ac' || k ELSE '' END AS ac, CASE WHEN k % 4 = 1 THEN '반영' WHEN k % 11 = 0 THEN '미 반영' ELSE '' END AS st FROM b0)"""
 
 
 def bands(spark, sf_dir):
     c, k = table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn")
-    t, num = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 12), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
+    t, num = F.replace("text", F.lit("\n"), F.lit(" ")), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
     return c.select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("band_no"), F.when(F.col("turn") >= 3, "g2").otherwise("g1").alias("gun"), F.when(k % 7 == 0, F.concat(F.lit("law "), num)).otherwise("").alias("law"), F.lit("d").alias("dept"), F.lit(1).alias("page"),
-        F.when(k % 3 == 0, F.concat(F.lit("○"), t)).when(k % 5 == 0, "").otherwise(t).alias("op"), F.when(k % 4 == 0, F.concat(F.lit("ac"), num)).otherwise("").alias("ac"), F.when(k % 4 == 1, "반영").when(k % 11 == 0, "미 반영").otherwise("").alias("st"),
+        F.when(k % 13 == 0, F.concat(F.lit("[환경과] "), t)).when(k % 17 == 0, F.concat(F.lit("[붙임 1] "), t)).when(k % 3 == 0, F.concat(F.lit("○"), t)).when(k % 5 == 0, "").when(k % 7 == 0, "-").when(k % 7 == 1, " ○ ").otherwise(t).alias("op"), F.when(k % 4 == 0, F.concat(F.lit("ac"), num)).otherwise("").alias("ac"), F.when(k % 4 == 1, "반영").when(k % 11 == 0, "미 반영").otherwise("").alias("st"),
     )
 
 
-STITCH_SQL = rf"""{BAND_SQL}, n AS (SELECT *, CASE WHEN lag(gun) OVER w IS NULL OR lag(gun) OVER w <> gun OR NOT ((op = '' AND st = '') OR NOT (st <> '' OR regexp_matches(op, '^\s*[○◦]'))) THEN 1 ELSE 0 END AS new FROM bands WINDOW w AS (PARTITION BY doc_id ORDER BY band_no)),
+STITCH_SQL = rf"""{BAND_SQL}, n AS (SELECT *, CASE WHEN lag(gun) OVER w IS NULL OR lag(gun) OVER w <> gun OR NOT ((op = '' AND st = '') OR NOT (st <> '' OR regexp_matches(op, '^\s*[○◦]') OR (regexp_matches(op, '^\s*\[[^\]]+\]') AND NOT starts_with(op, '[붙임')))) THEN 1 ELSE 0 END AS new FROM bands WINDOW w AS (PARTITION BY doc_id ORDER BY band_no)),
  g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY band_no)::BIGINT AS rec FROM n), recs AS (SELECT doc_id, rec, arg_min(gun, band_no) AS gun, arg_min(law, band_no) AS law, coalesce(string_agg(op, chr(10) ORDER BY band_no) FILTER (WHERE op <> ''), '') AS op, coalesce(string_agg(ac, chr(10) ORDER BY band_no) FILTER (WHERE ac <> ''), '') AS ac, coalesce(string_agg(st, ' ' ORDER BY band_no) FILTER (WHERE st <> ''), '') AS st FROM g GROUP BY doc_id, rec)"""
 
 
@@ -283,8 +288,9 @@ def band_stitch(spark, sf_dir):
     return L.stitch(bands(spark, sf_dir)).select("doc_id", "rec", "gun", "law", "op", "ac", "st")
 
 
-@C.add(rf"""WITH {STITCH_SQL}, h AS (SELECT *, ac = '' AND st = '' AND trim(op, ' ') NOT IN ('', '○', '◦') AS held FROM recs), j AS (SELECT *, CASE WHEN coalesce(lag(held) OVER w, false) AND lag(gun) OVER w = gun AND NOT regexp_matches(op, '^\s*[○◦]') THEN 0 ELSE 1 END AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY rec)),
- i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY rec) AS island FROM j) SELECT doc_id, max(rec) AS rec, arg_max(gun, rec) AS gun, arg_max(ac, rec) AS ac, arg_max(st, rec) AS st, string_agg(op, chr(10) ORDER BY rec) AS op, count(*) AS n FROM i GROUP BY doc_id, island""")
+@C.add(rf"""WITH RECURSIVE {STITCH_SQL}, f AS (SELECT *, ac = '' AND st = '' AS blank, regexp_replace(op, '\s+', '', 'g') IN ('', '○', '-') AS bare, starts_with(op, '[환경과]') AS marked FROM recs),
+ walk AS (SELECT doc_id, rec, gun, blank AND NOT bare AS held, rec AS top FROM f WHERE rec = 1 UNION ALL SELECT f.doc_id, f.rec, f.gun, f.blank AND (NOT f.bare OR (w.held AND w.gun = f.gun AND NOT f.marked)), CASE WHEN w.held AND w.gun = f.gun AND NOT f.marked THEN w.top ELSE f.rec END FROM walk w JOIN f ON f.doc_id = w.doc_id AND f.rec = w.rec + 1)
+SELECT doc_id, max(rec) AS rec, arg_max(f.gun, rec) AS gun, arg_max(ac, rec) AS ac, arg_max(st, rec) AS st, coalesce(string_agg(op, chr(10) ORDER BY rec) FILTER (WHERE op <> ''), '') AS op, count(*) AS n FROM f JOIN walk USING (doc_id, rec) GROUP BY doc_id, top""")
 def band_forward_hold(spark, sf_dir):
     return L.forward_hold(L.stitch(bands(spark, sf_dir)))
 

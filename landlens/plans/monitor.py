@@ -21,7 +21,7 @@ def _first(text, rules):
 
 
 TAG_SQL = rf"""{NEWS_SQL}, spaced AS (SELECT *, regexp_replace(title || "desc", '\s+', '', 'g') AS flat FROM news),
- flags AS (SELECT *, {_any('flat', ORG_ANY)} OR query IN {ORG_QUERIES} AS org, {_any('flat', SITE_PLACE)} AND {_any('flat', SITE_WITH)} AS site FROM spaced),
+ flags AS (SELECT *, {_any('flat', [w.replace(' ', '') for w in ORG_ANY])} OR query IN {ORG_QUERIES} AS org, {_any('flat', SITE_PLACE)} AND {_any('flat', SITE_WITH)} AS site FROM spaced),
  tagged AS (SELECT *, CASE WHEN org AND site THEN 'both' WHEN org THEN 'org' ELSE 'site' END AS tag, substr(regexp_replace(title, '[^\p{{L}}\p{{N}}_]', '', 'g'), 1, 40) AS key FROM flags WHERE org OR site)"""
 DEDUP_SQL = f"""{TAG_SQL}, first AS (SELECT * FROM tagged QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1),
  topics AS (SELECT *, CASE WHEN tag IN ('site', 'both') THEN {_first("(title || ' ' || \"desc\")", TOPICS['site'])} ELSE {_first("(title || ' ' || \"desc\")", TOPICS['org'])} END AS topic FROM first)"""
@@ -96,7 +96,7 @@ def page_slice(spark, sf_dir):
 
 GRADE_RULES = {"hard_exclude": [["1-URGENT", "O"]], "exclude": [["LOW"]], "guard": ["F"], "land": [["HIGH", "F"], ["MEDIUM", "O"]], "core": [["HIGH"], ["NOT", "P"]]}
 GRADE_SQL = """CASE WHEN (contains(t, '1-URGENT') AND contains(t, 'O')) OR (contains(t, 'LOW') AND NOT contains(t, 'F')) THEN NULL WHEN (contains(t, 'HIGH') AND contains(t, 'F')) OR (contains(t, 'MEDIUM') AND contains(t, 'O')) THEN 'land' WHEN contains(t, 'HIGH') OR (contains(t, 'NOT') AND contains(t, 'P')) THEN 'core' ELSE 'related' END"""
-RECORDS_SQL = f"""{PORTAL_SQL}, recs AS (SELECT o_orderkey AS seq, id, trim(pri, ' ') AS title, se, substr(dt, 1, 4) || '-' || substr(dt, 5, 2) || '-' || substr(dt, 7, 2) AS date, CASE o_orderkey % 5 WHEN 0 THEN '공개' WHEN 1 THEN '부분공개' ELSE '비공개' END AS othbc,
+RECORDS_SQL = f"""{PORTAL_SQL}, recs AS (SELECT o_orderkey AS seq, id, instt, trim(pri, ' ') AS title, se, substr(dt, 1, 4) || '-' || substr(dt, 5, 2) || '-' || substr(dt, 7, 2) AS date, CASE o_orderkey % 5 WHEN 0 THEN '공개' WHEN 1 THEN '부분공개' ELSE '비공개' END AS othbc,
  CASE WHEN o_orderkey % 4 = 0 THEN 'orginl' ELSE 'infolist' END AS kind, trim(pri, ' ') || ' ' || o_orderstatus AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'Plans' ELSE 'Roads' END AS dept, o_orderkey % 3 = 0 AS has_orginl, 'k' || (o_orderkey % 6) AS kwd FROM raw), graded AS (SELECT *, {GRADE_SQL} AS grade FROM recs)"""
 
 
@@ -156,7 +156,7 @@ def portal_trend_24m(spark, sf_dir):
     return M.trend_24_months(records(spark, sf_dir), "1998-06")
 
 
-@C.add(f"WITH {RECORDS_SQL} SELECT seq FROM graded WHERE contains(lower(title || ' Office ' || dept || ' ' || seq), 'h') AND contains(lower(title || ' Office ' || dept || ' ' || seq), '1') AND se IN ('C', 'B') AND date >= '1995-01-01' AND date <= '1997-12-31'")
+@C.add(f"WITH {RECORDS_SQL} SELECT seq FROM graded WHERE contains(lower(title || ' ' || instt || ' ' || dept || ' ' || seq), 'h') AND contains(lower(title || ' ' || instt || ' ' || dept || ' ' || seq), '1') AND se IN ('C', 'B') AND date >= '1995-01-01' AND date <= '1997-12-31'")
 def portal_search(spark, sf_dir):
     from ..functions.text import rule_hits
 
@@ -173,9 +173,9 @@ def portal_sort(spark, sf_dir):
     return top.select("seq", "date", F.row_number().over(Window.orderBy("date", "seq")).cast("long").alias("place"))
 
 
-@C.add(f"WITH {RECORDS_SQL} SELECT id, count(*) AS n FROM recs GROUP BY id ORDER BY n DESC, id LIMIT 12")
+@C.add(f"WITH {RECORDS_SQL} SELECT instt, count(*) AS n FROM recs GROUP BY instt ORDER BY n DESC, instt LIMIT 12")
 def top_institutions(spark, sf_dir):
-    return records(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(12)
+    return records(spark, sf_dir).groupBy("instt").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "instt").limit(12)
 
 
 @C.add(f"WITH {RECORDS_SQL} SELECT id, seq, CAST(2 AS BIGINT) AS n_files FROM recs WHERE othbc = '공개' QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN kind = 'orginl' THEN 0 ELSE 1 END, seq) = 1")

@@ -264,19 +264,16 @@ def wall_distance_angle(spark, sf_dir):
     return half_points(spark, sf_dir).select("id", R(d).alias("distance"), R(F.degrees(F.atan2(F.lit(6.4), d))).alias("angle"))
 
 
-COLORS = (("housing", 1.0, 0.9, 0.6), ("industry", 0.6, 0.7, 1.0), ("green", 0.6, 0.9, 0.5))
+COLORS = (("housing", 1.0, 0.9, 0.6), ("industry", 0.6, 0.7, 1.0), ("green", 0.6, 0.8, 0.8))
 
 
-@C.add("WITH c AS (SELECT p_partkey, (p_partkey % 11) / 10.0 AS r, (p_partkey % 10) / 10.0 AS g, (p_partkey % 11) / 10.0 * 0.5 + 0.5 AS b FROM part), d AS (SELECT *, (r - 1.0) ** 2 + (g - 0.9) ** 2 + (b - 0.6) ** 2 AS d1, (r - 0.6) ** 2 + (g - 0.7) ** 2 + (b - 1.0) ** 2 AS d2, (r - 0.6) ** 2 + (g - 0.9) ** 2 + (b - 0.5) ** 2 AS d3 FROM c) SELECT p_partkey, CASE WHEN abs(r - 1) <= 0.01 AND abs(g - 1) <= 0.01 AND abs(b - 1) <= 0.01 THEN 'white' WHEN least(d1, d2, d3) >= 0.05 THEN NULL WHEN d1 <= d2 AND d1 <= d3 THEN 'housing' WHEN d2 <= d3 THEN 'industry' ELSE 'green' END AS use FROM d")
+@C.add("""WITH c AS (SELECT p_partkey, (p_partkey % 11) / 10.0 + (p_partkey % 7) / 100.0 AS r, (p_partkey % 10) / 10.0 + 0.1 AS g, (p_partkey % 11) / 10.0 * 0.5 + 0.5 AS b, p_size * 20.0 AS y, p_retailprice / 1000.0 AS area FROM part),
+ d AS (SELECT *, (r - 1.0) ** 2 + (g - 0.9) ** 2 + (b - 0.6) ** 2 AS d1, (r - 0.6) ** 2 + (g - 0.7) ** 2 + (b - 1.0) ** 2 AS d2, (r - 0.6) ** 2 + (g - 0.8) ** 2 + (b - 0.8) ** 2 AS d3 FROM c WHERE y <= 760 AND area >= 1)
+SELECT p_partkey, CASE WHEN abs(r - 1) < 0.01 AND abs(g - 1) < 0.01 AND abs(b - 1) < 0.01 THEN 'white' WHEN least(d1, d2, d3) >= 0.001 THEN NULL WHEN d1 <= d2 AND d1 <= d3 THEN 'housing' WHEN d2 <= d3 THEN 'industry' ELSE 'green' END AS use FROM d""")
 def legend_color(spark, sf_dir):
     k = F.col("p_partkey")
-    rgb = [(k % 11) / 10.0, (k % 10) / 10.0, (k % 11) / 10.0 * 0.5 + 0.5]
-    far = [F.struct(sum((F.pow(c - v, 2) for c, v in zip(rgb, cv)), F.lit(0.0)).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("use")) for i, (name, *cv) in enumerate(COLORS)]
-    white = F.lit(True)
-    for c in rgb:
-        white = white & (F.abs(c - 1) <= 0.01)
-    best = F.array_min(F.array(*far))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(white, "white").when(best["d"] < 0.05, best["use"]).alias("use"))
+    f = table(spark, sf_dir, "part").select("p_partkey", ((k % 11) / 10.0 + (k % 7) / 100.0).alias("r"), ((k % 10) / 10.0 + 0.1).alias("g"), ((k % 11) / 10.0 * 0.5 + 0.5).alias("b"), (F.col("p_size") * 20.0).alias("y"), (F.col("p_retailprice") / 1000.0).cast("double").alias("area"))
+    return S.classified_fills(f, COLORS).select("p_partkey", "use")
 
 
 LINE_SQL = "ln AS (SELECT c_custkey AS line_id, c_nationkey % 5 AS code, (c_custkey % 40)::DOUBLE AS a, (c_custkey % 30 + 100)::DOUBLE AS b FROM customer)"
@@ -336,9 +333,17 @@ def cells(spark, sf_dir):
     return e.groupBy("raster_id", F.floor(F.col("vec_id") / 10).alias("row"), F.col("col").cast("long").alias("col")).agg(F.avg(v).alias("v"))
 
 
-@C.add(f"WITH {CELL_SQL} SELECT raster_id, row // 2 AS row, col // 2 AS col, round(avg(v), 8) AS v FROM ras WHERE row < 50 - 0 AND col < 64 GROUP BY raster_id, row // 2, col // 2")
+def _levels():
+    """SQL of the pyramid: each level from the one before, with the raster's size halved."""
+    sql = [f"WITH {CELL_SQL}", "l0 AS (SELECT raster_id, row, col, v, max(row) OVER p + 1 AS nr, max(col) OVER p + 1 AS nc FROM ras WINDOW p AS (PARTITION BY raster_id))"]
+    for i in range(1, 9):
+        sql.append(f"l{i} AS (SELECT raster_id, row // 2 AS row, col // 2 AS col, avg(v) AS v, any_value(nr) // 2 AS nr, any_value(nc) // 2 AS nc FROM l{i - 1} WHERE nr // 2 >= 4 AND nc // 2 >= 4 AND row < nr - nr % 2 AND col < nc - nc % 2 GROUP BY raster_id, row // 2, col // 2)")
+    return ", ".join(sql) + " " + " UNION ALL ".join(f"SELECT {i} AS level, raster_id, row, col, round(v, 8) AS v FROM l{i}" for i in range(1, 9))
+
+
+@C.add(_levels())
 def raster_pyramid(spark, sf_dir):
-    return S.halve(cells(spark, sf_dir), 50, 64).select("raster_id", "row", "col", R(F.col("v"), 8).alias("v"))
+    return S.pyramid(cells(spark, sf_dir)).select("level", "raster_id", "row", "col", R(F.col("v"), 8).alias("v"))
 
 
 @C.add(f"WITH {CELL_SQL} SELECT raster_id, min(v) AS low, max(v) AS high, round(avg(v), 8) AS mean, count(*) - count(v) AS void FROM ras GROUP BY raster_id")
@@ -346,19 +351,19 @@ def raster_stats(spark, sf_dir):
     return S.raster_stats(cells(spark, sf_dir)).withColumn("mean", R(F.col("mean"), 8))
 
 
-@C.add(f"WITH {CELL_SQL}, q AS (SELECT raster_id, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.98) AS c FROM ras WHERE v > 0 GROUP BY raster_id) SELECT raster_id, row, col, round(CASE WHEN v IS NULL THEN 128 ELSE greatest(least(CASE WHEN v <= b THEN 20 + 108 * (v - a) / (b - a) ELSE 128 + 108 * (v - b) / (c - b) END, 255), 0) END, 4)::DOUBLE AS level FROM ras LEFT JOIN q USING (raster_id)")
+@C.add(f"WITH {CELL_SQL}, q AS (SELECT raster_id, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.98) AS c FROM ras WHERE v > 0 GROUP BY raster_id) SELECT raster_id, row, col, round(CASE WHEN v IS NULL OR v = 0 OR a IS NULL THEN 128 ELSE greatest(least(CASE WHEN v < b THEN 20 + 108 * (v - a) / greatest(b - a, 1) ELSE 128 + 108 * (v - b) / greatest(c - b, 1) END, 255), 0) END, 4)::DOUBLE AS level FROM ras LEFT JOIN q USING (raster_id)")
 def raster_stretch(spark, sf_dir):
     return S.stretch(cells(spark, sf_dir)).select("raster_id", "row", "col", R(F.col("level"), 4).alias("level"))
 
 
-_SHADE = " + ".join(f"greatest(least((1 - gx * sin(radians({a})) + gy * cos(radians({a}))) / sqrt(2.0 * (1 + gx * gx + gy * gy)), 1), 0)" for a in (225, 270, 315, 360))
+_SHADE = " + ".join(f"(1 - gx * sin(radians({a})) + gy * cos(radians({a}))) / sqrt(2.0 * (1 + gx * gx + gy * gy))" for a in (225, 270, 315, 360))
 
 
 def _grad(w):
     return f"CASE WHEN lag(v) OVER {w} IS NULL AND lead(v) OVER {w} IS NULL THEN 0 ELSE coalesce((coalesce(lead(v) OVER {w}, v) - coalesce(lag(v) OVER {w}, v)) / (((lag(v) OVER {w} IS NOT NULL)::INT + (lead(v) OVER {w} IS NOT NULL)::INT) * 2.0), 0) END"
 
 
-@C.add(f"WITH {CELL_SQL}, g AS (SELECT *, {_grad('a')} AS gx, {_grad('d')} AS gy FROM ras WINDOW a AS (PARTITION BY raster_id, row ORDER BY col), d AS (PARTITION BY raster_id, col ORDER BY row)) SELECT raster_id, row, col, round(CASE WHEN v IS NULL THEN 0 ELSE ({_SHADE}) / 4 * 254 + 1 END, 4) AS shade FROM g")
+@C.add(f"WITH {CELL_SQL}, filled AS (SELECT raster_id, row, col, v IS NULL AS void, coalesce(v, median(v) OVER (PARTITION BY raster_id)) AS v FROM ras), g AS (SELECT *, {_grad('a')} AS gx, {_grad('d')} AS gy FROM filled WINDOW a AS (PARTITION BY raster_id, row ORDER BY col), d AS (PARTITION BY raster_id, col ORDER BY row)) SELECT raster_id, row, col, round(CASE WHEN void THEN 0 ELSE greatest(least(({_SHADE}) / 4, 1), 0) * 254 + 1 END, 4)::DOUBLE AS shade FROM g")
 def hillshade_multi(spark, sf_dir):
     return S.hillshade(cells(spark, sf_dir), 2.0).select("raster_id", "row", "col", R(F.col("shade"), 4).alias("shade"))
 
@@ -414,28 +419,28 @@ def tile_inventory(spark, sf_dir):
 
 
 # -- evidence -------------------------------------------------------------------------------------------------------------------
-EV_SQL = r"""op AS (SELECT item_id AS opinion_id, item_id % 8 AS key, lower(regexp_replace(text, '\s+', '', 'g')) AS norm FROM benchmark), ev AS (SELECT doc_id, doc_id % 8 AS key, lower(regexp_replace(text, '\s+', '', 'g')) AS norm FROM documents),
+EV_SQL = r"""op AS (SELECT item_id AS opinion_id, 0 AS key, lower(regexp_replace(text, '\s+', '', 'g')) AS norm FROM benchmark), ev AS (SELECT doc_id, 0 AS key, lower(regexp_replace(text, '\s+', '', 'g')) AS norm FROM documents),
  og AS (SELECT DISTINCT key, opinion_id, substr(norm, i, 3) AS g FROM (SELECT *, unnest(generate_series(1, greatest(length(norm) - 2, 1))) AS i FROM op)), eg AS (SELECT DISTINCT key, doc_id, substr(norm, i, 3) AS g FROM (SELECT *, unnest(generate_series(1, greatest(length(norm) - 2, 1))) AS i FROM ev)),
  t AS (SELECT opinion_id, count(*) AS total FROM og GROUP BY 1), s AS (SELECT opinion_id, doc_id, count(*) AS n FROM og JOIN eg USING (key, g) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY opinion_id ORDER BY n DESC, doc_id) = 1),
  sc AS (SELECT opinion_id, doc_id, round(coalesce(n, 0) / total, 6) AS score FROM t LEFT JOIN s USING (opinion_id))"""
 
 
 def evidence(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("opinion_id"), (F.col("item_id") % 8).alias("key"), F.lower(T.flat(F.col("text"))).alias("norm"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("key"), F.lower(T.flat(F.col("text"))).alias("norm"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("opinion_id"), F.lower(T.flat(F.col("text"))).alias("norm"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(T.flat(F.col("text"))).alias("norm"))
     return b, d
 
 
-@C.add(f"WITH {EV_SQL} SELECT opinion_id, count(*) AS n FROM op JOIN ev USING (key) GROUP BY opinion_id")
+@C.add(f"WITH {EV_SQL} SELECT opinion_id, count(*) AS n FROM (SELECT opinion_id, opinion_id % 8 AS b FROM op) JOIN (SELECT doc_id % 8 AS b FROM ev) USING (b) GROUP BY opinion_id")
 def evidence_candidates(spark, sf_dir):
     b, d = evidence(spark, sf_dir)
-    per_key = d.groupBy("key").agg(F.count("*").alias("n"))
-    return b.join(per_key, "key").select("opinion_id", "n")
+    per_key = d.groupBy((F.col("doc_id") % 8).alias("key")).agg(F.count("*").alias("n"))
+    return b.withColumn("key", F.col("opinion_id") % 8).join(per_key, "key").select("opinion_id", "n")
 
 
 @C.add(f"WITH {EV_SQL} SELECT opinion_id, doc_id, score FROM sc")
 def evidence_coverage(spark, sf_dir):
-    return E.coverage(*evidence(spark, sf_dir))
+    return E.coverage_of_all(*evidence(spark, sf_dir))
 
 
 VERDICT_SQL = "CASE WHEN score >= 0.85 THEN '일치' WHEN score >= 0.60 THEN '부분일치' ELSE '상이' END"
@@ -443,13 +448,13 @@ VERDICT_SQL = "CASE WHEN score >= 0.85 THEN '일치' WHEN score >= 0.60 THEN '
 
 @C.add(f"WITH {EV_SQL} SELECT {VERDICT_SQL} AS verdict, count(*) AS n FROM sc GROUP BY 1")
 def match_verdicts(spark, sf_dir):
-    scored = E.coverage(*evidence(spark, sf_dir))
+    scored = E.coverage_of_all(*evidence(spark, sf_dir))
     return scored.select(E.verdict(F.col("score"), F.lit("x"), F.lit(""), F.lit(False)).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @C.add(f"WITH {EV_SQL} SELECT opinion_id FROM sc WHERE {VERDICT_SQL} IN ('부분일치', '상이')")
 def verify_filter(spark, sf_dir):
-    scored = E.coverage(*evidence(spark, sf_dir))
+    scored = E.coverage_of_all(*evidence(spark, sf_dir))
     return scored.where(E.verdict(F.col("score"), F.lit("x"), F.lit(""), F.lit(False)).isin("부분일치", "상이")).select("opinion_id")
 
 
@@ -459,6 +464,6 @@ def longest_common_excerpt(spark, sf_dir):
     from ..functions.helpers import longest_common_excerpt as excerpt
 
     b, d = evidence(spark, sf_dir)
-    won = E.coverage(b, d).where("score >= 0.35")
+    won = E.coverage_of_all(b, d).where("score >= 0.35")
     j = won.join(b.select("opinion_id", F.col("norm").alias("op")), "opinion_id").join(d.select("doc_id", F.col("norm").alias("src")), "doc_id")
     return j.select("opinion_id", "doc_id", "score", excerpt("op", "src").alias("excerpt"))

@@ -65,14 +65,15 @@ def best_date(spark, sf_dir):
 
 
 PAGE_SQL = """metas AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<META property="og:description" content=" A &amp; ' || url || ' ">' WHEN page_id % 3 = 1 THEN '<meta content=''D ' || url || ''' name="description">' ELSE '' END
- || '<meta property="article:published_time" content="2024-0' || (1 + page_id % 9) || '-1' || (page_id % 10) || 'T09:00:00+09:00">' || substr(html, 1, 200) AS html FROM pages)"""
+ || '<meta property="article:published_time" content="2024' || sep || '0' || (1 + page_id % 9) || sep || '1' || (page_id % 10) || 'T09:00:00+09:00">' || html AS html FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN '-' WHEN 1 THEN '.' WHEN 2 THEN '/' ELSE '' END AS sep FROM pages))"""
 
 
 def _metas(spark, sf_dir):
     p, i = table(spark, sf_dir, "pages"), F.col("page_id")
     desc = F.when(i % 3 == 0, F.concat(F.lit('<META property="og:description" content=" A &amp; '), "url", F.lit(' ">'))).when(i % 3 == 1, F.concat(F.lit("<meta content='D "), "url", F.lit("' name=\"description\">"))).otherwise("")
-    stamp = F.concat(F.lit('<meta property="article:published_time" content="2024-0'), (1 + i % 9).cast("string"), F.lit("-1"), (i % 10).cast("string"), F.lit('T09:00:00+09:00">'))
-    return p.select("page_id", F.concat(desc, stamp, F.substring("html", 1, 200)).alias("html"))
+    sep = F.when(i % 4 == 0, "-").when(i % 4 == 1, ".").when(i % 4 == 2, "/").otherwise("")
+    stamp = F.concat(F.lit('<meta property="article:published_time" content="2024'), sep, F.lit("0"), (1 + i % 9).cast("string"), sep, F.lit("1"), (i % 10).cast("string"), F.lit('T09:00:00+09:00">'))
+    return p.select("page_id", F.concat(desc, stamp, "html").alias("html"))
 
 
 @C.add(f"""WITH {PAGE_SQL} SELECT page_id, trim(replace(CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, 'content="([^"]*)"', 1) ELSE '' END, '&amp;', '&'), ' ') AS og FROM metas""")
@@ -80,7 +81,7 @@ def html_meta(spark, sf_dir):
     return _metas(spark, sf_dir).select("page_id", F.trim(H.html_unescape(T.html_meta(F.col("html"), "og:description"))).alias("og"))
 
 
-@C.add(rf"""WITH {PAGE_SQL} SELECT page_id, substr(trim(CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, 'content="([^"]*)"', 1) WHEN page_id % 3 = 1 THEN regexp_extract(html, 'content=''([^'']*)''', 1) ELSE '' END, ' '), 1, 400) AS summary FROM metas""")
+@C.add(rf"""WITH {PAGE_SQL} SELECT page_id, substr(trim(CASE WHEN page_id % 3 = 0 THEN replace(regexp_extract(html, 'content="([^"]*)"', 1), '&amp;', '&') WHEN page_id % 3 = 1 THEN regexp_extract(html, 'content=''([^'']*)''', 1) ELSE '' END, ' '), 1, 400) AS summary FROM metas""")
 def html_summary(spark, sf_dir):
     return _metas(spark, sf_dir).select("page_id", T.html_summary(F.col("html")).alias("summary"))
 
@@ -90,21 +91,21 @@ def html_pub_date(spark, sf_dir):
     return _metas(spark, sf_dir).select("page_id", T.html_published(F.col("html")).alias("date"))
 
 
-@C.add("SELECT doc_id, substr(text, 1, 50) AS text FROM documents")
+@C.add("SELECT doc_id, text FROM documents")
 def decode_bytes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("raw", F.encode(F.substring("text", 1, 50), "utf-8"))
+    d = table(spark, sf_dir, "documents").withColumn("raw", F.encode("text", "utf-8"))
     sound = F.try_validate_utf8(F.col("raw").cast("string"))
     return d.select("doc_id", F.when(sound.isNotNull(), sound).otherwise(H.decode_bytes("raw")).alias("text"))
 
 
-KOREAN_SQL = """ko AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 40) || '이 사업은 지원을 한다.' WHEN 1 THEN substr(text, 1, 10) || '一丁七万丈三上' WHEN 2 THEN substr(text, 1, 20) || 'ㄱㄴㄷ' WHEN 3 THEN '' ELSE text END AS s FROM documents),
+KOREAN_SQL = """ko AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || '이 사업은 지원을 한다.' WHEN 1 THEN lang || '一丁七万丈三上' WHEN 2 THEN text || 'ㄱㄴㄷ' WHEN 3 THEN '' ELSE text END AS s FROM documents),
  k AS (SELECT doc_id, s, (contains(s, '이 ')::INT + contains(s, '다.')::INT + contains(s, '는 ')::INT + contains(s, '을 ')::INT + contains(s, '를 ')::INT + contains(s, '의 ')::INT + contains(s, '에 ')::INT + contains(s, '했')::INT + contains(s, '한다')::INT + contains(s, '하는')::INT + contains(s, '기업')::INT + contains(s, '지원')::INT + contains(s, '사업')::INT) AS n,
  length(s) - length(regexp_replace(s, '[一-鿿]', '', 'g')) AS han, length(s) - length(regexp_replace(s, '[ㄱ-ㆎ]', '', 'g')) AS jamo FROM ko)"""
 
 
 def _korean(spark, sf_dir):
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id") % 5
-    s = F.when(i == 0, F.concat(F.substring("text", 1, 40), F.lit("이 사업은 지원을 한다."))).when(i == 1, F.concat(F.substring("text", 1, 10), F.lit("一丁七万丈三上"))).when(i == 2, F.concat(F.substring("text", 1, 20), F.lit("ㄱㄴㄷ"))).when(i == 3, "").otherwise(F.col("text"))
+    s = F.when(i == 0, F.concat(F.col("text"), F.lit("이 사업은 지원을 한다."))).when(i == 1, F.concat(F.col("lang"), F.lit("一丁七万丈三上"))).when(i == 2, F.concat(F.col("text"), F.lit("ㄱㄴㄷ"))).when(i == 3, "").otherwise(F.col("text"))
     return d.select("doc_id", s.alias("s"))
 
 
@@ -126,7 +127,7 @@ def news_publish(spark, sf_dir):
     return publish(n.withColumns({"summary": F.substring("desc", 1, 100), "source": F.when(F.col("source") == "", "기타").otherwise(F.col("source"))}), tag="lang", topic="query")
 
 
-PORTAL_SQL = """raw AS (SELECT 'N' || o_custkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'W' WHEN 2 THEN 'B' WHEN 3 THEN 'E' ELSE 'X' END AS se, strftime(o_orderdate, '%Y%m%d') AS dt, o_orderpriority AS pri, o_orderkey, o_orderstatus FROM orders)"""
+PORTAL_SQL = """raw AS (SELECT 'N' || o_custkey AS id, 'Office ' || (o_custkey % 40) AS instt, CASE o_orderkey % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'W' WHEN 2 THEN 'B' WHEN 3 THEN 'E' ELSE 'X' END AS se, strftime(o_orderdate, '%Y%m%d') AS dt, o_orderpriority AS pri, o_orderkey, o_orderstatus FROM orders)"""
 
 
 def portal_raw(spark, sf_dir):
@@ -134,13 +135,13 @@ def portal_raw(spark, sf_dir):
     o, i = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 5
     se = F.when(i == 0, "C").when(i == 1, "W").when(i == 2, "B").when(i == 3, "E").otherwise("X")
     return o.select(
-        F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("PRDCTN_INSTT_REGIST_NO"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("INFO_SJ"), F.lit(" Office ").alias("PROC_INSTT_NM"), se.alias("INSTT_SE_CD"),
+        F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("PRDCTN_INSTT_REGIST_NO"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("INFO_SJ"), F.concat(F.lit(" Office "), (F.col("o_custkey") % 40).cast("string")).alias("PROC_INSTT_NM"), se.alias("INSTT_SE_CD"),
         F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.lit("Roads")).alias("NFLST_CHRG_DEPT_NM"), F.lit("Plans").alias("CHRG_DEPT_NM"), F.col("o_orderkey").cast("string").alias("DOC_NO"), F.lit("Kim").alias("CHARGER_NM"), F.col("o_orderstatus").alias("UNIT_JOB_NM"),
         F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyyMMdd").alias("PRDCTN_DT"), F.when(i == 0, "1").when(i == 1, "2").otherwise("3").alias("OTHBC_SE_CD"), F.lit("a|b").alias("FILE_NM"), F.when(F.col("o_orderkey") % 3 == 0, "Y").otherwise("N").alias("ORGNAL_YN"), F.col("o_orderkey").alias("seq"),
     )
 
 
-@C.add(f"""WITH {PORTAL_SQL} SELECT o_orderkey AS seq, id, trim(pri, ' ') AS title, 'Office' AS instt, CASE se WHEN 'C' THEN '중앙행정기관' WHEN 'W' THEN '광역자치단체' WHEN 'B' THEN '기초자치단체' WHEN 'E' THEN '교육청' WHEN 'P' THEN '공공기관' ELSE '' END AS instt_se_nm,
+@C.add(f"""WITH {PORTAL_SQL} SELECT o_orderkey AS seq, id, trim(pri, ' ') AS title, instt, CASE se WHEN 'C' THEN '중앙행정기관' WHEN 'W' THEN '광역자치단체' WHEN 'B' THEN '기초자치단체' WHEN 'E' THEN '교육청' WHEN 'P' THEN '공공기관' ELSE '' END AS instt_se_nm,
  CASE WHEN o_orderkey % 2 = 0 THEN 'Plans' ELSE 'Roads' END AS dept, substr(dt, 1, 4) || '-' || substr(dt, 5, 2) || '-' || substr(dt, 7, 2) AS date, CASE o_orderkey % 5 WHEN 0 THEN '공개' WHEN 1 THEN '부분공개' ELSE '비공개' END AS othbc, o_orderkey % 3 = 0 AS has_orginl, 'word' AS kwds FROM raw""")
 def portal_normalize(spark, sf_dir):
     from ..operators.monitor import normalize_record
@@ -158,7 +159,7 @@ def portal_detail_url(spark, sf_dir):
 @C.add("SELECT c_custkey, CASE WHEN length(substr(c_name, 1, CAST(c_custkey % 9 AS INT))) >= 2 THEN substr(c_name, 1, 1) || repeat('○', length(substr(c_name, 1, CAST(c_custkey % 9 AS INT))) - 1) ELSE substr(c_name, 1, CAST(c_custkey % 9 AS INT)) END AS name FROM customer")
 def mask_name(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", T.mask_name(F.substring(F.col("c_name"), F.lit(1), (F.col("c_custkey") % 9).cast("int"))).alias("name"))
+    return c.select("c_custkey", T.mask_name(F.concat(F.lit(" "), F.substring(F.col("c_name"), F.lit(1), (F.col("c_custkey") % 9).cast("int")), F.lit("\t "))).alias("name"))
 
 
 @C.add("SELECT conv_id, turn, role, coalesce(CASE WHEN turn % 2 = 0 THEN text END, '') AS text, substr(role, 1, 1) || repeat('○', length(role) - 1) AS charger FROM conversations")
@@ -180,10 +181,10 @@ def scrub_fields(spark, sf_dir):
     return clean.select("o_orderkey", "a.status", F.col("b")[0]["pri"].alias("pri"))
 
 
-@C.add(r"SELECT doc_id, trim(regexp_replace(trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g'), ' '), '(?:…|\.\.\.|\s)*더\s*보기\s*$', ''), ' ') AS text FROM (SELECT doc_id, substr(text, 1, 150) || CASE WHEN doc_id % 2 = 0 THEN '…  더 보기 ' ELSE '' END AS text FROM documents)")
+@C.add(r"SELECT doc_id, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '(?:…|\.\.\.|\s)*더\s*보기\s*$', ''), ' ') AS text FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '…  더 보기 ' ELSE '' END AS text FROM documents)")
 def post_text_norm(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.post_text(F.concat(F.substring("text", 1, 150), F.when(F.col("doc_id") % 2 == 0, "…  더 보기 ").otherwise(""))).alias("text"))
+    return d.select("doc_id", T.post_text(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "…  더 보기 ").otherwise(""))).alias("text"))
 
 
 POST_SQL = """posts AS (SELECT event_id AS seq, CASE WHEN event_type = 'view' THEN 'facebook' ELSE event_type END AS platform, 'User' || (user_id % 20) AS account, event_type || ' ' || CAST(json_extract(props, '$.k') AS VARCHAR) AS text, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'http://p/' || (event_id % 97) END AS url,
@@ -249,18 +250,19 @@ def when_parse(spark, sf_dir):
     return both.select("o_orderkey", "w.date", "w.exact")
 
 
-@C.add("SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') ELSE 'no stamp a' END AS date FROM events")
+@C.add("SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') WHEN 3 THEN strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') WHEN 4 THEN strftime(ts + INTERVAL 750 MINUTE, '%Y-%m-%d') ELSE substr(event_type || ' at no time', 1, 10) END AS date FROM events")
 def kst_date(spark, sf_dir):
-    i, stamp = F.col("event_id") % 4, F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
-    iso = F.when(i == 0, F.concat(stamp, F.lit("Z"))).when(i == 1, stamp).when(i == 2, F.concat(stamp, F.lit("+02:00"))).otherwise("no stamp at all")
+    i, stamp = F.col("event_id") % 6, F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.when(i == 0, F.concat(stamp, F.lit("Z"))).when(i == 1, stamp).when(i == 2, F.concat(stamp, F.lit("+02:00"))).when(i == 3, F.concat(stamp, F.lit("+0000"))).when(i == 4, F.concat(stamp, F.lit("-0330"))).otherwise(F.concat("event_type", F.lit(" at no time")))
     return table(spark, sf_dir, "events").select("event_id", T.kst_date(iso).alias("date"))
 
 
-@C.add("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') END AS date, event_id % 3 <> 0 AS exact FROM events")
+@C.add("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 3 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN strftime(ts + INTERVAL 14 HOUR, '%Y-%m-%d') ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') END AS date, CASE event_id % 5 WHEN 0 THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE event_id % 5 WHEN 1 THEN '+00:00' WHEN 2 THEN 'Z' WHEN 3 THEN '+09:00' ELSE '-05:00' END END AS iso, event_id % 5 <> 0 AS exact FROM events")
 def feed_when(spark, sf_dir):
-    i, ts = F.col("event_id") % 3, F.col("ts").cast("timestamp_ntz")
-    stamp = F.when(i == 0, "").when(i == 1, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise(F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
-    return table(spark, sf_dir, "events").withColumn("w", T.feed_when(stamp)).select("event_id", "w.date", "w.exact")
+    i, ts = F.col("event_id") % 5, F.col("ts").cast("timestamp_ntz")
+    day = F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss")
+    stamp = F.when(i == 0, "").when(i == 1, F.concat(day, F.lit(" GMT"))).when(i == 2, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(i == 3, F.concat(day, F.lit(" +0900"))).otherwise(F.concat(day, F.lit(" -0500")))
+    return table(spark, sf_dir, "events").withColumn("w", T.feed_when(stamp)).select("event_id", "w.date", "w.iso", "w.exact")
 
 
 @C.add(r"SELECT conv_id, turn, regexp_replace(text, '\s+', '', 'g') AS flat FROM conversations")
@@ -268,10 +270,13 @@ def ledger_flat(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.flat(F.col("text")).alias("flat"))
 
 
-@C.add("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'no number' ELSE 'Roads' END AS name, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'roads-' || o_orderkey || ' ; plan-7' END AS numbers, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' ; 2024-01-05' END AS dates FROM orders")
+@C.add("""WITH o AS (SELECT *, (o_orderkey + 100)::VARCHAR AS n, strftime(o_orderdate, '%Y.%m.%d') AS day, o_orderkey % 5 AS i FROM orders)
+SELECT o_orderkey, CASE i WHEN 0 THEN 'nonumber' WHEN 1 THEN '환경과' WHEN 2 THEN '도로과' WHEN 3 THEN '' ELSE '총무과' END AS name, CASE i WHEN 1 THEN '환경과-' || n WHEN 2 THEN '도로과-' || n || ' ; plan-456' WHEN 3 THEN 'roads-' || n ELSE '' END AS numbers, CASE i WHEN 1 THEN day WHEN 2 THEN day || ' ; 2024.01.05' WHEN 3 THEN day ELSE '' END AS dates FROM o""")
 def doc_number_split(spark, sf_dir):
-    d = F.col("o_orderdate")
-    cell = F.when(F.col("o_orderkey") % 4 == 0, "no number").otherwise(F.concat(F.lit("Roads roads-"), F.col("o_orderkey").cast("string"), F.lit("("), F.year(d).cast("string"), F.lit("."), F.month(d).cast("string"), F.lit(". "), F.dayofmonth(d).cast("string"), F.lit(".), plan-7(2024.1.5)")))
+    i, d, n = F.col("o_orderkey") % 5, F.col("o_orderdate"), (F.col("o_orderkey") + 100).cast("string")
+    day = F.concat(F.year(d).cast("string"), F.lit("."), F.month(d).cast("string"), F.lit(". "), F.dayofmonth(d).cast("string"), F.lit("."))
+    cell = F.when(i == 0, "no number").when(i == 1, F.concat(F.lit("환경과-"), n, F.lit("("), day, F.lit(")"))).when(i == 2, F.concat(F.lit("도로 과\n- "), n, F.lit(" （"), day, F.lit("）, plan-456 2024.1.5, plan-7(2024.1.5)")))
+    cell = cell.when(i == 3, F.concat(F.lit("-"), n, F.lit("(2023.1.1) roads-"), n, F.lit(" "), day)).otherwise("(2차 협의) 총무과")
     return table(spark, sf_dir, "orders").withColumn("n", T.doc_numbers(cell)).select("o_orderkey", "n.name", "n.numbers", "n.dates")
 
 

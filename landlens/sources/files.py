@@ -43,12 +43,12 @@ def parse_nested_store(stores: DataFrame, raw: str, item: str, kinds: tuple[str,
 
 
 def parse_feeds(payloads: DataFrame, raw: str = "raw") -> DataFrame:
-    """Entries of captured RSS 2.0 and Atom payloads: ``text`` (400 at most), ``iso``, ``href`` and ``pos``; RSS items before Atom entries."""
+    """Entries of captured RSS 2.0 and Atom payloads: ``text`` (title and description, 400 at most), ``iso``, ``href`` and ``pos``; RSS items before Atom entries."""
     rss = F.from_xml(F.col(raw), "channel struct<item:array<struct<title:string,link:string,description:string,pubDate:string>>>")
-    atom = F.from_xml(F.col(raw), "entry array<struct<title:string,summary:string,updated:string,published:string,link:array<struct<_href:string>>>>")
-    text = lambda x: F.substring(strip_html_spaced(x), 1, 400)
-    items = F.transform(F.coalesce(rss["channel"]["item"], F.array().cast("array<struct<title:string,link:string,description:string,pubDate:string>>")), lambda i: F.struct(text(F.coalesce(i["description"], i["title"])).alias("text"), i["pubDate"].alias("iso"), i["link"].alias("href")))
-    entries = F.transform(F.coalesce(atom["entry"], F.array().cast("array<struct<title:string,summary:string,updated:string,published:string,link:array<struct<_href:string>>>>")), lambda e: F.struct(text(F.coalesce(e["summary"], e["title"])).alias("text"), F.coalesce(e["published"], e["updated"]).alias("iso"), F.try_element_at(e["link"], F.lit(1))["_href"].alias("href")))
+    atom = F.from_xml(F.col(raw), "entry array<struct<title:string,`media:group`:struct<`media:description`:string>,updated:string,published:string,link:array<struct<_href:string>>>>")
+    text = lambda title, body: F.substring(F.trim(F.concat(F.trim(F.coalesce(title, F.lit(""))), F.lit(" "), strip_html_spaced(body))), 1, 400)
+    items = F.transform(F.coalesce(rss["channel"]["item"], F.array().cast("array<struct<title:string,link:string,description:string,pubDate:string>>")), lambda i: F.struct(text(i["title"], i["description"]).alias("text"), i["pubDate"].alias("iso"), i["link"].alias("href")))
+    entries = F.transform(F.coalesce(atom["entry"], F.array().cast("array<struct<title:string,`media:group`:struct<`media:description`:string>,updated:string,published:string,link:array<struct<_href:string>>>>")), lambda e: F.struct(text(e["title"], e["media:group"]["media:description"]).alias("text"), F.coalesce(e["published"], e["updated"]).alias("iso"), F.try_element_at(e["link"], F.lit(1))["_href"].alias("href")))
     rest = [c for c in payloads.columns if c != raw]
     rows = payloads.select(*rest, F.posexplode(F.concat(items, entries)).alias("pos", "e")).select(*rest, "pos", "e.*")
     return rows.withColumn("when", feed_when(F.col("iso")))

@@ -19,13 +19,15 @@ def _archive(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def news_batch(path: str):
-    """foreachBatch function: items whose title key the archive lacks are added to it, first of each key."""
+    """foreachBatch function: items whose title key the archive lacks are added to it, first of each key.
+
+    A batch is compared with the folders of other batches only, never with its own, and writes its own folder whole: run
+    again after a failure at any point, it writes the same rows. Archive and stream checkpoint belong together."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         first = M.news_dedup(batch)
         held = _archive(batch.sparkSession, path)
-        new = first if held is None else M.fresh(first, held)
-        # A repeated batch writes its own folder again, so a retry adds nothing twice.
+        new = first if held is None else M.fresh(first, held.where(F.col("batch") != batch_id).drop("batch"))
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run

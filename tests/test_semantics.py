@@ -163,6 +163,22 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "archive")).collect()) == sorted(r.key for r in M.news_dedup(spark.createDataFrame(rows, schema)).collect())
 
 
+def test_a_repeated_news_batch_changes_nothing(spark, tmp_path):
+    from landlens.streaming import jobs
+
+    schema, path = "title string, desc string, query string, seq long", str(tmp_path / "archive")
+    put, seen = jobs.news_batch(path), lambda: sorted((r.key, r.seq) for r in spark.read.parquet(path).collect())
+    one = spark.createDataFrame([("first item", "d", "q", 1), ("second item", "d", "q", 2)], schema)
+    two = spark.createDataFrame([("second item", "d", "q", 3), ("third item", "d", "q", 4)], schema)
+    put(one, 0)
+    put(two, 1)
+    want = [("firstitem", 1), ("seconditem", 2), ("thirditem", 4)]
+    assert seen() == want
+    put(two, 1)  # the stream was stopped between write and commit
+    put(two, 1)
+    assert seen() == want
+
+
 def test_rescan_drops_repeats_in_a_stream(spark, tmp_path):
     from landlens.streaming import jobs
 
@@ -171,3 +187,85 @@ def test_rescan_drops_repeats_in_a_stream(spark, tmp_path):
     s = spark.readStream.schema("id string, produced timestamp").parquet(str(tmp_path / "in"))
     jobs.portal_rescan(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_values_worked_out_by_hand(spark):
+    """Expected values follow the rules as written down, not the code."""
+    from landlens.operators import ledger as L
+
+    lit = F.lit
+    r = one(
+        spark, a=T.kst_date(lit("2024-01-01T20:00:00+0000")), b=T.kst_date(lit("2024-01-01T20:00:00+09")), c=T.feed_when(lit("Mon, 01 Jan 2024 16:30:00 +0900")), d=T.feed_when(lit("Mon, 1 Jan 2024 16:30 GMT")), e=T.feed_when(lit("someday soon")), f=T.feed_when(lit("Tue, 02 Jan 2024 01:00:00 -0000")),
+        g=T.mask_name(lit(" 김철수 ")), h=T.mask_name(lit(" 김 ")), i=T.doc_numbers(lit("환경과-7781(2026.01.08)")), j=T.doc_numbers(lit("도로과 -1234 （2026. 1. 8.）\n건축과-99(2026.1.9) 주택과-4321 2026.1.10")), k=T.doc_numbers(lit("총무과(2차 협의)")),
+        t=F.array(*[L.trivial(lit(x)) for x in ("검토의견 없음", "이상 없음", "별도의견 없음", "미회신", "· 의견없음", "○ 해당 사항 없음", "특이사항없음", "의견 있음")]),
+        m=F.array(*[T.html_published(lit(f'<meta property="article:published_time" content="{x}">')) for x in ("20240105", "2024.01.05", "2024/01/05T10:00", "2024-01-05", "soon")]),
+        s=T.html_summary(lit('<meta name="description" content="A &amp; B  &lt;c&gt;">')),
+    )
+    assert (r.a, r.b) == ("2024-01-02", "2024-01-01")
+    assert tuple(r.c) == ("2024-01-01", "2024-01-01T16:30:00+09:00", True) and tuple(r.d) == ("2024-01-02", "2024-01-01T16:30:00+00:00", True)
+    assert tuple(r.e) == ("someday so", "someday soon", True) and tuple(r.f) == ("2024-01-02", "2024-01-02T01:00:00", True)
+    assert (r.g, r.h) == ("김○○", "김")
+    assert tuple(r.i) == ("환경과", "환경과-7781", "2026.01.08") and tuple(r.j) == ("도로과", "도로과-1234 ; 주택과-4321", "2026.01.08 ; 2026.01.10") and tuple(r.k) == ("총무과", "", "")
+    assert r.t == [True] * 6 + [False] * 2 and r.m == ["2024-01-05"] * 4 + [""] and r.s == "A & B <c>"
+
+
+def test_strips_by_department_mark_and_holding(spark):
+    from landlens.operators import ledger as L
+
+    rows = [
+        ("g", "[환경과] 첫 의견", "조치", "반영"), ("g", "이어지는 의견", "", ""), ("g", "[붙임 1] 자료", "", ""), ("g", "[도로과]", "", ""), ("g", "○ 둘째 의견", "", ""), ("g", "○", "", "미반영"), ("g", "[건축과] 셋째", "조치 3", ""), ("g", "", "조치 계속", ""),
+        ("g", "-", "", ""), ("g", "○ 넷째", "a", "반영"), ("h", "○ 다른 군", "", ""), ("i", "○ 또 다른 군", "b", ""),
+    ]
+    bands = spark.createDataFrame([(1, i, g, 1, "", "", o, a, s) for i, (g, o, a, s) in enumerate(rows)], "doc_id long, band_no long, gun string, page int, dept string, law string, op string, ac string, st string")
+    records = L.stitch(bands)
+    got = [(r.op, r.ac, r.st) for r in records.orderBy("rec").collect()]
+    assert got[0] == ("[환경과] 첫 의견\n이어지는 의견\n[붙임 1] 자료", "조치", "반영") and got[1:4] == [("[도로과]", "", ""), ("○ 둘째 의견", "", ""), ("○", "", "미반영")]
+    assert got[4] == ("[건축과] 셋째\n-", "조치 3\n조치 계속", "") and len(got) == 8
+    held = [(r.op, r.st) for r in L.forward_hold(records).orderBy("rec").collect()]
+    assert held == [(got[0][0], "반영"), ("[도로과]\n○ 둘째 의견\n○", "미반영"), (got[4][0], ""), ("○ 넷째", "반영"), ("○ 다른 군", ""), ("○ 또 다른 군", "")]
+
+
+def test_a_feed_entry_has_title_and_description(spark):
+    from landlens.sources import files
+
+    rss = "<rss><channel><item><title>Head</title><link>l</link><description>&lt;b&gt;Body&lt;/b&gt;</description><pubDate>Mon, 01 Jan 2024 20:00:00 +0900</pubDate></item></channel></rss>"
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="m"><entry><title>Clip</title><link href="h"/><published>2024-01-01T20:00:00Z</published><media:group><media:description>about it</media:description></media:group></entry></feed>'
+    got = files.parse_feeds(spark.createDataFrame([(1, rss), (2, atom)], "id long, raw string")).orderBy("id").collect()
+    assert [(r.text, r.when.date, r.when.exact) for r in got] == [("Head Body", "2024-01-01", True), ("Clip about it", "2024-01-02", True)]
+
+
+def test_a_long_contour_stays_whole(spark):
+    cells = spark.createDataFrame([(1, r, c, float(c >= 2)) for r in range(41) for c in range(4)], "raster_id long, row long, col long, v double")
+    seg = S.segment_components(S.contour_segments(cells, (0.5,)), lambda df: df.checkpoint())
+    got = S.chain_segments(seg).collect()
+    assert [(r.n, r.closed) for r in got] == [(41, False)]
+
+
+def test_affine_fit_finds_the_planted_map(spark):
+    import math
+
+    k, turn = 5000.0, math.radians(0.35)
+    a, b = k * math.cos(turn), k * math.sin(turn)
+    rows = []
+    for i in range(200):
+        x, y = (i * 37 % 101) / 100, (i * 53 % 97) / 100
+        off = 400.0 if i % 12 == 0 else (i % 7 - 3) / 2
+        rows.append((x, y, a * x + b * y + 100 + off, -b * x + a * y + 200 - off))
+    r = S.affine_ransac(spark.createDataFrame(rows, "px double, py double, gx double, gy double")).first()
+    assert r.kept == 183 and abs(r.scale / k - 1) < 0.001 and abs(r.rotation - 0.35) < 0.02 and r.worst < 3
+    assert S.affine_ransac(spark.createDataFrame([], "px double, py double, gx double, gy double")).count() == 0
+
+
+def test_coverage_of_all_equals_counting_grams(spark):
+    from landlens.operators import evidence as E
+
+    docs = [(i, t) for i, t in enumerate(["the quick brown fox", "", "a", "quick brown dogs", "the quick brown fox", "zz", None, "한글 문서입니다"])]
+    ops = [(1, "quick brown fox"), (2, "zz"), (3, ""), (4, "문서입니다"), (5, "nothing@all")]
+    grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set()
+    got = {r.opinion_id: (r.doc_id, r.score) for r in E.coverage_of_all(spark.createDataFrame(ops, "opinion_id long, norm string"), spark.createDataFrame(docs, "doc_id long, norm string")).collect()}
+    want = {}
+    for o, t in ops:
+        if t:
+            n, d = max(((len(grams(t) & grams(x)), -i) for i, x in docs), default=(0, None))
+            want[o] = (-d if n else None, round(n / len(grams(t)), 6))
+    assert got == want
