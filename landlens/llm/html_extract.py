@@ -17,7 +17,7 @@ from .common import small_batches
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object xmp noframes noembed".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object xmp noframes noembed".split())
 DROPPED = frozenset("nav header footer aside form button select dialog menu label fieldset legend input head".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote html".split())
@@ -28,6 +28,8 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: Words in class, id or role that mark what is not the article, and words that mark it.
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|social|related|recommend\w*|sidebar|side|widget|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|copyright|comment\w*|disqus|respons(?:e|es)|replies|reply|pagination|pager|search|toolbar|tags|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
+#: Elements that take the points of what they hold undiminished.
+SEMANTIC = ("article", "main")
 #: In such an element the two word lists do not count.
 ALWAYS = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 
@@ -40,10 +42,10 @@ WHITE = re.compile(r"[\s\xa0]+")
 class Node:
     """An element: ``items`` are its texts and child elements in page order."""
 
-    __slots__ = ("name", "parent", "items", "dropped", "bonus", "score", "n_text", "n_link", "links")
+    __slots__ = ("name", "parent", "items", "dropped", "doubtful", "bonus", "score", "n_text", "n_link", "links")
 
-    def __init__(self, name, parent, dropped=False, bonus=0):
-        self.name, self.parent, self.dropped, self.bonus = name, parent, dropped, bonus
+    def __init__(self, name, parent, dropped=False, bonus=0, doubtful=False):
+        self.name, self.parent, self.dropped, self.bonus, self.doubtful = name, parent, dropped, bonus, doubtful
         self.items, self.score, self.n_text, self.n_link, self.links = [], 0.0, 0, 0, 0
 
     @property
@@ -106,24 +108,44 @@ def parse(page: str) -> Node:
                     up = up.parent
                 if last is not None:
                     close_to(last.parent)
-        dropped, bonus = name in DROPPED, 25 if name in ("article", "main") else 0
+        dropped, doubtful, bonus = name in DROPPED, False, 25 if name in SEMANTIC else 0
         if attrs:
             dropped = dropped or bool(HIDDEN.search(attrs))
             names = " ".join(a or b or c for a, b, c in NAMING.findall(attrs))
             if names and name not in ALWAYS:
                 likely = bool(LIKELY.search(names))
-                dropped = dropped or (bool(UNLIKELY.search(names)) and not likely)
-                bonus += 25 * likely
-        node = Node(name, cur, dropped, bonus)
+                unlikely = bool(UNLIKELY.search(names))
+                # Both kinds of words, as in "comment-body" or "content with-sidebar": what stands in it decides.
+                doubtful = unlikely and likely
+                dropped = dropped or (unlikely and not likely)
+                bonus += 25 * (likely and not unlikely)
+        node = Node(name, cur, dropped, bonus, doubtful)
         cur.items.append(node)
         if name not in VOID:
             cur = node
             open_names[name] = open_names.get(name, 0) + 1
     if at < len(page):
         cur.items.append(html.unescape(page[at:]))
+    drop_doubtful(root)
     return root
 
 
+def drop_doubtful(root: Node) -> None:
+    """Elements with words of both kinds go unless they hold the page's heading or article."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.items if isinstance(x, Node)]
+    holders = set()
+    for node in reversed(order):
+        if node.name == "h1" or node.name in SEMANTIC or id(node) in holders:
+            holders.add(id(node))
+            holders.add(id(node.parent))
+        elif node.doubtful:
+            node.dropped = True
+
+
 def in_order(root: Node) -> list[Node]:
     """Elements that are not dropped, parents before children."""
     out, stack = [], [root]
@@ -148,13 +170,19 @@ def measure(nodes: list[Node]) -> None:
 
 
 def is_menu(node: Node) -> bool:
-    """A list or box of little more than links."""
-    return node.name in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 3 and node.link_density > 0.8
+    """A list or box of little more than short links, outside an article."""
+    if not (node.name in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 3 and node.link_density > 0.8 and node.n_link < 25 * node.links):
+        return False
+    up = node.parent
+    while up is not None and up.name not in SEMANTIC:
+        up = up.parent
+    return up is None
 
 
 def pass_points(nodes: list[Node]) -> None:
     """Every paragraph gives 1 point, 1 for each comma and up to 3 for its length to its parent, half to the next
-    ancestor, a third of that half and so on; text right in a container counts as a paragraph of it."""
+    ancestor, a third of that half and so on; text right in a container counts as a paragraph of it. An article or main
+    element takes all that the best of its parts took, whatever lies between."""
     for node in nodes:
         node.score += node.bonus
         paragraph = node.name in ("p", "pre", "blockquote", "li", "dd", "td")
@@ -164,8 +192,8 @@ def pass_points(nodes: list[Node]) -> None:
         words = " ".join(x if isinstance(x, str) else "" for x in node.items)
         points = (1 + words.count(",") + min(3.0, node.n_text / 100)) * (1 - node.link_density)
         up, share = (node.parent if paragraph else node), 1.0
-        while up is not None and share > 0.02:
-            up.score += points * share
+        while up is not None:
+            up.score += points if up.name in SEMANTIC else points * share
             share /= 2 if share == 1.0 else 3
             up = up.parent
 
@@ -175,10 +203,6 @@ def container(nodes: list[Node]) -> list[Node]:
     ranked = [n for n in nodes if n.name in CONTAINERS or n.name == "#page"]
     value = lambda n: n.score * (1 - n.link_density)
     best = max(ranked, key=value)
-    up = best
-    while up is not None and up.name not in ("article", "main"):
-        up = up.parent
-    best = up or best
     if best.parent is None:
         return [best]
     limit = max(10.0, 0.2 * value(best))

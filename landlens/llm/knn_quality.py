@@ -50,6 +50,17 @@ def term_counts(text: str | None) -> np.ndarray:
     return counts
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest of each row, to nine decimals; of equals those that stand first."""
+    cos = np.round(cos, 9)
+    n = cos.shape[1]
+    near = np.argpartition(cos, n - k, axis=1)[:, n - k :]
+    least = np.take_along_axis(cos, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((cos >= least[:, None]).sum(axis=1) > k):  # equals at the border
+        near[i] = np.argsort(-cos[i], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -71,8 +82,7 @@ class Model:
         if not len(self.labels):
             return np.zeros(len(x))
         cos = x @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(cos, len(self.labels) - k, axis=1)[:, len(self.labels) - k :]
+        near = nearest(cos, min(NEIGHBOURS, len(self.labels)))
         weight = np.maximum(np.take_along_axis(cos, near, axis=1), 0)
         total = weight.sum(axis=1)
         votes = (weight * self.labels[near]).sum(axis=1)
@@ -100,13 +110,15 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to SAMPLE_PER_CLASS training rows of each class, chosen by the hash of their ids.
 
-    Rows whose crc32(id) mod 5 is 0 are held out. Only the chosen ids (a few thousand at any input) are broadcast.
+    Rows whose crc32(id) mod 5 is 0 are held out. Only the chosen ids (a few thousand at any input) are broadcast. Of several rows of one id the smallest text is
+    taken, so the sample never has more than 2 x SAMPLE_PER_CLASS rows.
     """
     train = labels.where("quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     pick = lambda q: train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("_id"), "quality")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "quality")
+    met = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return met.groupBy(F.col("_id").alias("doc_id"), "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:

@@ -19,6 +19,23 @@ def test_knn_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.97
 
 
+def test_nearest_takes_the_first_of_equals():
+    from landlens.llm.knn_quality import nearest
+
+    rng = np.random.default_rng(2)
+    cos = rng.integers(0, 6, (200, 40)) / 7 + 1e-12 * rng.standard_normal((200, 40))
+    for row, got in zip(cos, nearest(cos, 7)):
+        assert sorted(got) == sorted(sorted(range(40), key=lambda j: (-round(row[j], 9), j))[:7])
+
+
+def test_knn_sample_has_one_row_an_id(spark):
+    from landlens.llm.knn_quality import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in labelled_sample(docs, labels).collect()) == [(1, "text 0", 1), (2, "other", 0)]
+
+
 def test_knn_quality_edges(spark):
     from landlens.llm.knn_quality import score_quality
 
@@ -160,6 +177,10 @@ PARA = "A paragraph with enough words in it, and a comma or two, to look like th
         (f"<div><p>{PARA}</p><form><p>{PARA}</p></form><div class='cookie-notice'>{PARA}</div><div class=sidebar><p>{PARA}</p></div></div>", PARA),
         (f"<table><tr><td><a href=1>x1</a><a href=2>x2</a><a href=3>x3</a></td><td><p>{PARA}</p><p>{PARA}</p></td></tr></table>", f"{PARA}\n{PARA}"),
         (f"<article><section><p>{PARA}</p></section><section><p>{PARA}</p><p style='display:none'>hid</p></section></article>", f"{PARA}\n{PARA}"),
+        (f"<article><h1>T</h1><p>{PARA}</p><div class='comment-body'><p>{PARA}</p></div><div class='ad-content'>{PARA}</div><div class='sidebar-content'><p>{PARA}</p></div><div class=content id=post-comments><p>{PARA}</p></div></article>", f"T\n{PARA}"),
+        (f"<article><h1>T</h1><p>{PARA}</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><p><math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", f"T\n{PARA}\none\ntwo\nthree\nx=2"),
+        (f"<div class='content with-sidebar'><div class=sidebar><p>{PARA}</p></div><div class=text><h1>T</h1><p>{PARA}</p><p>{PARA}</p></div></div>", f"T\n{PARA}\n{PARA}"),
+        (f"<div id=wrap><div class=teasers><a href=1>a</a> <a href=2>b</a> <a href=3>c</a></div><div><h2>T</h2><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div></div>", f"T\n{PARA}\n{PARA}\n{PARA}"),
         ("<p>a\n\t b&nbsp;c&amp;d &#233;</p></div></p>", "a b c&d é"), ("<div " * 3, ""), ("<a href='x>y", "y"),
     ],
 )
