@@ -113,7 +113,8 @@ def harmonic_pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capaci
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, ``with_ids``, the ids. Nothing is shuffled: a
     worker closes a bin when its class has the full count of pieces, and lays what is left over end to end, so it
     leaves at most one part-filled mixed sequence. Sequence ids start at the partition's number times 2^33, so they
-    are unique, and the same again when a lost task is repeated. Repeated rows are packed each; an empty table gives none.
+    are unique; a worker packs its rows in the order of id and text, so that they are the same again when a lost task
+    is repeated, also where a shuffle hands it its rows in another order. Repeated rows are packed each; an empty table gives none.
     """
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -151,4 +152,4 @@ def harmonic_pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capaci
         if last:
             yield rows(last)
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, fields + (", ids array<int>" if with_ids else ""))

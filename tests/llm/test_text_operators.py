@@ -226,6 +226,40 @@ def test_pii_base_spans(spark, table):
     assert find_pii(table.limit(0)).count() == 0
 
 
+def test_pii_trees_decide_on_every_added_span(spark):
+    from landlens.llm import pii
+
+    df = spark.createDataFrame([(0, "token: abcd1234 joe (at) site (dot) org call (415) 555-2671 c2VjcmV0LXRva2VuLTEyMzQ1Njc4", 1), (0, "token: abcd1234", 2), (1, "meeting (at) 10.30 sharp", 3)], "doc_id long, text string, base long")
+    none = {g: pii.Trees(-9.0, [], 0.0) for g in pii.GENERATORS}
+    assert all(not r.spans for r in pii.add_spans(df.select("text"), none).collect())
+    every = {g: pii.Trees(9.0, [], 0.0) for g in pii.GENERATORS}
+    for r in pii.add_spans(df.select("text"), every).collect():
+        spans = sorted((x.s, x.e) for x in r.spans)
+        assert spans and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    got = sorted((r.doc_id, r.spans) for r in pii.find_pii(df).collect())
+    assert got[0] == (0, "email:16:39,phone:45:59,secret:7:15,secret:60:88") and got[1:] == [(0, "secret:7:15"), (1, "")]
+
+
+def test_pii_boosting_lowers_the_loss_and_calibrates_on_held_rows():
+    from landlens.llm import pii
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 8, (400, 3))
+    y = ((x[:, 0] > 4) | ((x[:, 1] == 2) & (x[:, 2] > 5))).astype(float)
+    held = rng.random(400) < 0.3
+    trees = pii.boost(("a", "b", "c"), x, y, np.ones(400), held)
+
+    def value(t, row):
+        while isinstance(t, tuple):
+            t = t[2] if row["abc".index(t[0])] <= t[1] else t[3]
+        return t
+
+    score = np.array([trees.start + sum(value(t, r) for t in trees.trees) for r in x])
+    assert np.mean((score > 0) == y) > 0.97
+    on = held & (score >= trees.threshold)
+    assert y[on].mean() >= 0.9 and y[on].sum() > 0.8 * y[held].sum()
+
+
 def test_pii_added_spans_and_redaction(spark):
     from landlens.llm.pii import redact
 
