@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpoint, components
+from .common import Forest, checkpoint, components, release
 
 #: Parameters. Neighbours in a list and in the list of a node with all of them over the threshold, trees, planes a
 #: tree at most, vectors in a leaf, neighbours of one centre and vectors of a label compared together, refining rounds
@@ -159,6 +159,7 @@ def descend(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         now = checkpoint(neighbour_lists(pairs))
         changed = now.join(lists, ["node", "nbr"], "left_anti").count()
         lists = now
+        release(nodes.sparkSession)
         if changed <= FEW_CHANGES * now.count():
             break
     return pairs
