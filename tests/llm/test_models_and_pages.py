@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -85,21 +86,69 @@ def test_url_filter(spark, sf_dir):
 def test_segmentation_is_the_best_split():
     from itertools import product
 
-    from landlens.llm.url_filter import UrlModel
+    from landlens.llm.url_filter import UNKNOWN, best_split, fewest_parts
 
-    m = UrlModel({"cheap": -4.0, "pills": -4.0, "che": -3.0, "ap": -3.0, "news": -2.0})
-    for name in ("cheappills", "xcheapy", "newsnews", "chep"):
-        def cost(cut):
-            parts, at = [], 0
-            for i, c in enumerate(cut, 1):
+    words = {"cheap": -4.0, "pills": -4.0, "che": -3.0, "ap": -3.0, "news": -2.0}
+    for name in ("cheappills", "xcheapy", "newsnews", "chep", "zz", ""):
+        def parts(cut):
+            out, at = [], 0
+            for i, c in enumerate((*cut, 1), 1):
                 if c:
-                    parts.append(name[at:i])
+                    out.append(name[at:i])
                     at = i
-            parts.append(name[at:])
-            return sum(m.words.get(p, m.unknown * len(p)) for p in parts)
+            return out if name else []
 
-        best = max(cost(c) for c in product((0, 1), repeat=len(name) - 1))
-        assert abs(sum(m.words.get(p, m.unknown * len(p)) for p in m.segment(name)) - best) < 1e-9
+        cost = lambda split: sum(words.get(p, UNKNOWN * len(p)) for p in split)
+        cuts = [parts(c) for c in product((0, 1), repeat=max(0, len(name) - 1))]
+        spans = [(i, j, words[name[i:j]]) for i in range(len(name)) for j in range(i + 1, len(name) + 1) if name[i:j] in words]
+        got = best_split(name, spans)
+        assert "".join(got) == name and abs(cost(got) - max(map(cost, cuts))) < 1e-9
+        whole = [len(c) for c in cuts if c and all(p in words for p in c)]
+        fewest = fewest_parts(name, [x[:2] for x in spans])
+        assert not name or (len(fewest) if fewest else None) == min(whole, default=None)
+
+
+def test_joined_names_count_for_their_words(spark):
+    from landlens.llm.url_filter import word_counts
+
+    hosts = spark.createDataFrame([("greenapple.x", 5), ("green.x", 2), ("apple.x", 1), ("greenapplegreen.x", 3), ("greenzz.x", 4)], "host string, n long")
+    got = {r.w: r.n for r in word_counts(hosts).collect()}
+    assert (got["green"], got["apple"], got["greenzz"]) == (2 + 5 + 2 * 3, 1 + 5 + 3, 4) and "greenapple" not in got
+
+
+def test_url_scores_are_naive_bayes(spark):
+    """Scores against multinomial naive Bayes counted in plain Python; all words stand alone, so runs are words."""
+    from landlens.llm.url_filter import BACKGROUND, BLOCK_WORDS, COMMON_WORDS, SEEDS, url_scores
+
+    rows = [("casino-win.example.com", "/en/slots/1")] * 9 + [("quiet-garden.example.org", "/en/roses")] * 5 + [("pills.garden.org", ""), ("", ""), ("", ""), ("win.example.com", "/en/slots/1")]
+    got = {(r.host, r.path): r.score for r in url_scores(spark.createDataFrame(rows, "host string, path string")).collect()}
+
+    def tokens(host, path):
+        return ["h:" + w for w in re.findall("[a-z]+", host.rpartition(".")[0])] + ["p:" + w for w in re.findall("[a-z]+", path)]
+
+    bad, good, docs = Counter({"h:" + w: 1 for w in BLOCK_WORDS}), Counter({"h:" + w: 1 for w in COMMON_WORDS}), Counter()
+    for host, path in rows:
+        label = any("h:" + s in tokens(host, path) for s in SEEDS)
+        (bad if label else good).update(tokens(host, path))
+        docs[label] += 1
+    both = bad + good
+    rate = lambda n, t: (n[t] + BACKGROUND * both[t] / both.total()) / (n.total() + BACKGROUND)
+    weight = lambda t: np.log(rate(bad, t)) - np.log(rate(good, t))
+    prior = np.log((docs[True] + 1) / (docs[False] + 1))
+    assert set(got) == set(rows)
+    for row in set(rows):
+        assert abs(got[row] - prior - sum(map(weight, tokens(*row)))) < 1e-8
+    assert got["win.example.com", "/en/slots/1"] > 0 > got["quiet-garden.example.org", "/en/roses"]  # win is no seed
+
+
+def test_urls_of_odd_shape(spark):
+    from landlens.llm.url_filter import judge_urls
+
+    long = "http://" + "abc" * 40 + ".example.com/" + "x" * 3000 + "/y" * 3000
+    rows = [(1, None, "u"), (1, None, "u"), (2, long, "v"), (3, "http://casino.com", None), (3, "http://casino.com", None), (None, "a://b", "w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string").selectExpr("*", "host as score", "1 as path", "2 as n", "3 as pair", "4 as r")
+    got = judge_urls(pages).collect()
+    assert sorted((r.page_id or 0) for r in got) == [0, 1, 1, 2, 3, 3] and len({r.score for r in got if r.page_id == 3}) == 1
 
 
 def test_vectors(spark):
