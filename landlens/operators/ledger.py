@@ -34,8 +34,9 @@ def consultation_round(cell: Column, flagged: Column, status_text: Column) -> Co
     return F.struct(n.alias("round"), F.when(again, "재협의").otherwise("본협의").alias("kind"), F.when(again | flat(status_text).contains("재협의"), "Y").otherwise("").alias("again"))
 
 
-def split_org(role: Column, sub: Column, dept: Column, abbreviations: dict, province: str, sub_orgs: dict, prefixes, city: str, agency_rx: str) -> Column:
-    """struct<org, dept> of a summary row, by the way its group writes them."""
+def split_org(role: Column, sub: Column, dept: Column, abbreviations: dict, province: str, sub_orgs: dict, prefixes, city: str, agency_rx: str, parents=()) -> Column:
+    """struct<org, dept> of a summary row, by the way its group writes them; ``parents`` are the province's own offices,
+    written before their department in brackets."""
     base = F.regexp_replace(sub, r"\(\d+\)", "")
     central = base
     for k, v in abbreviations.items():
@@ -43,12 +44,15 @@ def split_org(role: Column, sub: Column, dept: Column, abbreviations: dict, prov
     prov = F.lit(province)
     for k, v in sub_orgs.items():
         prov = F.when(sub.contains(k), v).otherwise(prov)
+    below = F.regexp_extract(dept, r"^([^(]+)\((.+)\)$", 1)
+    is_below = below.isin(*parents) if parents else F.lit(False)
+    prov, prov_dept = F.when(is_below, below).otherwise(prov), F.when(is_below, F.regexp_extract(dept, r"^([^(]+)\((.+)\)$", 2)).otherwise(dept)
     city_org, city_dept = F.lit(city), dept
     for p in reversed(prefixes):
         city_org, city_dept = F.when(dept.startswith(p), p).otherwise(city_org), F.when(dept.startswith(p), F.substring(dept, len(p) + 1, 10_000)).otherwise(city_dept)
     split = dept.rlike(agency_rx) & (F.regexp_extract(dept, agency_rx, 2) != "")
     org = F.when(role == "central", central).when(role == "province", prov).when(role == "city", city_org).when(split, F.regexp_extract(dept, agency_rx, 1)).otherwise(dept)
-    out = F.when(role == "city", city_dept).when(role.isin("central", "province"), dept).when(split, F.regexp_extract(dept, agency_rx, 2)).otherwise(dept)
+    out = F.when(role == "city", city_dept).when(role == "province", prov_dept).when(role == "central", dept).when(split, F.regexp_extract(dept, agency_rx, 2)).otherwise(dept)
     return F.struct(org.alias("org"), out.alias("dept"))
 
 
@@ -58,7 +62,7 @@ def row_rules(dept: Column, note_text: Column, rules) -> Column:
         hit = F.lit(True)
         for w in words:
             hit = hit & dept.contains(w)
-        note_text = F.when(hit, F.concat_ws(" / ", F.nullif(note_text, F.lit("")), F.lit(added))).otherwise(note_text)
+        note_text = F.when(hit, F.concat_ws(" ", F.nullif(note_text, F.lit("")), F.lit(added))).otherwise(note_text)
         dept = F.when(hit, new).otherwise(dept)
     return F.struct(dept.alias("dept"), F.coalesce(note_text, F.lit("")).alias("note"))
 

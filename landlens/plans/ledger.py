@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assembly as A
 from ..operators import ledger as L
 from .base import Catalog, table
 
@@ -260,7 +261,7 @@ def org_split(spark, sf_dir):
     return s.withColumn("o", o).select("s_suppkey", "o.org", "o.dept")
 
 
-@C.add("SELECT s_suppkey, CASE WHEN contains(s_name, '7') AND contains(s_name, '1') THEN 'Merged' ELSE s_name END AS dept, concat_ws(' / ', CASE WHEN s_suppkey % 2 = 0 THEN 'old' END, CASE WHEN contains(s_name, '7') AND contains(s_name, '1') THEN 'was split' END) AS note FROM supplier")
+@C.add("SELECT s_suppkey, CASE WHEN contains(s_name, '7') AND contains(s_name, '1') THEN 'Merged' ELSE s_name END AS dept, concat_ws(' ', CASE WHEN s_suppkey % 2 = 0 THEN 'old' END, CASE WHEN contains(s_name, '7') AND contains(s_name, '1') THEN 'was split' END) AS note FROM supplier")
 def org_row_rules(spark, sf_dir):
     r = L.row_rules(F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, "old").otherwise(""), [(("7", "1"), "Merged", "was split"), (("Nowhere",), "X", "y")])
     return table(spark, sf_dir, "supplier").withColumn("r", r).select("s_suppkey", "r.dept", "r.note")
@@ -295,11 +296,10 @@ def band_forward_hold(spark, sf_dir):
     return L.forward_hold(L.stitch(bands(spark, sf_dir)))
 
 
-@C.add(f"WITH {BAND_SQL} SELECT doc_id, band_no FROM bands WHERE band_no > (SELECT min(band_no) FROM bands) AND NOT (op = '' AND ac = '' AND st = '' AND law = '')")
+@C.add(rf"""WITH {BAND_SQL}, p AS (SELECT *, floor(band_no / 3)::BIGINT AS page, regexp_replace(law || op || ac || st, '\s+', '', 'g') AS t FROM bands), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY band_no) AS place FROM p) SELECT doc_id, band_no, page FROM r WHERE NOT (place = 1 AND (contains(t, 'law') OR contains(t, '○'))) AND t <> ''""")
 def band_header_skip(spark, sf_dir):
-    b = bands(spark, sf_dir)
-    first = b.agg(F.min("band_no").alias("first"))
-    return b.crossJoin(F.broadcast(first)).where("band_no > first and not (op = '' and ac = '' and st = '' and law = '')").select("doc_id", "band_no")
+    b = bands(spark, sf_dir).withColumns({"page": F.floor(F.col("band_no") / 3), "dept": F.lit("")})
+    return A.skip_headers(b, ("law", "○")).select("doc_id", "band_no", "page")
 
 
 @C.add(f"WITH {BAND_SQL} SELECT CASE WHEN contains(regexp_replace(st, '\\s+', '', 'g'), '미반영') THEN '미반영' ELSE '반영' END AS status, count(*) AS n FROM bands WHERE contains(regexp_replace(st, '\\s+', '', 'g'), '반영') GROUP BY 1")
@@ -332,3 +332,46 @@ def segment_coalesce(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     e = o.select((F.col("o_custkey") % 50).alias("doc_id"), (F.col("o_custkey") % 7).alias("page"), (k % 13 + 0.2).cast("double").alias("pos"), (k % 500).cast("double").alias("a"), (k % 500 + k % 17).cast("double").alias("b"))
     return L.coalesce_segments(e, 2.0).withColumnRenamed("at", "pos")
+
+
+RULES = A.Rules(roles={"g1": "city", "g2": "province"}, province="도", city="시", parents=("소방본부",), dept_alias={"도로": "도로과"})
+
+
+@C.add()
+def ledger_records(spark, sf_dir):
+    """Conversations as strips with printed departments, put together to records and given to their departments."""
+    k = F.col("doc_id") * 1000 + F.col("band_no")
+    cells = {0: "환경과-7781(2026.01.08)", 2: "교통정", 3: "책과-4401(2026.1.13.)", 5: "소방본부(예방과)", 7: "도로", 8: "-5502(2026.01.20.)", 9: "공원과(2차협의)"}
+    cell = F.lit("")
+    for at, text in cells.items():
+        cell = F.when(k % 11 == at, text).otherwise(cell)
+    known = spark.createDataFrame([("교통정책과",), ("환경과",), ("도로과",)], "dept string")
+    strips = bands(spark, sf_dir).withColumn("dept", cell)
+    return A.assign(L.stitch(strips), known, RULES)
+
+
+@C.add("""WITH t AS (SELECT s_suppkey, s_nationkey AS doc_id, s_suppkey AS seq, CASE WHEN s_suppkey % 9 = 0 THEN 'City side' WHEN s_suppkey % 7 = 0 THEN 'Province' ELSE '' END AS c0, s_suppkey % 6 = 0 AS sub FROM supplier),
+ f AS (SELECT *, coalesce(last_value(CASE c0 WHEN 'City side' THEN 'City' WHEN 'Province' THEN 'Province' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq), '') AS gun FROM t)
+SELECT doc_id, seq, gun, CASE gun WHEN 'Province' THEN CASE WHEN s_suppkey % 4 = 1 THEN 'Fire' ELSE 'Prov' END WHEN 'City' THEN 'Town' ELSE CASE WHEN s_suppkey % 4 = 1 THEN 'Fire(x)' ELSE 'd' || s_suppkey END END AS org,
+ CASE WHEN s_suppkey % 4 = 1 THEN CASE gun WHEN 'Province' THEN 'x' ELSE 'Fire(x)' END ELSE 'd' || s_suppkey END AS dept, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey END AS total, 1::BIGINT AS "반영", 0::BIGINT AS "부분반영", 2::BIGINT AS "미반영", 0::BIGINT AS "의견없음", 3::BIGINT AS "미회신", CASE WHEN s_suppkey % 4 = 1 THEN 'n o fire' ELSE 'n o' END AS note FROM f WHERE NOT sub""")
+def summary_table(spark, sf_dir):
+    """Suppliers as printed rows of a summary, every sixth a subtotal."""
+    k = F.col("s_suppkey")
+    num = k.cast("string")
+    dept = F.when(k % 6 == 0, "소 계").when(k % 4 == 1, F.concat(F.lit("Fire (d"), num, F.lit(")"))).otherwise(F.concat(F.lit("d "), num))
+    group = F.when(k % 9 == 0, "City side").when(k % 7 == 0, "Pro vince").otherwise("")
+    cells = F.array(group, dept, dept, F.when(k % 5 == 0, "-").otherwise(num), F.lit(" 1"), F.lit("-"), F.lit("2"), F.lit(""), F.lit("3"), F.lit(" n  o "))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), k.alias("seq"), cells.alias("cells"))
+    rules = A.Rules(roles={"City": "city", "Province": "province"}, group_alias={"Citysi": "City"}, province="Prov", city="Town", parents=("Fire",), rows=((("Fire",), "Fire(x)", "fire"),))
+    return A.read_summary(rows, rules)
+
+
+@C.add()
+def law_over_pages(spark, sf_dir):
+    """Laws of strips over the ends of pages of three strips; a law's cell is merged with the empty ones below it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id", "page").orderBy("band_no")
+    b = bands(spark, sf_dir).withColumns({"page": F.floor(F.col("band_no") / 3), "role": F.lit("city"), "nc": F.lit(5)})
+    b = b.withColumn("law_region", F.count(F.nullif("law", F.lit(""))).over(w))
+    return A.carry_laws(b, spark.createDataFrame([("환경과",)], "dept string"), T.LAW_ENDINGS).select("doc_id", "page", "band_no", "law")
