@@ -88,11 +88,13 @@ def news_summary(items: DataFrame) -> DataFrame:
 
 
 def news_facets(items: DataFrame, today: str) -> DataFrame:
-    """(facet, value, n): topics, outlets and periods up to ``today`` from one aggregation by topic, outlet and age."""
+    """(facet, value, n): topics, outlets, groups (items of both count in each) and periods up to ``today``, from one aggregation."""
     age = F.datediff(F.lit(today).cast("date"), F.col("date").try_cast("date"))
     periods = {"all": F.lit(True), "7": age <= 7, "30": age <= 30, "90": age <= 90, "year": F.substring("date", 1, 4) == today[:4]}
     flags = F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in periods.items()]))
     pairs = F.concat(F.array(F.struct(F.lit("topic").alias("facet"), F.col("topic").alias("value")), F.struct(F.lit("source").alias("facet"), F.col("source").alias("value"))), F.transform(flags, lambda p: F.struct(F.lit("period").alias("facet"), p.alias("value"))))
+    groups = F.array_compact(F.array(*[F.when(F.col("tag").isin(g, "both"), F.struct(F.lit("group").alias("facet"), F.lit(g).alias("value"))) for g in ("org", "site")]))
+    pairs = F.concat(pairs, groups)
     return items.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 

@@ -55,9 +55,10 @@ def news_summary(spark, sf_dir):
     return M.news_summary(picked(spark, sf_dir))
 
 
-@C.add(f"""WITH {DEDUP_SQL}, aged AS (SELECT topic, source, date, DATE '2025-01-20' - CAST(date AS DATE) AS age FROM topics)
+@C.add(f"""WITH {DEDUP_SQL}, aged AS (SELECT topic, source, tag, date, DATE '2025-01-20' - CAST(date AS DATE) AS age FROM topics)
 SELECT 'topic' AS facet, topic AS value, count(*) AS n FROM aged GROUP BY topic UNION ALL SELECT 'source', source, count(*) FROM aged GROUP BY source UNION ALL SELECT 'period', 'all', count(*) FROM aged HAVING count(*) > 0
-UNION ALL SELECT 'period', '7', count(*) FROM aged WHERE age <= 7 HAVING count(*) > 0 UNION ALL SELECT 'period', '30', count(*) FROM aged WHERE age <= 30 HAVING count(*) > 0 UNION ALL SELECT 'period', '90', count(*) FROM aged WHERE age <= 90 HAVING count(*) > 0 UNION ALL SELECT 'period', 'year', count(*) FROM aged WHERE date LIKE '2025%' HAVING count(*) > 0""")
+UNION ALL SELECT 'period', '7', count(*) FROM aged WHERE age <= 7 HAVING count(*) > 0 UNION ALL SELECT 'period', '30', count(*) FROM aged WHERE age <= 30 HAVING count(*) > 0 UNION ALL SELECT 'period', '90', count(*) FROM aged WHERE age <= 90 HAVING count(*) > 0 UNION ALL SELECT 'period', 'year', count(*) FROM aged WHERE date LIKE '2025%' HAVING count(*) > 0
+UNION ALL SELECT 'group', 'org', count(*) FROM aged WHERE tag IN ('org', 'both') HAVING count(*) > 0 UNION ALL SELECT 'group', 'site', count(*) FROM aged WHERE tag IN ('site', 'both') HAVING count(*) > 0""")
 def news_facets(spark, sf_dir):
     return M.news_facets(picked(spark, sf_dir), "2025-01-20")
 

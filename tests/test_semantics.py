@@ -269,3 +269,27 @@ def test_coverage_of_all_equals_counting_grams(spark):
             n, d = max(((len(grams(t) & grams(x)), -i) for i, x in docs), default=(0, None))
             want[o] = (-d if n else None, round(n / len(grams(t)), 6))
     assert got == want
+
+
+def test_portal_state_is_an_upsert_also_when_a_batch_is_repeated(spark, tmp_path):
+    from landlens.streaming import jobs
+
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, title string, kwds array<string>, seq long")
+    run = jobs.portal_batch(str(tmp_path / "portal"))
+    first, second = rows(("a", "old", ["x"], 2), ("a", "older", ["w"], 1), ("b", "b", None, 3)), rows(("a", "new", ["y", "x"], 1), ("c", "c", ["z"], 2))
+    for batch, i in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        run(batch, i)
+    got = {r.id: (r.title, r.kwds, r.added) for r in jobs.portal_state(spark, str(tmp_path / "portal")).collect()}
+    assert got["a"] == ("older", ["w", "x", "y"], False) and got["c"] == ("c", ["z"], True) and got["b"][0] == "b" and not got["b"][2]
+
+
+def test_portal_upsert_as_a_stream(spark, tmp_path):
+    from landlens.streaming import jobs
+
+    schema = "id string, title string, kwds array<string>, seq long"
+    for title in ("first", "second"):
+        spark.createDataFrame([("a", title, [title], 1)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.portal_upsert(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = jobs.portal_state(spark, str(tmp_path / "out")).collect()
+    assert [(r.id, r.title, r.kwds, r.added) for r in got] == [("a", "first", ["first", "second"], False)]
