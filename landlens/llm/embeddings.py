@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpoint, components, join_skewed, release
+from .common import Forest, checkpoint, components, release
 
 #: Parameters. Neighbours in a list and in the list of a node with all of them over the threshold, trees, planes a
 #: tree at most, vectors in a leaf, neighbours of one centre and vectors of a label compared together, refining rounds
@@ -49,8 +49,7 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
 
 
 def _unit(rows) -> np.ndarray:
-    """Unit vectors of lists, or of an Arrow array of lists, of one length."""
-    x = np.array(rows, dtype=np.float64) if isinstance(rows, (list, tuple)) else rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).copy()
+    x = np.array(rows, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -101,25 +100,24 @@ def _compare(blocks: DataFrame, lists: bool = True) -> DataFrame:
             a, b, c = [], [], []
             for items in batch.column(0):
                 ids = np.array(items.values.field("node"), dtype=np.int64)
-                x = _unit(items.values.field("raw"))
+                x = _unit(items.values.field("raw").to_pylist())
                 cos = x @ x.T
                 np.fill_diagonal(cos, -2)
-                i, j = np.empty(0, np.int64), np.empty(0, np.int64)
+                pairs = set()
                 if lists:
                     k = min(NEIGHBOURS, len(ids) - 1)
-                    i, j = np.repeat(np.arange(len(ids)), k), np.argpartition(-cos, k - 1, axis=1)[:, :k].ravel()
+                    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+                    pairs = {(min(i, j), max(i, j)) for i, row in enumerate(near.tolist()) for j in row}
                 forest = Forest(len(ids))
-                joined = [(int(u), int(v)) for u, v in zip(*np.nonzero(np.triu(cos >= THRESHOLD))) if forest.join(int(u), int(v))]
-                if joined:
-                    more = np.array(joined)
-                    i, j = np.concatenate([i, more[:, 0]]), np.concatenate([j, more[:, 1]])
-                at = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))  # each pair once
-                i, j = at // len(ids), at % len(ids)
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-                c.append(cos[i, j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, c)], names=["a", "b", "cos"])
+                for i, j in zip(*np.nonzero(np.triu(cos >= THRESHOLD))):
+                    if forest.join(int(i), int(j)):
+                        pairs.add((int(i), int(j)))
+                for i, j in pairs:
+                    lo, hi = sorted((int(ids[i]), int(ids[j])))
+                    a.append(lo)
+                    b.append(hi)
+                    c.append(float(cos[i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cos"])
 
     return blocks.where(F.size("items") > 1).select("items").mapInArrow(run, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
@@ -182,7 +180,7 @@ def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     rows = nodes.join(comp, "node")
     sizes = rows.groupBy("component").agg(F.count("*").alias("m"))
     parts = F.ceil(F.col("m") / F.ceil(4 * F.sqrt("m") + 16)).cast("int")
-    rows = join_skewed(rows, sizes, ["component"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.join(sizes, "component").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.select("component", "node", "mult", "raw", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     blocks = rows.groupBy("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(F.collect_list(F.struct("node", "mult", "own", "raw")).alias("items"))
 
@@ -193,7 +191,7 @@ def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
             out, n = [], []
             for same, items in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = items.values
-                x, own = _unit(v.field("raw")), np.array(v.field("own"))
+                x, own = _unit(v.field("raw").to_pylist()), np.array(v.field("own"))
                 hit = x @ x.T >= THRESHOLD
                 np.fill_diagonal(hit, False)
                 if not same:
@@ -235,7 +233,7 @@ def _asked_links(held):
                 rows = np.flatnonzero(groups == grp)
                 if not len(rows):
                     continue
-                x = _unit(b.column(2).take(pa.array(rows)))
+                x = _unit(b.column(2).take(pa.array(rows)).to_pylist())
                 ids, comps = np.array(b.column(0))[rows], np.array(b.column(3))[rows]
                 for at in range(0, len(asked), 500):
                     q, raws, c = zip(*asked[at : at + 500])
