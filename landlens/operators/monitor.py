@@ -113,9 +113,13 @@ def news_search(items: DataFrame, terms, group: str | None = None, topic: str |
     return out
 
 
+def news_order(order: str = "new") -> list[Column]:
+    by = {"new": [F.desc("date")], "old": [F.asc("date")], "outlet": [F.collate("source", "ko").asc(), F.desc("date")]}[order]
+    return [*by, F.asc("seq")]
+
+
 def news_sort(items: DataFrame, order: str = "new") -> DataFrame:
-    by = {"new": [F.desc("date")], "old": [F.asc("date")], "outlet": [F.collate("source", "ko"), F.desc("date")]}[order]
-    return items.orderBy(*by, "seq")
+    return items.orderBy(*news_order(order))
 
 
 # -- portal records ---------------------------------------------------------------------------------------------------
@@ -194,9 +198,13 @@ def downloadable(records: DataFrame) -> DataFrame:
     return first.withColumn("n_files", F.size(F.filter(F.split("file_nm", r"\|"), lambda x: x != "")))
 
 
+def portal_order(order: str = "new") -> list[Column]:
+    by = {"new": [F.desc("date")], "old": [F.asc("date")], "instt": [F.collate("instt", "ko").asc(), F.desc("date")], "title": [F.collate("title", "ko").asc()]}[order]
+    return [*by, F.asc("seq")]
+
+
 def portal_sort(rows: DataFrame, order: str = "new") -> DataFrame:
-    by = {"new": [F.desc("date")], "old": [F.asc("date")], "instt": [F.collate("instt", "ko"), F.desc("date")], "title": [F.collate("title", "ko")]}[order]
-    return rows.orderBy(*by, "seq")
+    return rows.orderBy(*portal_order(order))
 
 
 def slim(rows: DataFrame, fields, mask: str | None = None) -> DataFrame:
@@ -260,8 +268,15 @@ def feed_cap(entries: DataFrame, n: int = 20) -> DataFrame:
     return entries.withColumn("rank", rank).where(F.col("rank") <= n).where(F.coalesce("text", F.lit("")) != "").drop("rank")
 
 
+def post_order(screen: bool = False) -> list[Column]:
+    """Order of stored posts: date, then time, newest first. On the screen posts of a priority group, then posts with any
+    group, come first, and the stored order decides among posts of a date."""
+    stored = [F.desc("date"), F.desc("ts"), F.asc("seq")]
+    return [F.desc("priority"), F.desc(F.size("groups") > 0), *stored] if screen else stored
+
+
 def post_sort(posts: DataFrame) -> DataFrame:
-    return posts.orderBy(F.desc("date"), F.desc("ts"), "seq")
+    return posts.orderBy(*post_order())
 
 
 def hub_status(sites: DataFrame, feeds: DataFrame, now: Column) -> DataFrame:

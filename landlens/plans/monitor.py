@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitor as M
+from ..operators.stable import number_rows
 from .base import NEWS_SQL, ORG_ANY, ORG_QUERIES, SITE_PLACE, SITE_WITH, TOPICS, Catalog, news_items, table
 from .text import KEY_SQL, PORTAL_SQL, POST_SQL, portal_raw, posts
 
@@ -82,12 +83,9 @@ def news_archive_upsert(spark, sf_dir):
     return M.archive_upsert(t.where("seq % 2 = 0"), t.where("seq % 2 = 1")).select("key", "seq", "position")
 
 
-@C.add(f"WITH {DEDUP_SQL} SELECT seq, date, row_number() OVER (ORDER BY date DESC, seq) AS place FROM first QUALIFY place <= 200")
+@C.add(f"WITH {DEDUP_SQL} SELECT seq, date, row_number() OVER (ORDER BY date DESC, seq) AS place FROM first")
 def news_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = M.news_sort(M.news_dedup(tagged(spark, sf_dir))).limit(200)
-    return top.select("seq", "date", F.row_number().over(Window.orderBy(F.desc("date"), "seq")).cast("long").alias("place"))
+    return number_rows(M.news_dedup(tagged(spark, sf_dir)).select("seq", "date"), M.news_order())
 
 
 @C.add(f"WITH {DEDUP_SQL} SELECT seq, date FROM first ORDER BY date DESC, seq LIMIT 50 OFFSET 50")
@@ -166,12 +164,9 @@ def portal_search(spark, sf_dir):
     return r.where(rule_hits(text, [["h", "1"]]) & F.col("instt_se").isin("C", "B") & (F.col("date") >= "1995-01-01") & (F.col("date") <= "1997-12-31")).select("seq")
 
 
-@C.add(f"WITH {RECORDS_SQL} SELECT seq, date, row_number() OVER (ORDER BY date, seq) AS place FROM recs QUALIFY place <= 300")
+@C.add(f"WITH {RECORDS_SQL} SELECT seq, date, row_number() OVER (ORDER BY date, seq) AS place FROM recs")
 def portal_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = M.portal_sort(records(spark, sf_dir), "old").limit(300)
-    return top.select("seq", "date", F.row_number().over(Window.orderBy("date", "seq")).cast("long").alias("place"))
+    return number_rows(records(spark, sf_dir).select("seq", "date"), M.portal_order("old"))
 
 
 @C.add(f"WITH {RECORDS_SQL} SELECT instt, count(*) AS n FROM recs GROUP BY instt ORDER BY n DESC, instt LIMIT 12")
@@ -265,12 +260,10 @@ def post_search(spark, sf_dir):
     return c.where((F.col("platform") == "click") & F.array_contains("groups", "click") & (F.size("groups") > 0) & F.col("text").contains("5")).select("seq")
 
 
-@C.add(f"WITH {POST_SQL} SELECT seq, row_number() OVER (ORDER BY date DESC, ts DESC, seq) AS place FROM posts QUALIFY place <= 100")
+@C.add(f"WITH {CLASS_SQL} SELECT seq, row_number() OVER (ORDER BY date DESC, ts DESC, seq) AS place, row_number() OVER (ORDER BY c DESC, a OR b OR c DESC, date DESC, ts DESC, seq) AS screen_place FROM cls")
 def post_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = M.post_sort(posts(spark, sf_dir)).limit(100)
-    return top.select("seq", F.row_number().over(Window.orderBy(F.desc("date"), F.desc("ts"), "seq")).cast("long").alias("place"))
+    placed = number_rows(classified(spark, sf_dir).select("seq", "date", "ts", "groups", "priority"), M.post_order())
+    return number_rows(placed, M.post_order(screen=True), "screen_place").select("seq", "place", "screen_place")
 
 
 @C.add(f"WITH {POST_SQL} SELECT account, CASE account WHEN 'User3' THEN 1 WHEN 'User7' THEN 2 ELSE 999 END AS rank FROM (SELECT DISTINCT account FROM posts)")
