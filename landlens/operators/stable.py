@@ -7,9 +7,13 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Makes Spark remove a plan's shuffle files when the plan has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in spark.checkpoint.dir, with its lineage cut.
+    """``df`` written to the folder that the session names in spark.checkpoint.dir, with its lineage cut and the shuffle
+    files behind it removed, which nothing reads any more.
 
     A session without the setting gets a temporary folder if it runs on one machine; on a cluster that is an error, as
     executors do not see each other's disks."""
@@ -19,7 +23,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landlens-ckpt-"))
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        held = df.select("*")  # a plan made while the setting holds
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+    return held.checkpoint(eager=True)
 
 
 #: Bits of monotonically_increasing_id() that count the rows of a partition.
