@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, words_column
+from ..operators.stable import checkpoint
+from .common import words_column
 
 FILTERS = "ABCDE"
 MIN_WORDS = 50

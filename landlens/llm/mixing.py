@@ -13,8 +13,8 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stable import number_rows
-from .common import checkpoint, fresh, join_skewed
+from ..operators.stable import checkpoint, number_rows
+from .common import fresh, join_skewed
 
 WORD_RX = r"[^\x20\x09-\x0D]+"
 #: Documents of a block at the leaves, and blocks of a block above.

@@ -1,12 +1,12 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Texts are read in blocks of bytes. Prefix polynomials over the bytes give every word's fingerprint, prefix polynomials over
-the words' fingerprints that of every n-gram, a few numpy steps a block each. Fingerprints with their occurrences in a block
-are added up by a shuffle, shorter phrases first: a phrase can be frequent only if its parts are, so words that are not
-frequent take part in no pair, and pairs that are not in no longer phrase. In a last reading each block goes from a frequent
-fingerprint to its occurrences, compares their words with the text, and gives out each different phrase once with its count;
-only these phrases are ever turned into strings, and their counts are added up by the text itself, so that neither of two
-phrases with one fingerprint gets the other's count.
+the words' fingerprints that of every n-gram, a few numpy steps a block each. A shuffle adds up the fingerprints, shorter
+phrases first: a phrase can be frequent only if its parts are, so words that are not frequent take part in no pair, and pairs
+that are not in no longer phrase. With its count each fingerprint carries an occurrence pointer, 16 bits of a hash of a text
+that holds it, and 32 bits of a second polynomial. In a last reading only the texts that frequent fingerprints point to turn
+phrases into strings. A fingerprint whose second polynomial differs between occurrences stands for several phrases: those
+are compared with the text in every block and counted by the text itself.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, checkpoint, join_skewed, passes, small_batches
+from ..operators.stable import checkpoint
+from .common import bit_filter, join_skewed, passes, small_batches
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -37,7 +38,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Odd bases of the two polynomials modulo 2^64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+BYTE_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA24BAED4963EE407
 
 
 @lru_cache(maxsize=8)
@@ -82,16 +83,16 @@ class Block:
         self.start, self.end = edges[::2], edges[1::2]
         self.piece = np.searchsorted(np.flatnonzero(kind == END), self.start)
         self.row = np.searchsorted(np.cumsum([len(r) + 1 for r in rows]), self.start, "right")
-        self.word = self._hash_words()
+        self.word, self.other = self.hash_words(BYTE_BASE), None
 
-    def _hash_words(self) -> np.ndarray:
+    def hash_words(self, base: int) -> np.ndarray:
         """A slice is cut before the first word that doesn't end in it; a longer word is a slice of its own."""
         out, at = np.empty(len(self.start), np.uint64), 0
         while at < len(self.start):
             low = self.start[at]
             to = max(at + 1, int(np.searchsorted(self.end, low + SLICE, "right")))
             s, e = self.start[at:to] - low, self.end[at:to] - low
-            h = substrings(self.text[low : self.end[to - 1]].astype(np.uint64) + np.uint64(1), BYTE_BASE, s, e)
+            h = substrings(self.text[low : self.end[to - 1]].astype(np.uint64) + np.uint64(1), base, s, e)
             out[at:to] = mixed(h + (e - s).astype(np.uint64))
             at = to
         return out
@@ -111,16 +112,19 @@ class Block:
             at = to
         return first, mixed(out + np.uint64(n) ^ salt[self.row[first]])
 
+    def second(self, first: np.ndarray, n: int, salt: np.ndarray) -> np.ndarray:
+        """32 bits of another polynomial over the same bytes, for the phrases of n words from ``first`` on."""
+        if self.other is None:
+            self.other = self.hash_words(SECOND_BASE)
+        out = ~salt[self.row[first]]
+        for j in range(n):
+            out = out * np.uint64(SECOND_BASE) + self.other[first + j]
+        return mixed(out) >> np.uint64(32)
+
     def phrase(self, first: int, n: int) -> bytes:
         return b" ".join(self.text[s:e].tobytes() for s, e in zip(self.start[first : first + n].tolist(), self.end[first : first + n].tolist()))
 
 
-def fingerprint_salt(lang: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7)
-
-
 def cut(text: bytes, most: int):
     """``text`` in parts of about ``most`` bytes, each ending where a piece does, so that no phrase is cut."""
     at = 0
@@ -131,72 +135,82 @@ def cut(text: bytes, most: int):
 
 
 def _blocks(batches, most: int = 8 << 20):
-    """Blocks with the language of each row and its salt. A block has about ``most`` bytes, or one longer piece."""
+    """Blocks with, for each row, the language, its salt and a 16-bit mark of the text. A block has about ``most`` bytes, or
+    one longer piece."""
     import pyarrow as pa
+    import xxhash
 
-    def block(texts, langs):
-        salt = {x: fingerprint_salt(x) for x in set(langs)}
-        return Block(texts), langs, np.array([salt[x] for x in langs], np.uint64)
+    def block(texts, langs, marks):
+        salt = {x: xxhash.xxh64_intdigest(x.encode("utf-8"), 7) for x in set(langs)}
+        return Block(texts), langs, np.array([salt[x] for x in langs], np.uint64), np.array(marks, np.uint64)
 
     for b in batches:
-        texts, langs, size = [], [], 0
+        texts, langs, marks, size = [], [], [], 0
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            mark = xxhash.xxh64_intdigest(text or b"") & 0xFFFF
             for part in cut(text or b"", most):
                 if texts and size + len(part) > most:
-                    yield block(texts, langs)
-                    texts, langs, size = [], [], 0
+                    yield block(texts, langs, marks)
+                    texts, langs, marks, size = [], [], [], 0
                 texts.append(part)
                 langs.append(lang)
+                marks.append(mark)
                 size += len(part)
         if texts:
-            yield block(texts, langs)
+            yield block(texts, langs, marks)
 
 
-def candidates(block: Block, salt: np.ndarray, n: int, bits: list) -> tuple[np.ndarray, np.ndarray]:
-    """First word and fingerprint of the phrases of n words all of whose frequent-to-be parts pass ``bits``: filters of the
-    frequent words, then pairs."""
+def candidates(block: Block, salt: np.ndarray, n: int, filters: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and fingerprint of the phrases of n words all of whose parts pass ``filters``: of the frequent words, then
+    of the frequent pairs."""
+    cut_to = np.uint64((1 << bits) - 1)
     first, fp = block.grams(n, salt)
-    for m, b in enumerate(bits[: n - 1], 1):
+    for m, held in enumerate(filters[: n - 1], 1):
         at, part = block.grams(m, salt)
         good = np.zeros(len(block.word) + 1, bool)
-        good[at] = passes(b, part.view(np.int64))
+        good[at] = passes(held, (part & cut_to).view(np.int64))
         keep = np.ones(len(first), bool)
         for j in range(n - m + 1):
             keep &= good[first + j]
         first, fp = first[keep], fp[keep]
-    return first, fp
+    return first, fp & cut_to
 
 
-def count_fingerprints(rows: DataFrame, sizes, bits: list) -> DataFrame:
-    """``fp``, ``n``: occurrences of the fingerprints of phrases of ``sizes`` words in ``rows(lang, text)``, from MIN_COUNT on."""
+def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> DataFrame:
+    """``fp``, ``n``, ``low``, ``high``: occurrences of the fingerprints of phrases of ``sizes`` words in
+    ``rows(lang, text)``, from MIN_COUNT on, and the smallest and largest of their second polynomial's 32 bits followed by
+    the 16-bit mark of the text."""
 
     def run(batches):
         import pyarrow as pa
 
         def added(parts):
-            fp, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            fp, n, low, high = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(fp, kind="stable")
-            fp, n = fp[order], n[order]
-            at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else np.zeros(0, np.int64)
-            return fp[at], np.add.reduceat(n, at) if len(at) else n
+            at = np.flatnonzero(np.concatenate(([True], np.diff(fp[order]) != 0)))
+            return fp[order[at]], np.add.reduceat(n[order], at), np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
 
         def handed(parts):
-            fp, n = added(parts)
-            for i in range(0, len(fp), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["fp", "n"])
+            columns = [c.view(np.int64) for c in added(parts)]
+            for i in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["fp", "n", "low", "high"])
 
-        parts, size = [], 0
-        for block, _, salt in _blocks(batches):
+        parts, size, held = [], 0, [f.value for f in filters]
+        for block, _, salt, mark in _blocks(batches):
             for k in sizes:
-                parts.append(np.unique(candidates(block, salt, k, bits)[1], return_counts=True))
-                size += len(parts[-1][0])
+                first, fp = candidates(block, salt, k, held, bits)
+                if len(first):
+                    tail = block.second(first, k, salt) << np.uint64(16) | mark[block.row[first]]
+                    parts.append(added([(fp, np.ones(len(fp), np.int64), tail, tail)]))
+                    size += len(parts[-1][0])
             if size > HELD:
                 yield from handed(parts)
                 parts, size = [], 0
         if parts:
             yield from handed(parts)
 
-    return rows.mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    counts = rows.mapInArrow(run, "fp long, n long, low long, high long").groupBy("fp")
+    return counts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") >= MIN_COUNT)
 
 
 def distinct_phrases(block: Block, first: np.ndarray, fp: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -227,39 +241,110 @@ def distinct_phrases(block: Block, first: np.ndarray, fp: np.ndarray, n: int) ->
     return [*zip(lead_of.tolist(), of.tolist()), *map(tuple, counts.values())]
 
 
-def frequent_phrases(docs: DataFrame, text_col="text", lang_col="lang", longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """(``lang, words, phrase, f`` of every phrase of up to ``longest`` words found MIN_COUNT times or more; ``lang, n`` of
-    every language, all its words)."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    rows = small_batches(docs).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+def pointed(fp, mark):
+    """Where a fingerprint and the mark of a text that holds it stand in a filter."""
+    return mixed(fp ^ (mark + np.uint64(1)) * np.uint64(WORD_BASE)).view(np.int64)
+
+
+def phrases_by_pointer(rows: DataFrame, counts: DataFrame, longest: int, filters: list, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(``lang, words, phrase, f`` of each fingerprint in ``counts``, from a text that it points to; ``lang, n``: all words).
+
+    A text gives out the phrases that point to its mark, each once a task; the mark's 16 bits make that one text in 65,536."""
+
+    def place(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            fp, low = (np.array(c, dtype=np.int64).view(np.uint64) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(pointed(fp, low & np.uint64(0xFFFF)))], names=["h"])
 
-    words = checkpoint(count_fingerprints(rows, [1], []))
-    of_words = bit_filter(words, "fp")
-    pairs = checkpoint(count_fingerprints(rows, [2], [of_words.value]))
-    of_pairs = bit_filter(pairs, "fp")
-    longer = checkpoint(count_fingerprints(rows, range(3, longest + 1), [of_words.value, of_pairs.value]))
-    of_all = bit_filter(words.unionByName(pairs).unionByName(longer), "fp")
+    wanted = bit_filter(counts.select("fp", "low").mapInArrow(place, "h long"), "h")
 
     def run(batches):
         import pyarrow as pa
 
-        for block, langs, salt in _blocks(batches):
+        seen: set[int] = set()
+        held = [f.value for f in filters]
+        for block, langs, salt, mark in _blocks(batches):
             at, total = np.unique(block.row, return_counts=True)
             sums: dict[str, int] = {}
             for r, c in zip(at.tolist(), total.tolist()):
                 sums[langs[r]] = sums.get(langs[r], 0) + c
-            found = [(x, 0, None, c) for x, c in sums.items()]
+            out = [(None, x, 0, None, c) for x, c in sums.items()]
             for n in range(1, longest + 1):
-                first, fp = candidates(block, salt, n, [of_words.value, of_pairs.value])
+                first, fp = candidates(block, salt, n, held, bits)
+                hit = np.flatnonzero(passes(wanted.value, pointed(fp, mark[block.row[first]])))
+                for i, h in zip(first[hit].tolist(), fp[hit].view(np.int64).tolist()):
+                    if h not in seen:
+                        seen.add(h)
+                        out.append((h, langs[block.row[i]], n, block.phrase(i, n).decode("utf-8"), None))
+            for i in range(0, len(out), 1 << 14):
+                yield _batch(out[i : i + (1 << 14)], ["fp", "lang", "words", "phrase", "n"])
+            if len(seen) > HELD:
+                seen.clear()
+
+    found = checkpoint(rows.mapInArrow(run, "fp long, lang string, words int, phrase string, n long"))
+    once = found.where("words > 0").groupBy("fp").agg(F.min(F.struct("lang", "words", "phrase")).alias("p"))
+    named = once.join(counts.select("fp", F.col("n").alias("f")), "fp").select("p.*", "f")
+    return named, found.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def _batch(rows: list[tuple], names: list[str]):
+    import pyarrow as pa
+
+    kinds = {"fp": pa.int64(), "lang": pa.string(), "words": pa.int32(), "phrase": pa.string(), "n": pa.int64(), "f": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[x]) for c, x in zip(zip(*rows), names)], names=names)
+
+
+def phrases_by_text(rows: DataFrame, counts: DataFrame, longest: int, filters: list, bits: int) -> DataFrame:
+    """``lang, words, phrase, f`` of the phrases behind the fingerprints in ``counts``, counted by their text."""
+    of_all = bit_filter(counts, "fp")
+
+    def run(batches):
+        def handed(found):
+            out = [(lang, n, phrase.decode("utf-8"), c) for (lang, n), some in found.items() for phrase, c in some.items()]
+            for i in range(0, len(out), 1 << 14):
+                yield _batch(out[i : i + (1 << 14)], ["lang", "words", "phrase", "f"])
+
+        held = [f.value for f in filters]
+        found: dict[tuple[str, int], dict[bytes, int]] = {}
+        for block, langs, salt, _ in _blocks(batches):
+            for n in range(1, longest + 1):
+                first, fp = candidates(block, salt, n, held, bits)
                 hit = passes(of_all.value, fp.view(np.int64))
-                if hit.any():
-                    found += [(langs[block.row[i]], n, block.phrase(i, n).decode("utf-8"), c) for i, c in distinct_phrases(block, first[hit], fp[hit], n)]
-            for i in range(0, len(found), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found[i : i + (1 << 14)]), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "words", "phrase", "f"])
-
-    counts = rows.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    counts = checkpoint(counts.where((F.col("f") >= MIN_COUNT) | (F.col("words") == 0)))
-    return counts.where("words > 0"), counts.where("words = 0").select("lang", F.col("f").alias("n"))
+                for lang in set(langs) if hit.any() else ():
+                    own = hit & np.array([x == lang for x in langs])[block.row[first]]
+                    for i, c in distinct_phrases(block, first[own], fp[own], n) if own.any() else ():
+                        some, phrase = found.setdefault((lang, n), {}), block.phrase(i, n)
+                        some[phrase] = some.get(phrase, 0) + c
+            if sum(map(len, found.values())) > HELD >> 2:
+                yield from handed(found)
+                found = {}
+        yield from handed(found)
+
+    by_text = rows.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase")
+    return checkpoint(by_text.agg(F.sum("f").alias("f")).where(F.col("f") >= MIN_COUNT))
+
+
+def frequent_phrases(docs: DataFrame, text_col="text", lang_col="lang", longest: int = LONGEST, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(``lang, words, phrase, f`` of every phrase of up to ``longest`` words found MIN_COUNT times or more; ``lang, n`` of
+    every language, all its words). Fingerprints have ``bits`` bits; fewer give more collisions and the same result."""
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    rows = small_batches(docs).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+    words = checkpoint(count_fingerprints(rows, [1], [], bits))
+    filters = [bit_filter(words, "fp")]
+    pairs = checkpoint(count_fingerprints(rows, [2], filters, bits))
+    filters = [*filters, bit_filter(pairs, "fp")]
+    longer = checkpoint(count_fingerprints(rows, range(3, longest + 1), filters, bits))
+
+    counts = words.unionByName(pairs).unionByName(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    several = F.shiftright("low", 16) != F.shiftright("high", 16)
+    named, totals = phrases_by_pointer(rows, counts.where(~several), longest, filters, bits)
+    mixed_up = counts.where(several)
+    if not mixed_up.isEmpty():
+        named = named.unionByName(phrases_by_text(rows, mixed_up, longest, filters, bits))
+    return checkpoint(named), totals
 
 
 def collocations(docs: DataFrame, text_col="text", lang_col="lang", top: int = TOP, covered_pct: int = 100) -> DataFrame:

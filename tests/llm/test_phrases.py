@@ -76,6 +76,13 @@ def test_small_slices_and_blocks(odd, monkeypatch):
     same(odd, 3)
 
 
+@pytest.mark.parametrize("bits", [1, 9])
+def test_phrases_of_one_fingerprint_are_counted_by_text(odd, bits):
+    got, total = P.frequent_phrases(odd, bits=bits)
+    want, want_total = P.frequent_phrases(odd)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and sorted(map(tuple, total.collect())) == sorted(map(tuple, want_total.collect()))
+
+
 def test_colliding_fingerprints_are_told_apart():
     rng = random.Random(4)
     block = P.Block([" ".join(rng.choice(["a", "b", "cc", "dd", "é"]) for _ in range(300)).encode()])
