@@ -4,7 +4,7 @@ Texts are read in blocks of bytes. Prefix polynomials over the bytes give every
 the words' fingerprints that of every n-gram, a few numpy steps a block each. A shuffle adds up the fingerprints, shorter
 phrases first: a phrase can be frequent only if its parts are, so words that are not frequent take part in no pair, and pairs
 that are not in no longer phrase. With its count each fingerprint carries an occurrence pointer, 16 bits of a hash of a text
-that holds it, and 32 bits of a second polynomial. In a last reading only the texts that frequent fingerprints point to turn
+that holds it, and 24 bits of a second polynomial. In a last reading only the texts that frequent fingerprints point to turn
 phrases into strings. A fingerprint whose second polynomial differs between occurrences stands for several phrases: those
 are compared with the text in every block and counted by the text itself.
 """
@@ -26,7 +26,7 @@ MIN_COUNT = 100
 TOP = 2000
 #: Bytes of a slice whose words are hashed at once, and fingerprints that a task adds up before it hands them on.
 SLICE = 1 << 20
-HELD = 1 << 22
+HELD = 1 << 21
 
 #: Classes of bytes: part of a word, blank between words, end of a piece.
 WORD, BLANK, END = 0, 1, 2
@@ -113,13 +113,13 @@ class Block:
         return first, mixed(out + np.uint64(n) ^ salt[self.row[first]])
 
     def second(self, first: np.ndarray, n: int, salt: np.ndarray) -> np.ndarray:
-        """32 bits of another polynomial over the same bytes, for the phrases of n words from ``first`` on."""
+        """24 bits of another polynomial over the same bytes, for the phrases of n words from ``first`` on."""
         if self.other is None:
             self.other = self.hash_words(SECOND_BASE)
         out = ~salt[self.row[first]]
         for j in range(n):
             out = out * np.uint64(SECOND_BASE) + self.other[first + j]
-        return mixed(out) >> np.uint64(32)
+        return mixed(out) >> np.uint64(40)
 
     def phrase(self, first: int, n: int) -> bytes:
         return b" ".join(self.text[s:e].tobytes() for s, e in zip(self.start[first : first + n].tolist(), self.end[first : first + n].tolist()))
@@ -134,7 +134,7 @@ def cut(text: bytes, most: int):
     yield text[at:]
 
 
-def _blocks(batches, most: int = 8 << 20):
+def _blocks(batches, most: int = 4 << 20):
     """Blocks with, for each row, the language, its salt and a 16-bit mark of the text. A block has about ``most`` bytes, or
     one longer piece."""
     import pyarrow as pa
@@ -178,22 +178,25 @@ def candidates(block: Block, salt: np.ndarray, n: int, filters: list, bits: int)
 
 def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> DataFrame:
     """``fp``, ``n``, ``low``, ``high``: occurrences of the fingerprints of phrases of ``sizes`` words in
-    ``rows(lang, text)``, from MIN_COUNT on, and the smallest and largest of their second polynomial's 32 bits followed by
+    ``rows(lang, text)``, from MIN_COUNT on, and the smallest and largest of their second polynomial's 24 bits followed by
     the 16-bit mark of the text."""
 
     def run(batches):
         import pyarrow as pa
 
         def added(parts):
-            fp, n, low, high = (np.concatenate(c) for c in zip(*parts))
-            order = np.argsort(fp, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], np.diff(fp[order]) != 0)))
-            return fp[order[at]], np.add.reduceat(n[order], at), np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
+            """Each fingerprint and tail once, with its number of occurrences; tails of one fingerprint that have one second
+            polynomial give way to the smallest."""
+            fp = np.concatenate([p[0] for p in parts])
+            order = np.lexsort((np.concatenate([p[2] for p in parts]), fp))
+            fp, tail, n = fp[order], np.concatenate([p[2] for p in parts])[order], np.concatenate([p[1] for p in parts])[order]
+            at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (tail[1:] >> 16 != tail[:-1] >> 16))))
+            return fp[at], np.add.reduceat(n, at), tail[at]
 
         def handed(parts):
-            columns = [c.view(np.int64) for c in added(parts)]
+            columns = added(parts)
             for i in range(0, len(columns[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["fp", "n", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)].view(np.int64)) for c in columns], names=["fp", "n", "tail"])
 
         parts, size, held = [], 0, [f.value for f in filters]
         for block, _, salt, mark in _blocks(batches):
@@ -201,7 +204,7 @@ def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> Data
                 first, fp = candidates(block, salt, k, held, bits)
                 if len(first):
                     tail = block.second(first, k, salt) << np.uint64(16) | mark[block.row[first]]
-                    parts.append(added([(fp, np.ones(len(fp), np.int64), tail, tail)]))
+                    parts.append(added([(fp, np.ones(len(fp), np.int64), tail)]))
                     size += len(parts[-1][0])
             if size > HELD:
                 yield from handed(parts)
@@ -209,8 +212,9 @@ def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> Data
         if parts:
             yield from handed(parts)
 
-    counts = rows.mapInArrow(run, "fp long, n long, low long, high long").groupBy("fp")
-    return counts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") >= MIN_COUNT)
+    # A task has added up its own, so rows go to their fingerprint's partition as they are.
+    counts = rows.mapInArrow(run, "fp long, n long, tail long").repartition("fp").groupBy("fp")
+    return counts.agg(F.sum("n").alias("n"), F.min("tail").alias("low"), F.max("tail").alias("high")).where(F.col("n") >= MIN_COUNT)
 
 
 def distinct_phrases(block: Block, first: np.ndarray, fp: np.ndarray, n: int) -> list[tuple[int, int]]:
