@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
+from ..functions.helpers import nfc
+from .stable import checkpoint
 
 
-def grams(texts: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
-    """Distinct 3-grams of each text: one row (key, id, gram)."""
-    return texts.select(F.col(key).alias("key"), F.col(id_col).alias(id_col), F.explode(char_ngrams(F.col(text_col))).alias("gram"))
-
-
-def coverage(opinions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per opinion ``(opinion_id)``: share of its distinct 3-grams in its best document (first on ties).
-
-    Both sides have ``key`` and ``norm``. Grams meet by an equi-join on (key, gram), and pairs are counted by an
-    aggregation, so no text is compared with another directly."""
-    o = grams(opinions, "key", "opinion_id", "norm")
-    d = grams(documents, "key", "doc_id", "norm")
-    totals = o.groupBy("opinion_id").agg(F.count("*").alias("total"))
-    shared = o.join(d, ["key", "gram"]).groupBy("opinion_id", "doc_id").agg(F.count("*").alias("n"))
-    best = shared.groupBy("opinion_id").agg(F.max_by(F.struct("doc_id", "n"), F.struct("n", -F.col("doc_id"))).alias("b"))
-    return totals.join(best, "opinion_id", "left").select("opinion_id", F.col("b.doc_id").alias("doc_id"), F.round(F.coalesce(F.col("b.n"), F.lit(0)) / F.col("total"), 6).alias("score"))
-
-
-#: Opinions whose 3-grams are held by a task at once, documents compared with them at once.
-OPINIONS, DOCUMENTS = 500, 128
+#: Opinions' grams up to which they are sent to all tasks; more meet the documents' grams by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Rarest grams of an opinion that choose the document which its best has to beat.
+SEED_GRAMS = 12
 
 
 def _codes(text: str):
-    """Distinct 3-grams of a text as sorted numbers; a shorter text is its own."""
+    """Distinct 3-grams of a text as sorted numbers of 63 bits; a shorter text is its own."""
     import numpy as np
 
     p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -41,56 +26,72 @@ def _codes(text: str):
     return np.unique((p[:-2] << 42) | (p[1:-1] << 21) | p[2:])
 
 
-def coverage_of_all(opinions: DataFrame, documents: DataFrame) -> DataFrame:
-    """As ``coverage``, but each opinion is compared with all documents, whatever their key.
-
-    The opinions are the stated queries: they are read in blocks of OPINIONS by the hash of their ids, each block's
-    grams are sent to all tasks, and one pass over the documents counts shared grams by products of incidence blocks. A task
-    returns the best document of each opinion, so a partition sends one row an opinion and no pairs arise."""
-    spark, out = documents.sparkSession, None
-    blocks = -(-opinions.count() // OPINIONS)
-    for i in range(blocks):
-        rows = opinions.where(F.pmod(F.xxhash64("opinion_id"), F.lit(blocks)) == i).select("opinion_id", "norm").collect()  # about OPINIONS rows
-        best = documents.select("doc_id", "norm").mapInArrow(_best_of(spark.sparkContext.broadcast([(r.opinion_id, r.norm) for r in rows])), "opinion_id long, doc_id long, n long")
-        out = best if out is None else out.unionByName(best)
-    totals = opinions.select("opinion_id", F.size(char_ngrams(F.col("norm"))).alias("total")).where("total > 0")
-    if out is None:
-        return totals.select("opinion_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
-    top = out.groupBy("opinion_id").agg(F.max_by(F.struct("doc_id", "n"), F.struct("n", -F.col("doc_id"))).alias("b"))
-    return totals.join(top, "opinion_id", "left").select("opinion_id", F.col("b.doc_id").alias("doc_id"), F.round(F.coalesce(F.col("b.n"), F.lit(0)) / F.col("total"), 6).alias("score"))
+def grams(texts: DataFrame, keys: list[str], id_col: str, text_col: str = "norm") -> DataFrame:
+    """Distinct 3-grams of each text: a row (keys, id, gram) each. Null and empty texts have none."""
 
-
-def _best_of(held):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids, sets = [o for o, _ in held.value], [_codes(t) for _, t in held.value]
-        names = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.int64)
-        asked = np.zeros((len(ids), len(names)), np.float32)
-        for row, codes in zip(asked, sets):
-            row[np.searchsorted(names, codes)] = 1
-        n, best = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCUMENTS):
-                part = batch.slice(at, DOCUMENTS)
-                docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                there = np.zeros((len(docs), len(names)), np.float32)
-                for row, text in zip(there, texts):
-                    codes = _codes(text or "")
-                    at_names = np.minimum(np.searchsorted(names, codes), max(len(names) - 1, 0))
-                    if len(names) and len(codes):
-                        row[at_names[names[at_names] == codes]] = 1
-                shared = np.rint(asked @ there.T).astype(np.int64)
-                order = np.argsort(docs, kind="stable")
-                pick = order[shared[:, order].argmax(axis=1)]
-                count, doc = shared[np.arange(len(ids)), pick], np.array(docs)[pick]
-                better = (count > n) | ((count == n) & (count > 0) & (doc < best))
-                n[better], best[better] = count[better], doc[better]
-        some = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[some]), pa.array(best[some]), pa.array(n[some])], names=["opinion_id", "doc_id", "n"])
-
-    return run
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                codes = [_codes(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:-1]), pa.array(np.concatenate(codes))], names=[*keys, id_col, "gram"])
+
+    kinds = dict(texts.dtypes)
+    named = texts.select(*keys, F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
+    return named.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{id_col} long", "gram long"]))
+
+
+def coverage(opinions: DataFrame, documents: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Per opinion with a text: share of its distinct 3-grams in its best document (first id on ties), among the documents
+    with the same ``keys``, or among all. ``opinion_id, doc_id, score``; null and 0 where none shares a gram.
+
+    An exact search for the best by an inverted index, rarest grams first. The documents that share most of an opinion's
+    rarest grams give it a document to beat, with ``low`` grams in common. A better one lacks at most all but ``low`` grams,
+    so it has at least three quarters of ``low`` outside the opinion's ``low / 4`` most common grams: these, whose lists are
+    the longest, are looked up for the documents only that pass. The plan has the same length for any number of opinions;
+    grams meet by joins on the gram, of which the opinions' side is broadcast up to BROADCAST_ROWS. The documents' grams are
+    made again for each of the passes, which costs less than writing several times their text. Document ids tell the
+    documents of a key apart; null keys meet nothing."""
+    keys, at = list(keys), [*keys, "gram"]
+    asked = checkpoint(grams(opinions, keys, "opinion_id"))
+    few = asked.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    there = grams(documents, keys, "doc_id")
+    found = there.join(small(asked.select(*at).distinct()), at, "left_semi").groupBy(*at).agg(F.count("*").alias("df"))
+    own = Window.partitionBy("opinion_id")
+    ranked = asked.join(found, at).withColumns({"rank": F.row_number().over(own.orderBy("df", "gram")), "known": F.count("*").over(own)})
+    ranked = checkpoint(ranked.select(*at, "opinion_id", "rank", "known"))
+
+    def shared(some: DataFrame, on: list[str], *more: str) -> DataFrame:
+        return there.join(small(some), on).groupBy("opinion_id", "doc_id", *more).agg(F.count("*").alias("n"))
+
+    first = lambda n: F.struct(F.col(n), -F.col("doc_id"))
+    seeds = shared(ranked.where(F.col("rank") <= SEED_GRAMS), at).groupBy("opinion_id").agg(F.max_by("doc_id", first("n")).alias("doc_id"))
+    low = shared(ranked.join(seeds, "opinion_id"), [*at, "doc_id"]).select("opinion_id", F.col("n").alias("low"))
+    spared = F.floor(F.col("low") / 4)
+    bound = checkpoint(ranked.join(low, "opinion_id").select(*at, "opinion_id", (F.col("rank") > F.col("known") - spared).alias("common"), (F.col("low") - spared).alias("need")))
+    passed = checkpoint(shared(bound.where("not common"), at, "need").where("n >= need").drop("need"))
+    asked_again = passed.select("opinion_id", "doc_id").join(bound.where("common").drop("need", "common"), "opinion_id")
+    rest = there.join(asked_again, [*at, "doc_id"]).groupBy("opinion_id", "doc_id").agg(F.count("*").alias("more"))
+    whole = passed.join(rest, ["opinion_id", "doc_id"], "left").select("opinion_id", "doc_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    best = whole.groupBy("opinion_id").agg(F.max_by(F.struct("doc_id", "n"), first("n")).alias("b"))
+    totals = asked.groupBy("opinion_id").agg(F.count("*").alias("total"))
+    return totals.join(best, "opinion_id", "left").select("opinion_id", F.col("b.doc_id").alias("doc_id"), F.round(F.coalesce(F.col("b.n"), F.lit(0)) / F.col("total"), 6).alias("score"))
+
+
+def agency_key(group: Column, org: Column, dept: Column) -> Column:
+    """What joins opinions to letters: group, agency and department, composed (NFC)."""
+    return nfc(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in (group, org, dept)]))
+
+
+def candidates(opinions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per opinion the number of letters with its ``key``; 0 where none has it."""
+    per_key = documents.groupBy("key").agg(F.count("*").alias("n"))
+    return opinions.join(per_key, "key", "left").select("opinion_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def verdict(score: Column, opinion: Column, status: Column, trivial: Column) -> Column:

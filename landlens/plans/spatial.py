@@ -431,31 +431,55 @@ def evidence(spark, sf_dir):
     return b, d
 
 
-@C.add(f"WITH {EV_SQL} SELECT opinion_id, count(*) AS n FROM (SELECT opinion_id, opinion_id % 8 AS b FROM op) JOIN (SELECT doc_id % 8 AS b FROM ev) USING (b) GROUP BY opinion_id")
-def evidence_candidates(spark, sf_dir):
+#: Agencies of the sample binding: opinions have decomposed names, letters composed ones; agency 6 wrote no letter.
+KEY_SQL = """k AS (SELECT opinion_id, nfc_normalize(concat_ws(chr(31), 'g' || opinion_id % 2, 'Cafe' || chr(769) || opinion_id % 7, 'd' || opinion_id % 2)) AS key, norm FROM op),
+ ek AS (SELECT doc_id, concat_ws(chr(31), 'g' || doc_id % 2, 'Caf' || chr(233) || doc_id % 7, 'd' || doc_id % 2) AS key, norm FROM ev WHERE doc_id % 7 <> 6)"""
+AGENCY_SQL = EV_SQL[: EV_SQL.index("og AS")] + KEY_SQL + """, kg AS (SELECT DISTINCT key, opinion_id, substr(norm, i, 3) AS g FROM (SELECT *, unnest(generate_series(1, greatest(length(norm) - 2, 1))) AS i FROM k)), dg AS (SELECT DISTINCT key, doc_id, substr(norm, i, 3) AS g FROM (SELECT *, unnest(generate_series(1, greatest(length(norm) - 2, 1))) AS i FROM ek)),
+ t AS (SELECT opinion_id, count(*) AS total FROM kg GROUP BY 1), s AS (SELECT opinion_id, doc_id, count(*) AS n FROM kg JOIN dg USING (key, g) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY opinion_id ORDER BY n DESC, doc_id) = 1),
+ sc AS (SELECT opinion_id, doc_id, round(coalesce(n, 0) / total, 6) AS score FROM t LEFT JOIN s USING (opinion_id)), op2 AS (SELECT opinion_id, CASE WHEN opinion_id % 9 = 0 THEN '미회신' ELSE '회신' END AS status FROM op)"""
+
+
+def agency_evidence(spark, sf_dir):
+    """Opinions and letters of agencies; the letters of one agency are missing."""
     b, d = evidence(spark, sf_dir)
-    per_key = d.groupBy((F.col("doc_id") % 8).alias("key")).agg(F.count("*").alias("n"))
-    return b.withColumn("key", F.col("opinion_id") % 8).join(per_key, "key").select("opinion_id", "n")
+    key = lambda i, name: E.agency_key(F.concat(F.lit("g"), i % 2), F.concat(F.lit(name), i % 7), F.concat(F.lit("d"), i % 2))
+    return b.withColumn("key", key(F.col("opinion_id"), "Cafe\u0301")), d.where("doc_id % 7 <> 6").withColumn("key", key(F.col("doc_id"), "Caf\u00e9"))
+
+
+@C.add(f"WITH {AGENCY_SQL} SELECT opinion_id, (SELECT count(*) FROM ek WHERE ek.key = k.key) AS n FROM k")
+def evidence_candidates(spark, sf_dir):
+    return E.candidates(*agency_evidence(spark, sf_dir))
 
 
 @C.add(f"WITH {EV_SQL} SELECT opinion_id, doc_id, score FROM sc")
 def evidence_coverage(spark, sf_dir):
-    return E.coverage_of_all(*evidence(spark, sf_dir))
+    return E.coverage(*evidence(spark, sf_dir))
+
+
+VERDICT_SQL = "CASE WHEN status = '미회신' THEN '미회신' WHEN doc_id IS NULL THEN '원문없음' WHEN score >= 0.85 THEN '일치' WHEN score >= 0.60 THEN '부분일치' WHEN opinion_id % 4 = 0 THEN '의견없음' ELSE '상이' END"
+
+
+def agency_verdicts(spark, sf_dir):
+    """Opinions within their agency's letters, some without a reply, some trivial, those of one agency without a letter."""
+    b, d = agency_evidence(spark, sf_dir)
+    scored = E.coverage(b, d, ["key"]).join(b.select("opinion_id", F.when(F.col("opinion_id") % 9 == 0, "미회신").otherwise("회신").alias("status")), "opinion_id")
+    score = F.when(F.col("doc_id").isNotNull(), F.col("score"))
+    return scored.withColumn("verdict", E.verdict(score, F.lit("x"), F.col("status"), F.col("opinion_id") % 4 == 0))
 
 
-VERDICT_SQL = "CASE WHEN score >= 0.85 THEN '일치' WHEN score >= 0.60 THEN '부분일치' ELSE '상이' END"
+@C.add(f"WITH {AGENCY_SQL} SELECT opinion_id, doc_id, score, {VERDICT_SQL} AS verdict FROM sc JOIN op2 USING (opinion_id)")
+def evidence_by_agency(spark, sf_dir):
+    return agency_verdicts(spark, sf_dir).select("opinion_id", "doc_id", "score", "verdict")
 
 
-@C.add(f"WITH {EV_SQL} SELECT {VERDICT_SQL} AS verdict, count(*) AS n FROM sc GROUP BY 1")
+@C.add(f"WITH {AGENCY_SQL} SELECT {VERDICT_SQL} AS verdict, count(*) AS n FROM sc JOIN op2 USING (opinion_id) GROUP BY 1")
 def match_verdicts(spark, sf_dir):
-    scored = E.coverage_of_all(*evidence(spark, sf_dir))
-    return scored.select(E.verdict(F.col("score"), F.lit("x"), F.lit(""), F.lit(False)).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    return agency_verdicts(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@C.add(f"WITH {EV_SQL} SELECT opinion_id FROM sc WHERE {VERDICT_SQL} IN ('부분일치', '상이')")
+@C.add(f"WITH {AGENCY_SQL} SELECT opinion_id FROM sc JOIN op2 USING (opinion_id) WHERE {VERDICT_SQL} IN ('부분일치', '상이')")
 def verify_filter(spark, sf_dir):
-    scored = E.coverage_of_all(*evidence(spark, sf_dir))
-    return scored.where(E.verdict(F.col("score"), F.lit("x"), F.lit(""), F.lit(False)).isin("부분일치", "상이")).select("opinion_id")
+    return agency_verdicts(spark, sf_dir).where(F.col("verdict").isin("부분일치", "상이")).select("opinion_id")
 
 
 @C.add()
@@ -464,6 +488,6 @@ def longest_common_excerpt(spark, sf_dir):
     from ..functions.helpers import longest_common_excerpt as excerpt
 
     b, d = evidence(spark, sf_dir)
-    won = E.coverage_of_all(b, d).where("score >= 0.35")
+    won = E.coverage(b, d).where("score >= 0.35")
     j = won.join(b.select("opinion_id", F.col("norm").alias("op")), "opinion_id").join(d.select("doc_id", F.col("norm").alias("src")), "doc_id")
     return j.select("opinion_id", "doc_id", "score", excerpt("op", "src").alias("excerpt"))

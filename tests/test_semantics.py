@@ -256,19 +256,31 @@ def test_affine_fit_finds_the_planted_map(spark):
     assert S.affine_ransac(spark.createDataFrame([], "px double, py double, gx double, gy double")).count() == 0
 
 
-def test_coverage_of_all_equals_counting_grams(spark):
+def test_coverage_equals_counting_grams(spark, monkeypatch):
     from landlens.operators import evidence as E
 
     docs = [(i, t) for i, t in enumerate(["the quick brown fox", "", "a", "quick brown dogs", "the quick brown fox", "zz", None, "한글 문서입니다"])]
     ops = [(1, "quick brown fox"), (2, "zz"), (3, ""), (4, "문서입니다"), (5, "nothing@all")]
     grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set()
-    got = {r.opinion_id: (r.doc_id, r.score) for r in E.coverage_of_all(spark.createDataFrame(ops, "opinion_id long, norm string"), spark.createDataFrame(docs, "doc_id long, norm string")).collect()}
+    got = {r.opinion_id: (r.doc_id, r.score) for r in E.coverage(spark.createDataFrame(ops, "opinion_id long, norm string"), spark.createDataFrame(docs, "doc_id long, norm string")).collect()}
     want = {}
     for o, t in ops:
         if t:
             n, d = max(((len(grams(t) & grams(x)), -i) for i, x in docs), default=(0, None))
             want[o] = (-d if n else None, round(n / len(grams(t)), 6))
     assert got == want
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("aaabbcd") for _ in range(n))
+    docs = [(i, f"k{i % 3}" if i % 11 else None, text(rng.randrange(80))) for i in range(150)]
+    ops = [(i, f"k{i % 4}", docs[i][2][5:40] + text(10)) for i in range(30)]
+    o, d = spark.createDataFrame(ops, "opinion_id long, key string, norm string"), spark.createDataFrame(docs, "doc_id long, key string, norm string")
+    for rows in (E.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(E, "BROADCAST_ROWS", rows)
+        for keys in ([], ["key"]):
+            got = {r.opinion_id: (r.doc_id, r.score) for r in E.coverage(o, d, keys).collect()}
+            for i, k, t in ops:
+                n, j = max(((len(grams(t) & grams(x)), -i) for i, kk, x in docs if not keys or kk == k), default=(0, None))
+                assert got[i] == (-j if n else None, round(n / len(grams(t)), 6))
 
 
 def test_portal_state_is_an_upsert_also_when_a_batch_is_repeated(spark, tmp_path):
