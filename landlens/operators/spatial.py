@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from .stable import checkpoint
 
 
 # -- zones ----------------------------------------------------------------------------------------------------------------
@@ -198,7 +199,10 @@ def object_height(d: Column) -> Column:
 
 
 def contour_segments(cells: DataFrame, levels) -> DataFrame:
-    """Segments of each level in each 2 x 2 block of cells: ends interpolated on the block's sides, by the case of its corners."""
+    """Segments of each level in each 2 x 2 block of cells: ends interpolated on the block's sides, by the case of its corners.
+
+    ``a_side`` and ``b_side`` name the sides of the grid that hold the ends: a level crosses a side once at most, so two
+    segments at most share one, also where their ends lie on a corner that further segments touch."""
     across = Window.partitionBy("raster_id", "row").orderBy("col")
     pairs = cells.withColumn("right", F.lead("v").over(across))
     below = pairs.select("raster_id", (F.col("row") - 1).alias("row"), "col", F.col("v").alias("low"), F.col("right").alias("low_right"))
@@ -207,14 +211,14 @@ def contour_segments(cells: DataFrame, levels) -> DataFrame:
     bit = lambda c, k: F.when(F.col(c) >= F.col("level"), k).otherwise(0)
     q = q.withColumn("case", bit("v", 8) + bit("right", 4) + bit("low_right", 2) + bit("low", 1)).where("case not in (0, 15)")
     t = lambda a, b: F.try_divide(F.col("level") - F.col(a), F.col(b) - F.col(a))
-    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    top, bottom = pt(F.col("col") + t("v", "right"), F.col("row")), pt(F.col("col") + t("low", "low_right"), F.col("row") + 1)
-    left, right = pt(F.col("col"), F.col("row") + t("v", "low")), pt(F.col("col") + 1, F.col("row") + t("right", "low_right"))
+    pt = lambda x, y, kind, r, c: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.struct((F.col("row") + r).cast("long").alias("row"), (F.col("col") + c).cast("long").alias("col"), F.lit(kind).alias("kind")).alias("side"))
+    top, bottom = pt(F.col("col") + t("v", "right"), F.col("row"), "h", 0, 0), pt(F.col("col") + t("low", "low_right"), F.col("row") + 1, "h", 1, 0)
+    left, right = pt(F.col("col"), F.col("row") + t("v", "low"), "v", 0, 0), pt(F.col("col") + 1, F.col("row") + t("right", "low_right"), "v", 0, 1)
     seg = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     c = F.col("case")
     ends = F.when(c.isin(1, 14), F.array(seg(left, bottom))).when(c.isin(2, 13), F.array(seg(bottom, right))).when(c.isin(3, 12), F.array(seg(left, right))).when(c.isin(4, 11), F.array(seg(top, right))).when(c.isin(6, 9), F.array(seg(top, bottom))).when(c.isin(7, 8), F.array(seg(left, top)))
     ends = F.when(c == 5, F.array(seg(left, top), seg(bottom, right))).when(c == 10, F.array(seg(left, bottom), seg(top, right))).otherwise(ends)
-    return q.select("raster_id", "level", "row", "col", F.explode(ends).alias("s")).select("raster_id", "level", "row", "col", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    return q.select("raster_id", "level", "row", "col", F.explode(ends).alias("s")).select("raster_id", "level", "row", "col", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"), F.col("s.a.side").alias("a_side"), F.col("s.b.side").alias("b_side"))
 
 
 # -- buildings, georeferencing ---------------------------------------------------------------------------------------------
@@ -321,55 +325,58 @@ def affine_ransac(points: DataFrame, trials: int = 2000, wide: float = 15.0, nar
     return stats.withColumns({"scale": F.lit(float(np.hypot(m[0, 0], m[0, 1]))), "rotation": F.lit(float(np.degrees(np.arctan2(m[0, 1], m[0, 0]))))})
 
 
-def segment_components(segments: DataFrame, checkpoint, max_rounds: int = 64) -> DataFrame:
-    """``segments`` with ``part``: alike for segments of one raster and level that share ends, directly or through others.
+def _ranked(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """List ranking by pointer jumping: ``arcs(arc, next, steps, end, tail, low)`` until each row has jumped to its list's end.
 
-    Each round every label takes the least label that its segments meet at an end, and then the one that that label takes,
-    so the rounds grow with the logarithm of the number of segments. ``checkpoint`` cuts the lineage."""
-    end = lambda x, y: F.concat_ws("/", F.bround(x, 6).cast("string"), F.bround(y, 6).cast("string"))
-    keys = ["raster_id", "level"]
-    ends = F.array(end("ax", "ay"), end("bx", "by"))
-    number = F.xxhash64("raster_id", "level", F.array_min(ends), F.array_max(ends))
-    cur = checkpoint(segments.withColumn("ends", ends).withColumn("part", number))
+    A row knows the arc that follows the stretch it has seen, the stretch's number of arcs, where it ends and comes from last,
+    and its least vertex. Each round joins every row to the one it points at, which doubles its stretch, so the rounds grow
+    with the logarithm of the longest list; no list is ever gathered. Rows of a ring never end and keep
+    their ``next``: they are done when a round changes no least vertex. In each round that leaves rows of a list open, others
+    of it reach the end, so a round without either is the last."""
+    cur = checkpoint(arcs)
     for _ in range(max_rounds):
-        at = cur.select(*keys, F.explode("ends").alias("end"), "part")
-        low = at.groupBy(*keys, "end").agg(F.min("part").alias("low"))
-        taken = checkpoint(at.join(low, [*keys, "end"]).groupBy("part").agg(F.min("low").alias("next")))
-        if taken.where("next <> part").isEmpty():
-            return cur.drop("ends")
-        onward = taken.select(F.col("part").alias("next"), F.col("next").alias("then"))
-        jump = taken.join(onward, "next").select("part", F.least("next", "then").alias("now"))
-        cur = checkpoint(cur.join(jump, "part").withColumn("part", F.col("now")).drop("now"))
-    raise RuntimeError("contour components did not converge")
+        if cur.where("next is not null").isEmpty():
+            return cur
+        on = cur.select(*[F.col(c).alias(f"_{c}") for c in cur.columns])
+        jump = F.col("_arc").isNotNull()
+        two = cur.join(on, F.col("next") == F.col("_arc"), "left")
+        low = F.when(jump, F.least("low", "_low")).otherwise(F.col("low"))
+        new = two.select("arc", F.when(jump, F.col("_next")).alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), *[F.when(jump, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("end", "tail")], low.alias("low"), (F.col("_next").isNotNull() & (low == F.col("low"))).alias("still"), jump.alias("moved"))
+        new = checkpoint(new)
+        settled = new.where("moved and not still").isEmpty()
+        cur = new.drop("still", "moved")
+        if settled:
+            return cur
+    raise RuntimeError("lines did not converge")
 
 
 def chain_segments(segments: DataFrame) -> DataFrame:
-    """Segments of one (raster, level, component) that share ends, as lines of three points or more, in a helper per group."""
-
-    def run(g):
-        import pandas as pd
-
-        ends: dict = {}
-        for k, (ax, ay, bx, by) in enumerate(zip(g.ax, g.ay, g.bx, g.by)):
-            for p in ((round(ax, 6), round(ay, 6)), (round(bx, 6), round(by, 6))):
-                ends.setdefault(p, []).append(k)
-        seg = [((round(a, 6), round(b, 6)), (round(c, 6), round(d, 6))) for a, b, c, d in zip(g.ax, g.ay, g.bx, g.by)]
-        used, out = set(), []
-        for start in sorted(ends, key=lambda p: (len(ends[p]) % 2 == 0, p)):
-            for first in ends[start]:
-                if first in used:
-                    continue
-                line, at, k = [start], start, first
-                while k is not None:
-                    used.add(k)
-                    at = seg[k][1] if seg[k][0] == at else seg[k][0]
-                    line.append(at)
-                    k = next((j for j in ends[at] if j not in used), None)
-                if len(line) >= 3:
-                    out.append((int(g.raster_id.iloc[0]), float(g.level.iloc[0]), int(g.part.iloc[0]), len(out), len(line), line[0] == line[-1]))
-        return pd.DataFrame(out, columns=["raster_id", "level", "part", "line", "n", "closed"])
-
-    return segments.groupBy("raster_id", "level", "part").applyInPandas(run, "raster_id long, level double, part long, line long, n long, closed boolean")
+    """Polylines of ``contour_segments``, a row a point: ``raster_id, level, line, place, x, y, n, closed``.
+
+    Segments that share a side follow each other. Every segment is two arcs, one a direction; list ranking tells each arc how
+    far it is from its line's end, and the opposite arc how far from its start, so a line of any length is put in order over
+    all tasks. Rings are cut at their least vertex first. A line starts at the lesser of its ends, a ring goes first to the
+    lesser neighbour of its start; ``line`` names the start. Lines of fewer than three points go."""
+    seg = checkpoint(segments.withColumn("sid", F.monotonically_increasing_id()))
+    vertex = lambda side: F.struct("raster_id", "level", F.col(f"{side}_side.row").alias("row"), F.col(f"{side}_side.col").alias("col"), F.col(f"{side}_side.kind").alias("kind"))
+    way = lambda d, u, v: seg.select((F.col("sid") * 2 + d).alias("arc"), vertex(u).alias("u"), vertex(v).alias("v"), F.col(f"{u}x").alias("ux"), F.col(f"{u}y").alias("uy"), F.col(f"{v}x").alias("vx"), F.col(f"{v}y").alias("vy"))
+    arcs = way(0, "a", "b").unionByName(way(1, "b", "a"))
+    after = arcs.select(F.col("u").alias("v"), F.col("arc").alias("next"))
+    same = F.shiftright("arc", 1) == F.shiftright("next", 1)
+    follow = arcs.join(after, "v").where(~same).select("arc", "next")
+    first = checkpoint(arcs.join(follow, "arc", "left").select("arc", "next", F.lit(1).cast("long").alias("steps"), F.col("v").alias("end"), F.col("u").alias("tail"), F.least("u", "v").alias("low")))
+    seen = _ranked(first)
+    rings = seen.where("next is not null").select("arc", F.col("low").alias("cut"))
+    opened = first.join(rings, "arc").withColumn("next", F.when(F.col("end") != F.col("cut"), F.col("next"))).drop("cut")
+    done = seen.where("next is null").unionByName(_ranked(opened))
+    back = done.select(F.col("arc").bitwiseXOR(F.lit(1).cast("long")).alias("arc"), (F.col("steps") - 1).alias("before"), F.col("end").alias("start"), F.col("tail").alias("second"))
+    whole = arcs.join(done.select("arc", "steps", "end", "tail"), "arc").join(back, "arc")
+    forward = whole.where(F.struct(F.col("start").alias("p"), F.col("second").alias("q")) < F.struct(F.col("end").alias("p"), F.col("tail").alias("q"))).withColumn("n", F.col("steps") + F.col("before") + 1).where("n >= 3")
+    point = lambda place, x, y: F.struct(place.alias("place"), F.col(x).alias("x"), F.col(y).alias("y"))
+    own = point(F.col("before") + 1, "vx", "vy")
+    points = F.when(F.col("before") == 0, F.array(point(F.lit(0).cast("long"), "ux", "uy"), own)).otherwise(F.array(own))
+    line = F.concat_ws("/", "start.row", "start.col", "start.kind")
+    return forward.select("u.raster_id", "u.level", line.alias("line"), F.explode(points).alias("p"), "n", (F.col("start") == F.col("end")).alias("closed")).select("raster_id", "level", "line", "p.*", "n", "closed")
 
 
 def resample(cells: DataFrame, rows: int, cols: int, factor: float) -> DataFrame:

@@ -141,8 +141,8 @@ def affine_fit_ransac(spark, sf_dir):
 
 @C.add()
 def contour_chain(spark, sf_dir):
-    seg = S.contour_segments(cells(spark, sf_dir), (0.5, 1.5))
-    return S.chain_segments(S.segment_components(seg, _materialised))
+    lines = S.chain_segments(S.contour_segments(cells(spark, sf_dir), (0.5, 1.5)))
+    return lines.select("raster_id", "level", "line", "place", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", "closed")
 
 
 @C.add(f"""WITH {CELL_SQL}, m AS (SELECT raster_id, median(v) AS mid FROM ras GROUP BY raster_id), f AS (SELECT raster_id, row, col, coalesce(v, mid) AS v FROM ras JOIN m USING (raster_id)), q AS (SELECT raster_id, r, c, r * 2 AS row, c * 2 AS col FROM m, (SELECT unnest(generate_series(0, 9)) AS r), (SELECT unnest(generate_series(0, 19)) AS c))

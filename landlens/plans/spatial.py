@@ -405,9 +405,12 @@ def object_height_class(spark, sf_dir):
 
 
 @C.add(f"""WITH {CELL_SQL}, q AS (SELECT a.raster_id, a.row, a.col, a.v AS tl, b.v AS tr, c.v AS bl, d.v AS br FROM ras a JOIN ras b ON b.raster_id = a.raster_id AND b.row = a.row AND b.col = a.col + 1 JOIN ras c ON c.raster_id = a.raster_id AND c.row = a.row + 1 AND c.col = a.col JOIN ras d ON d.raster_id = a.raster_id AND d.row = a.row + 1 AND d.col = a.col + 1 WHERE a.v + b.v + c.v + d.v IS NOT NULL),
- k AS (SELECT *, (tl >= l)::INT * 8 + (tr >= l)::INT * 4 + (br >= l)::INT * 2 + (bl >= l)::INT AS case_no FROM q, (VALUES (0.5), (1.5)) v(l)) SELECT raster_id, l::DOUBLE AS level, sum(CASE WHEN case_no IN (5, 10) THEN 2 ELSE 1 END)::BIGINT AS n FROM k WHERE case_no NOT IN (0, 15) GROUP BY raster_id, l""")
+ k AS (SELECT *, (tl >= l)::INT * 8 + (tr >= l)::INT * 4 + (br >= l)::INT * 2 + (bl >= l)::INT AS case_no FROM q, (VALUES (0.5), (1.5)) v(l)), p AS (SELECT *, {{'x': col + (l - tl) / nullif(tr - tl, 0), 'y': row::DOUBLE}} AS t, {{'x': col + (l - bl) / nullif(br - bl, 0), 'y': row + 1.0}} AS b, {{'x': col::DOUBLE, 'y': row + (l - tl) / nullif(bl - tl, 0)}} AS le, {{'x': col + 1.0, 'y': row + (l - tr) / nullif(br - tr, 0)}} AS r FROM k WHERE case_no NOT IN (0, 15)),
+ s AS (SELECT raster_id, l, row, col, unnest(CASE WHEN case_no IN (1, 14) THEN [[le, b]] WHEN case_no IN (2, 13) THEN [[b, r]] WHEN case_no IN (3, 12) THEN [[le, r]] WHEN case_no IN (4, 11) THEN [[t, r]] WHEN case_no IN (6, 9) THEN [[t, b]] WHEN case_no IN (7, 8) THEN [[le, t]] WHEN case_no = 5 THEN [[le, t], [b, r]] ELSE [[le, b], [t, r]] END) AS e FROM p)
+SELECT raster_id, l::DOUBLE AS level, row, col, round(e[1].x, 6)::DOUBLE AS ax, round(e[1].y, 6)::DOUBLE AS ay, round(e[2].x, 6)::DOUBLE AS bx, round(e[2].y, 6)::DOUBLE AS by FROM s""")
 def contour_segments(spark, sf_dir):
-    return S.contour_segments(cells(spark, sf_dir), (0.5, 1.5)).groupBy("raster_id", "level").agg(F.count("*").alias("n"))
+    s = S.contour_segments(cells(spark, sf_dir), (0.5, 1.5))
+    return s.select("raster_id", "level", "row", "col", *[R(F.col(c)).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @C.add(f"WITH {PT_SQL}, m AS (SELECT {MERC} FROM pts), t AS (SELECT z, floor((mx + {HALF!r}) / ({2 * HALF!r} / 2 ** z))::INT AS tx, floor(({HALF!r} - my) / ({2 * HALF!r} / 2 ** z))::INT AS ty FROM m, (SELECT unnest(generate_series(8, 12)) AS z)) SELECT z, tx, ty, count(*) AS n FROM t GROUP BY ALL")

@@ -234,11 +234,46 @@ def test_a_feed_entry_has_title_and_description(spark):
     assert [(r.text, r.when.date, r.when.exact) for r in got] == [("Head Body", "2024-01-01", True), ("Clip about it", "2024-01-02", True)]
 
 
-def test_a_long_contour_stays_whole(spark):
-    cells = spark.createDataFrame([(1, r, c, float(c >= 2)) for r in range(41) for c in range(4)], "raster_id long, row long, col long, v double")
-    seg = S.segment_components(S.contour_segments(cells, (0.5,)), lambda df: df.checkpoint())
-    got = S.chain_segments(seg).collect()
-    assert [(r.n, r.closed) for r in got] == [(41, False)]
+def chained(segments):
+    """Lines by walking from side to side."""
+    at = {}
+    for r in segments:
+        for u, v, p, q in ((r.a_side, r.b_side, (r.ax, r.ay), (r.bx, r.by)), (r.b_side, r.a_side, (r.bx, r.by), (r.ax, r.ay))):
+            at.setdefault((r.raster_id, r.level, u), []).append((v, p, q))
+    used, out = set(), {}
+    for start in sorted(at, key=lambda k: (len(at[k]) != 1, k)):
+        for v, p, q in sorted(at[start], key=lambda x: x[0])[:1]:
+            if start in used:
+                continue
+            line, before, here = [p, q], start[2], v
+            used |= {start, (*start[:2], v)}
+            while here != start[2]:
+                on = [x for x in at[(*start[:2], here)] if x[0] != before]
+                if not on:
+                    break
+                before, here = here, on[0][0]
+                line.append(on[0][2])
+                used.add((*start[:2], here))
+            if len(line) >= 3:
+                out[start[0], start[1], "/".join(map(str, start[2]))] = (line, here == start[2])
+    return out
+
+
+def test_contours_are_chained_like_a_walk(spark):
+    rng = random.Random(6)
+    rows = [(1, r, c, float(c >= 2)) for r in range(41) for c in range(4)] + [(2, r, c, float(max(abs(r - 9), abs(c - 9)) < 6)) for r in range(20) for c in range(20)]
+    rows += [(3, r, c, rng.random()) for r in range(30) for c in range(30)] + [(4, r, c, float(rng.randrange(3)) / 2) for r in range(20) for c in range(20)]
+    seg = S.contour_segments(spark.createDataFrame(rows, "raster_id long, row long, col long, v double"), (0.5,))
+    got = {}
+    for r in S.chain_segments(seg).orderBy("raster_id", "level", "line", "place").collect():
+        line, n, closed = got.setdefault((r.raster_id, r.level, r.line), ([], r.n, r.closed))
+        assert r.place == len(line) and (r.n, r.closed) == (n, closed)
+        line.append((r.x, r.y))
+    assert all(len(line) == n for line, n, _ in got.values())
+    want = chained(seg.collect())
+    assert {k: (v[0], v[2]) for k, v in got.items()} == want and {True, False} == {v[1] for v in want.values()}
+    assert [v[1] for k, v in got.items() if k[0] == 1] == [41]
+    assert S.chain_segments(seg.limit(0)).count() == 0
 
 
 def test_affine_fit_finds_the_planted_map(spark):
