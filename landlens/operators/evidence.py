@@ -50,33 +50,38 @@ def coverage(opinions: DataFrame, documents: DataFrame, keys: list[str] = ()) ->
     with the same ``keys``, or among all. ``opinion_id, doc_id, score``; null and 0 where none shares a gram.
 
     An exact search for the best by an inverted index, rarest grams first. The documents that share most of an opinion's
-    rarest grams give it a document to beat, with ``low`` grams in common. A better one lacks at most all but ``low`` grams,
-    so it has at least three quarters of ``low`` outside the opinion's ``low / 4`` most common grams: these, whose lists are
-    the longest, are looked up for the documents only that pass. The plan has the same length for any number of opinions;
-    grams meet by joins on the gram, of which the opinions' side is broadcast up to BROADCAST_ROWS. The documents' grams are
-    made again for each of the passes, which costs less than writing several times their text. Document ids tell the
-    documents of a key apart; null keys meet nothing."""
+    rarest grams give it a document to beat, with ``low`` grams in common. A document as good has at least half of ``low``
+    outside the opinion's ``low / 2`` most common grams: these, whose lists are the longest, are looked up for the documents
+    only that pass. The plan has the same length for any number of opinions; grams meet by joins on the gram, of which the
+    opinions' side is broadcast up to BROADCAST_ROWS. The documents' grams are made again for each of the passes, which costs
+    less than writing several times their text, and for the documents to beat and those that pass from these alone. Document
+    ids tell the documents of a key apart; null keys meet nothing."""
     keys, at = list(keys), [*keys, "gram"]
     asked = checkpoint(grams(opinions, keys, "opinion_id"))
-    few = asked.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda df: df)
+    checked = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    n_asked = asked.count()
+    small = lambda df: checked(df, n_asked)
     there = grams(documents, keys, "doc_id")
     found = there.join(small(asked.select(*at).distinct()), at, "left_semi").groupBy(*at).agg(F.count("*").alias("df"))
     own = Window.partitionBy("opinion_id")
     ranked = asked.join(found, at).withColumns({"rank": F.row_number().over(own.orderBy("df", "gram")), "known": F.count("*").over(own)})
     ranked = checkpoint(ranked.select(*at, "opinion_id", "rank", "known"))
 
-    def shared(some: DataFrame, on: list[str], *more: str) -> DataFrame:
-        return there.join(small(some), on).groupBy("opinion_id", "doc_id", *more).agg(F.count("*").alias("n"))
+    def shared(some: DataFrame, *more: str) -> DataFrame:
+        return there.join(small(some), at).groupBy("opinion_id", "doc_id", *more).agg(F.count("*").alias("n"))
+
+    def shared_by(pairs: DataFrame, n_pairs: int, some: DataFrame) -> DataFrame:
+        """Of ``some`` grams of the opinions, those that the documents of ``pairs`` have: only these documents are read again."""
+        own = grams(documents.join(checked(pairs.select("doc_id").distinct(), n_pairs), "doc_id", "left_semi"), keys, "doc_id")
+        return own.join(small(some), at).join(checked(pairs.select("opinion_id", "doc_id"), n_pairs), ["opinion_id", "doc_id"]).groupBy("opinion_id", "doc_id").agg(F.count("*").alias("n"))
 
     first = lambda n: F.struct(F.col(n), -F.col("doc_id"))
-    seeds = shared(ranked.where(F.col("rank") <= SEED_GRAMS), at).groupBy("opinion_id").agg(F.max_by("doc_id", first("n")).alias("doc_id"))
-    low = shared(ranked.join(seeds, "opinion_id"), [*at, "doc_id"]).select("opinion_id", F.col("n").alias("low"))
-    spared = F.floor(F.col("low") / 4)
+    seeds = checkpoint(shared(ranked.where(F.col("rank") <= SEED_GRAMS)).groupBy("opinion_id").agg(F.max_by("doc_id", first("n")).alias("doc_id")))
+    low = shared_by(seeds, n_asked, ranked.select(*at, "opinion_id")).select("opinion_id", F.col("n").alias("low"))
+    spared = F.floor(F.col("low") / 2)
     bound = checkpoint(ranked.join(low, "opinion_id").select(*at, "opinion_id", (F.col("rank") > F.col("known") - spared).alias("common"), (F.col("low") - spared).alias("need")))
-    passed = checkpoint(shared(bound.where("not common"), at, "need").where("n >= need").drop("need"))
-    asked_again = passed.select("opinion_id", "doc_id").join(bound.where("common").drop("need", "common"), "opinion_id")
-    rest = there.join(asked_again, [*at, "doc_id"]).groupBy("opinion_id", "doc_id").agg(F.count("*").alias("more"))
+    passed = checkpoint(shared(bound.where("not common"), "need").where("n >= need").drop("need"))
+    rest = shared_by(passed, passed.count(), bound.where("common").select(*at, "opinion_id")).withColumnRenamed("n", "more")
     whole = passed.join(rest, ["opinion_id", "doc_id"], "left").select("opinion_id", "doc_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
     best = whole.groupBy("opinion_id").agg(F.max_by(F.struct("doc_id", "n"), first("n")).alias("b"))
     totals = asked.groupBy("opinion_id").agg(F.count("*").alias("total"))

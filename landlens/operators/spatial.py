@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from .selection import quantiles, select_ranks
 from .stable import checkpoint
 
 
@@ -134,10 +135,15 @@ def raster_stats(cells: DataFrame) -> DataFrame:
     return cells.groupBy("raster_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count_if(F.col("v").isNull()).alias("void"))
 
 
+def medians(cells: DataFrame, name: str) -> DataFrame:
+    """``raster_id`` and the median of its valid cells."""
+    return quantiles(cells, ["raster_id"], "v", [0.5]).select("raster_id", F.col("q")[0].alias(name))
+
+
 def stretch(cells: DataFrame) -> DataFrame:
     """Values mapped by their 2, 50 and 98 percentiles (of positive ones) to 20, 128 and 236, where a spread under 1 counts as 1; void cells and zeros 128."""
     v = F.col("v")
-    q = cells.where("v > 0").groupBy("raster_id").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98))).alias("q"))
+    q = quantiles(cells.where("v > 0"), ["raster_id"], "v", [0.02, 0.5, 0.98])
     low, mid, high = (F.col("q")[i] for i in range(3))
     part = lambda a, b, lo, hi: lo + (hi - lo) * (v - a) / F.greatest(b - a, F.lit(1.0))
     level = F.when(v < mid, part(low, mid, 20.0, 128.0)).otherwise(part(mid, high, 128.0, 236.0))
@@ -150,8 +156,7 @@ def hillshade(cells: DataFrame, resolution: float, z_factor: float = 1.0) -> Dat
 
     Void cells count with the raster's median and come out 0. Gradients are central differences, one-sided on the edges;
     one window runs along rows, one along columns. The mean of the four lights is held to 0 to 1."""
-    middle = cells.groupBy("raster_id").agg(F.median("v").alias("_mid"))
-    cells = cells.join(middle, "raster_id")
+    cells = cells.join(medians(cells, "_mid"), "raster_id", "left")
     across, down = Window.partitionBy("raster_id", "row").orderBy("col"), Window.partitionBy("raster_id", "col").orderBy("row")
 
     def gradient(w):
@@ -231,12 +236,12 @@ def building_mask(buildings: DataFrame, margin: float = 1.5, cell: float = 1.0)
     return c.where(G.in_ring(x, y, F.col("ring")) | (G.distance_to_ring(x, y, F.col("ring")) <= margin)).select("building", "cx", "cy")
 
 
-def building_components(cells: DataFrame, checkpoint, max_rounds: int = 64) -> DataFrame:
-    """8-connected components of building cells ``(raster_id, row, col, v)``: every cell with the smallest cell number it reaches.
+def building_components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """8-connected components of building cells ``(raster_id, row, col, v)``: every cell with the least cell (row, col) it reaches.
 
     Each round a cell takes the least label of its neighbourhood and then the label of that label's cell (pointer
-    jumping), so the rounds grow with the logarithm of a component's width. ``checkpoint`` cuts the lineage."""
-    number = F.col("row") * 1_000_000 + F.col("col")
+    jumping), so the rounds grow with the logarithm of a component's width."""
+    number = F.struct(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     cur = checkpoint(cells.select("raster_id", "row", "col", "v", number.alias("n"), number.alias("label")))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     for _ in range(max_rounds):
@@ -246,19 +251,21 @@ def building_components(cells: DataFrame, checkpoint, max_rounds: int = 64) -> D
         jump = near.select("raster_id", F.col("n").alias("label"), F.col("low").alias("next")).groupBy("raster_id", "label").agg(F.min("next").alias("next"))
         step = near.join(jump.withColumnRenamed("label", "low"), ["raster_id", "low"], "left")
         new = checkpoint(step.select("raster_id", "row", "col", "v", "n", F.least("low", F.coalesce("next", "low")).alias("label"), F.col("label").alias("was")))
-        moved = new.where("label <> was").limit(1).count()
+        still = new.where("label <> was").isEmpty()
         cur = new.drop("was")
-        if not moved:
+        if still:
             return cur
     raise RuntimeError("building components did not converge")
 
 
 def building_shapes(labelled: DataFrame, cell_area: float) -> DataFrame:
-    """Per component: area, eave (20th percentile), ridge (95th), mean height, volume and size of its box."""
-    v = F.sort_array(F.collect_list("v"))
-    rank = lambda q: F.element_at(v, (F.floor((F.count("v") - 1) * q + 0.5) + 1).cast("int"))
+    """Per component: area, eave (20th percentile, nearest rank), ridge (95th), mean height, volume and size of its box."""
+    keys, place = ["raster_id", "label"], lambda n, q: F.floor((n - 1) * q + 0.5)
     area = F.count("*") * cell_area
-    return labelled.groupBy("raster_id", "label").agg(F.count("*").alias("cells"), area.alias("area"), rank(0.2).alias("eave"), rank(0.95).alias("ridge"), F.avg("v").alias("mean"), (F.avg("v") * area).alias("volume"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"))
+    sums = labelled.groupBy(*keys).agg(F.count("*").alias("cells"), area.alias("area"), F.avg("v").alias("mean"), (F.avg("v") * area).alias("volume"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"))
+    heights = select_ranks(labelled, keys, "v", lambda n: [place(n, 0.2), place(n, 0.95)])
+    at = lambda q: F.col("at")[place(F.col("n"), q)]
+    return sums.join(heights, keys, "left").withColumns({"eave": at(0.2), "ridge": at(0.95)}).drop("n", "at")
 
 
 def _residual(m):
@@ -381,7 +388,7 @@ def chain_segments(segments: DataFrame) -> DataFrame:
 
 def resample(cells: DataFrame, rows: int, cols: int, factor: float) -> DataFrame:
     """The raster on another grid, ``factor`` cells apart, bilinear, void cells filled with the raster's median first, as decimetres."""
-    mid = cells.groupBy("raster_id").agg(F.median("v").alias("mid"))
+    mid = cells.select("raster_id").distinct().join(medians(cells, "mid"), "raster_id", "left")
     filled = cells.join(mid, "raster_id").select("raster_id", "row", "col", F.coalesce("v", "mid").alias("v"))
     grid = mid.select("raster_id", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
     at = grid.select(F.concat_ws("/", "raster_id", "r", "c").alias("id"), "raster_id", "r", "c", (F.col("r") * factor).alias("row"), (F.col("c") * factor).alias("col"))

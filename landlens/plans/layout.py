@@ -112,22 +112,16 @@ def building_mask(spark, sf_dir):
     return m.groupBy(F.col("building").alias("obstacle")).agg(F.count("*").alias("cells"))
 
 
-def _materialised(df):
-    from pyspark.sql import SparkSession
-
-    sc = SparkSession.active().sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="landlens-ckpt-"))  # in tests only
-    return df.checkpoint(eager=True)
-
-
-@C.add()
+@C.add(f"""WITH RECURSIVE {CELL_SQL}, h AS (SELECT raster_id, row, col, v FROM ras WHERE v > 1.2),
+ near AS (SELECT a.raster_id, a.row, a.col, b.row AS r2, b.col AS c2 FROM h a JOIN h b ON b.raster_id = a.raster_id AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1),
+ reach AS (SELECT raster_id, row, col, row AS lr, col AS lc FROM h UNION SELECT n.raster_id, r2, c2, lr, lc FROM reach JOIN near n USING (raster_id, row, col)),
+ lab AS (SELECT raster_id, row, col, min({{'r': lr, 'c': lc}}) AS label FROM reach GROUP BY ALL), j AS (SELECT * FROM lab JOIN h USING (raster_id, row, col)),
+ g AS (SELECT raster_id, label, count(*) AS cells, list_sort(list(v)) AS vs, avg(v) AS m, (max(row) - min(row) + 1) AS height, (max(col) - min(col) + 1) AS width FROM j GROUP BY ALL)
+SELECT raster_id, label.r || '/' || label.c AS label, cells, round(cells * 4.0, 4)::DOUBLE AS area, round(vs[floor((cells - 1) * 0.2 + 0.5)::BIGINT + 1], 6)::DOUBLE AS eave, round(vs[floor((cells - 1) * 0.95 + 0.5)::BIGINT + 1], 6)::DOUBLE AS ridge, round(m * cells * 4.0, 5)::DOUBLE AS volume, height, width FROM g""")
 def building_component(spark, sf_dir):
     high = cells(spark, sf_dir).where("v > 1.2").select("raster_id", "row", "col", "v")
-    s = S.building_shapes(S.building_components(high, _materialised), 4.0)
-    return s.select("raster_id", "label", "cells", F.round("area", 4).alias("area"), F.round("eave", 6).alias("eave"), F.round("ridge", 6).alias("ridge"), F.round("volume", 5).alias("volume"), "height", "width")
+    s = S.building_shapes(S.building_components(high), 4.0)
+    return s.select("raster_id", F.concat_ws("/", "label.row", "label.col").alias("label"), "cells", F.round("area", 4).alias("area"), F.round("eave", 6).alias("eave"), F.round("ridge", 6).alias("ridge"), F.round("volume", 5).alias("volume"), "height", "width")
 
 
 @C.add()
