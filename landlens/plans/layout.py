@@ -76,10 +76,10 @@ def dept_fragment_join(spark, sf_dir):
     return Y.fragment_join(r, spark.createDataFrame([("Roadworks",), ("Waterworks",)], "dept string")).select("doc_id", "seq", "whole")
 
 
-@C.add("WITH r AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN (conv_id + turn) % 3 = 0 THEN '○' ELSE substr(text, 1, 5) END AS text FROM conversations), n AS (SELECT *, text = '○' AS mark, lead(text = '○') OVER w AS nx, lag(text = '○') OVER w AS pv FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT doc_id, seq, CASE WHEN pv AND NOT mark THEN '○' ELSE '' END || text AS text FROM n WHERE NOT (mark AND coalesce(NOT nx, false))")
+@C.add("WITH r AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN (conv_id + turn) % 3 = 0 THEN '○' ELSE coalesce(text, '') END AS text FROM conversations), n AS (SELECT *, text = '○' AS mark, lead(text = '○') OVER w AS nx, lag(text = '○') OVER w AS pv FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT doc_id, seq, CASE WHEN pv AND NOT mark THEN '○' ELSE '' END || text AS text FROM n WHERE NOT (mark AND coalesce(NOT nx, false))")
 def dept_marker_hold(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    r = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "○").otherwise(F.substring("text", 1, 5)).alias("text"))
+    r = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "○").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
     return Y.marker_hold(r)
 
 
@@ -151,8 +151,8 @@ def raster_sample_viewer(spark, sf_dir):
     return S.sample_viewer(raster_points(spark, sf_dir), cells(spark, sf_dir)).select("id", F.round("value", 8).alias("value"))
 
 
-@C.add("SELECT doc_id, source FROM documents")
+@C.add("SELECT doc_id, source, text FROM documents")
 def src_json_records(spark, sf_dir):
     """Documents as the JSON lines of an archive, parsed with an explicit schema."""
-    raw = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "source", F.substring("text", 1, 50).alias("text"))).alias("line"))
-    return raw.select(F.from_json("line", "doc_id long, source string, text string").alias("r")).select("r.doc_id", "r.source")
+    raw = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "source", "text")).alias("line"))
+    return raw.select(F.from_json("line", "doc_id long, source string, text string").alias("r")).select("r.doc_id", "r.source", "r.text")

@@ -267,12 +267,12 @@ def wall_distance_angle(spark, sf_dir):
 COLORS = (("housing", 1.0, 0.9, 0.6), ("industry", 0.6, 0.7, 1.0), ("green", 0.6, 0.8, 0.8))
 
 
-@C.add("""WITH c AS (SELECT p_partkey, (p_partkey % 11) / 10.0 + (p_partkey % 7) / 100.0 AS r, (p_partkey % 10) / 10.0 + 0.1 AS g, (p_partkey % 11) / 10.0 * 0.5 + 0.5 AS b, p_size * 20.0 AS y, p_retailprice / 1000.0 AS area FROM part),
+@C.add("""WITH c AS (SELECT p_partkey, (p_partkey % 11) / 10.0 + (p_partkey % 7) / 100.0 AS r, (p_partkey % 10) / 10.0 + 0.1 AS g, (p_partkey % 11) / 10.0 * 0.5 + 0.5 AS b, p_size * 20.0 AS y, p_retailprice / 950.0 AS area FROM part),
  d AS (SELECT *, (r - 1.0) ** 2 + (g - 0.9) ** 2 + (b - 0.6) ** 2 AS d1, (r - 0.6) ** 2 + (g - 0.7) ** 2 + (b - 1.0) ** 2 AS d2, (r - 0.6) ** 2 + (g - 0.8) ** 2 + (b - 0.8) ** 2 AS d3 FROM c WHERE y <= 760 AND area >= 1)
 SELECT p_partkey, CASE WHEN abs(r - 1) < 0.01 AND abs(g - 1) < 0.01 AND abs(b - 1) < 0.01 THEN 'white' WHEN least(d1, d2, d3) >= 0.001 THEN NULL WHEN d1 <= d2 AND d1 <= d3 THEN 'housing' WHEN d2 <= d3 THEN 'industry' ELSE 'green' END AS use FROM d""")
 def legend_color(spark, sf_dir):
     k = F.col("p_partkey")
-    f = table(spark, sf_dir, "part").select("p_partkey", ((k % 11) / 10.0 + (k % 7) / 100.0).alias("r"), ((k % 10) / 10.0 + 0.1).alias("g"), ((k % 11) / 10.0 * 0.5 + 0.5).alias("b"), (F.col("p_size") * 20.0).alias("y"), (F.col("p_retailprice") / 1000.0).cast("double").alias("area"))
+    f = table(spark, sf_dir, "part").select("p_partkey", ((k % 11) / 10.0 + (k % 7) / 100.0).alias("r"), ((k % 10) / 10.0 + 0.1).alias("g"), ((k % 11) / 10.0 * 0.5 + 0.5).alias("b"), (F.col("p_size") * 20.0).alias("y"), (F.col("p_retailprice") / 950.0).cast("double").alias("area"))
     return S.classified_fills(f, COLORS).select("p_partkey", "use")
 
 

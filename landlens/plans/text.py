@@ -233,21 +233,23 @@ def when_parse_abs(spark, sf_dir):
     return s.select("o_orderkey", "w.date", "w.iso")
 
 
+DAYS_AGO = "strftime(TIMESTAMP '2024-06-15 10:00:00' - to_days({}::INT), '%Y-%m-%d')"
 REL_DATE = "CASE kind WHEN 3 THEN strftime(TIMESTAMP '2024-06-15 10:00:00' - to_hours(h::INT), '%Y-%m-%d') WHEN 4 THEN '2024-06-14' {more} END"
 
 
-@C.add(f"WITH {WHEN_SQL} SELECT o_orderkey, {REL_DATE.format(more='WHEN 0 THEN NULL WHEN 1 THEN NULL')} AS date FROM w WHERE kind IN (3, 4, 2)")
+@C.add(f"WITH {WHEN_SQL} SELECT o_orderkey, {REL_DATE.format(more=f"WHEN 5 THEN {DAYS_AGO.format('45')} WHEN 2 THEN NULL ELSE {DAYS_AGO.format('d')}")} AS date FROM w")
 def when_parse_rel(spark, sf_dir):
-    s = _stamps(spark, sf_dir).where("o_orderkey % 6 in (2, 3, 4)")
+    """Relative readings of all stamps; a day of the month reads as a number of days."""
+    s = _stamps(spark, sf_dir)
     return s.select("o_orderkey", T.parse_relative(F.col("raw"), F.col("now"))["date"].alias("date"))
 
 
-@C.add(f"WITH {WHEN_SQL}, a AS (SELECT *, {ABS_DATE} AS dt FROM w WHERE kind < 5) SELECT o_orderkey, coalesce(dt, {REL_DATE.format(more='')}, '') AS date, dt IS NOT NULL AS exact FROM a")
+@C.add(f"WITH {WHEN_SQL}, a AS (SELECT *, {ABS_DATE} AS dt FROM w) SELECT o_orderkey, coalesce(dt, {REL_DATE.format(more=f"WHEN 5 THEN {DAYS_AGO.format('45')}")}, '') AS date, dt IS NOT NULL AS exact FROM a")
 def when_parse(spark, sf_dir):
-    s = _stamps(spark, sf_dir).where("o_orderkey % 6 < 5").withColumn("w", T.parse_when(F.lit(None).cast("string"), F.col("raw"), F.col("now")))
-    rel = _stamps(spark, sf_dir).where("o_orderkey % 6 in (3, 4)").withColumn("w", T.parse_when(F.col("raw"), F.lit(""), F.col("now")))
-    both = s.where("o_orderkey % 6 < 3").unionByName(rel)
-    return both.select("o_orderkey", "w.date", "w.exact")
+    """Half of the stamps come as the tip of a post, half as its text."""
+    tip = F.col("o_orderkey") % 6 < 3
+    w = T.parse_when(F.when(tip, "").otherwise(F.col("raw")), F.when(tip, F.col("raw")), F.col("now"))
+    return _stamps(spark, sf_dir).withColumn("w", w).select("o_orderkey", "w.date", "w.exact")
 
 
 @C.add("SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') WHEN 3 THEN strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') WHEN 4 THEN strftime(ts + INTERVAL 750 MINUTE, '%Y-%m-%d') ELSE substr(event_type || ' at no time', 1, 10) END AS date FROM events")
