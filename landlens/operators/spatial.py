@@ -114,6 +114,25 @@ def pyramid(cells: DataFrame, levels: int = 8, least: int = 4) -> DataFrame:
     return out
 
 
+def tile_inventory(pixels: DataFrame, top: int, bottom: int) -> DataFrame:
+    """Tiles of zooms ``top`` to ``bottom`` over the extent of ``pixels(x, y, v)`` in Mercator metres: ``z, tx, ty, valid``
+    pixels and ``present``, false for the tiles of the extent that hold none.
+
+    Pixels are counted once, in the tiles of the deepest zoom; each of these tiles then gives its count to its ancestors, in one
+    aggregation for all zooms. The wanted range of every zoom is that of all pixels, void ones included; what it has beyond the
+    tiles with valid pixels is missing. No pixel gives no tile."""
+    tx, ty = G.tile_of(F.col("x"), F.col("y"), F.lit(bottom))
+    tiles = pixels.select(tx.cast("long").alias("tx"), ty.cast("long").alias("ty"), F.col("v").isNotNull().alias("ok")).groupBy("tx", "ty").agg(F.count_if("ok").alias("valid"))
+    up = lambda c: F.expr(f"shiftright({c}, {bottom} - z)")
+    zooms = F.explode(F.sequence(F.lit(top), F.lit(bottom))).alias("z")
+    have = tiles.where("valid > 0").select("*", zooms).groupBy("z", up("tx").alias("tx"), up("ty").alias("ty")).agg(F.sum("valid").alias("valid"))
+    extent = tiles.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("tx", "ty") for f in (F.min, F.max)]).where("min_tx is not null")
+    columns = extent.select("*", zooms).select("*", F.explode(F.sequence(up("min_tx"), up("max_tx"))).alias("tx")).repartition("z", "tx")
+    wanted = columns.select("z", "tx", F.explode(F.sequence(up("min_ty"), up("max_ty"))).alias("ty"))
+    found = wanted.join(have, ["z", "tx", "ty"], "left")
+    return found.select("z", "tx", "ty", F.coalesce("valid", F.lit(0).cast("long")).alias("valid"), F.col("valid").isNotNull().alias("present"))
+
+
 def legend_use(rgb, legend, limit: float = 0.001) -> Column:
     """Land use of a fill colour: ``white`` if all parts are within 0.01 of 1, else the nearest colour of ``legend``
     (name, red, green, blue) if its squared distance is under ``limit``, else null; first of equals."""

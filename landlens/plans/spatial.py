@@ -413,12 +413,13 @@ def contour_segments(spark, sf_dir):
     return s.select("raster_id", "level", "row", "col", *[R(F.col(c)).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
-@C.add(f"WITH {PT_SQL}, m AS (SELECT {MERC} FROM pts), t AS (SELECT z, floor((mx + {HALF!r}) / ({2 * HALF!r} / 2 ** z))::INT AS tx, floor(({HALF!r} - my) / ({2 * HALF!r} / 2 ** z))::INT AS ty FROM m, (SELECT unnest(generate_series(8, 12)) AS z)) SELECT z, tx, ty, count(*) AS n FROM t GROUP BY ALL")
+@C.add(f"""WITH {PT_SQL}, m AS (SELECT {MERC}, id FROM pts), t AS (SELECT z, floor((mx + {HALF!r}) / ({2 * HALF!r} / 2 ** z))::BIGINT AS tx, floor(({HALF!r} - my) / ({2 * HALF!r} / 2 ** z))::BIGINT AS ty, id FROM m, (SELECT unnest(generate_series(8, 17)) AS z)),
+ r AS (SELECT z, min(tx) AS x0, max(tx) AS x1, min(ty) AS y0, max(ty) AS y1 FROM t GROUP BY z), w AS (SELECT z, tx, unnest(generate_series(y0, y1)) AS ty FROM (SELECT *, unnest(generate_series(x0, x1)) AS tx FROM r)), h AS (SELECT z, tx, ty, count(*) AS valid FROM t WHERE id % 3 > 0 GROUP BY ALL)
+SELECT z::INT AS z, tx, ty, coalesce(valid, 0) AS valid, valid IS NOT NULL AS present FROM w LEFT JOIN h USING (z, tx, ty)""")
 def tile_inventory(spark, sf_dir):
+    """Customers as pixels, one in three void."""
     x, y = G.mercator(F.col("lng"), F.col("lat"))
-    p = points(spark, sf_dir).select(x.alias("mx"), y.alias("my"), F.explode(F.sequence(F.lit(8), F.lit(12))).alias("z"))
-    tx, ty = G.tile_of(F.col("mx"), F.col("my"), F.col("z"))
-    return p.groupBy("z", tx.alias("tx"), ty.alias("ty")).agg(F.count("*").alias("n"))
+    return S.tile_inventory(points(spark, sf_dir).select(x.alias("x"), y.alias("y"), F.when(F.col("id") % 3 > 0, 1.0).alias("v")), 8, 17)
 
 
 # -- evidence -------------------------------------------------------------------------------------------------------------------
