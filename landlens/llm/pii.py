@@ -319,7 +319,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row ``doc_id``, base counts by kind, ``base_sha256``, ``spans``.
 
     Null text counts as empty; repeated rows give repeated results; other columns are ignored; an empty table gives none.
-    The texts are read twice, to fit and to apply; nothing but feature counts is shuffled.
+    The texts are read four times, for three fits and to apply them; nothing but feature counts is shuffled.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = add_spans(rows, fit(rows))

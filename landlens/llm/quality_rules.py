@@ -93,7 +93,7 @@ def judge(counts: DataFrame) -> DataFrame:
 def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: counts, ``base_failed``, ``host_fail_rate``, ``kept``.
 
-    Null and empty texts have zero words and fail; a null host is a host of its own; an empty table gives none;
+    Null and empty texts have zero words and fail; null and empty hosts are one host; an empty table gives none;
     repeated rows are judged each; other columns are ignored. The counts are checkpointed (some 80 bytes a row),
     so the texts are read once for the host rates and the verdicts.
     """
