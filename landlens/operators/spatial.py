@@ -11,26 +11,6 @@ from .stable import checkpoint
 
 
 # -- zones ----------------------------------------------------------------------------------------------------------------
-def cell_cover(zones: DataFrame, size: float) -> DataFrame:
-    """One row for each grid cell of ``size`` that a zone's bounding box touches, with its ``rings``.
-
-    Keys of an equi-join with points: a point meets only the zones over its own cell."""
-    xs, ys = F.transform(F.col("rings")[0], lambda p: p["x"]), F.transform(F.col("rings")[0], lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
-    return zones.select("*", F.explode(span(xs)).alias("cx")).select("*", F.explode(span(ys)).alias("cy"))
-
-
-def points_in_zones(points: DataFrame, zones: DataFrame, size: float) -> DataFrame:
-    """Points ``(id, x, y)`` with the first zone (by ``ord``) whose polygon holds them; null outside all.
-
-    Candidates come from an equi-join on grid cells, the exact test follows, one aggregation picks the first."""
-    keyed = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-    cover = cell_cover(zones.select("zone", "ord", "rings"), size)
-    hits = keyed.join(cover, ["cx", "cy"]).where(G.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
-    first = hits.groupBy("id").agg(F.min_by("zone", "ord").alias("zone"))
-    return points.join(first, "id", "left")
-
-
 def boundary_distance(points: DataFrame, ring: Column) -> DataFrame:
     """``points`` with ``distance`` to a boundary given as a literal ring, a fixed input of the job."""
     return points.withColumn("distance", G.distance_to_ring(F.col("x"), F.col("y"), ring))
@@ -58,14 +38,6 @@ def unique_matches(drawing: DataFrame, listed: DataFrame) -> DataFrame:
     return once(drawing, "a").join(once(listed, "b"), "label")
 
 
-def cells_union(cells: DataFrame) -> DataFrame:
-    return cells.select("use", "cx", "cy").distinct()
-
-
-def cells_difference(whole: DataFrame, cells: DataFrame) -> DataFrame:
-    return whole.select("cx", "cy").distinct().join(cells.select("cx", "cy").distinct(), ["cx", "cy"], "left_anti")
-
-
 def line_dedup(lines: DataFrame) -> DataFrame:
     """First line of each (code, first point, last point, length), points rounded to centimetres and repeats dropped; two points at least."""
     point = lambda p: F.struct(F.bround(p["x"], 2).alias("x"), F.bround(p["y"], 2).alias("y"))
@@ -246,15 +218,6 @@ def contour_segments(cells: DataFrame, levels) -> DataFrame:
 
 
 # -- buildings, georeferencing ---------------------------------------------------------------------------------------------
-def building_mask(buildings: DataFrame, margin: float = 1.5, cell: float = 1.0) -> DataFrame:
-    """Cells ``(building, cx, cy)`` whose centre lies in a building's ring or within ``margin`` of it."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor((F.array_min(v) - margin) / cell), F.floor((F.array_max(v) + margin) / cell))
-    c = buildings.select("building", "ring", F.explode(span(xs)).alias("cx")).select("*", F.explode(span(F.transform("ring", lambda p: p["y"]))).alias("cy"))
-    x, y = (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell
-    return c.where(G.in_ring(x, y, F.col("ring")) | (G.distance_to_ring(x, y, F.col("ring")) <= margin)).select("building", "cx", "cy")
-
-
 def building_components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
     """8-connected components of building cells ``(raster_id, row, col, v)``: every cell with the least cell (row, col) it reaches.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cover as V
 from ..operators import layout as Y
 from ..operators import ledger as L
 from ..operators import spatial as S
@@ -106,10 +107,10 @@ def cell_merge_regions(spark, sf_dir):
     return Y.merge_regions(g)
 
 
-@C.add(f"WITH {OBST_SQL}, c AS (SELECT obstacle, ox, oy, r, unnest(generate_series(floor(ox - r - 1.5)::BIGINT, floor(ox + r + 1.5)::BIGINT)) AS cx FROM obs), d AS (SELECT *, unnest(generate_series(floor(oy - r - 1.5)::BIGINT, floor(oy + r + 1.5)::BIGINT)) AS cy FROM c) SELECT obstacle, count(*) AS cells FROM d WHERE greatest(abs(cx + 0.5 - ox) - r, 0) ** 2 + greatest(abs(cy + 0.5 - oy) - r, 0) ** 2 <= 1.5 ** 2 GROUP BY obstacle")
+@C.add(f"WITH {OBST_SQL}, c AS (SELECT obstacle, ox, oy, r, unnest(generate_series(floor(ox - r - 1.5)::BIGINT, floor(ox + r + 1.5)::BIGINT)) AS cx FROM obs), d AS (SELECT *, unnest(generate_series(floor(oy - r - 1.5)::BIGINT, floor(oy + r + 1.5)::BIGINT)) AS cy FROM c) SELECT obstacle, cx, cy FROM d WHERE greatest(abs(cx + 0.5 - ox) - r, 0) ** 2 + greatest(abs(cy + 0.5 - oy) - r, 0) ** 2 <= 1.5 ** 2")
 def building_mask(spark, sf_dir):
-    m = S.building_mask(obstacles(spark, sf_dir).withColumnRenamed("obstacle", "building"))
-    return m.groupBy(F.col("building").alias("obstacle")).agg(F.count("*").alias("cells"))
+    m = V.building_mask(obstacles(spark, sf_dir).withColumnRenamed("obstacle", "building"))
+    return V.run_cells(m).withColumnRenamed("building", "obstacle").select("obstacle", "cx", "cy")
 
 
 @C.add(f"""WITH RECURSIVE {CELL_SQL}, h AS (SELECT raster_id, row, col, v FROM ras WHERE v > 1.2),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import text as T
+from ..operators import cover as V
 from ..operators import evidence as E
 from ..operators import spatial as S
 from .base import Catalog, table
@@ -134,7 +135,7 @@ HALF_SQL = f"{PT_SQL}, hp AS (SELECT id, x + 0.5 AS x, y + 0.5 AS y FROM pts)"
 
 @C.add(f"WITH {HALF_SQL} SELECT id, {ZONE_SQL} AS zone FROM hp")
 def point_in_zone(spark, sf_dir):
-    return S.points_in_zones(half_points(spark, sf_dir), zones(spark), 100.0).select("id", "zone")
+    return V.points_in_zones(half_points(spark, sf_dir), zones(spark), 100.0).select("id", "zone")
 
 
 @C.add(f"WITH {HALF_SQL} SELECT id, round(least(abs(x), abs(x - 800)) , 6) AS side, round(CASE WHEN x BETWEEN 0 AND 800 AND y BETWEEN 0 AND 250 THEN least(x, 800 - x, y, 250 - y) ELSE sqrt(greatest(-x, 0, x - 800) ** 2 + greatest(-y, 0, y - 250) ** 2) END, 6) AS distance FROM hp")
@@ -199,7 +200,7 @@ def area_check(spark, sf_dir):
 
 @C.add(f"WITH {HALF_SQL} SELECT id % 7 AS block, round(avg((({ZONE_SQL}) IS NOT NULL)::INT), 6) AS share, avg((({ZONE_SQL}) IS NOT NULL)::INT) < 0.9 AS problem FROM hp GROUP BY id % 7")
 def position_check(spark, sf_dir):
-    inside = S.points_in_zones(half_points(spark, sf_dir), zones(spark), 100.0)
+    inside = V.points_in_zones(half_points(spark, sf_dir), zones(spark), 100.0)
     share = F.avg(F.col("zone").isNotNull().cast("int"))
     return inside.groupBy((F.col("id") % 7).alias("block")).agg(R(share).alias("share"), (share < 0.9).alias("problem"))
 
@@ -231,16 +232,29 @@ def block_by_use(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("use")).agg(F.count("*").alias("n"), F.sum("p_size").cast("double").alias("area"))
 
 
-@C.add(f"WITH {HALF_SQL} SELECT DISTINCT coalesce({ZONE_SQL}, 'none') AS use, floor(x / 50)::BIGINT AS cx, floor(y / 50)::BIGINT AS cy FROM hp")
+#: Suppliers as parcels of four uses: diamonds with a square hole, their corners off the cells' centres.
+PARCEL_SQL = "par AS (SELECT s_suppkey AS parcel, 'u' || s_nationkey % 4 AS use, s_suppkey * 37 % 1000 + 0.3::DOUBLE AS px, s_suppkey * 53 % 1000 + 0.15::DOUBLE AS py, 10.0 + s_suppkey % 30 AS r FROM supplier), burnt AS (SELECT DISTINCT use, cx, cy FROM (SELECT *, unnest(generate_series(floor((py - r) / 2)::BIGINT, floor((py + r) / 2)::BIGINT)) AS cy FROM (SELECT *, unnest(generate_series(floor((px - r) / 2)::BIGINT, floor((px + r) / 2)::BIGINT)) AS cx FROM par)) WHERE abs(cx * 2 + 1 - px) + abs(cy * 2 + 1 - py) < r AND greatest(abs(cx * 2 + 1 - px), abs(cy * 2 + 1 - py)) >= r / 3)"
+
+
+def parcels(spark, sf_dir):
+    k, r = F.col("s_suppkey"), F.col("r")
+    o = table(spark, sf_dir, "supplier").select(k.alias("parcel"), F.concat(F.lit("u"), (F.col("s_nationkey") % 4).cast("string")).alias("use"), (k * 37 % 1000 + 0.3).cast("double").alias("px"), (k * 53 % 1000 + 0.15).cast("double").alias("py"), (10.0 + k % 30).cast("double").alias("r"))
+    p = lambda i, j: F.struct((F.col("px") + i * r).alias("x"), (F.col("py") + j * r).alias("y"))
+    hole = F.array(*[F.struct((F.col("px") + i * r / 3).alias("x"), (F.col("py") + j * r / 3).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    return o.select("parcel", "use", F.array(F.array(p(-1, 0), p(0, -1), p(1, 0), p(0, 1)), hole).alias("rings"))
+
+
+@C.add(f"WITH {PARCEL_SQL} SELECT use, cx, cy FROM burnt")
 def cells_union(spark, sf_dir):
-    z = S.points_in_zones(half_points(spark, sf_dir), zones(spark), 100.0)
-    return S.cells_union(z.select(F.coalesce("zone", F.lit("none")).alias("use"), F.floor(F.col("x") / 50).alias("cx"), F.floor(F.col("y") / 50).alias("cy")))
+    """Cells of 2 x 2 under the parcels of each use, dissolved."""
+    return V.run_cells(V.cells_union(parcels(spark, sf_dir), ["use", "parcel"], ["use"], 2.0)).select("use", "cx", "cy")
 
 
-@C.add(f"WITH {HALF_SQL}, c AS (SELECT floor(x / 50)::BIGINT AS cx, floor(y / 50)::BIGINT AS cy, {ZONE_SQL} AS zone FROM hp) SELECT DISTINCT cx, cy FROM c WHERE (cx, cy) NOT IN (SELECT (cx, cy) FROM c WHERE zone IS NOT NULL)")
+@C.add(f"WITH {PARCEL_SQL}, site AS (SELECT cx, cy, cx * 2 + 1 AS x, cy * 2 + 1 AS y FROM (SELECT unnest(generate_series(0, 510)) AS cx), (SELECT unnest(generate_series(0, 510)) AS cy)) SELECT cx, cy FROM site WHERE ({ZONE_SQL}) IS NOT NULL AND NOT EXISTS (SELECT 1 FROM burnt b WHERE b.cx = site.cx AND b.cy = site.cy)")
 def cells_difference(spark, sf_dir):
-    z = S.points_in_zones(half_points(spark, sf_dir), zones(spark), 100.0).select("zone", F.floor(F.col("x") / 50).alias("cx"), F.floor(F.col("y") / 50).alias("cy"))
-    return S.cells_difference(z, z.where("zone is not null"))
+    """The zones' cells that no parcel covers: the roads."""
+    site = V.cells_union(zones(spark), ["zone"], [], 2.0)
+    return V.run_cells(V.cells_difference(site, V.cells_union(parcels(spark, sf_dir), ["use", "parcel"], [], 2.0))).select("cx", "cy")
 
 
 @C.add(f"WITH {PT_SQL} SELECT id FROM pts WHERE 2 * 6371.0 * asin(sqrt(sin(radians(37.25 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(37.25)) * sin(radians(126.95 - lng) / 2) ** 2)) <= 3.0")
