@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def glyph_to_cell(glyphs: DataFrame, cells: DataFrame, pad: float = 0.5) -> DataFrame:
-    """Glyphs with the cell of their page that holds their centre, cells padded; the first cell where several do."""
+def glyph_to_cell(glyphs: DataFrame, cells: DataFrame, pad: float = 0.5, grid: float = 40.0) -> DataFrame:
+    """Glyphs with the cell of their page that holds their centre, cells padded; the first cell where several do.
+
+    Each page has a grid of buckets of ``grid``. A padded cell stands in every bucket it touches, a glyph in the one of its
+    centre, so a glyph is compared with the cells of one bucket, not with all of its page. The cells of a bucket are one
+    sorted array; the glyphs need no aggregation. Null or non-finite bounds hold nothing and are held by nothing."""
+    finite = lambda *names: F.forall(F.array(*[F.col(n).cast("double") for n in names]), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    bucket = lambda v: F.floor(v / grid)
+    over = lambda lo, hi: F.explode(F.sequence(bucket(F.col(lo) - pad), bucket(F.col(hi) + pad)))
+    there = cells.where(finite("cx0", "cx1", "cy0", "cy1")).where("cx0 <= cx1 and cy0 <= cy1")
+    keyed = there.select("doc_id", "page", F.struct("cell", "cx0", "cx1", "cy0", "cy1").alias("c"), over("cx0", "cx1").alias("bx"), "cy0", "cy1").select("doc_id", "page", "c", "bx", over("cy0", "cy1").alias("by"))
+    index = keyed.groupBy("doc_id", "page", "bx", "by").agg(F.array_sort(F.collect_list("c")).alias("cells"))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    inside = cx.between(F.col("cx0") - pad, F.col("cx1") + pad) & cy.between(F.col("cy0") - pad, F.col("cy1") + pad)
-    j = glyphs.join(cells, ["doc_id", "page"]).where(inside)
-    return j.groupBy("doc_id", "page", "i").agg(F.min_by(F.struct("cell", "text", "x0", "x1", "top", "bottom"), "cell").alias("g")).select("doc_id", "page", "i", "g.*")
+    g = glyphs.where(finite("x0", "x1", "top", "bottom")).select("doc_id", "page", "i", "text", "x0", "x1", "top", "bottom", bucket(cx).alias("bx"), bucket(cy).alias("by"))
+    inside = lambda c: cx.between(c["cx0"] - pad, c["cx1"] + pad) & cy.between(c["cy0"] - pad, c["cy1"] + pad)
+    hit = g.join(index, ["doc_id", "page", "bx", "by"]).withColumn("c", F.get(F.filter("cells", inside), 0)).where("c is not null")
+    return hit.select("doc_id", "page", "i", F.col("c.cell").alias("cell"), "text", "x0", "x1", "top", "bottom")
 
 
 def cell_text(glyphs: DataFrame, line: float = 3.0, gap: float = 1.6) -> DataFrame:
