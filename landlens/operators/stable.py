@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Makes Spark remove a plan's shuffle files when the plan has run.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in spark.checkpoint.dir, with its lineage cut and the shuffle
-    files behind it removed, which nothing reads any more.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder below spark.checkpoint.dir, where driver and executors see the same files.
 
     A session without the setting gets a temporary folder if it runs on one machine; on a cluster that is an error, as
     executors do not see each other's disks."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landlens-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the session names in spark.checkpoint.dir, with its lineage cut and the shuffle
+    files behind it removed, which nothing reads any more."""
+    shared_folder(df.sparkSession)
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")

@@ -38,15 +38,6 @@ def inc_news(items: DataFrame, path: str, checkpoint: str):
     return items.writeStream.foreachBatch(news_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def inc_posts(posts: DataFrame, path: str, checkpoint: str):
-    """Captured posts folded into the stored state: the raw rows are kept, and the state is their merge by key."""
-    return posts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def posts_state(spark: SparkSession, path: str) -> DataFrame:
-    return M.merge_posts(M.resolve_keys(spark.read.parquet(path)))
-
-
 def portal_rescan(records: DataFrame, horizon: str = "45 days") -> DataFrame:
     """Records within the re-read horizon, one row an id as long as its date is within it."""
     return records.withWatermark("produced", horizon).dropDuplicatesWithinWatermark(["id"])
