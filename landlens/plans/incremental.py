@@ -10,7 +10,7 @@ from ..operators import ledger as L
 from ..operators import monitor as M
 from ..operators.stable import shared_folder
 from ..sources import files
-from ..streaming import jobs
+from ..streaming import jobs, portal
 from ..streaming import posts as stored
 from .base import NEWS_SQL, Catalog, news_items, table
 from .ledger import ROWS_SQL, rows
@@ -134,11 +134,17 @@ def inc_posts(spark, sf_dir):
     return stored.posts_state(spark, path).select("key", "platform", "account", "text", "url", "date", "exact", "first_seen", "last_seen", "n")
 
 
-@C.add("SELECT 'N' || o_custkey AS id, count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 45 DAY GROUP BY 1")
+@C.add("WITH o AS (SELECT 'N' || o_custkey AS id, *, least(floor(3 * o_orderkey / ((SELECT max(o_orderkey) FROM orders) + 1)), 2) AS part FROM orders) SELECT id, arg_min(o_orderstatus, o_orderkey) AS status, strftime(arg_min(o_orderdate, o_orderkey), '%Y-%m-%d') AS produced, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS kwds, min(part) = (SELECT max(part) FROM o) AS added FROM o GROUP BY id")
 def inc_portal_rescan(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("timestamp_ntz"))
-    last = o.agg((F.max("day") - F.expr("interval 45 days")).alias("since"))
-    return o.crossJoin(F.broadcast(last)).where("day >= since").groupBy(F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("id")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    """Records and keywords stored after three batches; a base after the second closes the months before the horizon."""
+    o = table(spark, sf_dir, "orders")
+    records = o.select(F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderkey").alias("seq"), F.array("o_orderpriority").alias("kwds"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp_ntz").cast("date").alias("produced"))
+    path = f"{shared_folder(spark)}/portal-{uuid.uuid4()}"
+    put = portal.portal_batch(path, every=2)
+    for i, batch in enumerate(thirds(records, "seq")):
+        put(batch, i)
+    s = portal.portal_state(spark, path)
+    return s.select("id", "status", F.date_format("produced", "yyyy-MM-dd").alias("produced"), F.array_join("kwds", ",").alias("kwds"), "added")
 
 
 @C.add("SELECT key, updated IS NULL OR epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(updated) > 3600 * h AS stale FROM (VALUES ('click', 24), ('view', 48), ('nothing', 36)) v(key, h) LEFT JOIN (SELECT event_type AS key, max(ts) AS updated FROM events GROUP BY 1) USING (key)")

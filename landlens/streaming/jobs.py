@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..operators import monitor as M
+from .portal import portal_batch, portal_state, portal_upsert  # noqa: F401  (jobs of this package)
 
 
 def _archive(spark: SparkSession, path: str) -> DataFrame | None:
@@ -43,31 +44,6 @@ def portal_rescan(records: DataFrame, horizon: str = "45 days") -> DataFrame:
     return records.withWatermark("produced", horizon).dropDuplicatesWithinWatermark(["id"])
 
 
-def portal_batch(path: str):
-    """foreachBatch function of the re-scan as an upsert: the records read stand in the batch's own folder, written whole,
-    so that a batch run again leaves the same rows; ``portal_state`` folds the folders."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return run
-
-
-def portal_upsert(records: DataFrame, path: str, checkpoint: str):
-    return records.writeStream.foreachBatch(portal_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def portal_state(spark: SparkSession, path: str) -> DataFrame:
-    """One row an id over all batches: the fields as first read, the keywords of all readings, ``added`` if the last batch
-    was the first to bring it. One aggregation, whatever the number of batches an id stands in."""
-    rows = spark.read.parquet(path)
-    fields = [c for c in rows.columns if c not in ("id", "kwds", "batch")]
-    last = rows.agg(F.max("batch").alias("_last"))
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_set("kwds"))))
-    merged = rows.groupBy("id").agg(F.min_by(F.struct(*fields), F.struct("batch", "seq")).alias("r"), words.alias("kwds"), F.min("batch").alias("_first"))
-    return merged.crossJoin(F.broadcast(last)).select("id", "r.*", "kwds", (F.col("_first") == F.col("_last")).alias("added"))
-
-
 def latest_by_key(feed: DataFrame) -> DataFrame:
     """Last update of each key, for a complete-mode sink."""
     return feed.groupBy("key").agg(F.max("updated").alias("updated"))

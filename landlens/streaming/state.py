@@ -16,14 +16,19 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Batches from one base to the next.
 EVERY = 16
 
 
-def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+Schema = str | StructType
+
+
+def _read(spark: SparkSession, folder: str, schema: Schema) -> DataFrame:
     """Folds of all slots of a folder with the batch ``upto`` which they go; a folder not yet written is an empty table."""
-    kept = f"{schema}, upto bigint, slot bigint"
+    own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kept = StructType([*own.fields, StructField("upto", LongType()), StructField("slot", LongType())])
     try:
         return spark.read.schema(kept).parquet(folder)
     except AnalysisException as e:
@@ -36,7 +41,7 @@ def _write(folds: DataFrame, folder: str, batch_id: int) -> None:
     folds.withColumn("upto", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(folder)
 
 
-def parts(spark: SparkSession, path: str, schema: str, before: int | None = None, closed: bool = True) -> DataFrame:
+def parts(spark: SparkSession, path: str, schema: Schema, before: int | None = None, closed: bool = True) -> DataFrame:
     """Folds of the newest base, of the deltas after it and of closed rows; of batches before ``before`` if that is given.
 
     The newest base's batch and slot are all that reaches the driver; the slot prunes the folders that are read."""
@@ -51,7 +56,7 @@ def parts(spark: SparkSession, path: str, schema: str, before: int | None = None
     return reduce(DataFrame.unionByName, found).drop("upto", "slot")
 
 
-def put(folds: DataFrame, batch_id: int, path: str, schema: str, merge: Callable[[DataFrame], DataFrame], every: int = EVERY, settled: Callable[[DataFrame], Column] | None = None) -> None:
+def put(folds: DataFrame, batch_id: int, path: str, schema: Schema, merge: Callable[[DataFrame], DataFrame], every: int = EVERY, settled: Callable[[DataFrame], Column] | None = None) -> None:
     """The fold of a batch goes into the state; ``merge`` makes folds one a key. An empty batch still takes its turn.
 
     ``settled`` gives the condition of the rows that leave a new base for good."""
@@ -66,9 +71,3 @@ def put(folds: DataFrame, batch_id: int, path: str, schema: str, merge: Callable
         _write(whole.where(done), f"{path}/closed/slot={batch_id}", batch_id)
         whole = whole.where(~done)
     _write(whole, f"{path}/base/slot={batch_id // every % 2}", batch_id)
-
-
-def last_batch(spark: SparkSession, path: str) -> int:
-    """The last batch put into a state by its rows, -1 for none."""
-    tops = [_read(spark, f"{path}/{kind}", "k string").agg(F.max("upto").alias("u")).first()["u"] for kind in ("base", "delta")]
-    return max((u for u in tops if u is not None), default=-1)
