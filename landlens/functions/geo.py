@@ -103,8 +103,9 @@ COMPASS = ("북", "북동", "동", "남동", "남", "남서", "서", "북서")
 
 
 def compass_name(degrees: Column) -> Column:
+    """Nearest of the eight winds; null for a direction that is null or not finite."""
     names = F.array(*[F.lit(n) for n in COMPASS])
-    return F.element_at(names, (F.pmod(F.floor(degrees / 45 + 0.5), F.lit(8)) + 1).cast("int"))
+    return F.when(F.abs(degrees) < float("inf"), F.element_at(names, (F.pmod(F.floor(degrees / 45 + 0.5), F.lit(8)) + 1).cast("int")))
 
 
 def area_units(square_metres: Column, ridge: Column) -> dict[str, Column]:

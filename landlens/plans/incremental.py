@@ -10,11 +10,12 @@ from ..operators import ledger as L
 from ..operators import monitor as M
 from ..operators.stable import shared_folder
 from ..sources import files
-from ..streaming import jobs, portal
+from ..streaming import jobs, portal, tracking
 from ..streaming import posts as stored
 from .base import NEWS_SQL, Catalog, news_items, table
 from .ledger import ROWS_SQL, rows
 from .monitor import RESOLVE_SQL, TAG_SQL, tagged
+from .spatial import ZONE_SQL, zone_ring, zones
 from .text import posts
 
 C = Catalog()
@@ -163,10 +164,13 @@ def collection_gate(spark, sf_dir):
 FIX_SQL = "fx AS (SELECT event_id, user_id AS device, ts, 37.25 + (event_id % 41 - 20) / 2000.0 AS lat, 126.95 + (event_id % 37 - 18) / 2000.0 AS lng, value / 10.0 AS speed, (event_id % 360)::DOUBLE AS heading, CASE WHEN event_id % 3 = 0 THEN (event_id % 180)::DOUBLE END AS compass FROM events)"
 
 
-@C.add(f"""WITH {FIX_SQL}, t AS (SELECT *, round((lng - 126.95) * 111320.0 * cos(radians(37.25)), 3) AS x, round((lat - 37.25) * 111132.95, 3) AS y, 2 * 6371.0 * asin(sqrt(sin(radians(37.25 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(37.25)) * sin(radians(126.95 - lng) / 2) ** 2)) <= 1.2 AS in_range, coalesce(compass, CASE WHEN speed > 0.7 THEN heading END) AS direction FROM fx),
- o AS (SELECT device, min(ts) AS left_at FROM t WHERE NOT in_range GROUP BY device), k AS (SELECT t.* FROM t LEFT JOIN o USING (device) WHERE left_at IS NULL OR ts < left_at) SELECT event_id, x, y, direction, ts = min(ts) OVER (PARTITION BY device) AS first FROM k""")
+@C.add("WITH " + FIX_SQL + """, t AS (SELECT *, (lng - 126.95) * 111320.0 * cos(radians(37.25)) AS x, (lat - 37.25) * 111132.95 AS y, 2 * 6371.0 * asin(sqrt(sin(radians(37.25 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(37.25)) * sin(radians(126.95 - lng) / 2) ** 2)) <= 1.2 AS in_range, CASE WHEN speed > 0.7 THEN heading END AS moved FROM fx),
+ o AS (SELECT device, min({'t': ts, 'e': event_id}) AS left_at FROM t WHERE NOT in_range GROUP BY device), k AS (SELECT t.*, x + 0.5 AS hx, y + 0.5 AS hy FROM t LEFT JOIN o USING (device) WHERE left_at IS NULL OR {'t': ts, 'e': event_id} < left_at),
+ d AS (SELECT *, coalesce(last_value(compass IGNORE NULLS) OVER w, last_value(moved IGNORE NULLS) OVER w) AS direction, row_number() OVER w = 1 AS first FROM k WINDOW w AS (PARTITION BY device ORDER BY ts, event_id))
+SELECT event_id, round(x, 3) AS x, round(y, 3) AS y, direction, first, """ + ZONE_SQL.replace("x ", "hx ").replace("y ", "hy ") + """ AS zone, round(CASE WHEN hx BETWEEN 0 AND 800 AND hy BETWEEN 0 AND 250 THEN 0 ELSE sqrt(greatest(-hx, 0, hx - 800) ** 2 + greatest(-hy, 0, hy - 250) ** 2) END, 3) AS outside, CASE WHEN direction IS NOT NULL THEN ['북', '북동', '동', '남동', '남', '남서', '서', '북서'][(floor(direction / 45 + 0.5)::INT % 8) + 1] END AS toward FROM d""")
 def track_fixes(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     fixes = e.select("event_id", F.col("user_id").alias("device"), "ts", (37.25 + (k % 41 - 20) / 2000.0).alias("lat"), (126.95 + (k % 37 - 18) / 2000.0).alias("lng"), (F.col("value") / 10.0).alias("speed"), (k % 360).cast("double").alias("heading"), F.when(k % 3 == 0, (k % 180).cast("double")).alias("compass"))
-    t = jobs.stop_after_leaving(jobs.track_fixes(fixes, 37.25, 126.95, 1.2))
-    return t.select("event_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "direction", "first")
+    half = tracking.follow(tracking.positions(fixes, 37.25, 126.95, 1.2)).withColumns({"x": F.col("x") + 0.5, "y": F.col("y") + 0.5})
+    t = tracking.place(half, zones(spark), zone_ring(2), 100.0)
+    return t.select("event_id", F.round(F.col("x") - 0.5, 3).alias("x"), F.round(F.col("y") - 0.5, 3).alias("y"), "direction", "first", "zone", F.round("outside", 3).alias("outside"), "toward")

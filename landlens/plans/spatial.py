@@ -125,6 +125,11 @@ def zones(spark):
     return spark.createDataFrame(rows, "zone string, ord int, rings array<array<struct<x:double,y:double>>>")
 
 
+def zone_ring(i):
+    """Outer ring of a zone as a literal."""
+    return F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ZONES[i][2]])
+
+
 def half_points(spark, sf_dir):
     """Points half a unit off the zones' edges."""
     return points(spark, sf_dir).select("id", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
@@ -140,8 +145,7 @@ def point_in_zone(spark, sf_dir):
 
 @C.add(f"WITH {HALF_SQL} SELECT id, round(least(abs(x), abs(x - 800)) , 6) AS side, round(CASE WHEN x BETWEEN 0 AND 800 AND y BETWEEN 0 AND 250 THEN least(x, 800 - x, y, 250 - y) ELSE sqrt(greatest(-x, 0, x - 800) ** 2 + greatest(-y, 0, y - 250) ** 2) END, 6) AS distance FROM hp")
 def nearest_boundary(spark, sf_dir):
-    ring = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ZONES[2][2]])
-    d = S.boundary_distance(half_points(spark, sf_dir), ring)
+    d = S.boundary_distance(half_points(spark, sf_dir), zone_ring(2))
     return d.select("id", R(F.least(F.abs("x"), F.abs(F.col("x") - 800))).alias("side"), R(F.col("distance")).alias("distance"))
 
 

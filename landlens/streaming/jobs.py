@@ -62,19 +62,3 @@ def collection_gate(batch: DataFrame) -> DataFrame:
     """One row ``collected, failed, fresh, verdict``: nothing collected fails, nothing new is not published."""
     got = batch.agg(F.count_if(F.col("ok")).alias("collected"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok") & F.col("is_new")).alias("fresh"))
     return got.withColumn("verdict", F.when(F.col("collected") == 0, "fail").when(F.col("fresh") == 0, "skip").otherwise("publish"))
-
-
-def track_fixes(fixes: DataFrame, site_lat: float, site_lng: float, range_km: float) -> DataFrame:
-    """Fixes with local position, range gate, heading (compass, else movement above 0.7 m/s) and compass name; stateless, so alike in batch and stream."""
-    away = G.haversine_km(F.col("lat"), F.col("lng"), F.lit(site_lat), F.lit(site_lng))
-    east, north = G.local_metres(F.col("lat"), F.col("lng"), F.lit(site_lat), F.lit(site_lng))
-    heading = F.coalesce("compass", F.when(F.col("speed") > 0.7, F.col("heading")))
-    return fixes.withColumns({"x": east, "y": north, "in_range": away <= range_km, "direction": heading}).withColumn("toward", G.compass_name(F.col("direction")))
-
-
-def stop_after_leaving(tracked: DataFrame) -> DataFrame:
-    """Fixes of each device before its first one out of range, with ``first`` on the earliest; for bounded tables."""
-    out = tracked.where("not in_range").groupBy("device").agg(F.min("ts").alias("left_at"))
-    kept = tracked.join(out, "device", "left").where(F.col("left_at").isNull() | (F.col("ts") < F.col("left_at"))).drop("left_at")
-    begin = kept.groupBy("device").agg(F.min("ts").alias("began"))
-    return kept.join(begin, "device").withColumn("first", F.col("ts") == F.col("began")).drop("began")
