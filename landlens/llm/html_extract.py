@@ -25,8 +25,14 @@ CONTAINERS = frozenset("article main section div td body blockquote html".split(
 ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An element ends an open element of these names when it opens, up to the named bounds.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class, id or role that mark what is not the article, and words that mark it.
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|social|related|recommend\w*|sidebar|side|widget|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|copyright|comment\w*|disqus|respons(?:e|es)|replies|reply|pagination|pager|search|toolbar|tags|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])", re.I)
+#: Words in class, id or role that mark what is not the article. The first kind marks it in any name, but for one within an
+#: article, the second kind only in names that have no other words than these and the neutral ones: "share-buttons" goes,
+#: "share-price" and "side-effects" stay.
+SURE = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|gdpr|popup|modal|newsletter|subscribe|signup|login|recommend\w*|sidebar|nav\w*|menu\w*|breadcrumb\w*|masthead|footer|copyright|comment\w*|disqus|pagination|pager|toolbar|complementary|contentinfo")
+DOUBTED = re.compile(r"consent|notice\w*|alert|share\w*|social|related|side|widget|header|foot|responses?|replies|reply|search|tags|dialog")
+NEUTRAL = frozenset("area articles author bar block bottom box button buttons by center col column container count div footer form group icons id inline inner item items js large left links list mb md media meta middle module more mt news outer panel post posts reader readers right row section sections site slot small sm sticky stories story thread title toggle top unit user users view wp wrap wrapper article body content entry main page text".split())
+#: Words that mark the article.
+LIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|social|related|recommend\w*|sidebar|side|widget|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|copyright|comment\w*|disqus|respons(?:e|es)|replies|reply|pagination|pager|search|toolbar|tags|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 #: Elements that take the points of what they hold undiminished.
 SEMANTIC = ("article", "main")
@@ -39,13 +45,26 @@ HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["'
 WHITE = re.compile(r"[\s\xa0]+")
 
 
+def furniture(names: str, within: bool) -> bool:
+    """Whether a class, id or role names what is not the article, for an element ``within`` an article or elsewhere."""
+    for name in names.lower().split():
+        words = [w for w in re.split("[_-]+", name) if w]
+        sure, doubted = (any(kind.fullmatch(w) for w in words) for kind in (SURE, DOUBTED))
+        if sure and not within:
+            return True
+        if (sure or doubted) and all(w in NEUTRAL or w.isdigit() or SURE.fullmatch(w) or DOUBTED.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 class Node:
-    """An element: ``items`` are its texts and child elements in page order."""
+    """An element: ``items`` are its texts and child elements in page order, ``within`` an article or not."""
 
-    __slots__ = ("name", "parent", "items", "dropped", "doubtful", "bonus", "score", "n_text", "n_link", "links")
+    __slots__ = ("name", "parent", "within", "items", "dropped", "doubtful", "bonus", "score", "n_text", "n_link", "links")
 
     def __init__(self, name, parent, dropped=False, bonus=0, doubtful=False):
         self.name, self.parent, self.dropped, self.bonus, self.doubtful = name, parent, dropped, bonus, doubtful
+        self.within = parent is not None and (parent.within or parent.name in SEMANTIC)
         self.items, self.score, self.n_text, self.n_link, self.links = [], 0.0, 0, 0, 0
 
     @property
@@ -114,7 +133,7 @@ def parse(page: str) -> Node:
             names = " ".join(a or b or c for a, b, c in NAMING.findall(attrs))
             if names and name not in ALWAYS:
                 likely = bool(LIKELY.search(names))
-                unlikely = bool(UNLIKELY.search(names))
+                unlikely = furniture(names, cur.within or cur.name in SEMANTIC)
                 # Both kinds of words, as in "comment-body" or "content with-sidebar": what stands in it decides.
                 doubtful = unlikely and likely
                 dropped = dropped or (unlikely and not likely)
@@ -171,31 +190,32 @@ def measure(nodes: list[Node]) -> None:
 
 def is_menu(node: Node) -> bool:
     """A list or box of little more than short links, outside an article."""
-    if not (node.name in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 3 and node.link_density > 0.8 and node.n_link < 25 * node.links):
-        return False
-    up = node.parent
-    while up is not None and up.name not in SEMANTIC:
-        up = up.parent
-    return up is None
+    return not node.within and node.name in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 3 and node.link_density > 0.8 and node.n_link < 25 * node.links
 
 
 def pass_points(nodes: list[Node]) -> None:
     """Every paragraph gives 1 point, 1 for each comma and up to 3 for its length to its parent, half to the next
     ancestor, a third of that half and so on; text right in a container counts as a paragraph of it. An article or main
     element takes all that the best of its parts took, whatever lies between."""
-    for node in nodes:
-        node.score += node.bonus
+    given, first, second, rest = ({} for _ in range(4))  # of a node: all points below it, those at full, half and lower shares
+    add = lambda points, node, n: points.__setitem__(node, points.get(node, 0.0) + n)
+    for node in reversed(nodes):  # children before parents, so each node hands its sums up once
+        up = node.parent
         paragraph = node.name in ("p", "pre", "blockquote", "li", "dd", "td")
-        texts = [x for x in node.items if isinstance(x, str) and len(x.strip()) >= 25]
-        if not paragraph and not (texts and node.name in CONTAINERS) or node.n_text < 25:
-            continue
-        words = " ".join(x if isinstance(x, str) else "" for x in node.items)
-        points = (1 + words.count(",") + min(3.0, node.n_text / 100)) * (1 - node.link_density)
-        up, share = (node.parent if paragraph else node), 1.0
-        while up is not None:
-            up.score += points if up.name in SEMANTIC else points * share
-            share /= 2 if share == 1.0 else 3
-            up = up.parent
+        texts = any(isinstance(x, str) and len(x.strip()) >= 25 for x in node.items)
+        if (paragraph or (texts and node.name in CONTAINERS)) and node.n_text >= 25:
+            commas = sum(x.count(",") for x in node.items if isinstance(x, str))
+            points = (1 + commas + min(3.0, node.n_text / 100)) * (1 - node.link_density)
+            taker = up if paragraph else node
+            if taker is not None:
+                add(first, taker, points)
+                add(given, taker, points)
+        passed = first.get(node, 0.0), second.get(node, 0.0), rest.get(node, 0.0)
+        node.score += node.bonus + (given.get(node, 0.0) if node.name in SEMANTIC else sum(passed))
+        if up is not None:
+            add(given, up, given.get(node, 0.0))
+            add(second, up, passed[0] / 2)
+            add(rest, up, (passed[1] + passed[2]) / 3)
 
 
 def container(nodes: list[Node]) -> list[Node]:
