@@ -1,10 +1,14 @@
 """Near-duplicate vectors by NN-descent.
 
 Vectors of one label are compared. Exact copies are folded first, so the graph has one node for each different
-unit vector. A neighbour graph starts from the leaves of random-projection trees and is refined by joins with the
-neighbours of neighbours until few lists change; where all neighbours of a node are over the threshold its list is
-enlarged. Recall is audited against brute force, and the edges over the threshold are kept; where the audit finds
-links missing, or no link to judge by, all pairs of each label are compared in blocks.
+vector. A neighbour graph starts from the leaves of random-projection trees around each label's mean and is refined
+by joins with the neighbours of neighbours, of which one at least is new, until few list entries change; where all
+neighbours of a node are over the threshold its list is enlarged. Recall is measured twice: planted probes,
+which are nodes turned by a known angle and stand in no result, must reach the component of their origin, and the links
+of one vec_id in fifty must stand as brute force has them. The edges over the threshold are kept.
+
+Only ids and half-precision unit vectors are shuffled by the search; a pair that half precision cannot decide is
+decided by the double-precision vectors.
 """
 
 from __future__ import annotations
@@ -13,24 +17,29 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpoint, components, release
+from ..operators.stable import checkpoint
+from .common import components, join_skewed
 
 #: Parameters. Neighbours in a list and in the list of a node with all of them over the threshold, trees, planes a
 #: tree at most, vectors in a leaf, neighbours of one centre and vectors of a label compared together, refining rounds
 #: at most and share of changed list entries that ends them, one vec_id in how many is audited, wanted recall.
 THRESHOLD = 0.98
-NEIGHBOURS, ENLARGED = 8, 32
+NEIGHBOURS, ENLARGED = 12, 32
 TREES = 8
 PLANES = 24
 LEAF = 128
 CENTRE_PART = 64
 LABEL_PART = 1024
-MAX_ROUNDS = 6
-FEW_CHANGES = 0.01
+MAX_ROUNDS = 8
+FEW_CHANGES = 0.002
 AUDIT_EVERY = 50
 AUDIT_SLICE = 5000
 WANTED_RECALL = 0.999
-MAX_EXTRA_ROUNDS = 1
+MAX_EXTRA_ROUNDS = 2
+#: One node in how many is planted again as a probe, the probe's cosine with its origin, and the wanted share found.
+PROBE_EVERY, PROBE_COSINE, WANTED_PROBES = 50, 0.983, 0.99
+#: Half precision moves a unit vector by less than 2^-11 of its length, hence a cosine by less than this.
+MARGIN = 0.0011
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -49,35 +58,61 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
 
 
 def _unit(rows) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    """Unit vectors of an Arrow array of lists of one length, or of rows."""
+    x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if hasattr(rows, "flatten") else np.array(rows, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _blocks(rows: DataFrame, keys: list[str], parts) -> DataFrame:
-    """Blocks of ``items(node, raw)`` in which all pairs of ``rows(*keys, node, raw)`` of one key meet: the rows of a key
-    are dealt into ``parts``, and every two parts make a block."""
-    dealt = rows.withColumn("_parts", parts.cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-    dealt = dealt.select(*keys, "node", "raw", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
-    return dealt.groupBy(*keys, F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q")).agg(F.collect_list(F.struct("node", "raw")).alias("items"))
+def search_vectors(nodes: DataFrame) -> DataFrame:
+    """``gid, grp, v``: the half-precision unit vector of each of ``nodes(gid, node, grp, raw)``, and of the probes.
 
+    A probe has the id -1 - gid of its origin. Which nodes get one, and the direction it is turned in, follow from the
+    node alone."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            gids, grps, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for gid, grp, raw, planted in zip(gids, grps, b.column(2), b.column(3).to_pylist()):
+                x = _unit([raw.values.to_numpy(zero_copy_only=False)])[0]
+                out.append((gid, grp, x))
+                if planted:
+                    side = np.random.default_rng(gid).standard_normal(len(x))
+                    side -= (side @ x) * x
+                    length = np.linalg.norm(side)
+                    out.append((-1 - gid, grp, PROBE_COSINE * x + (1 - PROBE_COSINE**2) ** 0.5 * side / length if length > 1e-9 else x))
+            ids, grps, vs = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grps, pa.string()), pa.array([v.astype("<f2").tobytes() for v in vs], pa.binary())], names=["gid", "grp", "v"])
+
+    return nodes.select("gid", "grp", "raw", F.pmod(F.xxhash64("node"), F.lit(PROBE_EVERY)) == 0).mapInArrow(run, "gid long, grp string, v binary")
 
-def _tree_codes(nodes: DataFrame, seed: int) -> DataFrame:
-    """Signs of each vector against the planes of each tree, packed, first plane highest."""
+
+def _matrix(binaries) -> np.ndarray:
+    """Single-precision matrix of an Arrow array of half-precision vectors of one length."""
+    return np.frombuffer(b"".join(binaries.to_pylist()), "<f2").reshape(len(binaries), -1).astype(np.float32)
+
+
+def label_means(vecs: DataFrame) -> DataFrame:
+    """``grp, n, mean``: size and mean vector of each label; sums are built per batch before anything is shuffled."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            raws = b.column(2).to_pylist()
-            codes = []
-            for r in raws:
-                planes = _planes(len(r), seed)
-                bits = (planes @ _unit([r])[0]).reshape(TREES, PLANES) > 0
-                codes.append(bits @ (1 << np.arange(PLANES - 1, -1, -1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tolist() for c in codes], pa.list_(pa.int64()))], names=["node", "grp", "raw", "codes"])
+            groups = np.array(b.column(0).to_pylist(), dtype=object)
+            names, sums, sizes = sorted(set(groups.tolist())), [], []
+            for g in names:
+                x = _matrix(b.column(1).take(pa.array(np.flatnonzero(groups == g))))
+                sums.append(x.sum(axis=0, dtype=np.float64).tolist())
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["grp", "n", "sums"])
 
-    return nodes.select("node", "grp", "raw").mapInArrow(run, "node long, grp string, raw array<double>, codes array<long>")
+    part = vecs.select("grp", "v").mapInArrow(run, "grp string, n long, sums array<double>")
+    cells = part.select("grp", "n", F.posexplode("sums").alias("pos", "s")).groupBy("grp", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    cells = cells.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("cells"))
+    return cells.select("grp", "n", F.transform("cells", lambda c: c["s"] / F.col("n")).alias("mean"))
 
 
 _made: dict[tuple[int, int], np.ndarray] = {}
@@ -89,87 +124,202 @@ def _planes(dims: int, seed: int) -> np.ndarray:
     return _made[dims, seed]
 
 
-def _compare(blocks: DataFrame, lists: bool = True) -> DataFrame:
-    """``a, b, cos`` (a < b) from blocks of ``items(node, raw)``: each node's nearest (with ``lists``), whatever
-    their cosine, and a spanning forest of the pairs over the threshold."""
+def tree_blocks(vecs: DataFrame, means: DataFrame, seed: int) -> DataFrame:
+    """Leaves of the trees as blocks of ``items``. A label of n vectors uses log2(n/LEAF) planes through its mean; a leaf
+    over twice LEAF is dealt into parts at random, other ones in each tree, and what they miss is left to the rounds."""
+    depth = F.least(F.lit(PLANES), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LEAF))))).cast("int")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            a, b, c = [], [], []
-            for items in batch.column(0):
-                ids = np.array(items.values.field("node"), dtype=np.int64)
-                x = _unit(items.values.field("raw").to_pylist())
-                cos = x @ x.T
-                np.fill_diagonal(cos, -2)
-                pairs = set()
-                if lists:
-                    k = min(NEIGHBOURS, len(ids) - 1)
-                    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-                    pairs = {(min(i, j), max(i, j)) for i, row in enumerate(near.tolist()) for j in row}
-                forest = Forest(len(ids))
-                for i, j in zip(*np.nonzero(np.triu(cos >= THRESHOLD))):
-                    if forest.join(int(i), int(j)):
-                        pairs.add((int(i), int(j)))
-                for i, j in pairs:
-                    lo, hi = sorted((int(ids[i]), int(ids[j])))
-                    a.append(lo)
-                    b.append(hi)
-                    c.append(float(cos[i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cos"])
-
-    return blocks.where(F.size("items") > 1).select("items").mapInArrow(run, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
-
-
-def tree_leaves(nodes: DataFrame, seed: int) -> DataFrame:
-    """Pairs found inside the leaves. A label of n vectors uses log2(n/LEAF) planes; of a leaf over twice that size every two parts meet."""
-    depth = F.least(F.lit(PLANES), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LEAF))))).cast("int")
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n")).select("grp", depth.alias("depth"))
-    placed = _tree_codes(nodes, seed).join(sizes, "grp")
-    placed = placed.select("node", "grp", "raw", F.posexplode(F.transform("codes", lambda x: F.expr("0L") + F.floor(x / F.pow(F.lit(2.0), F.lit(PLANES) - F.col("depth"))))).alias("tree", "leaf"))
-    counts = placed.groupBy("grp", "tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF)
-    placed = placed.join(counts, ["grp", "tree", "leaf"], "left")
-    return _compare(_blocks(placed, ["grp", "tree", "leaf"], F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))))
+        weights = 1 << np.arange(PLANES - 1, -1, -1)
+        for b in batches:
+            codes = []
+            for v, mean, d in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()):
+                x = np.frombuffer(v, "<f2").astype(np.float64) - mean.values.to_numpy(zero_copy_only=False)
+                bits = (_planes(len(x), seed) @ x).reshape(TREES, PLANES) > 0
+                codes.append(((bits @ weights) >> (PLANES - d)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64()))], names=["gid", "grp", "codes"])
+
+    placed = vecs.join(means, "grp").select("gid", "grp", "v", "mean", depth.alias("depth")).mapInArrow(run, "gid long, grp string, codes array<long>")
+    placed = checkpoint(placed.select("gid", "grp", F.posexplode("codes").alias("tree", "leaf")))
+    large = placed.groupBy("grp", "tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF)
+    parts = F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))
+    placed = placed.join(checkpoint(large), ["grp", "tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("gid", "tree", F.lit(seed)), parts))
+    rows = placed.select("gid", "grp", "tree", "leaf", "part").join(vecs.select("gid", "v"), "gid")
+    item = F.struct("gid", F.lit(True).alias("fresh"), F.lit(-2.0).alias("bound"), "v")
+    return rows.groupBy("grp", "tree", "leaf", "part").agg(F.collect_list(item).alias("items")).select("items")
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Root of each row of a symmetric matrix of links, and the links of a spanning forest."""
+    root, kept = np.full(len(hit), -1), []
+    for s in range(len(hit)):
+        if root[s] < 0:
+            root[s], todo = s, [s]
+            while todo:
+                u = todo.pop()
+                more = np.flatnonzero(hit[u] & (root < 0))
+                root[more] = s
+                kept += [(u, w) for w in more.tolist()]
+                todo += more.tolist()
+    return root, kept
+
+
+def block_pairs(ids: np.ndarray, fresh: np.ndarray, bound: np.ndarray, x: np.ndarray):
+    """Pairs worth keeping of one block, as index arrays ``i, j``, cosines and whether a pair is (or may be) a link.
+
+    A pair with a new member counts if it enters the list of either member, whose worst entry is ``bound``. Of links
+    between nodes a spanning forest is kept, with all undecided pairs between its trees; of a probe's, one a tree."""
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    new = fresh[:, None] | fresh[None, :]
+    wanted = np.where(new & (cos > bound[:, None]), cos, -2)
+    k = min(NEIGHBOURS, len(ids) - 1)
+    near = np.argpartition(-wanted, k - 1, axis=1)[:, :k]
+    keep = np.zeros(cos.shape, bool)
+    np.put_along_axis(keep, near, True, axis=1)
+    keep &= wanted > -2
+    link = np.zeros(cos.shape, bool)
+    if (cos >= THRESHOLD - MARGIN).any():
+        real = ids >= 0
+        both = real[:, None] & real[None, :]
+        sure = (cos >= THRESHOLD + MARGIN) & both
+        root, forest = _forest(sure)
+        for i, j in forest:
+            link[i, j] = True
+        link |= (cos >= THRESHOLD - MARGIN) & (cos < THRESHOLD + MARGIN) & both & (root[:, None] != root[None, :])
+        link &= new
+        for i in np.flatnonzero(~real):
+            at = np.flatnonzero((cos[i] >= THRESHOLD + MARGIN) & real)
+            link[i, at[np.unique(root[at], return_index=True)[1]]] = True
+    link |= link.T
+    i, j = np.nonzero(np.triu(keep | keep.T | link))
+    return i, j, cos[i, j], link[i, j]
+
+
+def compare(blocks: DataFrame) -> DataFrame:
+    """``a, b, cos, link`` (a < b) found in blocks of ``items(gid, fresh, bound, v)``."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def neighbour_lists(pairs: DataFrame) -> DataFrame:
-    """``node, nbr, cos``: the NEIGHBOURS nearest of each node, and up to ENLARGED where all those are over the threshold."""
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "cos").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("nbr"), "cos"))
+        for batch in batches:
+            a, b, c, l = [], [], [], []
+            for items in batch.column(0):
+                v = items.values
+                ids = v.field("gid").to_numpy()
+                i, j, cos, link = block_pairs(ids, v.field("fresh").to_numpy(zero_copy_only=False), v.field("bound").to_numpy(), _matrix(v.field("v")))
+                a.append(np.minimum(ids[i], ids[j]))
+                b.append(np.maximum(ids[i], ids[j]))
+                c.append(cos.astype(np.float64))
+                l.append(link)
+            cols = [np.concatenate(z) if z else np.array([], t) for z, t in ((a, "int64"), (b, "int64"), (c, "float64"), (l, "bool"))]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], names=["a", "b", "cos", "link"])
+
+    found = blocks.where(F.size("items") > 1).select("items").mapInArrow(run, "a long, b long, cos double, link boolean")
+    return found.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("link").alias("link"))
+
+
+def neighbour_lists(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``node, nbr, cos, fresh``: the NEIGHBOURS nearest of each node, and up to ENLARGED where all those are over the
+    threshold, from new pairs and the lists before them."""
+    a, b, new = F.col("a"), F.col("b"), F.lit(True).alias("fresh")
+    both = pairs.select(F.explode(F.array(F.struct(a.alias("node"), b.alias("nbr")), F.struct(b.alias("node"), a.alias("nbr")))).alias("e"), "cos").select("e.*", "cos", new)
+    if before is not None:
+        both = both.unionByName(before.withColumn("fresh", F.lit(False))).groupBy("node", "nbr").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cos"), "nbr"))
     most = F.when(F.col("cos") >= THRESHOLD, ENLARGED).otherwise(NEIGHBOURS)
-    return both.withColumn("rank", rank).where(F.col("rank") <= ENLARGED).where(F.col("rank") <= most).select("node", "nbr", "cos")
-
-
-def refine(pairs: DataFrame, lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Neighbours of neighbours: all that stands in the lists around one centre, both ways, is compared with each other."""
-    around = lists.select("node", "nbr").unionByName(lists.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
-    sizes = around.groupBy("node").agg(F.count("*").alias("n"))
-    around = around.join(sizes, "node").select(F.col("node").alias("centre"), F.col("nbr").alias("node"), "n")
-    blocks = _blocks(around.join(nodes.select("node", "raw"), "node"), ["centre"], F.ceil(F.col("n") / CENTRE_PART))
-    listed = lists.select(F.least("node", "nbr").alias("a"), F.greatest("node", "nbr").alias("b"), "cos")
-    return pairs.where(F.col("cos") >= THRESHOLD).unionByName(listed).unionByName(_compare(blocks)).groupBy("a", "b").agg(F.max("cos").alias("cos"))
-
-
-def descend(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pairs`` refined until few list entries change."""
-    lists = checkpoint(neighbour_lists(pairs))
-    for _ in range(MAX_ROUNDS):
-        pairs = checkpoint(refine(pairs, lists, nodes))
-        now = checkpoint(neighbour_lists(pairs))
-        changed = now.join(lists, ["node", "nbr"], "left_anti").count()
-        lists = now
-        release(nodes.sparkSession)
-        if changed <= FEW_CHANGES * now.count():
+    return both.withColumn("rank", rank).where(F.col("rank") <= ENLARGED).where(F.col("rank") <= most).drop("rank")
+
+
+def refine_blocks(lists: DataFrame, vecs: DataFrame, turn: int) -> DataFrame:
+    """Neighbours of neighbours: what stands in the lists around one centre, both ways, as blocks of ``items``.
+
+    Centres without a new neighbour are done. A centre in very many lists has its neighbours dealt into parts at
+    random, other ones each turn."""
+    around = lists.select(F.col("node").alias("centre"), F.col("nbr").alias("gid"), "fresh").unionByName(lists.select(F.col("nbr").alias("centre"), F.col("node").alias("gid"), "fresh"))
+    around = around.groupBy("centre", "gid").agg(F.max("fresh").alias("fresh"))
+    sizes = around.groupBy("centre").agg(F.count("*").alias("n"), F.max("fresh").alias("new")).where("new and n > 1")
+    part = F.pmod(F.xxhash64("gid", F.lit(turn)), F.ceil(F.col("n") / CENTRE_PART))
+    around = join_skewed(around, sizes, ["centre"]).select("centre", "gid", "fresh", part.alias("part"))
+    worst, n = F.min("cos"), F.count("*")
+    bound = F.when(n < NEIGHBOURS, -2.0).when(n >= ENLARGED, worst).otherwise(F.least(worst, F.lit(THRESHOLD)))
+    known = vecs.select("gid", "v").join(lists.groupBy(F.col("node").alias("gid")).agg(bound.alias("bound")), "gid", "left")
+    rows = around.join(known, "gid").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+    blocks = rows.groupBy("centre", "part").agg(F.collect_list(F.struct("gid", "fresh", "bound", "v")).alias("items"))
+    return blocks.where(F.exists("items", lambda x: x["fresh"])).select("items")
+
+
+def _merged(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    return checkpoint(links.unionByName(pairs.where("link").select("a", "b", "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos")))
+
+
+def descend(pairs: DataFrame, links: DataFrame, before: DataFrame | None, vecs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Lists and links after refining ``pairs`` until few list entries change."""
+    lists, links = checkpoint(neighbour_lists(pairs, before)), _merged(links, pairs)
+    for turn in range(MAX_ROUNDS):
+        pairs = checkpoint(compare(refine_blocks(lists, vecs, seed * MAX_ROUNDS + turn)))
+        lists, links = checkpoint(neighbour_lists(pairs, lists)), _merged(links, pairs)
+        changes = lists.agg(F.count_if("fresh").alias("new"), F.count("*").alias("n")).first()
+        if changes.new <= FEW_CHANGES * changes.n:
             break
-    return pairs
+    return lists, links
+
+
+def decided(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b`` of the links between nodes; those within the margin are decided by the double-precision vectors."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            near = [float(_unit([p])[0] @ _unit([q])[0]) >= THRESHOLD for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    real = links.where("a >= 0 and b >= 0")
+    open_ = real.where(F.col("cos") < THRESHOLD + MARGIN).join(nodes.select(F.col("gid").alias("a"), F.col("raw").alias("p")), "a").join(nodes.select(F.col("gid").alias("b"), F.col("raw").alias("q")), "b")
+    return real.where(F.col("cos") >= THRESHOLD + MARGIN).select("a", "b").unionByName(open_.select("a", "b", "p", "q").mapInArrow(run, "a long, b long"))
+
+
+def named_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component``: components of links between gids, named by their smallest vec_id; nodes without links have none."""
+    held = checkpoint(nodes.select("gid", "node").join(components(links).select(F.col("node").alias("gid"), "component"), "gid"))
+    tops = held.groupBy("component").agg(F.min("node").alias("top"))
+    return checkpoint(join_skewed(held, tops, ["component"]).select("node", F.col("top").alias("component")))
+
+
+def probe_recall(vecs: DataFrame, links: DataFrame, nodes: DataFrame, comp: DataFrame) -> float | None:
+    """Share of the probes linked to their origin or to a node of its component; None without probes."""
+    homes = nodes.select("gid", "node").join(comp, "node", "left").select("gid", F.coalesce("component", "node").alias("home"))
+    met = links.where("a < 0 and b >= 0").select(F.col("a").alias("probe"), F.col("b").alias("gid")).join(homes, "gid").select("probe", F.col("home").alias("reached"))
+    planted = vecs.where("gid < 0").select(F.col("gid").alias("probe"), (-1 - F.col("gid")).alias("gid")).join(homes, "gid")
+    found = planted.join(met, "probe", "left").groupBy("probe").agg(F.max(F.coalesce(F.col("home") == F.col("reached"), F.lit(False))).alias("ok"))
+    return found.agg(F.avg(F.col("ok").cast("int"))).first()[0]
 
 
 def exact_links(nodes: DataFrame) -> DataFrame:
-    """``a, b, cos``: all pairs of each label compared in blocks; a spanning forest of each block's links."""
+    """``a, b`` (gids): all pairs of each label compared in blocks; a spanning forest of each block's links."""
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / F.least(F.lit(LABEL_PART), F.ceil(4 * F.sqrt("n") + 16)))
-    return _compare(_blocks(nodes.join(sizes, "grp"), ["grp"], parts), lists=False)
+    parts = F.ceil(F.col("n") / F.least(F.lit(LABEL_PART), F.ceil(4 * F.sqrt("n") + 16))).cast("int")
+    dealt = nodes.join(sizes, "grp").select("grp", "gid", "raw", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int"))
+    dealt = dealt.select("grp", "gid", "raw", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = dealt.groupBy("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(F.collect_list(F.struct("gid", "raw")).alias("items"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [(0, 0)][:0]
+            for items in batch.column(0):
+                ids, x = items.values.field("gid").to_pylist(), _unit(items.values.field("raw"))
+                hit = x @ x.T >= THRESHOLD
+                np.fill_diagonal(hit, False)
+                out += [(ids[i], ids[j]) for i, j in _forest(hit)[1]]
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return blocks.where(F.size("items") > 1).select("items").mapInArrow(run, "a long, b long")
 
 
 def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -191,7 +341,7 @@ def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
             out, n = [], []
             for same, items in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = items.values
-                x, own = _unit(v.field("raw").to_pylist()), np.array(v.field("own"))
+                x, own = _unit(v.field("raw")), np.array(v.field("own"))
                 hit = x @ x.T >= THRESHOLD
                 np.fill_diagonal(hit, False)
                 if not same:
@@ -233,7 +383,7 @@ def _asked_links(held):
                 rows = np.flatnonzero(groups == grp)
                 if not len(rows):
                     continue
-                x = _unit(b.column(2).take(pa.array(rows)).to_pylist())
+                x = _unit(b.column(2).take(pa.array(rows)))
                 ids, comps = np.array(b.column(0))[rows], np.array(b.column(3))[rows]
                 for at in range(0, len(asked), 500):
                     q, raws, c = zip(*asked[at : at + 500])
@@ -253,23 +403,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     null vec_id have 0 links, no component and are not kept; repeated rows of a vec_id count once and give the same result
     (of differing vectors of one id the greatest counts); an empty table gives none.
 
-    Lists, leaves, centres and component blocks are all of bounded size, so hot labels and groups of copies spread over
-    many tasks; copies are folded before the first comparison. If the audited recall is too low, more trees and rounds follow, then
-    the comparison of all pairs of each label, which also follows where no audited vector has a link.
+    Leaves, centres and component blocks are of bounded size, so hot labels and groups of copies spread over many tasks;
+    copies are folded before the first comparison. If too few probes or audited links are found, more trees and rounds
+    follow, and after MAX_EXTRA_ROUNDS of them the comparison of all pairs of each label. An audit none of whose
+    vectors has a link finds nothing missing.
     """
     rows = checkpoint(usable(vectors, id_col, vector_col, label_col))
-    nodes = checkpoint(distinct_vectors(rows))
-    pairs = None
+    nodes = checkpoint(checkpoint(distinct_vectors(rows)).withColumn("gid", F.monotonically_increasing_id()))
+    vecs = checkpoint(search_vectors(nodes))
+    means = checkpoint(label_means(vecs))
+    lists, links = None, nodes.sparkSession.createDataFrame([], "a long, b long, cos double")
     for extra in range(1 + MAX_EXTRA_ROUNDS):
-        found = tree_leaves(nodes, seed=11 + extra)
-        pairs = checkpoint(found if pairs is None else pairs.unionByName(found).groupBy("a", "b").agg(F.max("cos").alias("cos")))
-        pairs = descend(pairs, nodes)
-        comp = checkpoint(components(pairs.where(F.col("cos") >= THRESHOLD).select("a", "b")))
-        recall = audit(nodes, comp)
-        if recall is None or recall >= WANTED_RECALL:
+        lists, links = descend(checkpoint(compare(tree_blocks(vecs, means, seed=11 + extra))), links, lists, vecs, seed=extra)
+        comp = named_components(decided(links, nodes), nodes)
+        probes, recall = probe_recall(vecs, links, nodes, comp), audit(nodes, comp)
+        if whole := (probes is None or probes >= WANTED_PROBES) and (recall is None or recall >= WANTED_RECALL):
             break
-    if recall is None or recall < WANTED_RECALL:
-        comp = checkpoint(components(exact_links(nodes).select("a", "b")))
+    if not whole:
+        comp = named_components(exact_links(nodes), nodes)
     counts = count_links(nodes, comp)
     graph = nodes.join(comp, "node", "left").join(counts, "node", "left")
     graph = graph.select("grp", "raw", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
