@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.stable import checkpoint
-from .common import components, join_skewed
+from .common import components, join_skewed, release
 
 #: Parameters. Neighbours in a list and in the list of a node with all of them over the threshold, trees, planes a
 #: tree at most, vectors in a leaf, neighbours of one centre and vectors of a label compared together, refining rounds
@@ -251,20 +251,17 @@ def refine_blocks(lists: DataFrame, vecs: DataFrame, turn: int) -> DataFrame:
     return blocks.where(F.exists("items", lambda x: x["fresh"])).select("items")
 
 
-def _merged(links: DataFrame, pairs: DataFrame) -> DataFrame:
-    return checkpoint(links.unionByName(pairs.where("link").select("a", "b", "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos")))
-
-
 def descend(pairs: DataFrame, links: DataFrame, before: DataFrame | None, vecs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Lists and links after refining ``pairs`` until few list entries change."""
-    lists, links = checkpoint(neighbour_lists(pairs, before)), _merged(links, pairs)
+    lists, links = checkpoint(neighbour_lists(pairs, before)), links.unionByName(pairs.where("link").drop("link"))
     for turn in range(MAX_ROUNDS):
         pairs = checkpoint(compare(refine_blocks(lists, vecs, seed * MAX_ROUNDS + turn)))
-        lists, links = checkpoint(neighbour_lists(pairs, lists)), _merged(links, pairs)
+        lists, links = checkpoint(neighbour_lists(pairs, lists)), links.unionByName(pairs.where("link").drop("link"))
         changes = lists.agg(F.count_if("fresh").alias("new"), F.count("*").alias("n")).first()
+        release(vecs.sparkSession)
         if changes.new <= FEW_CHANGES * changes.n:
             break
-    return lists, links
+    return lists, checkpoint(links.groupBy("a", "b").agg(F.max("cos").alias("cos")))
 
 
 def decided(links: DataFrame, nodes: DataFrame) -> DataFrame:
