@@ -11,7 +11,8 @@ def glyph_to_cell(glyphs: DataFrame, cells: DataFrame, pad: float = 0.5, grid: f
 
     Each page has a grid of buckets of ``grid``. A padded cell stands in every bucket it touches, a glyph in the one of its
     centre, so a glyph is compared with the cells of one bucket, not with all of its page. The cells of a bucket are one
-    sorted array; the glyphs need no aggregation. Null or non-finite bounds hold nothing and are held by nothing."""
+    sorted array; the glyphs need no aggregation. The index is made by ``explode`` from a few rows a page, which Spark takes
+    for its size; the hint keeps it from being sent whole through the driver. Null or non-finite bounds hold nothing and are held by nothing."""
     finite = lambda *names: F.forall(F.array(*[F.col(n).cast("double") for n in names]), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
     bucket = lambda v: F.floor(v / grid)
     over = lambda lo, hi: F.explode(F.sequence(bucket(F.col(lo) - pad), bucket(F.col(hi) + pad)))
@@ -21,7 +22,7 @@ def glyph_to_cell(glyphs: DataFrame, cells: DataFrame, pad: float = 0.5, grid: f
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
     g = glyphs.where(finite("x0", "x1", "top", "bottom")).select("doc_id", "page", "i", "text", "x0", "x1", "top", "bottom", bucket(cx).alias("bx"), bucket(cy).alias("by"))
     inside = lambda c: cx.between(c["cx0"] - pad, c["cx1"] + pad) & cy.between(c["cy0"] - pad, c["cy1"] + pad)
-    hit = g.join(index, ["doc_id", "page", "bx", "by"]).withColumn("c", F.get(F.filter("cells", inside), 0)).where("c is not null")
+    hit = g.join(index.hint("merge"), ["doc_id", "page", "bx", "by"]).withColumn("c", F.get(F.filter("cells", inside), 0)).where("c is not null")
     return hit.select("doc_id", "page", "i", F.col("c.cell").alias("cell"), "text", "x0", "x1", "top", "bottom")
 
 

@@ -67,3 +67,10 @@ def test_glyphs_meet_cells_of_any_size_and_place(spark):
             want[i] = min(fits)
     got = [(r.i, r.cell) for r in Y.glyph_to_cell(g, c).collect()]
     assert len(got) == len(want) and dict(got) == want and 901 in want and 902 not in want
+
+
+def test_the_index_of_cells_is_not_sent_through_the_driver(spark):
+    g = spark.range(50).selectExpr("1L doc_id", "1L page", "id i", "'g' text", "5.0 * id x0", "5.0 * id + 4 x1", "0.0 top", "8.0 bottom")
+    c = spark.range(5).selectExpr("1L doc_id", "1L page", "id cell", "20.0 * id cx0", "20.0 * id + 19 cx1", "0.0 cy0", "19.0 cy1")
+    hit = Y.glyph_to_cell(g, c)
+    assert hit.count() == 20 and "Broadcast" not in hit._jdf.queryExecution().executedPlan().toString()
