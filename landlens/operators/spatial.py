@@ -16,13 +16,37 @@ def boundary_distance(points: DataFrame, ring: Column) -> DataFrame:
     return points.withColumn("distance", G.distance_to_ring(F.col("x"), F.col("y"), ring))
 
 
-def obstacle_at_point(points: DataFrame, obstacles: DataFrame, reach: float = 140.0) -> DataFrame:
-    """First obstacle whose centre lies within ``reach`` on both axes and whose ring holds the point, by 3 x 3 cells of that size."""
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    o = obstacles.select("*", around.alias("d")).select("*", (F.floor(F.col("ox") / reach) + F.col("d.i")).alias("cx"), (F.floor(F.col("oy") / reach) + F.col("d.j")).alias("cy")).drop("d")
-    p = points.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
+def obstacle_at_point(points: DataFrame, obstacles: DataFrame, reach: float = 140.0, size: float = 10.0) -> DataFrame:
+    """First obstacle whose centre lies within ``reach`` on both axes and whose ring holds the point, by cells of ``size``.
+
+    A cell that no edge's box touches is held whole or not at all: of the obstacles that hold it whole, only the first is kept.
+    Those that a cell's points must be tested against are the ones with an edge there that come before it, so however many
+    obstacles lie over each other, a point meets few. Obstacles of one centre and ring are one. The tables of cells are made by
+    ``explode`` from a smaller one, whose size Spark takes for theirs; the hints keep them from the driver."""
+    slack = 1e-6  # a cell that is tested needlessly changes nothing
+    finite = lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))
+    known = obstacles.where(finite(F.col("ox")) & finite(F.col("oy")) & F.col("obstacle").isNotNull() & F.col("ring").isNotNull())
+    o = known.groupBy("ox", "oy", "ring").agg(F.min("obstacle").alias("obstacle"))
+    whole = F.forall("ring", lambda p: finite(p["x"]) & finite(p["y"]))
+
+    def span(centre, axis):
+        along = F.when(whole, F.transform("ring", lambda p: p[axis]))
+        low, high = F.greatest(F.col(centre) - reach, F.array_min(along) - slack), F.least(F.col(centre) + reach, F.array_max(along) + slack)
+        return F.when(low <= high, F.sequence(F.floor(low / size), F.floor(high / size)))
+
+    c = o.select("*", span("ox", "x").alias("xs"), span("oy", "y").alias("ys")).select("obstacle", "ox", "oy", "ring", "ys", F.explode("xs").alias("cx")).select("obstacle", "ox", "oy", "ring", "cx", F.explode("ys").alias("cy"))
+    box = {v: (F.col(f"c{v}") * size - slack, (F.col(f"c{v}") + 1) * size + slack) for v in "xy"}
+    meets = lambda e, v: (F.greatest(e["a"][v], e["b"][v]) >= box[v][0]) & (F.least(e["a"][v], e["b"][v]) <= box[v][1])
+    touched = ~whole | F.exists(G._edges(F.col("ring")), lambda e: meets(e, "x") & meets(e, "y"))
+    close = (box["x"][0] >= F.col("ox") - reach) & (box["x"][1] <= F.col("ox") + reach) & (box["y"][0] >= F.col("oy") - reach) & (box["y"][1] <= F.col("oy") + reach)
+    held = G.in_ring((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("ring"))
+    cells = c.withColumns({"touched": touched, "held": held}).where("touched or held").withColumn("full", ~F.col("touched") & close)
+    first = checkpoint(cells.where("full").groupBy("cx", "cy").agg(F.min("obstacle").alias("first"))).hint("merge")
+    tested = cells.where("not full").join(first, ["cx", "cy"], "left").where("first is null or obstacle < first").select("cx", "cy", "obstacle", "ox", "oy", "ring")
+    p = points.where(finite(F.col("x")) & finite(F.col("y"))).select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     near = (F.abs(F.col("x") - F.col("ox")) <= reach) & (F.abs(F.col("y") - F.col("oy")) <= reach)
-    hits = p.join(o, ["cx", "cy"]).where(near & G.in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    hits = p.join(tested.hint("merge"), ["cx", "cy"]).where(near & G.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "obstacle")
+    hits = hits.unionByName(p.join(first, ["cx", "cy"]).select("id", F.col("first").alias("obstacle")))
     return points.join(hits.groupBy("id").agg(F.min("obstacle").alias("obstacle")), "id", "left")
 
 
