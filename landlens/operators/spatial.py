@@ -95,18 +95,28 @@ def halve(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     return inside.groupBy("raster_id", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.avg("v").alias("v"))
 
 
+#: Cells of a raster that a task of ``pyramid`` brings together.
+PYRAMID_CELLS = 500_000
+
+
 def pyramid(cells: DataFrame, levels: int = 8, least: int = 4) -> DataFrame:
     """All coarser levels: ``level`` from 1, each half the one before, as long as both sides keep ``least`` cells.
 
-    The size of a raster is that of its last row and column; each level is an aggregation over the one before."""
-    size = lambda rows: rows.groupBy("raster_id").agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"))
-    sizes, cur, out = size(cells), cells.select("raster_id", "row", "col", "v"), None
+    The size of a raster is that of its last row and column. Each level is an aggregation over the one before, which is
+    stored, so no level is made twice; its cells are dealt by row to as many tasks as they need, of PYRAMID_CELLS each."""
+    cur = checkpoint(cells.select("raster_id", "row", "col", "v"))
+    sizes = checkpoint(cur.groupBy("raster_id").agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols")))
+    n, out = cur.count(), None
     for level in range(1, levels + 1):
         inside = cur.join(sizes, "raster_id").where(f"_rows div 2 >= {least} and _cols div 2 >= {least}").where("row < _rows - _rows % 2 and col < _cols - _cols % 2")
-        cur = inside.groupBy("raster_id", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.avg("v").alias("v"))
+        halves = inside.select("raster_id", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col"), "v").repartition(n // PYRAMID_CELLS + 1, "raster_id", "row")
+        cur = checkpoint(halves.groupBy("raster_id", "row", "col").agg(F.avg("v").alias("v")))
+        n = cur.count()
         sizes = sizes.select("raster_id", F.expr("_rows div 2").alias("_rows"), F.expr("_cols div 2").alias("_cols"))
         one = cur.withColumn("level", F.lit(level))
         out = one if out is None else out.unionByName(one)
+        if not n:
+            break
     return out
 
 
