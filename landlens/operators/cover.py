@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stable import checkpoint
+
 #: Columns of a block in ``sweep``: the most different positions that one window of it can hold.
 BLOCK = 4096
 
@@ -82,20 +84,26 @@ def run_area(runs: DataFrame, keys: list[str], cell: float) -> DataFrame:
 
 
 def near_edges(polygons: DataFrame, keys: list[str], cell: float, margin: float) -> DataFrame:
-    """Runs of one cell each, whose centre lies within ``margin`` of an edge; a cell near two edges comes twice.
+    """Runs of cells whose centre lies within ``margin`` of an edge, one an edge and row; a cell near two edges comes twice.
 
-    An edge meets in each row the columns between its ends within reach of that row's centre line only."""
+    An edge meets in each row the columns between its ends within reach of that row's centre line only. What is within
+    ``margin`` of an edge is convex, so these are one run."""
     e = ring_edges(polygons, keys)
     lo, hi = F.least("ay", "by") - margin, F.greatest("ay", "by") + margin
     r = e.select("*", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))).alias("cy"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     y = (F.col("cy") + 0.5) * cell
     xs = _span(y - margin, y + margin)
-    c = r.select("*", F.explode(F.sequence(F.floor((F.least(*xs) - margin) / cell) - 1, F.floor((F.greatest(*xs) + margin) / cell) + 1)).alias("cx"))
-    x = (F.col("cx") + 0.5) * cell
-    t = F.coalesce(F.try_divide((x - F.col("ax")) * dx + (y - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return c.where(F.hypot(x - F.col("ax") - t * dx, y - F.col("ay") - t * dy) <= margin).select(*keys, "cy", F.col("cx").alias("c0"), F.col("cx").alias("c1"))
+    c0, c1 = F.floor((F.least(*xs) - margin) / cell) - 1, F.floor((F.greatest(*xs) + margin) / cell) + 1
+
+    def near(cx):
+        x = (cx + 0.5) * cell
+        t = F.coalesce(F.try_divide((x - F.col("ax")) * dx + (y - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(x - F.col("ax") - t * dx, y - F.col("ay") - t * dy) <= margin
+
+    c = r.select(*keys, "cy", F.filter(F.sequence(c0, c1), near).alias("cells")).where(F.size("cells") > 0)
+    return c.select(*keys, "cy", F.element_at("cells", 1).alias("c0"), F.element_at("cells", -1).alias("c1"))
 
 
 def _above(y: Column, side: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -177,7 +185,14 @@ def cells_difference(whole: DataFrame, parts: DataFrame) -> DataFrame:
     return sweep(side(whole, False).unionByName(side(parts, True)), [], without=True)
 
 
+#: Buildings that a task of ``building_mask`` takes apart.
+BUILDINGS = 1000
+
+
 def building_mask(buildings: DataFrame, margin: float = 1.5, cell: float = 1.0) -> DataFrame:
-    """Runs ``building, cy, c0, c1`` of the cells whose centre lies in a building's ``ring`` or within ``margin`` of it."""
-    one = buildings.select("building", F.array("ring").alias("rings"))
+    """Runs ``building, cy, c0, c1`` of the cells whose centre lies in a building's ``ring`` or within ``margin`` of it.
+
+    Buildings are dealt to as many tasks as they need; all that follows stays with them."""
+    one = checkpoint(buildings.select("building", F.array("ring").alias("rings")))  # a small file would be one task, its cells are many
+    one = one.repartition(one.count() // BUILDINGS + 1, "building")
     return sweep(burn(one, ["building"], cell).unionByName(near_edges(one, ["building"], cell, margin)), ["building"])
