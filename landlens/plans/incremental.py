@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import monitor as M
-from ..operators.stable import shared_folder
+from ..operators.stable import checkpoint, shared_folder
 from ..sources import files
 from ..streaming import jobs, portal, tracking
 from ..streaming import posts as stored
-from .base import NEWS_SQL, Catalog, news_items, table
+from .base import NEWS_SQL, ORG_ANY, ORG_QUERIES, SITE_PLACE, SITE_WITH, Catalog, news_items, table
 from .ledger import ROWS_SQL, rows
-from .monitor import RESOLVE_SQL, TAG_SQL, tagged
+from .monitor import RESOLVE_SQL, TAG_SQL
 from .spatial import ZONE_SQL, zone_ring, zones
 from .text import posts
 
@@ -114,14 +114,14 @@ def sink_ledger_sheets(spark, sf_dir):
 
 @C.add(f"WITH {TAG_SQL} SELECT key, min(seq) AS seq FROM tagged GROUP BY key")
 def inc_news(spark, sf_dir):
-    """What the archive holds after the items have come in three batches: first of each key over all of them."""
-    t = tagged(spark, sf_dir)
-    third = t.agg(F.max("seq").alias("top"))
-    t = t.crossJoin(F.broadcast(third)).withColumn("part", F.least(F.floor(3 * F.col("seq") / (F.col("top") + 1)), F.lit(2))).drop("top")
+    """What the archive holds after the items have come in three batches: first of each key over all of them.
+
+    What a batch adds is stored as keys before the next comes, so each item is tagged once."""
     held = None
-    for i in range(3):
-        first = M.news_dedup(t.where(F.col("part") == i))
-        held = first if held is None else held.unionByName(M.fresh(first, held))
+    for part in thirds(news_items(spark, sf_dir), "seq"):
+        first = M.news_dedup(M.news_tag(part, ORG_ANY, ORG_QUERIES, SITE_PLACE, SITE_WITH)).select("key", "seq")
+        new = checkpoint(first if held is None else M.fresh(first, held))
+        held = new if held is None else held.unionByName(new)
     return held.select("key", "seq")
 
 
