@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import cover as V
 from ..operators import evidence as E
 from ..operators import spatial as S
+from ..operators.stable import checkpoint
 from .base import Catalog, table
 
 C = Catalog()
@@ -506,10 +507,12 @@ def verify_filter(spark, sf_dir):
 
 @C.add()
 def longest_common_excerpt(spark, sf_dir):
-    """The excerpt of the best document of each opinion that scores at least 0.35; texts are joined for the winners only."""
+    """The excerpt of the best document of each opinion that scores at least 0.35; only the winners' texts are made flat and joined."""
     from ..functions.helpers import longest_common_excerpt as excerpt
 
     b, d = evidence(spark, sf_dir)
-    won = E.coverage(b, d).where("score >= 0.35")
-    j = won.join(b.select("opinion_id", F.col("norm").alias("op")), "opinion_id").join(d.select("doc_id", F.col("norm").alias("src")), "doc_id")
+    won = checkpoint(E.coverage(b, d).where("score >= 0.35"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    j = raw.join(F.broadcast(won) if won.count() <= E.BROADCAST_ROWS else won, "doc_id").withColumn("src", F.lower(T.flat(F.col("raw"))))
+    j = j.join(b.select("opinion_id", F.col("norm").alias("op")), "opinion_id").repartition("opinion_id")
     return j.select("opinion_id", "doc_id", "score", excerpt("op", "src").alias("excerpt"))
