@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stable import measured
+
 #: ASCII white space, the only separators of words in these operators.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RX = r"[\x20\x09-\x0D]+"
@@ -161,7 +163,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are joined, so that each join has shuffles of its own, which the adaptive plan splits at nodes with very
     many edges. Nodes without an edge (and self loops) give no row. Null ends are dropped.
     """
-    cur = checkpoint(
+    cur = measured(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = None
@@ -174,7 +176,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = checkpoint(join_skewed(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         small = join_skewed(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        cur = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
+        cur = measured(small.select("e.u", "e.v").where("u <> v").distinct())
     else:
         raise RuntimeError("components did not converge")
     tops = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.stable import checkpoint
+from ..operators.stable import checkpoint, measured
 from .common import components, join_skewed, release
 
 #: Parameters. Neighbours in a list and in the list of a node with all of them over the threshold, trees, planes a
@@ -253,15 +253,15 @@ def refine_blocks(lists: DataFrame, vecs: DataFrame, turn: int) -> DataFrame:
 
 def descend(pairs: DataFrame, links: DataFrame, before: DataFrame | None, vecs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Lists and links after refining ``pairs`` until few list entries change."""
-    lists, links = checkpoint(neighbour_lists(pairs, before)), links.unionByName(pairs.where("link").drop("link"))
+    lists, links = measured(neighbour_lists(pairs, before)), links.unionByName(pairs.where("link").drop("link"))
     for turn in range(MAX_ROUNDS):
         pairs = checkpoint(compare(refine_blocks(lists, vecs, seed * MAX_ROUNDS + turn)))
-        lists, links = checkpoint(neighbour_lists(pairs, lists)), links.unionByName(pairs.where("link").drop("link"))
+        lists, links = measured(neighbour_lists(pairs, lists)), links.unionByName(pairs.where("link").drop("link"))
         changes = lists.agg(F.count_if("fresh").alias("new"), F.count("*").alias("n")).first()
         release(vecs.sparkSession)
         if changes.new <= FEW_CHANGES * changes.n:
             break
-    return lists, checkpoint(links.groupBy("a", "b").agg(F.max("cos").alias("cos")))
+    return lists, measured(links.groupBy("a", "b").agg(F.max("cos").alias("cos")))
 
 
 def decided(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,7 +283,9 @@ def named_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component``: components of links between gids, named by their smallest vec_id; nodes without links have none."""
     held = checkpoint(nodes.select("gid", "node").join(components(links).select(F.col("node").alias("gid"), "component"), "gid"))
     tops = held.groupBy("component").agg(F.min("node").alias("top"))
-    return checkpoint(join_skewed(held, tops, ["component"]).select("node", F.col("top").alias("component")))
+    named = measured(join_skewed(held, tops, ["component"]).select("node", F.col("top").alias("component")))
+    release(nodes.sparkSession)
+    return named
 
 
 def probe_recall(vecs: DataFrame, links: DataFrame, nodes: DataFrame, comp: DataFrame) -> float | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return held.checkpoint(eager=True)
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """``checkpoint``, of whose size Spark knows; for tables that are made anew round by round.
+
+    A checkpoint keeps the size that was estimated for the plan behind it, and a join's estimate is the product of its
+    sides'. The digits of that number multiply in each round, until the driver takes seconds and hundreds of MB for the
+    product alone. A cached table has the size it was found with, so the table is held on disk until it is written."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()
+        return checkpoint(held)
+    finally:
+        held.unpersist()
+
+
 #: Bits of monotonically_increasing_id() that count the rows of a partition.
 ROW_BITS = 33
 
