@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from .selection import quantiles, select_ranks
-from .stable import checkpoint
+from .stable import checkpoint, measured
 
 
 # -- zones ----------------------------------------------------------------------------------------------------------------
@@ -348,28 +350,42 @@ def affine_ransac(points: DataFrame, trials: int = 2000, wide: float = 15.0, nar
     return stats.withColumns({"scale": F.lit(float(np.hypot(m[0, 0], m[0, 1]))), "rotation": F.lit(float(np.degrees(np.arctan2(m[0, 1], m[0, 0]))))})
 
 
-def _ranked(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """List ranking by pointer jumping: ``arcs(arc, next, steps, end, tail, low)`` until each row has jumped to its list's end.
+#: Arcs that a task of ``chain_segments`` brings together; one takes up to 250 bytes on either side of a join.
+ARC_ROWS = 250_000
+
+
+def _dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to tasks of ARC_ROWS, ``n`` rows in all."""
+    return rows.repartition(n // ARC_ROWS + 1, key)
+
+
+def _ranked(arcs: DataFrame, n: int, max_rounds: int = 64) -> DataFrame:
+    """List ranking by pointer jumping: ``arcs(arc, next, steps, end, tail, low)``, ``n`` rows at most, until each row has
+    jumped to its list's end.
 
     A row knows the arc that follows the stretch it has seen, the stretch's number of arcs, where it ends and comes from last,
-    and its least vertex. Each round joins every row to the one it points at, which doubles its stretch, so the rounds grow
-    with the logarithm of the longest list; no list is ever gathered. Rows of a ring never end and keep
+    and its least vertex. Each round joins every open row to the one it points at, which doubles its stretch, so the rounds
+    grow with the logarithm of the longest list; no list is ever gathered. Rows that have ended stay where they are stored:
+    their null ``next`` would bring them all into one task of the join. Rows of a ring never end and keep
     their ``next``: they are done when a round changes no least vertex. In each round that leaves rows of a list open, others
     of it reach the end, so a round without either is the last."""
-    cur = checkpoint(arcs)
+    cur, ended = checkpoint(arcs), []
     for _ in range(max_rounds):
-        if cur.where("next is not null").isEmpty():
-            return cur
-        on = cur.select(*[F.col(c).alias(f"_{c}") for c in cur.columns])
+        open_ = cur.where("next is not null")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, ended, cur)
+        whole = reduce(DataFrame.unionByName, ended, cur)
+        on = _dealt(whole.select(*[F.col(c).alias(f"_{c}") for c in cur.columns]), n, "_arc")
         jump = F.col("_arc").isNotNull()
-        two = cur.join(on, F.col("next") == F.col("_arc"), "left")
+        two = _dealt(open_, n, "next").join(on.hint("merge"), F.col("next") == F.col("_arc"), "left")
         low = F.when(jump, F.least("low", "_low")).otherwise(F.col("low"))
         new = two.select("arc", F.when(jump, F.col("_next")).alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), *[F.when(jump, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("end", "tail")], low.alias("low"), (F.col("_next").isNotNull() & (low == F.col("low"))).alias("still"), jump.alias("moved"))
-        new = checkpoint(new)
+        new = measured(new)
         settled = new.where("moved and not still").isEmpty()
+        ended.append(cur.where("next is null"))
         cur = new.drop("still", "moved")
         if settled:
-            return cur
+            return reduce(DataFrame.unionByName, ended, cur)
     raise RuntimeError("lines did not converge")
 
 
@@ -383,17 +399,18 @@ def chain_segments(segments: DataFrame) -> DataFrame:
     seg = checkpoint(segments.withColumn("sid", F.monotonically_increasing_id()))
     vertex = lambda side: F.struct("raster_id", "level", F.col(f"{side}_side.row").alias("row"), F.col(f"{side}_side.col").alias("col"), F.col(f"{side}_side.kind").alias("kind"))
     way = lambda d, u, v: seg.select((F.col("sid") * 2 + d).alias("arc"), vertex(u).alias("u"), vertex(v).alias("v"), F.col(f"{u}x").alias("ux"), F.col(f"{u}y").alias("uy"), F.col(f"{v}x").alias("vx"), F.col(f"{v}y").alias("vy"))
-    arcs = way(0, "a", "b").unionByName(way(1, "b", "a"))
+    arcs, n = way(0, "a", "b").unionByName(way(1, "b", "a")), 2 * seg.count()
     after = arcs.select(F.col("u").alias("v"), F.col("arc").alias("next"))
     same = F.shiftright("arc", 1) == F.shiftright("next", 1)
-    follow = arcs.join(after, "v").where(~same).select("arc", "next")
-    first = checkpoint(arcs.join(follow, "arc", "left").select("arc", "next", F.lit(1).cast("long").alias("steps"), F.col("v").alias("end"), F.col("u").alias("tail"), F.least("u", "v").alias("low")))
-    seen = _ranked(first)
+    follow = checkpoint(_dealt(arcs.select("arc", "v"), n, "v").join(_dealt(after, n, "v").hint("merge"), "v").where(~same).select("arc", "next"))
+    own, follow = _dealt(arcs, n, "arc"), _dealt(follow, n, "arc").hint("merge")
+    first = checkpoint(own.join(follow, "arc", "left").select("arc", "next", F.lit(1).cast("long").alias("steps"), F.col("v").alias("end"), F.col("u").alias("tail"), F.least("u", "v").alias("low")))
+    seen = _ranked(first, n)
     rings = seen.where("next is not null").select("arc", F.col("low").alias("cut"))
-    opened = first.join(rings, "arc").withColumn("next", F.when(F.col("end") != F.col("cut"), F.col("next"))).drop("cut")
-    done = seen.where("next is null").unionByName(_ranked(opened))
+    opened = _dealt(first, n, "arc").join(_dealt(rings, n, "arc").hint("merge"), "arc").withColumn("next", F.when(F.col("end") != F.col("cut"), F.col("next"))).drop("cut")
+    done = _dealt(seen.where("next is null").unionByName(_ranked(opened, n)), n, "arc")
     back = done.select(F.col("arc").bitwiseXOR(F.lit(1).cast("long")).alias("arc"), (F.col("steps") - 1).alias("before"), F.col("end").alias("start"), F.col("tail").alias("second"))
-    whole = arcs.join(done.select("arc", "steps", "end", "tail"), "arc").join(back, "arc")
+    whole = _dealt(arcs, n, "arc").join(done.select("arc", "steps", "end", "tail").hint("merge"), "arc").join(_dealt(back, n, "arc").hint("merge"), "arc")
     forward = whole.where(F.struct(F.col("start").alias("p"), F.col("second").alias("q")) < F.struct(F.col("end").alias("p"), F.col("tail").alias("q"))).withColumn("n", F.col("steps") + F.col("before") + 1).where("n >= 3")
     point = lambda place, x, y: F.struct(place.alias("place"), F.col(x).alias("x"), F.col(y).alias("y"))
     own = point(F.col("before") + 1, "vx", "vy")

@@ -1,0 +1,25 @@
+"""Contours are chained in tasks of bounded size, however many of their arcs have ended."""
+
+from pyspark.sql import functions as F
+
+from landlens.operators import spatial as S
+
+
+def test_ended_arcs_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(S, "ARC_ROWS", 200, raising=False)
+    k, most = F.col("id"), []
+    cells = spark.range(60 * 40).select(F.lit(1).alias("raster_id"), F.floor(k / 40).alias("row"), (k % 40).alias("col"), (k * k % 7 % 2).cast("double").alias("v"))
+    kept = S.checkpoint
+
+    def seen(df):
+        held = kept(df)
+        if "steps" in held.columns:
+            most.append(held.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] or 0)
+        return held
+
+    monkeypatch.setattr(S, "checkpoint", seen)
+    if hasattr(S, "measured"):
+        monkeypatch.setattr(S, "measured", seen)
+    got = S.chain_segments(S.contour_segments(cells, (0.5,)))
+    n = got.count()
+    assert n > 1000 and len(most) > 4 and max(most) < 500
