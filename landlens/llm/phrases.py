@@ -24,8 +24,10 @@ from .common import bit_filter, join_skewed, passes, small_batches
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Bytes of a slice whose words are hashed at once, and fingerprints that a task adds up before it hands them on.
-SLICE = 1 << 20
+#: Bytes of a slice whose words are hashed at once, bytes of a block, and fingerprints that a task adds up before it hands
+#: them on. Two tasks of an executor hold all of it at once, beside what each step makes anew of a block's size.
+SLICE = 1 << 17
+BLOCK = 1 << 20
 HELD = 1 << 21
 
 #: Classes of bytes: part of a word, blank between words, end of a piece.
@@ -50,7 +52,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(12, (n - 1).bit_length()))[:n]
+    """Those of a slice are kept, those of a longer word are not."""
+    return _powers(base, 2 * SLICE)[:n] if n <= 2 * SLICE else _powers.__wrapped__(base, n)
 
 
 def inverse(base: int) -> int:
@@ -134,8 +137,8 @@ def cut(text: bytes, most: int):
     yield text[at:]
 
 
-def _blocks(batches, most: int = 4 << 20):
-    """Blocks with, for each row, the language, its salt and a 16-bit mark of the text. A block has about ``most`` bytes, or
+def _blocks(batches):
+    """Blocks with, for each row, the language, its salt and a 16-bit mark of the text. A block has about BLOCK bytes, or
     one longer piece."""
     import pyarrow as pa
     import xxhash
@@ -148,8 +151,8 @@ def _blocks(batches, most: int = 4 << 20):
         texts, langs, marks, size = [], [], [], 0
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             mark = xxhash.xxh64_intdigest(text or b"") & 0xFFFF
-            for part in cut(text or b"", most):
-                if texts and size + len(part) > most:
+            for part in cut(text or b"", BLOCK):
+                if texts and size + len(part) > BLOCK:
                     yield block(texts, langs, marks)
                     texts, langs, marks, size = [], [], [], 0
                 texts.append(part)
@@ -176,6 +179,31 @@ def candidates(block: Block, salt: np.ndarray, n: int, filters: list, bits: int)
     return first, fp & cut_to
 
 
+def added(parts: list) -> list:
+    """Columns fingerprint, number and tail of ``parts``, which is emptied: each fingerprint and second polynomial once, with
+    the sum of the numbers and the smallest tail."""
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+    parts.clear()
+    order = np.argsort(columns[0])
+    for i in range(3):
+        columns[i] = columns[i][order]
+    fp, n, tail = columns
+    del order, columns
+    new = np.ones(len(fp), bool)
+    np.not_equal(fp[1:], fp[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    low = np.minimum.reduceat(tail, at)
+    several = low >> 16 != np.maximum.reduceat(tail, at) >> 16
+    if several.any():  # the rows of such fingerprints are put in order of their tails
+        rows = np.flatnonzero(np.repeat(several, np.diff(np.append(at, len(fp)))))
+        own = rows[np.lexsort((tail[rows], fp[rows]))]
+        n[rows], tail[rows] = n[own], tail[own]
+        new[rows[1:]] |= tail[rows[1:]] >> 16 != tail[rows[:-1]] >> 16
+        at = np.flatnonzero(new)
+        low = np.minimum.reduceat(tail, at)
+    return [fp[at], np.add.reduceat(n, at), low]
+
+
 def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> DataFrame:
     """``fp``, ``n``, ``low``, ``high``: occurrences of the fingerprints of phrases of ``sizes`` words in
     ``rows(lang, text)``, from MIN_COUNT on, and the smallest and largest of their second polynomial's 24 bits followed by
@@ -184,17 +212,7 @@ def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> Data
     def run(batches):
         import pyarrow as pa
 
-        def added(parts):
-            """Each fingerprint and tail once, with its number of occurrences; tails of one fingerprint that have one second
-            polynomial give way to the smallest."""
-            fp = np.concatenate([p[0] for p in parts])
-            order = np.lexsort((np.concatenate([p[2] for p in parts]), fp))
-            fp, tail, n = fp[order], np.concatenate([p[2] for p in parts])[order], np.concatenate([p[1] for p in parts])[order]
-            at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (tail[1:] >> 16 != tail[:-1] >> 16))))
-            return fp[at], np.add.reduceat(n, at), tail[at]
-
-        def handed(parts):
-            columns = added(parts)
+        def handed(columns):
             for i in range(0, len(columns[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)].view(np.int64)) for c in columns], names=["fp", "n", "tail"])
 
@@ -207,10 +225,16 @@ def count_fingerprints(rows: DataFrame, sizes, filters: list, bits: int) -> Data
                     parts.append(added([(fp, np.ones(len(fp), np.int64), tail)]))
                     size += len(parts[-1][0])
             if size > HELD:
-                yield from handed(parts)
-                parts, size = [], 0
+                whole = added(parts)
+                size = len(whole[0])
+                if 2 * size > HELD:
+                    yield from handed(whole)
+                    size = 0
+                else:
+                    parts.append(whole)
+                del whole
         if parts:
-            yield from handed(parts)
+            yield from handed(added(parts))
 
     # A task has added up its own, so rows go to their fingerprint's partition as they are.
     counts = rows.mapInArrow(run, "fp long, n long, tail long").repartition("fp").groupBy("fp")
@@ -284,7 +308,7 @@ def phrases_by_pointer(rows: DataFrame, counts: DataFrame, longest: int, filters
                         out.append((h, langs[block.row[i]], n, block.phrase(i, n).decode("utf-8"), None))
             for i in range(0, len(out), 1 << 14):
                 yield _batch(out[i : i + (1 << 14)], ["fp", "lang", "words", "phrase", "n"])
-            if len(seen) > HELD:
+            if len(seen) > HELD >> 3:
                 seen.clear()
 
     found = checkpoint(rows.mapInArrow(run, "fp long, lang string, words int, phrase string, n long"))
@@ -321,7 +345,7 @@ def phrases_by_text(rows: DataFrame, counts: DataFrame, longest: int, filters: l
                     for i, c in distinct_phrases(block, first[own], fp[own], n) if own.any() else ():
                         some, phrase = found.setdefault((lang, n), {}), block.phrase(i, n)
                         some[phrase] = some.get(phrase, 0) + c
-            if sum(map(len, found.values())) > HELD >> 2:
+            if sum(map(len, found.values())) > HELD >> 4:
                 yield from handed(found)
                 found = {}
         yield from handed(found)
@@ -359,8 +383,8 @@ def collocations(docs: DataFrame, text_col="text", lang_col="lang", top: int = T
     (ties: smallest k). A phrase goes if a longer candidate holds its words and has ``covered_pct`` of its occurrences.
     Counts only fall as phrases grow, so it is enough to look one word further. Whole numbers of 38 digits throughout; ties
     of score and a go by the phrase's bytes. Null texts are empty, a null language is ``und``; repeated rows count each;
-    an empty table gives none; other columns are ignored. A task holds a block of 8 MB of
-    text, or one longer piece, at a time.
+    an empty table gives none; other columns are ignored. A task holds a block of BLOCK
+    bytes of text, or one longer piece, and HELD fingerprints at a time.
     """
     phrases, totals = frequent_phrases(docs, text_col, lang_col)
     many = phrases.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))

@@ -104,3 +104,39 @@ def test_fingerprints_follow_the_words():
         for i, h in zip(first.tolist(), fp.tolist()):
             seen[int(block.row[i]), block.phrase(i, n)].add(h)
         assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
+
+
+def test_a_task_adds_up_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            raise StopIteration
+
+    rows, rng = Rows(), np.random.default_rng(3)
+    with pytest.raises(StopIteration):
+        P.count_fingerprints(rows, [2], [], 64)
+    texts = [" ".join(map(str, rng.integers(0, 100_000, 90_000))) for _ in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 10), pa.array(texts[i : i + 10])], names=["lang", "text"]) for i in range(0, 30, 10)]
+    tracemalloc.start()
+    try:
+        total = sum(np.array(b.column(1)).sum() for b in rows.run(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 30 * 89_999 and peak < 200 << 20, peak
+
+
+def test_rows_of_one_fingerprint_with_other_polynomials_stay_apart():
+    rng = np.random.default_rng(4)
+    fp, tail = rng.integers(0, 40, 3000).astype(np.uint64), rng.integers(0, 12, 3000).astype(np.uint64) << np.uint64(14)
+    fp[:1000], tail[:1000] = 100 + np.arange(1000) % 300, (np.arange(1000) % 300).astype(np.uint64) << np.uint64(16)
+    n, want = rng.integers(1, 9, 3000), {}
+    for f, c, t in zip(fp.tolist(), n.tolist(), tail.tolist()):
+        c0, t0 = want.get((f, t >> 16), (0, t))
+        want[f, t >> 16] = c0 + c, min(t0, t)
+    got = P.added([(fp[:1700], n[:1700], tail[:1700]), (fp[1700:], n[1700:], tail[1700:])])
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted((f, c, t) for (f, _), (c, t) in want.items())
