@@ -154,6 +154,10 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (hit[: len(h)] & hit[len(h) :]).astype(bool)
 
 
+#: Edges that a task of ``components`` reads at least, where there are so many.
+EDGES_A_TASK = 50_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long ids): ``node``, ``component`` = smallest reachable id.
 
@@ -161,10 +165,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     changes; every round is a pair of keyed aggregations and joins, checkpointed, so no vertex list,
     component or edge set ever meets in one task or on the driver. The minima are checkpointed before they
     are joined, so that each join has shuffles of its own, which the adaptive plan splits at nodes with very
-    many edges. Nodes without an edge (and self loops) give no row. Null ends are dropped.
+    many edges. Nodes without an edge (and self loops) give no row. Null ends are dropped. The number of tasks follows the
+    edges, of which there are often few for the session's shuffle partitions.
     """
     cur = measured(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        EDGES_A_TASK,
     )
     before = None
     for _ in range(max_rounds):
@@ -176,7 +182,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = checkpoint(join_skewed(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         small = join_skewed(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        cur = measured(small.select("e.u", "e.v").where("u <> v").distinct())
+        cur = measured(small.select("e.u", "e.v").where("u <> v").distinct(), EDGES_A_TASK)
     else:
         raise RuntimeError("components did not converge")
     tops = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

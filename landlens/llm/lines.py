@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, SPACE, bit_filter, checkpoint, components, fresh, join_skewed, passes, release, small_batches
+from ..operators.stable import measured
+from .common import EDGES_A_TASK, Forest, SPACE, bit_filter, checkpoint, components, fresh, join_skewed, passes, release, small_batches
 
 #: Parameters: wanted similarity as a fraction, bands and rows a band, characters of a shingle.
 SIMILARITY = (4, 5)
@@ -122,6 +123,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.btrim("line", F.lit(SPACE)) != "").select("doc_id", "line_no", *_hashes(F.col("line")))
 
 
+def _place():
+    """``doc_id`` and ``line_no`` as one number of their order, of which Spark finds the least without sorting the rows."""
+    return (F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")).alias("place")
+
+
 def _distinct_lines(batch, column: int):
     """Lists of the different lines of BLOCK_DOCS texts, at least SHINGLE characters long and not blank."""
     texts = batch.column(column).to_pylist()
@@ -248,7 +254,10 @@ def joined_parts(comps: list[int], lines: list[str]) -> list[tuple[int, int]]:
     component need no comparison."""
     sets = [distinct(shingles(x)) for x in lines]
     order = np.argsort([len(x) for x in sets], kind="stable")
-    sets, sizes = [sets[i] for i in order], np.array([len(sets[i]) for i in order])
+    sizes = np.array([len(sets[i]) for i in order])
+    # Shingles are numbered within the block, so that a table tells at once which of them a line has.
+    ends, (known, numbers) = np.cumsum(sizes), np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    sets, has = np.split(numbers, ends[:-1]), np.zeros(len(known), bool)
     out = []
     places = {c: i for i, c in enumerate(dict.fromkeys(comps))}
     root = np.array([places[comps[i]] for i in order])
@@ -259,10 +268,10 @@ def joined_parts(comps: list[int], lines: list[str]) -> list[tuple[int, int]]:
         others = others[root[others] != root[i]]
         if not len(others):
             continue
-        theirs = np.concatenate([sets[j] for j in others])
-        at = np.searchsorted(sets[i], theirs)
-        at[at == sizes[i]] = 0
-        both = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        theirs = numbers[ends[i] : ends[others[-1]]] if len(others) == others[-1] - i else np.concatenate([sets[j] for j in others])
+        has[sets[i]] = True
+        both = np.add.reduceat(has[theirs], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        has[sets[i]] = False
         for j in others[similar(both, sizes[i], sizes[others])]:
             if root[i] != root[j]:
                 out.append((named[root[i]], named[root[j]]))
@@ -294,7 +303,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     blocks of two parts, so no link between lines of a bucket is lost, and a group of many near copies costs
     one comparison a line and not all its pairs.
     """
-    near = checkpoint(candidate_pairs(band_rows(docs)))
+    near = measured(candidate_pairs(band_rows(docs)), EDGES_A_TASK)
     release(docs.sparkSession)
     pairs = near.select("a", "b").distinct()
     texts = candidate_lines(docs, pairs)
@@ -328,13 +337,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, dropped`` (line numbers from 0) of ``docs(doc_id, text)``, for documents that lose a line."""
     occ = checkpoint(occurrences(docs))
     comp = line_components(docs)
-    lines = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    lines = occ.groupBy("h", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     lines = checkpoint(lines.join(comp, ["h", "h2"], "left").where("n > 1 or component is not null"))
     alone = lines.where("component is null").select("h", "h2", "first")
     linked = lines.where("component is not null").withColumnRenamed("first", "own")
     tops = linked.groupBy("component").agg(F.min("own").alias("first"))
     marks = alone.unionByName(join_skewed(linked, tops, ["component"]).select("h", "h2", "first"))
-    later = join_skewed(occ, marks, ["h", "h2"]).where(F.struct("doc_id", "line_no") != F.col("first"))
+    later = join_skewed(occ, marks, ["h", "h2"]).where(_place() != F.col("first"))
     out = checkpoint(later.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("dropped")))
     release(docs.sparkSession)
     return out
@@ -370,11 +379,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.where(~F.col(maybe)).select(*docs.columns).unionByName(met.select(*docs.columns))
 
 
+def _count_lines():
+    """Lines of ``text``, without taking it apart."""
+    return (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_lines, n_kept, kept_sha256`` (of the text that stays); every line with a word takes part.
 
     Null texts count as empty (one line); a row with a null id keeps all its lines; repeated rows give repeated
     results; other columns are ignored; an empty table gives none."""
     before = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    after = dedup_lines(before.withColumn("n_lines", F.size(F.split("text", "\n"))), "doc_id", "text", drop_emptied=False)
-    return after.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(F.split("text", "\n")).cast("long").alias("n_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    after = dedup_lines(before.withColumn("n_lines", _count_lines()), "doc_id", "text", drop_emptied=False)
+    return after.select("doc_id", "n_lines", _count_lines().alias("n_kept"), F.sha2("text", 256).alias("kept_sha256"))

@@ -40,16 +40,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return held.checkpoint(eager=True)
 
 
-def measured(df: DataFrame) -> DataFrame:
+def measured(df: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """``checkpoint``, of whose size Spark knows; for tables that are made anew round by round.
 
     A checkpoint keeps the size that was estimated for the plan behind it, and a join's estimate is the product of its
     sides'. The digits of that number multiply in each round, until the driver takes seconds and hundreds of MB for the
-    product alone. A cached table has the size it was found with, so the table is held on disk until it is written."""
+    product alone. A cached table has the size it was found with, so the table is held on disk until it is written.
+
+    With ``rows_a_task`` it is stored in as many partitions as its rows need and no more: a cached table keeps all those
+    of its last shuffle, and each of them, however few rows it has, writes a file for every partition of the next."""
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        held.count()
-        return checkpoint(held)
+        n = held.count()
+        return checkpoint(held if rows_a_task is None else held.coalesce(1 + n // rows_a_task))
     finally:
         held.unpersist()
 

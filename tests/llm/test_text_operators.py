@@ -358,6 +358,33 @@ def test_blocks_join_components_as_all_pairs_would():
     assert got == want and len(links) == len(set(comps)) - len(set(want))
 
 
+def test_stored_edges_take_as_many_tasks_as_their_rows_need(spark):
+    from landlens.llm.common import components
+    from landlens.operators.stable import measured
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        edges = spark.range(300).selectExpr("id as a", "id - id % 3 as b")
+        assert measured(edges.distinct(), 1000).rdd.getNumPartitions() == 1 and measured(edges.distinct(), 100).rdd.getNumPartitions() == 4
+        got = components(edges)
+        # Two readings of the stored edges, one partition each.
+        assert got.rdd.getNumPartitions() <= 2 + 23 and {r.node: r.component for r in got.collect()} == {i: i - i % 3 for i in range(300)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_first_line_is_the_least_place(spark):
+    from landlens.llm.lines import _place, line_report
+
+    rows = [(-(1 << 63), 5), ((1 << 63) - 1, 0), (-3, 2), (-3, (1 << 31) - 1), (0, 0), (7, 1)]
+    got = spark.createDataFrame(rows, "doc_id long, line_no int").select("*", _place()).collect()
+    assert [r.place for r in got] == [(d << 32) + n for d, n in rows]
+    texts = [(-(1 << 63), "\nthe line of all\n"), ((1 << 63) - 1, "the line of all"), (5, None), (6, "")]
+    report = {r.doc_id: (r.n_lines, r.n_kept) for r in line_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert report == {-(1 << 63): (3, 3), (1 << 63) - 1: (1, 1), 5: (1, 1), 6: (1, 1)}
+
+
 def test_filter_lets_every_key_through_and_few_others(spark):
     from landlens.llm.common import bit_filter, passes
 
